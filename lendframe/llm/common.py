@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +30,23 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once a context: they may run where it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_lendframe_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="lendframe-"), f"lendframe_{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(target)
+    context._lendframe_shipped = True
+
+
 def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage is cut and survives lost executors."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import line_dedup, mixing
+from lendframe.llm import embedding_dedup, line_dedup, mixing, simhash
 from lendframe.llm.common import stored
 
 
@@ -18,6 +18,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    member = simhash.memberships(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return member.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stored(
         _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "mix-sizes"
@@ -27,6 +37,8 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_simhash": op2_simhash,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_source_mixing": op8_source_mixing,
 }
 
