@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import embedding_dedup, line_dedup, mixing, simhash
+from lendframe.llm import byte_bpe, embedding_dedup, line_dedup, mixing, simhash, token_count
 from lendframe.llm.common import stored
 
 
@@ -23,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return embedding_dedup.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
@@ -35,11 +41,19 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", *byte_bpe.digests())
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
+    "op4_token_count": op4_token_count,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
