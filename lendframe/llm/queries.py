@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import byte_bpe, embedding_dedup, line_dedup, mixing, simhash, token_count
+from lendframe.llm import (
+    byte_bpe,
+    embedding_dedup,
+    line_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_count,
+)
 from lendframe.llm.common import stored
 
 
@@ -29,6 +38,10 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return embedding_dedup.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
@@ -41,6 +54,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = byte_bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -51,8 +68,10 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op4_token_count": op4_token_count,
+    "op5_quality_rules": op5_quality_rules,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
