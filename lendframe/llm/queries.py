@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from lendframe.llm import (
     byte_bpe,
     embedding_dedup,
+    license_scan,
     line_dedup,
     mixing,
     quality_classifier,
     quality_rules,
+    secret_scan,
     simhash,
     token_count,
 )
@@ -33,6 +35,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.token_counts(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
@@ -42,6 +48,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return embedding_dedup.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
@@ -67,8 +77,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
+    "op3_secret_scan": op3_secret_scan,
     "op4_token_count": op4_token_count,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
@@ -130,3 +142,5 @@ from doc d join plan p on d.source is not distinct from p.source
 join cut c on d.source is not distinct from c.source and d.hash = c.hash
 """,
 }
+
+ORACLE_SQL["op6_license_scan"] = license_scan.oracle_sql()
