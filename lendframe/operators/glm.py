@@ -60,47 +60,88 @@ class Logit:
         return out
 
 
-def fit_logit(df: DataFrame, y: str, names: list[str], offset: str | None = None, rounds: int = 25, lower: dict | None = None, upper: dict | None = None) -> Logit:
+def fit_logit(df: DataFrame, y: str, names: list[str], offset: str | None = None, rounds: int = 25, lower: dict | None = None, upper: dict | None = None, weight: str | None = None) -> Logit:
     """Maximum likelihood; rows with a NULL in y or a predictor are left out. Separation ends unconverged, not in an error.
 
     ``lower`` and ``upper`` bound coefficients by name ("(Intercept)" too): bounded ones are fixed at the bound and the
     others fitted on, until no bound is broken and no fixed one wants to come back.
     """
-    rows = df.select(F.col(y).cast("double").alias("__y"), *[F.col(f"`{c}`").cast("double").alias(f"__x{i}") for i, c in enumerate(names)], (F.col(offset) if offset else F.lit(0.0)).alias("__o")).dropna()
+    x_names = [f"__x{i}" for i in range(len(names))]
+    rows = df.select(
+        F.col(y).cast("double").alias("__y"), *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(names, x_names)],
+        (F.col(offset) if offset else F.lit(0.0)).alias("__o"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"),
+    ).dropna()
     k = len(names) + 1
-    x = [F.lit(1.0)] + [F.col(f"__x{i}") for i in range(k - 1)]
-    beta, previous, converged = np.zeros(k), math.inf, False
+    x = [F.lit(1.0)] + [F.col(c) for c in x_names]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    labels = ["(Intercept)", *names]
-    low = np.array([(lower or {}).get(n, -math.inf) for n in labels])
-    high = np.array([(upper or {}).get(n, math.inf) for n in labels])
-    info, n, null_dev, dev = np.eye(k), 0, 0.0, math.inf
-    for step in range(rounds):
+
+    def step(beta: np.ndarray) -> tuple:
         line = F.col("__o") + sum((F.lit(float(b)) * c for b, c in zip(beta, x)), F.lit(0.0))
         r = rows.withColumn("__p", F.greatest(F.least(1 / (1 + F.exp(-line)), F.lit(1 - 1e-12)), F.lit(1e-12)))
-        p, t = F.col("__p"), F.col("__y")
+        p, t, w = F.col("__p"), F.col("__y"), F.col("__w")
         row = r.agg(
-            *[F.sum(p * (1 - p) * x[i] * x[j]) for i, j in pairs], *[F.sum((t - p) * c) for c in x],
-            F.sum(-2 * F.when(t == 1, F.log(p)).otherwise(F.log(1 - p))), F.count(F.lit(1)), F.avg(t),
+            *[F.sum(w * p * (1 - p) * x[i] * x[j]) for i, j in pairs], *[F.sum(w * (t - p) * c) for c in x],
+            F.sum(-2 * w * F.when(t == 1, F.log(p)).otherwise(F.log(1 - p))), F.sum(w), F.sum(w * t),
         ).first()
-        n = row[-2]
-        if not n:
+        if not row[-2]:
             raise ValueError("no complete rows")
+        info = np.zeros((k, k))
         for (i, j), v in zip(pairs, row):
             info[i, j] = info[j, i] = v
-        gradient, dev, mean = np.array(row[len(pairs) : len(pairs) + k], dtype=float), row[-3], row[-1]
+        return info, np.array(row[len(pairs) : len(pairs) + k], dtype=float), row[-3], row[-2], row[-1] / row[-2]
+
+    return _solve(step, list(names), rounds, lower, upper)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """A table compressed to its distinct rows and their counts, small enough for the driver."""
+
+    columns: dict[str, np.ndarray]
+    count: np.ndarray
+
+    def fit(self, y: str, names: list[str], offset: str | None = None, rounds: int = 25) -> Logit:
+        t, w = self.columns[y].astype(float), self.count.astype(float)
+        x = np.column_stack([np.ones(len(w)), *[self.columns[c].astype(float) for c in names]])
+        o = self.columns[offset] if offset else 0.0
+
+        def step(beta: np.ndarray) -> tuple:
+            p = np.clip(1 / (1 + np.exp(-(x @ beta + o))), 1e-12, 1 - 1e-12)
+            dev = -2 * float((w * np.where(t == 1, np.log(p), np.log(1 - p))).sum())
+            return x.T @ (x * (w * p * (1 - p))[:, None]), x.T @ (w * (t - p)), dev, w.sum(), float((w * t).sum() / w.sum())
+
+        return _solve(step, list(names), rounds, None, None)
+
+
+def compress(df: DataFrame, columns: list[str], most: int = 50_000) -> Cells | None:
+    """The distinct rows of coded factors with their counts, or None if there are more than ``most``."""
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).groupBy(*columns).count().limit(most + 1).toPandas()
+    if not 0 < len(rows) <= most:
+        return None
+    return Cells({c: rows[c].to_numpy() for c in columns}, rows["count"].to_numpy())
+
+
+def _solve(step, names: list[str], rounds: int, lower: dict | None, upper: dict | None) -> Logit:
+    """Newton steps within bounds until the deviance stands still."""
+    k = len(names) + 1
+    beta, previous, converged = np.zeros(k), math.inf, False
+    labels = ["(Intercept)", *names]
+    low = np.array([(lower or {}).get(n, -math.inf) for n in labels])
+    high = np.array([(upper or {}).get(n, math.inf) for n in labels])
+    beta = np.minimum(np.maximum(beta, low), high)
+    info, n, null_dev, dev = np.eye(k), 0, 0.0, math.inf
+    for _ in range(rounds):
+        info, gradient, dev, n, mean = step(beta)
         null_dev = -2 * n * sum(m * math.log(m) for m in (mean, 1 - mean) if m > 0)
         if abs(previous - dev) < 1e-9 * (abs(dev) + 1e-9):
             converged = True
             break
         previous = dev
-        fixed = ((beta <= low) & (gradient < 0)) | ((beta >= high) & (gradient > 0))
-        free = ~fixed
+        free = ~(((beta <= low) & (gradient < 0)) | ((beta >= high) & (gradient > 0)))
         move = np.zeros(k)
         move[free] = np.linalg.pinv(info[np.ix_(free, free)]) @ gradient[free]
         beta = np.minimum(np.maximum(beta + np.clip(move, -20, 20), low), high)
-    covariance = np.linalg.pinv(info)
-    return Logit(list(names), dict(zip(names, beta[1:].tolist())), float(beta[0]), covariance, dev, null_dev, n, converged)
+    return Logit(names, dict(zip(names, beta[1:].tolist())), float(beta[0]), np.linalg.pinv(info), dev, null_dev, int(n), converged)
 
 
 def constrained_logit(df: DataFrame, y: str, names: list[str], lower: dict[str, float], upper: dict[str, float]) -> DataFrame:

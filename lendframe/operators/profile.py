@@ -93,6 +93,8 @@ def correlation_pairs(df: DataFrame, columns: list[str], least: float = 0.7) ->
 
 def normality_p(df: DataFrame, columns: list[str], codes: list = ()) -> dict[str, float]:
     """Pearson's chi-squared normality test of complete cases over ceil(2 n^0.4) equally likely classes."""
+    if not columns:
+        return {}
     rows = long_form(df, columns, numeric=True).where(~is_special(F.col("value"), codes))
     moments = {r.rf: r for r in rows.groupBy("rf").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect()}
     edges = {

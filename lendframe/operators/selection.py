@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import chi2_sf
-from lendframe.operators.glm import Logit, fit_logit
+from lendframe.operators.glm import Logit, compress, fit_logit
 from lendframe.operators.woe import lookup, woe_table, woe_table_expected
 
 
@@ -82,9 +82,12 @@ def greedy(
 ) -> tuple[list[str], list[tuple], Logit]:
     """Fit each candidate with what is chosen; ``accept`` gives its rank (smaller is better) or None. Ties go by name."""
     chosen, steps = list(start), []
-    model = fit_logit(df, target, chosen, offset)
+    # coded factors have few distinct rows: then one pass compresses the table and all fits run on that summary
+    cells = compress(df, list(dict.fromkeys([target, *chosen, *candidates, *([offset] if offset else [])])))
+    fit = (lambda names: cells.fit(target, names, offset)) if cells else (lambda names: fit_logit(df, target, names, offset))
+    model = fit(chosen)
     while left := sorted(c for c in candidates if c not in chosen):
-        fits = [(rank, c, fit) for c in left for fit in [fit_logit(df, target, [*chosen, c], offset)] for rank in [accept(fit, c)] if rank is not None]
+        fits = [(rank, c, m) for c in left for m in [fit([*chosen, c])] for rank in [accept(m, c)] if rank is not None]
         if not fits:
             break
         _, name, model = min(fits, key=lambda x: (x[0], x[1]))

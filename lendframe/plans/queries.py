@@ -137,7 +137,7 @@ def uni_sql(c: str, source: str, special: str) -> str:
     q = lambda p: f"quantile_cont({c}::double, {p}) filter (not sc)"
     return f"""select '{c}' as rf, case when sc then 'special cases' else 'complete cases' end as bin_type, count(*) as cnt, round(count(*) / sum(count(*)) over (), 6) as pct,
       count(distinct {c}) as cnt_unique, round(min({c}) filter (not sc), 6)::double as min, {', '.join(f'round({q(p)}, 6) as p{int(p * 100)}' for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))},
-      round(avg({c}) filter (not sc), 6) as avg, round(stddev_samp({c}) filter (not sc) / sqrt(count(*)), 6) as avg_se, round(max({c}) filter (not sc), 6)::double as max,
+      round(avg({c}) filter (not sc), 4) as avg, round(stddev_samp({c}) filter (not sc) / sqrt(count(*)), 6) as avg_se, round(max({c}) filter (not sc), 6)::double as max,
       count(*) filter (not sc and {c} < 0) as neg, count(*) filter (not sc and {c} > 0) as pos,
       case when not sc then count(*) filter ({c} < q.a - 1.5 * (q.b - q.a) or {c} > q.b + 1.5 * (q.b - q.a)) end as cnt_outliers,
       (sum(case when sc then count(*) else 0 end) over () / sum(count(*)) over () > 0.2)::int as sc_ind
@@ -148,7 +148,7 @@ UNI = ["cnt_unique", "min", "p1", "p5", "p25", "p50", "p75", "p95", "p99", "avg"
 
 
 def out_uni(df: DataFrame) -> DataFrame:
-    return df.select("rf", "bin_type", "cnt", r("pct"), "cnt_unique", *[r(c) for c in UNI[1:]], "neg", "pos", "cnt_outliers", "sc_ind")
+    return df.select("rf", "bin_type", "cnt", r("pct"), "cnt_unique", *[r(c, 4 if c == "avg" else 6) for c in UNI[1:]], "neg", "pos", "cnt_outliers", "sc_ind")
 
 
 @query(" union all ".join(f"({uni_sql(c, 'lineitem', 'false')})" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
@@ -568,7 +568,8 @@ def out_steps(df: DataFrame) -> DataFrame:
 
 @query()
 def step_fwd_steps(spark, sf):
-    return out_steps(selection.step_fwd(*[coded(spark, sf)[0], "y_b", coded(spark, sf)[1]]).steps)
+    rows, names = coded(spark, sf)
+    return out_steps(selection.step_fwd(rows, "y_b", names).steps)
 
 
 @query()
