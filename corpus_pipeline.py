@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id."""
-    return simhash.near_duplicates(docs.select(*COLUMNS)).where("component_id = doc_id").select(*COLUMNS)
+    """One document of each group of near copies stays: that of the smallest id, or all if none of the group has an id."""
+    return simhash.near_duplicates(docs.select(*COLUMNS)).where("component_id <=> doc_id").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
