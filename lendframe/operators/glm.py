@@ -108,7 +108,7 @@ class Cells:
         def step(beta: np.ndarray) -> tuple:
             p = np.clip(1 / (1 + np.exp(-(x @ beta + o))), 1e-12, 1 - 1e-12)
             dev = -2 * float((w * np.where(t == 1, np.log(p), np.log(1 - p))).sum())
-            return x.T @ (x * (w * p * (1 - p))[:, None]), x.T @ (w * (t - p)), dev, w.sum(), float((w * t).sum() / w.sum())
+            return x.T @ (x * (w * p * (1 - p))[:, None]), x.T @ (w * (t - p)), dev, float(w.sum()), float((w * t).sum() / w.sum())
 
         return _solve(step, list(names), rounds, None, None)
 
@@ -132,7 +132,7 @@ def _solve(step, names: list[str], rounds: int, lower: dict | None, upper: dict
     info, n, null_dev, dev = np.eye(k), 0, 0.0, math.inf
     for _ in range(rounds):
         info, gradient, dev, n, mean = step(beta)
-        null_dev = -2 * n * sum(m * math.log(m) for m in (mean, 1 - mean) if m > 0)
+        null_dev = -2.0 * n * sum(m * math.log(m) for m in (mean, 1 - mean) if m > 0)
         if abs(previous - dev) < 1e-9 * (abs(dev) + 1e-9):
             converged = True
             break
@@ -141,7 +141,7 @@ def _solve(step, names: list[str], rounds: int, lower: dict | None, upper: dict
         move = np.zeros(k)
         move[free] = np.linalg.pinv(info[np.ix_(free, free)]) @ gradient[free]
         beta = np.minimum(np.maximum(beta + np.clip(move, -20, 20), low), high)
-    return Logit(names, dict(zip(names, beta[1:].tolist())), float(beta[0]), np.linalg.pinv(info), dev, null_dev, int(n), converged)
+    return Logit(names, dict(zip(names, beta[1:].tolist())), float(beta[0]), np.linalg.pinv(info), float(dev), float(null_dev), int(n), converged)
 
 
 def constrained_logit(df: DataFrame, y: str, names: list[str], lower: dict[str, float], upper: dict[str, float]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Discrimination and classification metrics over (predictions, observed) columns.
 
-Everything is pre-aggregated to distinct scores with a partial sum before any window, so that what one task orders is the
-number of distinct scores; ``digits`` rounds scores first where that is too many.
+Scores are pre-aggregated to distinct values by a partial sum. Running totals over them are taken within slices of the score
+range, with the totals of the slices before added by a small broadcast table, so that no task orders all distinct scores.
 """
 
 from __future__ import annotations
@@ -23,15 +23,35 @@ def by_score(df: DataFrame, score: str, y: str, *keys: str, digits: int | None =
     )
 
 
+SLICES = 64
+
+
+def running(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows: (keys, s, g, b). Adds goods and bads below each score (gb, bb) and in all (tg, tb) of its keys."""
+    points = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    edges = sorted(set(rows.agg(F.percentile_approx("s", points, F.lit(1000))).first()[0] or []))
+    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.col("s") > e)) if edges else F.lit(0)
+    rows = rows.withColumn("slice", part)
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    sums = rows.groupBy(*keys, "slice").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    sums = sums.select(
+        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("slice").alias("at"),
+        F.coalesce(F.sum("g").over(before), F.lit(0)).alias("g0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"),
+        F.sum("g").over(whole).alias("tg"), F.sum("b").over(whole).alias("tb"),
+    )
+    # keys are models and folds: at most 64 rows for each
+    joined = rows.join(F.broadcast(sums), [F.col("slice") == F.col("at"), *[F.col(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]])
+    below = Window.partitionBy(*keys, "slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select(
+        *keys, "s", "g", "b", (F.col("g0") + F.coalesce(F.sum("g").over(below), F.lit(0))).alias("gb"),
+        (F.col("b0") + F.coalesce(F.sum("b").over(below), F.lit(0))).alias("bb"), "tg", "tb",
+    )
+
+
 def auc(df: DataFrame, score: str, y: str, *keys: str, digits: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties one half; NULL with one class. Also KS = max(TPR - FPR) and Gini."""
-    rows = by_score(df, score, y, *keys, digits=digits)
-    below = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    rows = rows.withColumns({
-        "gb": F.coalesce(F.sum("g").over(below), F.lit(0)), "bb": F.coalesce(F.sum("b").over(below), F.lit(0)),
-        "tg": F.sum("g").over(whole), "tb": F.sum("b").over(whole),
-    })
+    rows = running(by_score(df, score, y, *keys, digits=digits), *keys)
     gap = F.try_divide(F.col("tb") - F.col("bb"), F.col("tb")) - F.try_divide(F.col("tg") - F.col("gb"), F.col("tg"))
     area = F.try_divide(F.sum(F.col("b") * (F.col("gb") + F.col("g") / 2)), F.max("tb") * F.max("tg"))
     return rows.groupBy(*keys).agg(area.alias("auc"), F.greatest(F.max(gap), F.lit(0.0)).alias("ks")).withColumn("gini", 2 * F.col("auc") - 1)
@@ -68,11 +88,8 @@ def confusion(df: DataFrame, prob: str, y: str, cutoff: float) -> DataFrame:
 
 
 def roc_points(df: DataFrame, score: str, y: str) -> DataFrame:
-    rows = by_score(df, score, y)
-    down = Window.orderBy(F.desc("s"))
-    whole = Window.partitionBy()
-    return rows.select(
-        F.col("s").alias("threshold"), (F.sum("b").over(down) / F.sum("b").over(whole)).alias("tpr"), (F.sum("g").over(down) / F.sum("g").over(whole)).alias("fpr")
+    return running(by_score(df, score, y)).select(
+        F.col("s").alias("threshold"), ((F.col("tb") - F.col("bb")) / F.col("tb")).alias("tpr"), ((F.col("tg") - F.col("gb")) / F.col("tg")).alias("fpr")
     )
 
 
@@ -98,13 +115,8 @@ def reliability(df: DataFrame, prob: str, y: str, bins: int = 10) -> DataFrame:
 
 def _placements(df: DataFrame, score: str, y: str, name: str) -> DataFrame:
     """(score value, y) to the share of the other class that it beats, ties one half: from distinct scores."""
-    rows = by_score(df, score, y)
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    return rows.select(
-        "s",
-        ((F.coalesce(F.sum("g").over(below), F.lit(0)) + F.col("g") / 2) / F.sum("g").over(whole)).alias(f"{name}_1"),
-        (1 - (F.coalesce(F.sum("b").over(below), F.lit(0)) + F.col("b") / 2) / F.sum("b").over(whole)).alias(f"{name}_0"),
+    return running(by_score(df, score, y)).select(
+        "s", ((F.col("gb") + F.col("g") / 2) / F.col("tg")).alias(f"{name}_1"), (1 - (F.col("bb") + F.col("b") / 2) / F.col("tb")).alias(f"{name}_0")
     )
 
 

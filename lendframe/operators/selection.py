@@ -52,10 +52,12 @@ def step_miv(df: DataFrame, target: str, candidates: list[str], miv_threshold: f
     The current model is fitted once a step, and one grouped pass scores all candidates. Ties go by name.
     """
     base = _with_woe(df, target, candidates)
+    cells = compress(base.where(F.col(target).isNotNull()), [target, *[f"{c}_woe" for c in candidates]])
+    fit = (lambda names: cells.fit(target, names)) if cells else (lambda names: fit_logit(base, target, names))
     chosen: list[str] = []
     steps = []
     while True:
-        model = fit_logit(base, target, [f"{c}_woe" for c in chosen])
+        model = fit([f"{c}_woe" for c in chosen])
         left = [c for c in candidates if c not in chosen]
         if not left:
             break
