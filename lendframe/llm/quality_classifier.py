@@ -52,20 +52,23 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
     return keys, [out[k] / total for k in keys]
 
 
-def train(rows: list[tuple[list[int], list[float]]], target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by full-batch adaptive steps; deterministic."""
-    at = np.repeat(np.arange(len(rows)), [len(k) for k, _ in rows])
-    slot = np.concatenate([np.asarray(k, dtype=np.int64) for k, _ in rows])
-    value = np.concatenate([np.asarray(v) for _, v in rows]) * SCALE
+def train(lengths: np.ndarray, slot: np.ndarray, share: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by full-batch adaptive steps; deterministic.
+
+    lengths: features of each row; slot and share: those of all rows, one after another.
+    """
+    rows = len(lengths)
+    at = np.repeat(np.arange(rows, dtype=np.int32), lengths)
     used, column = np.unique(slot, return_inverse=True)
+    column, value = column.astype(np.int32), share * np.float32(SCALE)
     weights, bias = np.zeros(len(used)), 0.0
     first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     # both classes weigh the same, so that a rare class isn't ignored
-    share = min(max(target.mean(), 0.01), 0.99)
-    balance = target * (0.5 / share) + (1 - target) * (0.5 / (1 - share))
+    part = min(max(target.mean(), 0.01), 0.99)
+    balance = target * (0.5 / part) + (1 - target) * (0.5 / (1 - part))
     for step in range(1, STEPS + 1):
-        score = np.bincount(at, weights[column] * value, len(rows)) + bias
-        error = (1 / (1 + np.exp(-score)) - target) * balance / len(rows)
+        score = np.bincount(at, weights[column] * value, rows) + bias
+        error = (1 / (1 + np.exp(-score)) - target) * balance / rows
         gradient = np.append(np.bincount(column, error[at] * value, len(used)) + PENALTY * weights, error.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -105,8 +108,8 @@ def labels(text) -> list:
     return [*rules[1:4], *rules[5:]]
 
 
-def labelled(docs: DataFrame, text_col: str, sample: int) -> tuple[list, np.ndarray]:
-    """Features and posterior of a bounded sample; the posterior comes from the votes on all documents."""
+def labelled(docs: DataFrame, text_col: str, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features (see ``train``) and posteriors of a bounded sample; the posteriors come from the votes on all documents."""
     own = label_model.pattern(labels(F.col(text_col)))
     voted = docs.withColumn("__votes", own)
     drawn = F.pmod(F.xxhash64(text_col), F.lit(1 << 30))
@@ -116,7 +119,7 @@ def labelled(docs: DataFrame, text_col: str, sample: int) -> tuple[list, np.ndar
     posterior = label_model.fit(counts, rules)
     total = sum(counts.values())
     if not total:
-        return [], np.zeros(0)
+        return (np.zeros(0, dtype=np.int32),) * 2 + (np.zeros(0, dtype=np.float32), np.zeros(0))
     # rows of equal text have equal draws, and a text may make up a third of all rows: one row stands for a text
     distinct = patterns.where(F.col("__draw") < int((1 << 30) * min(1.0, sample / total))).count()
     bound = int((1 << 30) * min(1.0, sample / total) * min(1.0, sample / max(distinct, 1)))
@@ -131,9 +134,12 @@ def labelled(docs: DataFrame, text_col: str, sample: int) -> tuple[list, np.ndar
     rows = (
         picked.select(F.xxhash64(text_col).alias("hash"), F.col("__votes").alias("votes"), F.col(text_col).alias("text"))
         .mapInPandas(of, "hash long, votes int, slots array<int>, shares array<float>")
-        .toPandas().sort_values("hash")
+        .where(F.size("slots") > 0).orderBy("hash").toArrow()
     )
-    return list(zip(rows["slots"], rows["shares"])), rows["votes"].map(posterior).to_numpy(dtype=float)
+    lists = rows.column("slots").combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    slot, share = lists.flatten().to_numpy().copy(), rows.column("shares").combine_chunks().flatten().to_numpy().copy()
+    return lengths, slot, share, np.array([posterior[v] for v in rows.column("votes").to_pylist()], dtype=float)
 
 
 def scorer(spark: SparkSession, weights: np.ndarray, bias: float):
@@ -159,8 +165,8 @@ def classify(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, leas
     """
     spark = docs.sparkSession
     ship(spark)
-    rows, target = labelled(docs, text_col, sample)
-    full = [(r, t) for r, t in zip(rows, target) if len(r[0])]
-    weights, bias = train([r for r, _ in full], np.array([t for _, t in full])) if full else (np.zeros(SLOTS), 0.0)
+    made = labelled(docs, text_col, sample)
+    weights, bias = train(*made) if len(made[0]) else (np.zeros(SLOTS), 0.0)
+    del made
     scored = docs.withColumn("__quality", scorer(spark, weights, bias)(F.col(text_col)))
     return merged(scored, {"quality": F.col("__quality"), "kept": F.col("__quality") >= least}).drop("__quality")
