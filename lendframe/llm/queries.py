@@ -105,6 +105,28 @@ with split as (
 select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op7_embedding_dedup": """
+with recursive vec as (
+  select vec_id, embedding::double[] as v from embeddings
+), usable as (
+  select vec_id, v from vec
+  where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0
+), scaled as (
+  select vec_id, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) as v from usable
+), link as (
+  select a.vec_id as a, b.vec_id as b from scaled a join scaled b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_inner_product(a.v, b.v) >= 0.95 * sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))
+), reach as (
+  select a as node, a as root from link
+  union
+  select l.b, r.root from reach r join link l on l.a = r.node where r.root < l.b
+), named as (
+  select node, min(root) as root from reach group by node
+)
+select v.vec_id, (select count(*) from link l where l.a = v.vec_id) as n_links,
+       coalesce(n.root, v.vec_id) as component_id, v.vec_id = coalesce(n.root, v.vec_id) as kept
+from vec v left join named n on n.node = v.vec_id
 """,
     "op8_source_mixing": """
 with doc as (

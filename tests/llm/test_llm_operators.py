@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lendframe.llm import (
-    byte_bpe, components, embedding_dedup, label_model, license_scan, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_count,
+    byte_bpe, components, embedding_dedup, label_model, license_scan, line_dedup, mixing, quality_classifier, quality_rules, queries, secret_scan, simhash, token_count,
 )
 
 rng = random.Random(7)
@@ -294,6 +295,23 @@ def test_embedding_dedup(spark):
     assert all(got[i] == (0, i, True) for i in range(5000, 5005)) and got[None][1] == root[1]
 
 
+def test_embedding_sql(spark):
+    own = np.random.default_rng(9)
+    base = own.standard_normal((40, 8))
+    near = [v + 0.1 * own.standard_normal(8) for v in base for _ in range(3)]
+    chain = [np.array([np.cos(0.3 * k), np.sin(0.3 * k)] + [0.0] * 6) for k in range(6)]
+    vectors = [np.float32(v).tolist() for v in [*base, *near, *chain, base[0], 3 * base[1]]]
+    vectors += [None, [], [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7]
+    data = [(len(vectors) - i, v) for i, v in enumerate(vectors)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
+    with duckdb.connect() as db:
+        db.execute("create table embeddings (vec_id bigint, embedding float[])")
+        db.executemany("insert into embeddings values (?, ?)", [list(row) for row in data])
+        want = db.execute(queries.ORACLE_SQL["op7_embedding_dedup"]).fetchall()
+    assert sum(row[1] for row in want) > 200
+    assert sorted(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect())) == sorted(want)
+
+
 def test_mixing(spark, docs):
     sized = docs.withColumn("n", mixing.n_words(F.col("text")))
     got = mixing.mix(sized, "n").collect()
