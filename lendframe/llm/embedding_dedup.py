@@ -1,33 +1,41 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by median trees of random projections.
 
-Each pass hashes every vector to the signs of random projections, concatenated to one key, and orders the vectors
-by it. Neighbours in that order are compared in bounded windows: the order is cut into blocks of ``BLOCK`` rows,
-and a block is compared with itself and the first ``OVERLAP`` rows of the next. Verified pairs of all passes are
-united into components. The number of passes follows from the number of vectors, so that a pair at the threshold is
-missed by all of them with a chance of at most ``MISS``.
+Each pass cuts the vectors by random planes, every part at its own median, into leaves of at most ``BLOCK`` rows,
+however the vectors crowd together; all pairs of a leaf are compared. The planes of a pass that part cells of
+``CELL`` rows are cut at the medians of a sample, those inside a cell at the exact medians.
 
-Equal vectors are one entry however many rows hold them. As windows are bounded, a dense group yields only its
-components there; the links inside each component are then counted exactly, by pairs of bounded chunks.
+How many passes a vector needs is measured: in each pass it gets a probe, a made partner at the threshold that is as
+far from the mean direction of the leaf as the vector itself, and it leaves once ``NEED`` of its probes fell into its
+leaf. If a pair stays together in a pass as often as the probes do, it is missed with a chance of at most
+2 * 2 ** -NEED, 0.2 %. Where the passes still expected would compare more pairs than there are, all pairs of the
+vectors left are compared, by pairs of bounded chunks. Verified pairs are united into components.
+
+Equal vectors are one entry however many rows hold them. The links inside each component are counted exactly, by
+pairs of bounded chunks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import merged, runs_of, ship, shuffle_partitions, stored
+from lendframe.llm.common import merged, runs_of, ship, stored
 from lendframe.llm.components import components, local_roots
 
-BITS = 48
-BLOCK = 256
-OVERLAP = 32
+BLOCK = 1024
+CELL = 8192
+SAMPLE = 64
+PLANES = 48
 CHUNK = 512
-MISS = 0.002
+WIDE = 2048
+NEED = 10
+ROUND = 12
 SEED = 20_240
 
 
@@ -37,36 +45,104 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def passes_for(count: int, threshold: float, miss: float = MISS) -> int:
-    """So many passes that a pair at the threshold falls apart in all of them with chance ``miss`` at most.
-
-    A pair stays within one block while its keys agree in the log2(count / BLOCK) leading bits that tell blocks
-    apart; one sign agrees with chance 1 - angle / pi.
-    """
-    agree = 1 - math.acos(threshold) / math.pi
-    together = agree ** (max(0.0, math.log2(max(count, 1) / BLOCK)) + 1)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - together)))
-
-
 def _unit(frame: pd.DataFrame) -> np.ndarray:
     vectors = np.array(frame["vector"].tolist(), dtype=np.float64)
     vectors /= np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def _keys(frames: Iterator[pd.DataFrame], passes: int) -> Iterator[pd.DataFrame]:
-    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+def _planes(dim: int, number: int) -> np.ndarray:
+    return np.random.default_rng([SEED, number]).standard_normal((dim, PLANES))
+
+
+def _median_cuts(shades: np.ndarray) -> np.ndarray:
+    """The cuts of a tree of one level a column, in heap order: node k has the children 2k + 1 and 2k + 2."""
+    depth = shades.shape[1]
+    cuts = np.zeros((1 << depth) - 1)
+    at = np.zeros(len(shades), dtype=np.int64)
+    for level in range(depth):
+        for k in range((1 << level) - 1, (2 << level) - 1):
+            part = shades[at == k, level]
+            cuts[k] = np.median(part) if len(part) else 0.0
+        at = 2 * at + 1 + (shades[:, level] > cuts[at])
+    return cuts
+
+
+def _descend(shades: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The cell of each row, numbered from 0."""
+    depth = (len(cuts) + 1).bit_length() - 1
+    at = np.zeros(len(shades), dtype=np.int64)
+    for level in range(depth):
+        at = 2 * at + 1 + (shades[:, level] > cuts[at])
+    return at - len(cuts)
+
+
+def _place(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, np.ndarray]], numbers: list[int]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for dim, part in frame.groupby(frame["vector"].map(len)):
-            unit = _unit(part)
-            for number in range(passes):
-                planes = np.random.default_rng([SEED, number]).standard_normal((int(dim), BITS))
-                key = (unit @ planes > 0) @ weights
-                yield pd.DataFrame({"dim": int(dim), "number": number, "key": key, "node": part["node"].to_numpy()})
+            cells = np.zeros((len(part), len(numbers)), dtype=np.int64)
+            if int(dim) in trees:
+                unit = _unit(part)
+                for i, number in enumerate(numbers):
+                    cells[:, i] = _descend(unit @ _planes(int(dim), number), trees[int(dim)][number])
+            yield part.assign(dim=int(dim), cells=list(cells))[["node", "vector", "dim", "cells"]]
 
 
-def _window_links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    for group in runs_of(frames, ["dim", "number", "block"]):
+def _probes(unit: np.ndarray, threshold: float, own: np.random.Generator) -> np.ndarray:
+    """A partner of each row at the threshold, in a random direction across the mean direction of the rows."""
+    mean = unit.mean(axis=0)
+    mean /= max(np.sqrt(mean @ mean), 1e-300)
+    along = (unit @ mean)[:, None] * mean
+    rest = unit - along
+    size = np.maximum(np.sqrt((rest * rest).sum(axis=1, keepdims=True)), 1e-12)
+    rest = rest / size
+    aside = own.standard_normal(unit.shape)
+    aside -= (aside @ mean)[:, None] * mean
+    aside -= (aside * rest).sum(axis=1, keepdims=True) * rest
+    aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-12)
+    turn = 2 * np.arcsin(np.minimum(1.0, math.sqrt(max(0.0, (1 - threshold) / 2)) / size))
+    return along + size * (np.cos(turn) * rest + np.sin(turn) * aside)
+
+
+def _leaf_links(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, np.ndarray]], threshold: float, block: int) -> Iterator[pd.DataFrame]:
+    """(a, b, hit): b is the row that a is linked to in its leaf, or -1; hit: the probe of a fell into the leaf."""
+    for group in runs_of(frames, ["dim", "number", "cell"]):
+        dim, number, cell = (int(group[c].iat[0]) for c in ("dim", "number", "cell"))
+        own = np.random.default_rng([SEED, number, cell])
+        group = group.iloc[own.permutation(len(group))]
+        unit, node = _unit(group), group["node"].to_numpy()
+        planes = _planes(dim, number)
+        cuts = trees[dim][number] if dim in trees else np.zeros(0)
+        depth = (len(cuts) + 1).bit_length() - 1
+        shades = unit @ planes
+        # (rows, level, the cuts on the way within the cell: level, side, value)
+        open_parts = [(np.arange(len(node)), depth, [])]
+        while open_parts:
+            rows, level, way = open_parts.pop()
+            if len(rows) > block:
+                values = shades[rows, level % PLANES]
+                order = np.argsort(values, kind="stable")
+                half = len(rows) // 2
+                cut = (values[order[half - 1]] + values[order[half]]) / 2
+                open_parts.append((rows[order[:half]], level + 1, [*way, (level % PLANES, False, cut)]))
+                open_parts.append((rows[order[half:]], level + 1, [*way, (level % PLANES, True, cut)]))
+                continue
+            hit = np.ones(len(rows), dtype=bool)
+            if way or depth:
+                seen = _probes(unit[rows], threshold, own) @ planes
+                hit &= _descend(seen, cuts) == cell
+                for column, side, cut in way:
+                    hit &= (seen[:, column] > cut) == side
+            linked = unit[rows] @ unit[rows].T >= threshold
+            np.fill_diagonal(linked, False)
+            label = local_roots(linked)
+            b = np.where((label >= 0) & (label != np.arange(len(rows))), node[rows][label], -1)
+            said = hit | (b >= 0)
+            yield pd.DataFrame({"a": node[rows][said], "b": b[said], "hit": hit[said].astype(np.int32)})
+
+
+def _pair_links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    for group in runs_of(frames, ["dim", "i", "j"]):
         unit, node = _unit(group), group["node"].to_numpy()
         linked = unit @ unit.T >= threshold
         np.fill_diagonal(linked, False)
@@ -89,37 +165,69 @@ def _count_links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[p
             yield pd.DataFrame({"node": np.concatenate((node[one], node[two])), "links": np.concatenate((linked @ rows[two], rows[one] @ linked))})
 
 
-def window_edges(classes: DataFrame, passes: int, threshold: float) -> DataFrame:
-    """classes: (node, vector). Edges (a, b) that connect what the windows of all passes link."""
-    order = ["dim", "number", "key", "node"]
-    placed = stored(
-        classes.select("node", "vector").mapInPandas(lambda frames: _keys(frames, passes), "dim int, number int, key long, node long")
-        .repartitionByRange(max(8, shuffle_partitions(classes.sparkSession)), *order).sortWithinPartitions(*order)
-        .select("dim", "number", "node", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")),
-        "vector-order",
-    )
-    # one count a partition: the offsets that turn places into ranks
-    offset, offsets = 0, {}
-    for part, rows in sorted(placed.groupBy("part").count().collect()):
-        offsets[part] = offset
-        offset += rows
-    if not offsets:
-        return placed.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    starts = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])
-    rank = F.col("at") + starts[F.col("part")].cast("long")
-    block = F.floor(rank / F.lit(BLOCK))
-    dealt = placed.select(
-        "dim", "number", "node",
-        F.explode(F.when(rank % BLOCK < OVERLAP, F.array(block, block - 1)).otherwise(F.array(block))).alias("block"),
-    ).join(classes.select("node", "vector"), "node")
-    keys = ["block", "dim", "number"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(
-        lambda frames: _window_links(frames, threshold), "a long, b long"
+def _trees(rows: DataFrame, sizes: dict[int, int], numbers: list[int], cell: int) -> dict[int, dict[int, np.ndarray]]:
+    """Per length with more than ``cell`` vectors and per pass, the cuts that part its cells; from a bounded sample."""
+    out = {}
+    for dim, count in sizes.items():
+        if count <= cell:
+            continue
+        # 2,097,152 numbers a sample at most, and 16 rows a cell at least
+        depth = min(math.ceil(math.log2(count / cell)), max(1, int(math.log2(max(2, (1 << 21) / (16 * dim))))))
+        wanted = min(SAMPLE << depth, max(16 << depth, (1 << 21) // dim))
+        step = max(1, count // wanted)
+        drawn = rows.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(step)) == 0)).select("vector").toPandas()
+        if not len(drawn):
+            continue
+        unit = _unit(drawn)
+        out[dim] = {number: _median_cuts((unit @ _planes(dim, number))[:, :depth]) for number in numbers}
+    return out
+
+
+def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """classes: (node, vector). Edges (a, b) that connect what the leaves of all passes, or the pairs of the rest, link."""
+    rows, found, passes, rest = classes.select("node", "vector"), [], 0, NEED
+    while True:
+        # one count a length
+        sizes = {int(n): int(c) for n, c in rows.groupBy(F.size("vector")).count().collect()}
+        if max(sizes.values(), default=0) <= rest * block:
+            break
+        numbers = list(range(passes, passes + ROUND))
+        trees = _trees(rows, sizes, numbers, cell)
+        keys = ["dim", "number", "cell"]
+        links = stored(
+            rows.mapInPandas(lambda frames, t=trees, n=numbers: _place(frames, t, n), "node long, vector array<double>, dim int, cells array<long>")
+            .select("node", "vector", "dim", F.posexplode("cells").alias("i", "cell"))
+            .select("node", "vector", "dim", (F.col("i") + passes).alias("number"), "cell")
+            .repartition(*keys).sortWithinPartitions(*keys, "node")
+            .mapInPandas(lambda frames, t=trees: _leaf_links(frames, t, threshold, block), "a long, b long, hit int"),
+            "leaf-links",
+        )
+        found.append(links)
+        passes += ROUND
+        hits = reduce(DataFrame.unionByName, found).where("hit = 1").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("hits"))
+        scored = classes.select("node", "vector").join(hits, "node", "left").withColumn("hits", F.coalesce("hits", F.lit(0))).where(F.col("hits") < NEED)
+        rows = stored(scored, "vectors-left")
+        left, hit = rows.agg(F.count(F.lit(1)), F.sum("hits")).first()
+        if not left:
+            rows = rows.limit(0)
+        # passes still expected, at the rate of hits of those left
+        rest = NEED * passes * max(left, 1) / ((hit or 0) + 1)
+        rows = rows.select("node", "vector")
+    chunks = F.create_map(*[F.lit(x) for n, c in (sizes or {0: 1}).items() for x in (n, max(1, -(-c // (WIDE // 2))))])
+    keys = ["dim", "i", "j"]
+    exact = (
+        rows.withColumn("dim", F.size("vector")).withColumn("chunks", chunks[F.col("dim")])
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .select("node", "vector", "dim", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("dim", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "vector")
+        .repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(lambda frames: _pair_links(frames, threshold), "a long, b long")
     )
+    return reduce(DataFrame.unionByName, [links.where("b >= 0").select("a", "b") for links in found], exact)
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
+    block: int = BLOCK, cell: int = CELL,
 ) -> DataFrame:
     """Link vectors of a cosine of at least ``threshold``, in double precision.
 
@@ -141,8 +249,7 @@ def near_duplicates(
         .select(F.monotonically_increasing_id().alias("node"), "vector", "least", "rows"),
         "vector-classes",
     )
-    passes = passes_for(classes.count(), threshold)
-    roots = components(window_edges(classes, passes, threshold))
+    roots = components(window_edges(classes, threshold, block, cell))
     members = stored(classes.join(roots, "node").select("node", "root", "least", "rows", "vector"), "vector-members")
     sizes = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     chunked = members.join(sizes, "root").withColumn("chunks", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")).withColumn(

@@ -312,6 +312,35 @@ def test_embedding_sql(spark):
     assert sorted(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect())) == sorted(want)
 
 
+def cone_vectors(seed, n, cone, pairs, dim=64, mean=0.8):
+    """A cone of vectors with a common direction, others of none, and partners of cone vectors just over the threshold."""
+    own = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = np.eye(dim)[0]
+    aside = own.standard_normal((n, dim))
+    aside[:cone, 0] = 0
+    x = unit(aside)
+    x[:cone] = np.sqrt(mean) * axis + np.sqrt(1 - mean) * x[:cone]
+    turn = own.standard_normal((pairs, dim))
+    turn[:, 0] = 0
+    rest = unit(x[:pairs] - np.sqrt(mean) * axis)
+    turn = unit(turn - (turn * rest).sum(axis=1, keepdims=True) * rest)
+    c = 1 - (1 - own.uniform(0.951, 0.96, (pairs, 1))) / (1 - mean)
+    return np.concatenate((x, np.sqrt(mean) * axis + np.sqrt(1 - mean) * (c * rest + np.sqrt(1 - c * c) * turn)))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block": 64, "cell": 512}])
+def test_embedding_pairs_in_a_cone(spark, sizes):
+    x = cone_vectors(5, 5000, 4000, 400)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    root = united(len(x), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(linked)))])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table, **sizes).collect()}
+    missed = [i for i in range(len(x)) if got[i] != (int(linked[i].sum()), root[i])]
+    assert linked.sum() >= 800 and not missed, len(missed)
+
+
 def test_mixing(spark, docs):
     sized = docs.withColumn("n", mixing.n_words(F.col("text")))
     got = mixing.mix(sized, "n").collect()
