@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendframe.operators.glm import fit_logit
+from lendframe.operators.glm import Cells, compress, fit_logit
 from lendframe.operators.metrics import auc
 
+#: Counts of cells and draws that one aggregate of the bootstrap brings to the driver at most, more than one draw at a time.
+DRAWN = 200_000
+
 
 def order_key(id_col: str, seed: int) -> Column:
     """A pseudo-random order that other engines can compute: multiplicative hashing of an integer id."""
@@ -34,6 +38,21 @@ def folds(df: DataFrame, id_col: str, y: str | None, k: int = 10, seed: int = 21
 def kfold_validation(df: DataFrame, y: str, predictors: list[str], id_col: str, k: int = 10, seed: int = 1984) -> DataFrame:
     """Refit per fold; AUC, mean squared error and its root on the fold left out."""
     rows = folds(df, id_col, None, k, seed).cache()
+    columns = [y, *predictors]
+    # coded factors have few distinct rows: then all fits run on their counts
+    cells = compress(rows.dropna(subset=columns), ["fold", *columns])
+    if cells is not None:
+        done = []
+        for f in range(k):
+            held = cells.columns["fold"] == f
+            fit = Cells({c: cells.columns[c][~held] for c in columns}, cells.count[~held]).fit(y, list(predictors))
+            p = 1 / (1 + np.exp(-(fit.intercept + sum(fit.coefficients[c] * cells.columns[c][held] for c in predictors))))
+            t, n = cells.columns[y][held], cells.count[held]
+            if n.sum():
+                area, ks, gini = _counted_auc(p, t, n)
+                amse = float((n * (t - p) ** 2).sum() / n.sum())
+                done.append((f, area, ks, gini, amse, amse**0.5))
+        return df.sparkSession.createDataFrame(done, "fold int, auc double, ks double, gini double, amse double, rmse double")
     out = None
     for f in range(k):
         fit = fit_logit(rows.where(F.col("fold") != f), y, predictors)
@@ -44,16 +63,48 @@ def kfold_validation(df: DataFrame, y: str, predictors: list[str], id_col: str,
 
 
 def bootstrap_validation(df: DataFrame, y: str, predictors: list[str], id_col: str, b: int = 20, seed: int = 1122) -> DataFrame:
-    """Refit on Poisson(1) weighted rows, AUC on the rows left out of each draw."""
-    out = None
-    for i in range(b):
-        u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + i)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        weight = sum((u >= c).cast("int") for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518))
-        drawn = df.withColumn("__w", weight)
-        fit = fit_logit(drawn.where("__w > 0").withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__w")))), y, predictors)
-        test = drawn.where("__w = 0").select(F.lit(i).alias("draw"), y, fit.probability().alias("p"))
-        out = test if out is None else out.unionByName(test)
-    return auc(out, "p", y, "draw")
+    """Refit on Poisson(1) weighted rows, AUC on the rows left out of each draw.
+
+    Coded factors have few distinct rows: then aggregates over many draws at once give the counts of these, and the fits
+    run on the counts. Else each draw is fitted on the rows.
+    """
+    columns = [y, *predictors]
+    rows = df.select(id_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna(subset=columns)
+    cells = compress(rows, columns)
+    out = []
+    if cells is None:
+        for i in range(b):
+            drawn = df.withColumn("__w", _poisson(id_col, F.lit(seed + i)))
+            fit = fit_logit(drawn.where("__w > 0"), y, predictors, weight="__w")
+            got = auc(drawn.where("__w = 0").select(y, fit.probability().alias("p")), "p", y).first()
+            out.append((i, got.auc, got.ks, got.gini))
+    else:
+        step = max(1, DRAWN // len(cells.count))
+        for start in range(0, b, step):
+            drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(start), F.lit(min(b, start + step) - 1))))
+            weighted = drawn.withColumn("__w", _poisson(id_col, F.lit(seed) + F.col("draw")))
+            counts = weighted.groupBy("draw", *columns).agg(F.sum("__w").alias("__in"), F.count_if(F.col("__w") == 0).alias("__out")).toArrow().to_pandas()
+            for i, part in sorted(counts.groupby("draw")):
+                fit = Cells({c: part[c].to_numpy() for c in columns}, part["__in"].to_numpy()).fit(y, list(predictors))
+                line = fit.intercept + sum(fit.coefficients[c] * part[c].to_numpy() for c in predictors)
+                out.append((int(i), *_counted_auc(1 / (1 + np.exp(-line)), part[y].to_numpy(), part["__out"].to_numpy())))
+    return df.sparkSession.createDataFrame(out, "draw int, auc double, ks double, gini double")
+
+
+def _poisson(id_col: str, seed: Column) -> Column:
+    u = F.pmod(F.xxhash64(F.col(id_col), seed), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return sum((u >= c).cast("int") for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518))
+
+
+def _counted_auc(p: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[float | None, float, float | None]:
+    """AUC, KS and Gini of counted rows, ties one half; no AUC with one class."""
+    at = np.unique(p, return_inverse=True)[1]
+    good, bad = (np.bincount(at, weights=n * (t == k)) for k in (0, 1))
+    if not good.sum() or not bad.sum():
+        return None, 0.0, None
+    below, upto = np.cumsum(good) - good, np.cumsum(bad) - bad
+    area = float((bad * (below + good / 2)).sum() / (good.sum() * bad.sum()))
+    return area, float(max(((bad.sum() - upto) / bad.sum() - (good.sum() - below) / good.sum()).max(), 0.0)), 2 * area - 1
 
 
 def heom_neighbours(df: DataFrame, id_col: str, numeric: list[str], categorical: list[str], k: int = 5, blocks: int = 16) -> DataFrame:

@@ -375,7 +375,9 @@ def pp_binomial_jeffreys(spark, sf):
 @query()
 def power_of_tests(spark, sf):
     scale = scorecard.rating_scale(graded(spark, sf), "grade", "y_a", "pd").withColumn("pdc", F.col("dr") - 0.01)
-    return validation.power(scale).select("rating", "test", r("power"))
+    whole = [(None, "hosmer_lemeshow", validation.power_hl(scale))]
+    tests = validation.power(scale).unionByName(spark.createDataFrame(whole, "rating string, test string, power double"))
+    return tests.select("rating", "test", r("power"))
 
 
 @query(WITH + f""", d as (select id % 12 as period, avg(y_b) - avg(pd) as d from portfolio group by 1), t as (select count(*) as n, sum(d) as s, var_samp(d) as se from d), z as (select *, s / sqrt(n * se) as z from t)
@@ -493,7 +495,7 @@ def evrs_spread(spark, sf):
 @query()
 def evrs_returns(spark, sf):
     rows = portfolio(spark, sf).withColumn("pd_bm", F.lit(0.3))
-    return validation.evrs(rows, "y_b", "pd", "pd_bm", sims=10).select("sim", "model", r("portfolio_return"))
+    return validation.evrs(rows, "y_b", "pd", "pd_bm", sims=500).select("sim", "model", r("portfolio_return"))
 
 
 ORDER_KEY = "((id + 2191) * 2654435761 % 4294967296)"
@@ -619,7 +621,7 @@ def u_shape_basis(spark, sf):
 
 @query()
 def u_shape_test(spark, sf):
-    return glm.u_shape(portfolio(spark, sf).cache(), "o_totalprice", "y_a", knots=3).select("knot", r("left", 4), r("right", 4), r("deviance", 3), "detected")
+    return glm.u_shape(portfolio(spark, sf).cache(), "o_totalprice", "y_a", knots=20).select("knot", r("left", 4), r("right", 4), r("deviance", 3), "detected")
 
 
 @query(WITH + ", e as (select unnest(list_distinct(quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as cut from portfolio) select round(cut, 4) as cut, count(*) filter (o_totalprice <= cut and y_b = 0) as lg, count(*) filter (o_totalprice <= cut and y_b = 1) as lb, count(*) filter (o_totalprice > cut and y_b = 0) as rg, count(*) filter (o_totalprice > cut and y_b = 1) as rb from portfolio, e group by cut")
@@ -641,7 +643,7 @@ def interaction_leaves(spark, sf):
 
 @query()
 def forest_leaves(spark, sf):
-    return trees.forest_interactions(portfolio(spark, sf), "y_b", ["o_totalprice", "c_acctbal", "price_sc"], trees=2).groupBy("tree_1", "tree_2").agg(F.count(F.lit(1)).alias("n"))
+    return trees.forest_interactions(portfolio(spark, sf), "y_b", ["o_totalprice", "c_acctbal", "price_sc"], trees=10).groupBy(*[f"tree_{i}" for i in range(1, 11)]).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -664,13 +666,13 @@ def rf_clusters(spark, sf):
 @query()
 def kfold_validation(spark, sf):
     rows, names = coded(spark, sf)
-    return resample.kfold_validation(rows, "y_b", names[:2], "id", 3).select("fold", r("auc"), r("amse"), r("rmse"))
+    return resample.kfold_validation(rows, "y_b", names, "id", 10).select("fold", r("auc"), r("amse"), r("rmse"))
 
 
 @query()
 def bootstrap_validation(spark, sf):
     rows, names = coded(spark, sf)
-    return resample.bootstrap_validation(rows, "y_b", names[:2], "id", 3).select("draw", r("auc"))
+    return resample.bootstrap_validation(rows, "y_b", names, "id", 1000).select("draw", r("auc"))
 
 
 @query()
@@ -682,6 +684,6 @@ def scorecard_pipeline(spark, sf):
 @query()
 def cv_benchmark(spark, sf):
     rows = portfolio(spark, sf).select("id", "y_b", "o_totalprice", "c_acctbal", "r_name")
-    models = benchmark.default_models(rows.count())[:2]
-    _, scored = benchmark.run(rows, "y_b", "id", ["o_totalprice", "c_acctbal"], ["r_name"], models, k=3)
+    models = benchmark.default_models(rows.count())
+    _, scored = benchmark.run(rows, "y_b", "id", ["o_totalprice", "c_acctbal"], ["r_name"], models, k=10)
     return metrics.fold_summary(scored, ["auc", "ks", "brier"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lendframe.functions import dist
 from lendframe.operators import binning, cluster, glm, metrics, profile, resample, scorecard, selection, trees, validation, woe
-from lendframe.plans import benchmark
+from lendframe.plans import benchmark, queries
 from lendframe.sources import files, loans
 from lendframe.streaming import monitor
 
@@ -195,3 +195,44 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_registered_over_the_whole_job(spark, monkeypatch):
+    assert queries.QUERIES["bootstrap_validation"](spark, SF).count() == 1000
+    assert "hosmer_lemeshow" in {r.test for r in queries.QUERIES["power_of_tests"](spark, SF).collect()}
+
+    class Seen(Exception):
+        pass
+
+    def asked(module, operator, name):
+        def record(*given, **named):
+            raise Seen(given, named)
+
+        with monkeypatch.context() as patch, pytest.raises(Seen) as seen:
+            patch.setattr(module, operator, record)
+            queries.QUERIES[name](spark, SF)
+        return seen.value.args
+
+    given, named = asked(benchmark, "run", "cv_benchmark")
+    assert [m.name for m in given[5]] == ["woe_logit", "logit", "boosted_trees"] and named == {"k": 10}
+    assert asked(glm, "u_shape", "u_shape_test")[1] == {"knots": 20}
+    assert asked(trees, "forest_interactions", "forest_leaves")[1] == {"trees": 10}
+    assert asked(validation, "evrs", "evrs_returns")[1] == {"sims": 500}
+
+
+def test_registered_folds(spark):
+    assert sorted(r.fold for r in queries.QUERIES["kfold_validation"](spark, SF).collect()) == list(range(10))
+
+
+def test_bootstrap_by_counts_equals_rows(spark, book, monkeypatch):
+    rows = book.where("x is not null and y is not null").withColumn("x", F.round("x")).cache()
+    folded = resample.kfold_validation(rows, "y", ["x"], "id", 2).orderBy("fold").collect()
+    fast = resample.bootstrap_validation(rows, "y", ["x"], "id", 3).orderBy("draw").collect()
+    monkeypatch.setattr(resample, "compress", lambda *_: None)
+    slow = resample.bootstrap_validation(rows, "y", ["x"], "id", 3).orderBy("draw").collect()
+    assert [r.draw for r in fast] == [0, 1, 2] and all(abs(a.auc - b.auc) < 1e-9 and abs(a.ks - b.ks) < 1e-9 for a, b in zip(fast, slow))
+    plain = resample.kfold_validation(rows, "y", ["x"], "id", 2).orderBy("fold").collect()
+    assert len(plain) == 2 and all(abs(a.auc - b.auc) < 1e-9 and abs(a.amse - b.amse) < 1e-9 for a, b in zip(folded, plain))
