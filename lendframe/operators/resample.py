@@ -136,7 +136,10 @@ def smote(df: DataFrame, y: str, minority, osr: float, id_col: str, numeric: lis
     near = heom_neighbours(small, id_col, list(numeric), list(categorical), k)
     copies = max(1, round(osr))
     draw = lambda *more: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), *more), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picks = small.select(F.col(id_col).alias("id")).withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("rank", F.floor(draw(F.col("c")) * k).cast("int") + 1)
+    picks = small.select(F.col(id_col).alias("id")).withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    # a class of k rows or fewer has fewer neighbours
+    held = near.groupBy("id").agg(F.max("rank").alias("__held"))
+    picks = picks.join(held, "id").withColumn("rank", F.floor(draw(F.col("c")) * F.col("__held")).cast("int") + 1).drop("__held")
     made = picks.join(near, ["id", "rank"]).join(small.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"a_{c}") for c in numeric]), "id")
     made = made.join(small.select(F.col(id_col).alias("neighbour"), *[F.col(c).alias(f"b_{c}") for c in [*numeric, *categorical]]), "neighbour")
     new = {}

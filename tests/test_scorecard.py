@@ -236,3 +236,9 @@ def test_bootstrap_by_counts_equals_rows(spark, book, monkeypatch):
     assert [r.draw for r in fast] == [0, 1, 2] and all(abs(a.auc - b.auc) < 1e-9 and abs(a.ks - b.ks) < 1e-9 for a, b in zip(fast, slow))
     plain = resample.kfold_validation(rows, "y", ["x"], "id", 2).orderBy("fold").collect()
     assert len(plain) == 2 and all(abs(a.auc - b.auc) < 1e-9 and abs(a.amse - b.amse) < 1e-9 for a, b in zip(folded, plain))
+
+
+def test_smote_of_a_small_class(spark):
+    rows = spark.createDataFrame([(i, float(i), int(i < 3)) for i in range(30)], "id long, x double, y int")
+    got = resample.smote(rows, "y", 1, 10.0, "id", ["x"])
+    assert got.where("smote = 1").count() == 30
