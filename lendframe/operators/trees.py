@@ -108,7 +108,7 @@ def interaction(df: DataFrame, y: str, factors: list[str], min_pct_obs: float =
     return coded.withColumn(name, F.when(whole, F.concat(F.lit("L"), (F.col("__leaf") + 1).cast("int")))).drop("__f", "__leaf", "rawPrediction", "probability", "prediction")
 
 
-def forest_interactions(df: DataFrame, y: str, factors: list[str], trees: int = 10, per_tree: int | None = None, max_depth: int = 2, seed: int = 991) -> DataFrame:
+def forest_interactions(df: DataFrame, y: str, factors: list[str], trees: int = 10, per_tree: int | None = None, max_depth: int = 2, seed: int = 991, min_pct_obs: float = 0.05) -> DataFrame:
     """Per tree a two-thirds bootstrap and a draw of factors; the leaves as columns tree_1, tree_2, ..."""
     import random
 
@@ -118,7 +118,8 @@ def forest_interactions(df: DataFrame, y: str, factors: list[str], trees: int =
         picked = sorted(random.Random(seed + i).sample(factors, per_tree))
         vector = VectorAssembler(inputCols=picked, outputCol="__f", handleInvalid="keep")
         rows = df.dropna(subset=[y, *picked]).sample(True, 2 / 3, seed + i)
-        tree = DecisionTreeClassifier(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=30, seed=seed)
+        least = max(1, round(min_pct_obs * rows.count()))
+        tree = DecisionTreeClassifier(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=seed)
         model = tree.fit(vector.transform(rows).withColumn("__y", F.col(y).cast("double")))
         out = model.transform(vector.transform(out)).withColumn(f"tree_{i + 1}", F.concat(F.lit("L"), (F.col("__leaf") + 1).cast("int"))).drop("__f", "__leaf", "rawPrediction", "probability", "prediction")
     return out

@@ -242,3 +242,9 @@ def test_smote_of_a_small_class(spark):
     rows = spark.createDataFrame([(i, float(i), int(i < 3)) for i in range(30)], "id long, x double, y int")
     got = resample.smote(rows, "y", 1, 10.0, "id", ["x"])
     assert got.where("smote = 1").count() == 30
+
+
+def test_forest_leaves_hold_their_share(spark):
+    rows = spark.range(4000).selectExpr("id", "cast(id as double) as x", "cast(id < 110 as int) as y")
+    sizes = [r["count"] for r in trees.forest_interactions(rows, "y", ["x"], trees=1).groupBy("tree_1").count().collect()]
+    assert min(sizes) >= 150
