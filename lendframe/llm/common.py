@@ -20,11 +20,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (single-machine tests) a temporary folder is chosen and kept in the
-    session, so that a second call finds the same one.
+    Only a ``local`` master may go without that setting: it gets a temporary folder, kept in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lendframe.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lendframe-")
         spark.conf.set("lendframe.scratch.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -48,12 +49,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: the lineage is cut and survives lost executors."""
+    """``df`` written to the shared folder and read again: the lineage is cut and survives lost executors.
+
+    What a returned DataFrame reads has to stay; ``release`` deletes what nothing reads any more.
+    """
     spark = df.sparkSession
     path = scratch(spark, label)
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the scratch tables behind frames that ``stored`` returned."""
+    for frame in frames:
+        discard(frame.sparkSession, frame._scratch_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -62,6 +74,43 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key is hot if it has more than this share of all rows (so there are at most so many hot keys) and more than the floor.
+HOT_SHARE, HOT_FLOOR = 4096, 256
+
+
+def hot_from(total: int) -> int:
+    return max(HOT_FLOOR, total // HOT_SHARE)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key, where a few keys may hold most of the rows.
+
+    n_rows: the column of ``table`` with the number of rows that a key has; total: their sum, or more. Hot keys, of
+    which there are at most ``HOT_SHARE`` whatever the size (or total / HOT_FLOOR if that is less), are joined by
+    broadcast where the rows are; the others by a shuffle. NULL keys match nothing.
+    """
+    least = hot_from(total)
+    out = [c for c in table.columns if c not in keys]
+    hot = F.broadcast(table.where(F.col(n_rows) > least).select(*keys, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in out]))
+    near = rows.join(hot, keys, "left")
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    one = near.where(F.col("__hot")).select(*kept, *[F.col(f"__hot_{c}").alias(c) for c in out])
+    two = near.where(F.col("__hot").isNull()).select(*kept).join(table.where(F.col(n_rows) <= least), keys)
+    return one.unionByName(two)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,41 +6,45 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import stored
+from lendframe.llm.common import release, spread_join, stored
 
-ROUNDS = 60
 
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """Least neighbour and number of neighbours of each node a."""
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m")).select("at", F.least("at", "m").alias("m"))
-    return both.join(least, F.col("a") == F.col("at")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _neighbours(both).withColumn("m", F.least("a", "m"))
+    return spread_join(both, least, ["a"], "n", 2 * size).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     """edges: b < a in each."""
-    least = edges.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m"))
-    moved = edges.join(least, F.col("a") == F.col("at")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("at").alias("a"), F.col("m").alias("b"))).distinct()
+    least = _neighbours(edges)
+    moved = spread_join(edges, least, ["a"], "n", size).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) of longs. One row (node, root) for each node with a link; root is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each is stored in the shared folder, so that lost executors
-    cost one round at most, and the rounds end when the edge set no longer changes.
+    cost one round at most, and the rounds end when the edge set no longer changes. A node with very many links is
+    no task of its own: see ``spread_join``.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     current = stored(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct(), "links")
     mark = None
-    for _ in range(ROUNDS):
-        current = stored(_small_star(_large_star(current)), "links")
+    while True:
         seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        if seen == mark or not seen[0]:
             break
-        mark = seen
-    else:
-        raise RuntimeError("the components did not settle")
+        # a large star has as many links as what it is made from
+        mark, before = seen, current
+        current = stored(_small_star(_large_star(current, seen[0]), seen[0]), "links")
+        release(before)
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -1,20 +1,20 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 3 bits agree in at least 5 of their 8 byte positions. So at least
-3 agreeing positions lie in one half of the positions, and the pair meets in one of 8 posting lists keyed by three
-positional bytes of a half. In a posting list the shared positional bytes are tallied for each pair, pairs with
-fewer than 5 are left out, and the rest are verified by their differing bits.
-
-Equal fingerprints are one entry of the index, however many documents have them. A posting list longer than
-``BLOCK`` is cut into chunks and every pair of chunks becomes a task of its own, so no task holds more than two
-chunks. A task emits a spanning star of each group that it finds, not the pairs, and the groups are joined by
-distributed connected components.
+Two 64-bit fingerprints that differ in at most 3 bits agree in at least 5 of their 8 byte positions. The index has
+a posting list for the bytes at each of 14 sets of four positions, chosen so that any five positions hold one of the
+sets: every pair meets in a list, of 32 bits each. Inside a list the other positional bytes are tallied for each pair,
+pairs with fewer than 5 shared bytes are left out, and the rest are verified by their differing bits. A list of
+more than ``BLOCK`` entries is parted by one more position first, so that only pairs which reach the count meet.
+
+Equal fingerprints are one entry of the index, however many documents have them. A part that is still longer is cut
+into chunks and every pair of chunks becomes a task of its own, so no task holds more than two chunks. A task emits a
+spanning star of each group that it finds, not the pairs, and the groups are joined by distributed connected
+components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,14 +23,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lendframe.llm.common import merged, runs_of, ship, stored
+from lendframe.llm.common import merged, release, runs_of, shuffle_partitions, ship, spread_join, stored, unused
 from lendframe.llm.components import components, local_roots
 
 SEED = 42
 BLOCK = 2048
 MAX_BITS = 3
-#: The three byte positions that key each family of posting lists.
-TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
+#: Two bits of each half of the positions: the three ways to part four positions into two pairs.
+_PAIRINGS = (((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2)))
+#: The sets of four byte positions that key the posting lists: each half, and a pair of one half with a pair of the
+#: other from the same pairing. Five positions hold four of one half, or three of one and two of the other; three
+#: positions of a half hold one pair of each pairing.
+SETS = [
+    (0, 1, 2, 3), (4, 5, 6, 7),
+    *[(*one, *(p + 4 for p in two)) for pairing in _PAIRINGS for one in pairing for two in pairing],
+]
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 20
 
@@ -98,7 +105,7 @@ def _links(left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
 
 def _stars(groups: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
     nodes, roots, held = [], [], 0
-    for group in runs_of(groups, ["triple", "bytes3", "i", "j"]):
+    for group in runs_of(groups, KEYS):
         fps = group["fp"].to_numpy().view(np.uint64)
         if len(fps) == 2:
             found = np.array([-1, 0]) if _links(fps[:1], fps[1:], max_bits)[0, 0] else None
@@ -129,26 +136,48 @@ def _stars(groups: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFra
         yield pd.DataFrame({"a": np.concatenate(nodes).view(np.int64), "b": np.concatenate(roots).view(np.int64)})
 
 
+#: What tells one group of compared entries from another: the set, its bytes, the parting position, its byte, the chunks.
+KEYS = ["positions", "held", "more", "byte", "i", "j"]
+
+
+def _sized(entries: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of lists of 2 to ``block`` and of longer ones; the latter, of which there are few, with their length n."""
+    lists = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = entries.join(lists, keys)
+    return sized.where(F.col("n") <= block).drop("n"), sized.where(F.col("n") > block)
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """fps: distinct (fp). Edges (a, b) whose components are those of all pairs within ``max_bits`` bits."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the posting lists guarantee pairs of at most 3 differing bits")
-    masks = [sum(0xFF << (8 * p) for p in triple) for triple in TRIPLES]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("triple", "bytes3"))
-    lists = postings.groupBy("triple", "bytes3").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entry = postings.join(lists, ["triple", "bytes3"]).select(
-        "triple", "bytes3", "fp", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("chunks")
-    ).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    dealt = entry.select(
-        "triple", "bytes3", "fp", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    ).select(
-        "triple", "bytes3", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        (F.col("chunk") > F.col("other")).cast("int").alias("side"), "fp",
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = [signed(sum(0xFF << (8 * p) for p in four)) for four in SETS]
+    lists = ["positions", "held"]
+    postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("positions", "held"))
+    short, long = _sized(postings, lists, block)
+    others = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in four]) for four in SETS])
+    parted = (
+        long.drop("n").withColumn("more", F.explode(F.element_at(others, F.col("positions") + 1)))
+        .withColumn("byte", F.expr("cast(shiftrightunsigned(fp, 8 * more) & 255 as int)"))
+    )
+    few, many = _sized(parted, [*lists, "more", "byte"], block)
+    chunks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    cut = (
+        many.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select(
+            *lists, "more", "byte", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+            (F.col("chunk") > F.col("other")).cast("int").alias("side"), "fp",
+        )
+    )
+    whole = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "fp"]
+    dealt = (
+        short.select(*lists, F.lit(-1).alias("more"), F.lit(0).alias("byte"), *whole)
+        .unionByName(few.select(*lists, "more", "byte", *whole)).unionByName(cut)
     )
-    keys = ["triple", "bytes3", "i", "j"]
     return (
-        dealt.repartition(*keys).sortWithinPartitions(*keys, "fp")
+        dealt.repartition(shuffle_partitions(fps.sparkSession), *KEYS).sortWithinPartitions(*KEYS, "fp")
         .mapInPandas(lambda batches: _stars(batches, max_bits), "a long, b long")
     )
 
@@ -157,16 +186,17 @@ def memberships(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row (doc_id, text_hash, fp, component_id) for each row of ``docs``; see ``near_duplicates``."""
     ship(docs.sparkSession)
     printed = stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), fingerprints(F.col(text_col)).alias("fp")),
+        docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), fingerprints(F.col(f"`{text_col}`")).alias("fp")),
         "fingerprints",
     )
-    classes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    classes = stored(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
+    size, entries = classes.agg(F.sum("n"), F.count(F.lit(1))).first()
     roots = components(links(classes.select("fp"), max_bits))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(
-        placed.groupBy("root").agg(F.min("least").alias("component_id")), "root"
-    ).select("fp", "component_id")
-    return printed.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("entries"))
+    named = stored(spread_join(placed, groups, ["root"], "entries", entries).select("fp", "n", "component_id"), "fingerprint-names")
+    release(classes)
+    return spread_join(printed, named, ["fp"], "n", size or 0).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -176,15 +206,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that links reach); input columns of these names are replaced.
 
     Defined results: a text without words, empty or NULL has the fingerprint zero, which links like any other;
-    fewer words than a shingle count as one shingle. Rows that repeat an id or text each get their row. A NULL id
-    gets the component of its fingerprint, NULL if no row in it has an id. An empty table gives an empty result.
+    fewer words than a shingle count as one shingle. Texts of any length are read whole, a megabyte at a time. Rows
+    that repeat an id or text each get their row. A NULL id gets the component of its fingerprint, NULL if no row in
+    it has an id. An empty table gives an empty result.
     """
+    own_hash, own_id, hash_, fp, component = unused(docs, "text_hash", "id", "hash", "fp", "component")
     member = memberships(docs, id_col, text_col, max_bits).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("fp").alias("__fp"), F.col("component_id").alias("__component")
+        F.col("doc_id").alias(own_id), F.col("text_hash").alias(hash_), F.col("fp").alias(fp), F.col("component_id").alias(component)
     ).distinct()
-    joined = docs.withColumn("__text_hash", F.xxhash64(text_col)).join(
-        member, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    )
-    return merged(joined, {"fingerprint": hexadecimal(F.col("__fp")), "component_id": F.col("__component")}).drop(
-        "__text_hash", "__id", "__hash", "__fp", "__component"
+    joined = docs.withColumn(own_hash, F.xxhash64(F.col(f"`{text_col}`"))).join(
+        member, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(own_hash) == F.col(hash_))
     )
+    return merged(joined, {"fingerprint": hexadecimal(F.col(fp)), "component_id": F.col(component)}).drop(own_hash, own_id, hash_, fp, component)
