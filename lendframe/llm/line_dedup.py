@@ -1,10 +1,11 @@
 """Line dedup by levelled sorted runs of line hashes.
 
-The corpus arrives in batches. Every batch is reduced to one row per line key, merge-anti-joined with each
-sorted run that is there, and what no run holds becomes a new run; keys that a run does hold leave only a count
-in a side list. A run is a table bucketed and sorted by the 128-bit key hash, so that the merges need no
-exchange on the side of the runs, which stay disjoint. When a level has ``fanout`` runs they are compacted into
-one run of the next level.
+The corpus arrives in batches. Every batch is reduced to one row per line key and merge-joined with each sorted run
+that is there: a key that a run holds becomes an addition to that run, and what no run holds becomes a new run. So the
+runs stay disjoint, and every key has its number of documents and its largest document in the one run that holds it.
+Runs are bucketed and sorted by the 128-bit key hash, as are the additions (both are parts of one table a batch), so
+that merges need no exchange and no sort on the side of the runs. When a level has ``fanout`` runs, they take in
+their additions and are compacted into one run of the next level.
 
 Only key hashes, document ids and line positions are shuffled by key. Lines that a large share of the documents
 hold are resolved by a broadcast table whose row count is bounded by construction (a key with more than
@@ -14,46 +15,92 @@ hold are resolved by a broadcast table whose row count is bounded by constructio
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import ascii_lower, discard, let, merged, scratch, shuffle_partitions, stored, strip
+from lendframe.llm.common import ascii_lower, discard, let, merged, release, scratch, shuffle_partitions, stored, strip, unused
 
 KEY = ["h1", "h2"]
 HOT_KEYS = 10_000
 HOT_LEAST = 1_000
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Let scans of bucketed tables with one file a bucket report the order of their rows."""
+    before = spark.conf.get(ORDERED, "false")
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before)
+
+
+@dataclass(eq=False)
+class Run:
+    """A part of a table of sorted keys, and the parts of later tables that add to it."""
+
+    name: int
+    table: str
+    additions: list[str] = field(default_factory=list)
 
 
 class LineRuns:
-    """Levelled sorted runs: ``levels[i]`` lists the tables of level i, all with disjoint keys."""
+    """Levelled sorted runs of (h1, h2, n_docs, max_doc) with disjoint keys: ``levels[i]`` lists the runs of level i."""
 
-    def __init__(self, spark, fanout: int):
+    def __init__(self, spark: SparkSession, fanout: int):
         self.spark, self.fanout = spark, fanout
         self.buckets = shuffle_partitions(spark)
-        self.levels: list[list[str]] = [[]]
-        self.counts: list[DataFrame] = []
+        self.levels: list[list[Run]] = [[]]
         self.paths: dict[str, str] = {}
+        self.made = 0
+
+    def runs(self) -> list[Run]:
+        return [run for level in self.levels for run in level]
 
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+    def _part(self, table: str, run: Run) -> DataFrame:
+        return self.spark.table(table).where(F.col("run") == run.name).select(*KEY, "n_docs", "max_doc")
+
+    def contents(self, run: Run) -> DataFrame:
+        """The keys of a run with all that was added to them; merge joins of sorted buckets."""
+        rows = self._part(run.table, run)
+        for table in run.additions:
+            more = self._part(table, run).select(*KEY, F.col("n_docs").alias("more"), F.col("max_doc").alias("top"))
+            rows = rows.join(more.hint("merge"), KEY, "left").select(
+                *KEY, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "top").alias("max_doc")
+            )
+        return rows
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: one row (h1, h2, n_docs, max_doc) for each key of a new batch of documents."""
-        fresh, held = batch, self.tables()
-        for run in held:
-            fresh = fresh.join(run.select(*KEY), KEY, "left_anti")
-        name = self._write(fresh)
-        if held:
-            self.counts.append(stored(batch.join(self.spark.table(name).select(*KEY), KEY, "left_anti"), "line-counts"))
-        self.levels[0].append(name)
+        fresh = self._fresh()
+        owner = F.lit(None).cast("int")
+        rows = batch
+        for run in self.runs():
+            mark = f"in_{run.name}"
+            rows = rows.join(self._part(run.table, run).select(*KEY, F.lit(run.name).alias(mark)).hint("merge"), KEY, "left")
+            owner = F.coalesce(owner, F.col(mark))
+        fresh.table = self._write(rows.withColumn("run", F.coalesce(owner, F.lit(fresh.name))))
+        for run in self.runs():
+            run.additions.append(fresh.table)
+        self.levels[0].append(fresh)
         self._compact()
 
+    def _fresh(self) -> Run:
+        self.made += 1
+        return Run(self.made, "")
+
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         self.paths[name] = scratch(self.spark, "line-run")
         (
-            rows.select(*KEY, "n_docs", "max_doc").write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
+            rows.select(*KEY, "n_docs", "max_doc", "run").write.partitionBy("run").bucketBy(self.buckets, *KEY).sortBy(*KEY)
             .option("path", self.paths[name]).saveAsTable(name)
         )
         return name
@@ -62,32 +109,28 @@ class LineRuns:
         for depth, level in enumerate(self.levels):
             if len(level) < self.fanout:
                 return
-            rows = self.spark.table(level[0])
-            for name in level[1:]:
-                rows = rows.unionByName(self.spark.table(name))
+            into = self._fresh()
+            rows = reduce(DataFrame.unionByName, [self.contents(run) for run in level])
+            into.table = self._write(rows.withColumn("run", F.lit(into.name)))
             if depth + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[depth + 1].append(self._write(rows.repartition(self.buckets, *KEY)))
-            for name in level:
-                self._drop(name)
+            self.levels[depth + 1].append(into)
             level.clear()
+            self._drop_unread()
 
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        discard(self.spark, self.paths.pop(name))
+    def _drop_unread(self) -> None:
+        read = {table for run in self.runs() for table in (run.table, *run.additions)}
+        for name in [n for n in self.paths if n not in read]:
+            self.spark.sql(f"DROP TABLE {name}")
+            discard(self.spark, self.paths.pop(name))
 
-    def totals(self) -> DataFrame:
-        """One row for each key ever added: in how many documents, and the largest document id."""
-        first, *rest = [*self.tables(), *self.counts]
-        for part in rest:
-            first = first.unionByName(part)
-        return first.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def shared(self, min_docs: int) -> DataFrame:
+        """The keys that at least ``min_docs`` documents hold, read run by run."""
+        return reduce(DataFrame.unionByName, [self.contents(run).where(F.col("n_docs") >= min_docs) for run in self.runs()])
 
     def close(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self._drop(name)
-            level.clear()
+        self.levels = [[]]
+        self._drop_unread()
 
 
 def _lines(text: Column) -> Column:
@@ -156,16 +199,19 @@ def line_dedup(
     Returns every column of ``docs`` with the text replaced by the kept lines, and ``n_lines`` (before) and
     ``n_dropped``; input columns of these names are replaced.
 
-    Defined results: a NULL or empty text is one empty line and never loses it. Each input row counts as one
-    document; rows that repeat an id all keep the line if the id is the largest. A NULL id is below every id, and
-    if all rows that hold a line have NULL ids, all keep it. An empty table gives an empty result.
+    Defined results: a NULL or empty text is one empty line and never loses it. Texts of any length are read whole.
+    Rows of equal id are one document; they all keep the line if the id is the largest. Rows with a NULL id are one
+    document too, below every id; if no other row holds a line, all of them keep it. An empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_, text_ = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    base = docs.select(id_.alias("doc_id"), text_.alias("text"))
     found = stored(
         base.select(
             "doc_id",
             F.xxhash64("text").alias("text_hash"),
+            # all rows of an id are in one batch, so that batches can count documents
             F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"),
             F.inline(line_occurrences(F.col("text"), min_chars)),
         ),
@@ -173,13 +219,15 @@ def line_dedup(
         "batch",
     )
     runs = LineRuns(spark, fanout)
-    for batch in range(batches):
-        runs.add(
-            found.where((F.col("batch") == batch) & F.col("first"))
-            .groupBy(*KEY)
-            .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        )
-    shared = stored(runs.totals().where(F.col("n_docs") >= min_docs), "line-shared")
+    with ordered_scans(spark):
+        for batch in range(batches):
+            runs.add(
+                found.where((F.col("batch") == batch) & F.col("first"))
+                # by document first: a line that very many documents hold is summed in parts
+                .groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one"))
+                .groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+            )
+        shared = stored(runs.shared(min_docs), "line-shared")
     runs.close()
 
     hot_from = max(HOT_LEAST, (found.where("first").count()) // HOT_KEYS)
@@ -189,7 +237,8 @@ def line_dedup(
     placed = found.drop("first", "batch").join(hot, KEY, "left")
     loses = lambda top: F.coalesce(F.col("doc_id") < F.col(top), F.col("doc_id").isNull() & F.col(top).isNotNull())
     at = ["doc_id", "text_hash", "pos"]
-    drops = (
+    own_hash, own_id, hash_, dropped = unused(docs, "text_hash", "id", "hash", "dropped")
+    drops = stored(
         placed.where(F.col("hot") & loses("hot_max")).select(*at)
         .unionByName(
             placed.where(F.col("hot").isNull())
@@ -197,21 +246,22 @@ def line_dedup(
             .where(loses("max_doc")).select(*at)
         )
         .groupBy("doc_id", "text_hash")
-        .agg(F.sort_array(F.collect_set("pos")).alias("__dropped"))
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__dropped")
+        .agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+        .select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(hash_), F.col("dropped").alias(dropped)),
+        "line-drops",
     )
-    joined = docs.withColumn("__text_hash", F.xxhash64(text_col)).join(
-        drops, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left"
+    release(found, shared)
+    joined = docs.withColumn(own_hash, F.xxhash64(text_)).join(
+        drops, id_.eqNullSafe(F.col(own_id)) & (F.col(own_hash) == F.col(hash_)), "left"
     )
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = F.when(F.col("__dropped").isNull(), text).otherwise(
-        F.array_join(_without(_lines(F.col(text_col)), F.col("__dropped")), "\n")
+    kept = F.when(F.col(dropped).isNull(), F.coalesce(text_, F.lit(""))).otherwise(
+        F.array_join(_without(_lines(text_), F.col(dropped)), "\n")
     )
     return merged(
         joined,
         {
             text_col: kept,
-            "n_lines": F.size(_lines(F.col(text_col))).cast("long"),
-            "n_dropped": F.coalesce(F.array_size("__dropped"), F.lit(0)).cast("long"),
+            "n_lines": F.size(_lines(text_)).cast("long"),
+            "n_dropped": F.coalesce(F.array_size(dropped), F.lit(0)).cast("long"),
         },
-    ).drop("__text_hash", "__id", "__hash", "__dropped")
+    ).drop(own_hash, own_id, hash_, dropped)
