@@ -57,7 +57,7 @@ def brute_lines(data):
         for line in lines:
             own = held.get(lower(line.strip(" \t\n\x0b\f\r")), [])
             top = max((x for x in own if x is not None), default=None)
-            if len(own) < 3 or i == top:
+            if len(set(own)) < 3 or i == top:
                 kept.append(line)
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
@@ -262,8 +262,23 @@ def test_quality_classifier_holds_out(spark):
     assert quality_classifier.classify(made.limit(0)).count() == 0
 
 
+LICENSED = [
+    ("MIT", "This file is released under the MIT License and ships with it."),
+    ("MIT", "Copyright (c) 2020 Jane Doe. Released under the MIT License. All examples here are free to use."),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    ("BSD-2-Clause", "# SPDX-License-Identifier: BSD-2-Clause"),
+    ("CC0-1.0", "Pictures are under the terms of the CC0 1.0 Universal."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+]
+
+
 def test_license_scan(spark):
-    name, text = license_scan.TEMPLATES[4]
+    name, text = "MIT", license_scan._GRANT
     texts = [None, "", "Licensed under CC BY-NC 4.0.", f"{prose(20)}\n\n{text}\n\nmore", "released under the mit license", text.replace("copy", "duplicate"), "licensed cows under the barn"]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i].license for i in range(7)] == [None, None, "CC-BY-NC-4.0", name, "MIT", name, None]
@@ -273,6 +288,32 @@ def test_license_scan(spark):
         assert 2 * min(low, size) >= 0.8 * (low + size) and 2 * size >= 0.8 * (high + size) and 2 * size < 0.8 * (high + 1 + size)
 
 
+def test_license_planted_and_sql(spark):
+    """Every template and statement planted in prose is found under its name; the SQL agrees; prose has none."""
+    own = random.Random(8)
+    made = license_scan.templates()
+    data, want = [], {}
+    for key, text in [*LICENSED, *license_scan.TEXTS, *((k, t) for k, t, _ in license_scan.wordings()[len(license_scan.TEXTS) :: 7])]:
+        i = len(data)
+        data.append((i, f"{prose(own.randint(0, 60), i)} {text} {prose(own.randint(0, 60), i + 1)}"))
+        want[i] = key
+    data += [(len(data) + i, t) for i, t in enumerate([None, "", prose(400, 3), "Apache License", f"{license_scan._ISC} {license_scan._GRANT} " * 30])]
+    data.append(data[0])
+    got = license_scan.scan(spark.createDataFrame(data, "doc_id long, text string"))
+    rows = got.collect()
+    wrong = [(r.doc_id, r.license, want[r.doc_id]) for r in rows if r.doc_id in want and r.license != want[r.doc_id]]
+    assert not wrong, wrong
+    assert len(rows) == len(data) and sum(r.license is not None for r in rows) == len(want) + 2
+    with duckdb.connect() as db:
+        db.execute("create table documents (doc_id bigint, text varchar)")
+        db.executemany("insert into documents values (?, ?)", [list(row) for row in data[:-1]])
+        theirs = {r[0]: r for r in db.execute(license_scan.oracle_sql()).fetchall()}
+    assert all((r.doc_id, r.license, r.dice, r.licenses, r.n_found) == theirs[r.doc_id] for r in rows)
+    words = license_scan.anchors(made)
+    for t in made:
+        assert sum(not set(g.split(" ")) & set(words) for g in t.grams) < t.need
+
+
 def test_embedding_dedup(spark):
     own = np.random.default_rng(4)
     base = own.standard_normal((60, 16))
