@@ -5,13 +5,14 @@ however the vectors crowd together; all pairs of a leaf are compared. The planes
 ``CELL`` rows are cut at the medians of a sample, those inside a cell at the exact medians.
 
 How many passes a vector needs is measured: in each pass it gets a probe, a made partner at the threshold that is as
-far from the mean direction of the leaf as the vector itself, and it leaves once ``NEED`` of its probes fell into its
+far from the mean direction of its crowd as the vector itself, and it leaves once ``NEED`` of its probes fell into its
 leaf. If a pair stays together in a pass as often as the probes do, it is missed with a chance of at most
 2 * 2 ** -NEED, 0.2 %. Where the passes still expected would compare more pairs than there are, all pairs of the
 vectors left are compared, by pairs of bounded chunks. Verified pairs are united into components.
 
-Equal vectors are one entry however many rows hold them. The links inside each component are counted exactly, by
-pairs of bounded chunks.
+Equal vectors are one entry however many rows hold them, known by a 128-bit hash; entries of many rows are joined to
+them by broadcast. The links inside each component are counted exactly, by pairs of bounded chunks: passes find every
+component, but not every pair of a dense one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import merged, runs_of, ship, stored
+from lendframe.llm.common import merged, release, runs_of, shuffle_partitions, ship, spread_join, stored, unused
 from lendframe.llm.components import components, local_roots
 
 BLOCK = 1024
@@ -88,10 +89,18 @@ def _place(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, np.ndarray
             yield part.assign(dim=int(dim), cells=list(cells))[["node", "vector", "dim", "cells"]]
 
 
-def _probes(unit: np.ndarray, threshold: float, own: np.random.Generator) -> np.ndarray:
-    """A partner of each row at the threshold, in a random direction across the mean direction of the rows."""
+def _crowd(unit: np.ndarray, planes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The mean of the crowd that a leaf was cut from: that of the leaf, but on every plane at the cut.
+
+    A partner is drawn towards the middle of the crowd; the mean of the leaf itself lies off it on the side of all cuts.
+    """
     mean = unit.mean(axis=0)
-    mean /= max(np.sqrt(mean @ mean), 1e-300)
+    return mean + planes @ (np.linalg.pinv(planes.T @ planes) @ (cuts - planes.T @ mean)) if len(cuts) else mean
+
+
+def _probes(unit: np.ndarray, mean: np.ndarray, threshold: float, own: np.random.Generator) -> np.ndarray:
+    """A partner of each row at the threshold, in a random direction across the mean direction of their crowd."""
+    mean = mean / max(np.sqrt(mean @ mean), 1e-300)
     along = (unit @ mean)[:, None] * mean
     rest = unit - along
     size = np.maximum(np.sqrt((rest * rest).sum(axis=1, keepdims=True)), 1e-12)
@@ -115,6 +124,11 @@ def _leaf_links(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, np.nd
         cuts = trees[dim][number] if dim in trees else np.zeros(0)
         depth = (len(cuts) + 1).bit_length() - 1
         shades = unit @ planes
+        # the cuts on the way down to the cell, one a level
+        down, at = [], 0
+        for level in range(depth):
+            down.append(cuts[at])
+            at = 2 * at + 1 + (cell >> (depth - 1 - level) & 1)
         # (rows, level, the cuts on the way within the cell: level, side, value)
         open_parts = [(np.arange(len(node)), depth, [])]
         while open_parts:
@@ -129,7 +143,9 @@ def _leaf_links(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, np.nd
                 continue
             hit = np.ones(len(rows), dtype=bool)
             if way or depth:
-                seen = _probes(unit[rows], threshold, own) @ planes
+                used = [*range(depth), *(column for column, _, _ in way)]
+                crowd = _crowd(unit[rows], planes[:, used], np.array([*down, *(cut for _, _, cut in way)]))
+                seen = _probes(unit[rows], crowd, threshold, own) @ planes
                 hit &= _descend(seen, cuts) == cell
                 for column, side, cut in way:
                     hit &= (seen[:, column] > cut) == side
@@ -186,6 +202,7 @@ def _trees(rows: DataFrame, sizes: dict[int, int], numbers: list[int], cell: int
 def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """classes: (node, vector). Edges (a, b) that connect what the leaves of all passes, or the pairs of the rest, link."""
     rows, found, passes, rest = classes.select("node", "vector"), [], 0, NEED
+    parts = shuffle_partitions(classes.sparkSession)
     while True:
         # one count a length
         sizes = {int(n): int(c) for n, c in rows.groupBy(F.size("vector")).count().collect()}
@@ -198,7 +215,7 @@ def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell:
             rows.mapInPandas(lambda frames, t=trees, n=numbers: _place(frames, t, n), "node long, vector array<double>, dim int, cells array<long>")
             .select("node", "vector", "dim", F.posexplode("cells").alias("i", "cell"))
             .select("node", "vector", "dim", (F.col("i") + passes).alias("number"), "cell")
-            .repartition(*keys).sortWithinPartitions(*keys, "node")
+            .repartition(parts, *keys).sortWithinPartitions(*keys, "node")
             .mapInPandas(lambda frames, t=trees: _leaf_links(frames, t, threshold, block), "a long, b long, hit int"),
             "leaf-links",
         )
@@ -220,7 +237,7 @@ def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell:
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .select("node", "vector", "dim", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .select("dim", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "vector")
-        .repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(lambda frames: _pair_links(frames, threshold), "a long, b long")
+        .repartition(parts, *keys).sortWithinPartitions(*keys, "node").mapInPandas(lambda frames: _pair_links(frames, threshold), "a long, b long")
     )
     return reduce(DataFrame.unionByName, [links.where("b >= 0").select("a", "b") for links in found], exact)
 
@@ -236,23 +253,29 @@ def near_duplicates(
     names are replaced.
 
     Defined results: vectors that are NULL, empty or zero, or hold a NULL or a non-finite component, link with
-    nothing and are kept. Vectors of different lengths never link. Equal vectors link with each other; rows that
-    repeat an id each get their row. A NULL id gets the component of its vector and is kept only if alone. An empty
+    nothing and are kept. Vectors of different lengths never link. Equal vectors link with each other, those just at
+    the threshold too; rows that repeat an id each get their row. A NULL id gets the component of its vector and is kept only if alone. An empty
     table gives an empty result.
     """
-    ship(vectors.sparkSession)
-    good = usable(F.col(vector_col))
-    rows = vectors.withColumn("__vector", F.when(good, F.col(vector_col).cast("array<double>")))
+    spark = vectors.sparkSession
+    ship(spark)
+    parts = shuffle_partitions(spark)
+    given = F.col(f"`{vector_col}`")
+    own, one, two, count, component, links = unused(vectors, "vector", "h1", "h2", "rows", "component", "links")
+    rows = vectors.withColumn(own, F.when(usable(given), given.cast("array<double>")))
+    rows = rows.withColumns({one: F.when(F.col(own).isNotNull(), F.xxhash64(own)), two: F.when(F.col(own).isNotNull(), F.xxhash64(F.lit(1), F.col(own)))})
     classes = stored(
-        rows.where(F.col("__vector").isNotNull()).groupBy(F.col("__vector").alias("vector"))
-        .agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("rows"))
-        .select(F.monotonically_increasing_id().alias("node"), "vector", "least", "rows"),
+        rows.where(F.col(own).isNotNull()).groupBy(one, two)
+        .agg(F.min(F.col(f"`{id_col}`")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first(own).alias("vector"))
+        .select(F.monotonically_increasing_id().alias("node"), F.col(one).alias("h1"), F.col(two).alias("h2"), "vector", "least", "rows"),
         "vector-classes",
     )
-    roots = components(window_edges(classes, threshold, block, cell))
-    members = stored(classes.join(roots, "node").select("node", "root", "least", "rows", "vector"), "vector-members")
+    entries, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    roots = stored(components(window_edges(classes, threshold, block, cell)), "vector-roots")
+    members = classes.select("node", "least", "rows").join(roots, "node")
     sizes = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    chunked = members.join(sizes, "root").withColumn("chunks", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")).withColumn(
+    placed = stored(spread_join(members, sizes, ["root"], "n", entries), "vector-members")
+    chunked = placed.join(classes.select("node", "vector"), "node").withColumn("chunks", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")).withColumn(
         "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     )
     keys = ["root", "i", "j"]
@@ -262,26 +285,26 @@ def near_duplicates(
             "root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
             (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "rows", "vector",
         )
-        .repartition(*keys).sortWithinPartitions(*keys, "node")
+        .repartition(parts, *keys).sortWithinPartitions(*keys, "node")
         .mapInPandas(lambda frames: _count_links(frames, threshold), "node long, links long")
         .groupBy("node").agg(F.sum("links").alias("links"))
     )
-    named = (
-        classes.join(chunked.select("node", "component_id"), "node", "left").join(counted, "node", "left")
+    named = stored(
+        classes.select("node", "h1", "h2", "least", "rows")
+        .join(placed.select("node", "component_id"), "node", "left").join(counted, "node", "left")
         .select(
-            F.col("vector").alias("__class"), F.coalesce("component_id", "least").alias("__component"),
-            (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("__links"),
-        )
+            F.col("h1").alias(one), F.col("h2").alias(two), F.col("rows").alias(count), F.coalesce("component_id", "least").alias(component),
+            (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias(links),
+        ),
+        "vector-names",
     )
-    joined = rows.join(named, F.col("__vector") == F.col("__class"), "left")
-    own = F.col(id_col)
-    component = F.when(F.col("__class").isNull(), own).otherwise(F.col("__component"))
-    alone = F.coalesce(F.col("__links"), F.lit(0)) == 0
+    release(classes, roots, placed)
+    known = rows.where(F.col(own).isNotNull())
+    joined = spread_join(known, named, [one, two], count, total).drop(count)
+    unknown = rows.where(F.col(own).isNull()).withColumns({component: F.col(f"`{id_col}`"), links: F.lit(0).cast("long")})
+    joined = joined.unionByName(unknown)
+    id_, alone = F.col(f"`{id_col}`"), F.col(links) == 0
     return merged(
         joined,
-        {
-            "n_links": F.coalesce(F.col("__links"), F.lit(0)).cast("long"),
-            "component_id": component,
-            "kept": F.coalesce(own == component, alone),
-        },
-    ).drop("__vector", "__class", "__component", "__links")
+        {"n_links": F.col(links).cast("long"), "component_id": F.col(component), "kept": F.coalesce(id_ == F.col(component), alone)},
+    ).drop(own, one, two, component, links)
