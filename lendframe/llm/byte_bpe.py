@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from lendframe.llm.common import merged, ship
+from lendframe.llm.common import merged, ship, unused
 
 #: Pieces that each of a worker's two generations keeps at most, and the longest kept.
 KEPT_PIECES, KEPT_LENGTH = 150_000, 48
@@ -263,8 +263,9 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
     documents play no part, repeated rows repeat their result, and an empty table gives an empty result.
     """
     bpe = ByteBpe(docs.sparkSession, path, pattern)
-    coded = docs.withColumn("__both", bpe.both(F.coalesce(F.col(text_col), F.lit(""))))
-    return merged(coded, {"token_ids": F.col("__both.token_ids"), "decoded": F.col("__both.decoded")}).drop("__both")
+    (both,) = unused(docs, "both")
+    coded = docs.withColumn(both, bpe.both(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return merged(coded, {"token_ids": F.col(both)["token_ids"], "decoded": F.col(both)["decoded"]}).drop(both)
 
 
 def digests() -> list[Column]:

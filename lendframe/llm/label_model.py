@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 100
@@ -70,3 +71,9 @@ def fit(counts: dict[int, int], rules: int, prior: float = 0.85) -> dict[int, fl
 def pattern_counts(votes: DataFrame, column: str) -> dict[int, int]:
     """At most 3**rules rows come to the driver, whatever the size of the table."""
     return {row[0]: row[1] for row in votes.groupBy(column).count().collect()}
+
+
+def table(spark: SparkSession, posterior: dict[int, float]) -> DataFrame:
+    """(pattern, posterior) of what ``fit`` returned: a literal in the plan."""
+    rows = json.dumps([{"pattern": p, "posterior": q} for p, q in sorted(posterior.items())])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<pattern:int,posterior:double>>")))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import WORD_GAP, let, merged, stored, strip
+from lendframe.llm.common import WORD_GAP, let, merged, release, stored, strip, unused
 
 #: Leading hash bits used up by each level.
 LEVELS = (11, 11, 10)
@@ -90,7 +90,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
             )
             .select(F.col("source").alias("s"), "below", "boundary")
         )
-        state = stored(
+        before, state = state, stored(
             state.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select(
                 "source",
                 (F.col("left") - F.coalesce("below", F.lit(0))).alias("left"),
@@ -100,10 +100,46 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
             ),
             "mix-level",
         )
+        if used > width:
+            release(before)
     nearer = F.coalesce(2 * F.col("left") > F.col("boundary_size"), F.lit(False))
     return state.select("source", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
+def plan(
+    docs: DataFrame,
+    size_col: str,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST,
+) -> DataFrame:
+    """One row (source, source_size, target, whole, threshold) a source: how often all its documents are taken, and below
+    which id hash once more. ``docs`` is read once a level, so sizes that are dear to compute should be stored."""
+    rows = docs.select(
+        F.col(f"`{source_col}`").alias("source"), F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)).alias("size"),
+        id_hash(F.col(f"`{id_col}`")).alias("hash"),
+    )
+    dealt = stored(
+        targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")),
+        "mix-targets",
+    )
+    cuts = thresholds(rows, dealt.select("source", "budget")).select(F.col("source").alias("cut_source"), "threshold")
+    return dealt.join(cuts, F.col("source").eqNullSafe(F.col("cut_source"))).select("source", "source_size", "target", "whole", "threshold")
+
+
+def taken(docs: DataFrame, made: DataFrame, id_col: str = "doc_id", source_col: str = "source", most: int = MOST) -> DataFrame:
+    """Every column of ``docs`` and ``source_size``, ``target`` and ``copies``, by what ``plan`` made."""
+    names = unused(docs, "source", "source_size", "target", "whole", "threshold")
+    by, total, target, whole, threshold = map(F.col, names)
+    joined = docs.join(made.select(*[F.col(c).alias(n) for c, n in zip(made.columns, names)]), F.col(f"`{source_col}`").eqNullSafe(by))
+    copies = whole + ((id_hash(F.col(f"`{id_col}`")) < threshold) & (whole < most)).cast("long")
+    return merged(joined, {"source_size": total, "target": target, "copies": copies}).drop(*names)
+
+
 def mix(
     docs: DataFrame,
     size_col: str,
@@ -126,25 +162,7 @@ def mix(
     one. Rows with equal ids have equal hashes and are taken together. A source without words has the target 0. An
     empty table gives an empty result. Reruns agree: nothing depends on row order or partitions.
     """
-    rows = docs.select(
-        F.col(source_col).alias("source"), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("size"), id_hash(F.col(id_col)).alias("hash")
-    )
-    dealt = stored(
-        targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")),
-        "mix-targets",
-    )
-    cuts = thresholds(rows, dealt.select("source", "budget")).select(F.col("source").alias("__cut_source"), "threshold")
-    plan = dealt.join(cuts, F.col("source").eqNullSafe(F.col("__cut_source"))).select(
-        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
-        F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"),
-    )
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__source")))
-    size = F.coalesce(F.col(size_col).cast("long"), F.lit(0))
-    extra = (id_hash(F.col(id_col)) < F.col("__threshold")) & (F.col("__whole") < most)
-    copies = F.col("__whole") + extra.cast("long")
-    return merged(
-        joined,
-        {"size": size, "source_size": F.col("__source_size"), "target": F.col("__target"), "copies": copies, "taken": size * copies},
-    ).drop("__source", "__source_size", "__target", "__whole", "__threshold")
+    (size,) = unused(docs, "size")
+    sized = docs.withColumn(size, F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)))
+    mixed = taken(sized, plan(docs, size_col, id_col, source_col, weights, share, most), id_col, source_col, most)
+    return merged(mixed, {"size": F.col(size), "taken": F.col(size) * F.col("copies")}).drop(size)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lendframe.llm import label_model
-from lendframe.llm.common import merged, ship, stored
+from lendframe.llm.common import merged, release, ship, stored, unused
 from lendframe.llm.quality_rules import measures, votes
 
 SLOTS = 1 << 16
@@ -110,21 +110,25 @@ def labels(text) -> list:
 
 def labelled(docs: DataFrame, text_col: str, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features (see ``train``) and posteriors of a bounded sample; the posteriors come from the votes on all documents."""
-    own = label_model.pattern(labels(F.col(text_col)))
-    voted = docs.withColumn("__votes", own)
-    drawn = F.pmod(F.xxhash64(text_col), F.lit(1 << 30))
-    patterns = stored(voted.select("__votes", drawn.alias("__draw")), "classifier-votes")
-    rules = len(labels(F.col(text_col)))
-    counts = label_model.pattern_counts(patterns, "__votes")
+    docs = docs.select(F.col(f"`{text_col}`").alias("text"))
+    own = label_model.pattern(labels(F.col("text")))
+    hashed = F.xxhash64("text")
+    drawn = F.pmod(hashed, F.lit(1 << 30))
+    patterns = stored(docs.select(own.alias("votes"), hashed.alias("hash"), drawn.alias("draw")), "classifier-votes")
+    rules = len(labels(F.col("text")))
+    counts = label_model.pattern_counts(patterns, "votes")
     posterior = label_model.fit(counts, rules)
     total = sum(counts.values())
     if not total:
         return (np.zeros(0, dtype=np.int32),) * 2 + (np.zeros(0, dtype=np.float32), np.zeros(0))
-    # rows of equal text have equal draws, and a text may make up a third of all rows: one row stands for a text
-    distinct = patterns.where(F.col("__draw") < int((1 << 30) * min(1.0, sample / total))).count()
-    bound = int((1 << 30) * min(1.0, sample / total) * min(1.0, sample / max(distinct, 1)))
-    picked = docs.where(drawn < bound).dropDuplicates([text_col])
-    picked = picked.withColumn("__votes", own)
+    # rows of equal text have equal draws, and a text may make up a third of all rows: one row stands for a text. So the
+    # bound is raised, where texts repeat, to what draws the sample from the distinct texts, in two steps.
+    texts = patterns.agg(F.approx_count_distinct("hash")).first()[0]
+    bound = (1 << 30) * min(1.0, sample / max(texts, 1))
+    distinct = patterns.where(F.col("draw") < int(bound)).select("hash").distinct().count()
+    bound = int(bound * min(1.0, sample / max(distinct, 1)))
+    release(patterns)
+    picked = docs.where(drawn < bound).dropDuplicates(["text"]).withColumn("votes", own)
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -132,10 +136,12 @@ def labelled(docs: DataFrame, text_col: str, sample: int) -> tuple[np.ndarray, n
             yield pd.DataFrame({"hash": frame["hash"], "votes": frame["votes"], "slots": [k for k, _ in made], "shares": [v for _, v in made]})
 
     rows = (
-        picked.select(F.xxhash64(text_col).alias("hash"), F.col("__votes").alias("votes"), F.col(text_col).alias("text"))
+        picked.select(hashed.alias("hash"), "votes", "text")
         .mapInPandas(of, "hash long, votes int, slots array<int>, shares array<float>")
         .where(F.size("slots") > 0).orderBy("hash").toArrow()
     )
+    if not rows.num_rows and texts > sample:
+        raise ValueError("no text with words among those drawn for the classifier")
     lists = rows.column("slots").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
     slot, share = lists.flatten().to_numpy().copy(), rows.column("shares").combine_chunks().flatten().to_numpy().copy()
@@ -160,7 +166,7 @@ def classify(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, leas
     The labellers' accuracies come from all documents; the scorer is fitted on about ``sample`` documents.
     Input columns of these names are replaced.
 
-    Defined results: a NULL or blank text has the quality 0 and is not kept. Rows are scored by themselves, so
+    Defined results: a NULL or blank text has the quality 0 and is not kept. Texts of any length are read whole. Rows are scored by themselves, so
     repeated rows get equal scores. An empty table, or one of blank texts only, scores without a fit. Reruns agree.
     """
     spark = docs.sparkSession
@@ -168,5 +174,6 @@ def classify(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, leas
     made = labelled(docs, text_col, sample)
     weights, bias = train(*made) if len(made[0]) else (np.zeros(SLOTS), 0.0)
     del made
-    scored = docs.withColumn("__quality", scorer(spark, weights, bias)(F.col(text_col)))
-    return merged(scored, {"quality": F.col("__quality"), "kept": F.col("__quality") >= least}).drop("__quality")
+    (name,) = unused(docs, "quality")
+    scored = docs.withColumn(name, scorer(spark, weights, bias)(F.col(f"`{text_col}`")))
+    return merged(scored, {"quality": F.col(name), "kept": F.col(name) >= least}).drop(name)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.llm import label_model
-from lendframe.llm.common import let, merged, stored, strip, words
+from lendframe.llm.common import let, merged, stored, strip, unused, words
 
 #: Frequent function words of the corpus languages (fixed values).
 FUNCTION_WORDS = (
@@ -124,22 +124,23 @@ def judge(docs: DataFrame, text_col: str = "text", keep_text: bool = False, leas
     ``base_failed``: fewer than 20 words, or more than 30 % of the words in repeated 8-word windows. ``kept``: not
     base_failed and a posterior of at least ``least``. Input columns of the same names are replaced.
 
-    Defined results: a NULL or blank text has no words, fails the base rules and is not kept. Rows are judged by
+    Defined results: a NULL or blank text has no words, fails the base rules and is not kept. Texts of any length are
+    read whole. Rows are judged by
     themselves, so repeated rows get equal results; repeats do count in the estimation. An empty table gives an
     empty result.
     """
-    measured = docs.withColumn("__m", measures(F.col(text_col)))
-    measured = measured.withColumn("__votes", label_model.pattern(votes(F.col("__m"))))
+    held, voted, pattern, chance = unused(docs, "m", "votes", "pattern", "posterior")
+    m = F.col(held)
+    measured = docs.withColumn(held, measures(F.col(f"`{text_col}`"))).withColumn(voted, label_model.pattern(votes(m)))
     measured = stored(measured if keep_text else measured.drop(text_col), "quality-measures")
-    rules = len(votes(F.col("__m")))
-    posterior = label_model.fit(label_model.pattern_counts(measured, "__votes"), rules)
-    table = docs.sparkSession.createDataFrame(sorted(posterior.items()) or [(-1, 0.0)], "__pattern int, __posterior double")
-    joined = measured.join(F.broadcast(table), F.col("__votes") == F.col("__pattern"))
-    m = F.col("__m")
+    posterior = label_model.fit(label_model.pattern_counts(measured, voted), len(votes(m)))
+    table = label_model.table(docs.sparkSession, posterior).select(F.col("pattern").alias(pattern), F.col("posterior").alias(chance))
+    # a row for each pattern of votes that occurs: at most 3 to the number of rules
+    joined = measured.join(F.broadcast(table), F.col(voted) == F.col(pattern))
     failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return merged(
         joined,
         {name: m[name] for name in names}
-        | {"posterior": F.col("__posterior"), "base_failed": failed, "kept": ~failed & (F.col("__posterior") >= least)},
-    ).drop("__m", "__votes", "__pattern", "__posterior")
+        | {"posterior": F.col(chance), "base_failed": failed, "kept": ~failed & (F.col(chance) >= least)},
+    ).drop(held, voted, pattern, chance)

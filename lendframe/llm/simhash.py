@@ -183,7 +183,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
 
 
 def memberships(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """One row (doc_id, text_hash, fp, component_id) for each row of ``docs``; see ``near_duplicates``."""
+    """One row (doc_id, text_hash, fp, root, component_id) for each row of ``docs``; see ``near_duplicates``."""
     ship(docs.sparkSession)
     printed = stored(
         docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"), fingerprints(F.col(f"`{text_col}`")).alias("fp")),
@@ -194,9 +194,9 @@ def memberships(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links(classes.select("fp"), max_bits))
     placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     groups = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("entries"))
-    named = stored(spread_join(placed, groups, ["root"], "entries", entries).select("fp", "n", "component_id"), "fingerprint-names")
+    named = stored(spread_join(placed, groups, ["root"], "entries", entries).select("fp", "n", "root", "component_id"), "fingerprint-names")
     release(classes)
-    return spread_join(printed, named, ["fp"], "n", size or 0).select("doc_id", "text_hash", "fp", "component_id")
+    return spread_join(printed, named, ["fp"], "n", size or 0).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -218,3 +218,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         member, F.col(f"`{id_col}`").eqNullSafe(F.col(own_id)) & (F.col(own_hash) == F.col(hash_))
     )
     return merged(joined, {"fingerprint": hexadecimal(F.col(fp)), "component_id": F.col(component)}).drop(own_hash, own_id, hash_, fp, component)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest id, then of the smallest text hash; ids before NULL.
+
+    Rows of equal id and text are taken for the same document, whichever of them stays. See ``near_duplicates``.
+    """
+    own_hash, id_, hash_, n = unused(docs, "text_hash", "id", "hash", "n")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n"))
+    chosen = (
+        memberships(docs, id_col, text_col, max_bits).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("root").agg(least.alias("one"))
+        .select(F.col("one.doc_id").alias(id_), F.col("one.text_hash").alias(hash_), F.col("one.n").alias(n))
+    )
+    chosen = stored(chosen, "fingerprint-chosen")
+    rows = docs.withColumn(own_hash, F.xxhash64(F.col(f"`{text_col}`")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.col(own_hash) == F.col(hash_))
+    single = rows.join(chosen.where(F.col(n) == 1), same)
+    repeated = rows.join(chosen.where(F.col(n) > 1), same).dropDuplicates([id_, own_hash])
+    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
