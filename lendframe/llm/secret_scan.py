@@ -5,7 +5,7 @@ their encoding: a chi-squared test of uniformity, a runs test about the middle o
 correlation, joined by Fisher's method. A real key passes, a readable name does not. How small a p-value still counts
 as random is set for each encoding and band of lengths from all tokens of the corpus: with the share of random tokens
 taken from the upper half of the p-values (which are uniform for random tokens), the cut is the lowest at which at
-most ``FALSE_SHARE`` of the accepted tokens are expected not to be random.
+most ``FALSE_SHARE`` of the accepted tokens are expected not to be random. Small groups take a fixed low cut.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import let, merged, stored
+from lendframe.llm.common import let, merged, stored, unused
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -38,6 +38,9 @@ ENCODINGS = (
 P_BINS = 100
 FALSE_SHARE = 0.05
 BANDS = (32, 48, 80, 160)
+#: A group of fewer tokens than ``LEAST_TOKENS``, or one whose cut the share can't set, takes this cut: it loses one
+#: random token in a hundred.
+PRIOR_CUT, LEAST_TOKENS = 0.01, 50
 
 
 def running(values: Column) -> Column:
@@ -206,7 +209,9 @@ def cuts(bins: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], float]:
     out = {}
     for key, counts in groups.items():
         upper = 2 * sum(counts[P_BINS // 2 :]) / P_BINS
-        out[key] = 0.5
+        out[key] = PRIOR_CUT
+        if sum(counts) < LEAST_TOKENS:
+            continue
         for at in range(1, P_BINS // 2 + 1):
             accepted = sum(counts[at:])
             if accepted and accepted - upper * (P_BINS - at) <= FALSE_SHARE * accepted:
@@ -221,10 +226,11 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``spans``: kind:start:end of all secrets by start, then kind, joined by commas; code points, end exclusive. A
     random token within a pattern's span is not given again. Input columns of these names are replaced.
 
-    Defined results: a NULL text counts as empty and has no spans. Rows are scanned by themselves; repeated rows repeat
+    Defined results: a NULL text counts as empty and has no spans. Texts of any length are read whole. Rows are scanned by themselves; repeated rows repeat
     their results and count in the choice of the cuts. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    fixed, random = unused(docs, "base", "random")
     base = F.concat(
         matches(text, ASSIGN, 0, 8, 2), matches(text, ACCESS, 1, 16),
         F.when(text.rlike(HEX[:-1] + "{32}"), matches(text, HEX[:-1] + "{32,}", 2, 32)).otherwise(
@@ -235,12 +241,12 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     scanned = stored(
         docs.select(
             *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
-            F.sort_array(plain).alias("__base"), candidates(text).alias("__random"),
+            F.sort_array(plain).alias(fixed), candidates(text).alias(random),
         ),
         "secret-spans",
     )
     histogram = (
-        scanned.select(F.inline("__random"))
+        scanned.select(F.inline(random))
         .groupBy("code", "band", F.least(F.floor(F.col("p") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("at"))
         .count().collect()
     )
@@ -253,10 +259,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out = F.when((row["code"] == code) & (row["band"] == length), F.lit(cut)).otherwise(out)
         return row["p"] >= out
 
-    base = F.col("__base")
+    base = F.col(fixed)
     extra = F.transform(
         F.filter(
-            F.col("__random"),
+            F.col(random),
             lambda r: accepted(r) & ~F.exists(base, lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])),
         ),
         lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")),
@@ -271,4 +277,4 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "base_sha256": F.sha2(joined(base).cast("binary"), 256),
             "spans": joined(F.sort_array(F.concat(base, extra))),
         },
-    ).drop("__base", "__random")
+    ).drop(fixed, random)

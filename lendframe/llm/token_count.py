@@ -19,11 +19,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lendframe.llm.common import merged, ship
+from lendframe.llm.common import merged, ship, unused
 
 #: Words whose counts each of a worker's two generations keeps at most, and the longest kept.
 KEPT_WORDS, KEPT_LENGTH = 300_000, 48
 _MODELS: dict[str, WordCounter] = {}
+#: Code points that newer Unicode tables call letters or numbers and the tokenizer library's do not (fixed values).
+NEWER = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
+    "10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF "
+    "18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 "
+    "3D000-3FC3F "
+)
+
+
+def newer_class() -> str:
+    """``NEWER`` as the inside of a character class."""
+    return "".join("-".join(f"\\U{int(end, 16):08x}" for end in part.split("-")) for part in NEWER.split())
 
 
 def byte_symbols() -> list[str]:
@@ -45,7 +58,12 @@ class WordCounter:
         self.inner = [vocab[s] for s in byte_symbols()]
         self.last = [vocab[s + mark] for s in byte_symbols()]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
-        self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern, newer = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], newer_class()
+        self.find, self.newer = regex.compile(pattern).findall, regex.compile(f"[{newer}]").search
+        older = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{newer}])")
+        for kind in (r"[\p{L}]", r"[\p{N}]"):
+            older = older.replace(kind, rf"(?:(?![{newer}]){kind})")
+        self.find_older = regex.compile(older).findall
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.counts: dict[str, int] = {}
@@ -79,8 +97,9 @@ class WordCounter:
         if not text.isascii():
             # lower-cased letter by letter, so without a final sigma, and by newer tables than Python's
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").replace("\ua7cb", "\u0264").replace("\ua7dc", "\u019b")
-        total, known = 0, self.counts
-        for word in self.find(text.lower()):
+        total, known, text = 0, self.counts, text.lower()
+        find = self.find if text.isascii() or not self.newer(text) else self.find_older
+        for word in find(text):
             count = known.get(word)
             if count is None:
                 count = self.older.get(word) or self.symbols(word)
@@ -133,15 +152,16 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     Tokens are those of the vocabulary file at ``path`` without added begin or end tokens; a special string inside
     a text counts one. Input columns of these names are replaced.
 
-    Defined results: a NULL text counts as empty, 0 bytes and 0 tokens. Rows are independent: ids play no part,
+    Defined results: a NULL text counts as empty, 0 bytes and 0 tokens. Texts of any length are read whole. Rows are independent: ids play no part,
     repeated rows repeat their counts, and an empty table gives an empty result.
     """
-    counted = docs.withColumn("__tokens", counter(docs.sparkSession, path)(F.col(text_col)))
+    (tokens,) = unused(docs, "tokens")
+    counted = docs.withColumn(tokens, counter(docs.sparkSession, path)(F.col(f"`{text_col}`")))
     return merged(
         counted,
         {
-            "n_bytes": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"),
-            "n_tokens": F.col("__tokens"),
-            "over_limit": F.col("__tokens") > limit,
+            "n_bytes": F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long"),
+            "n_tokens": F.col(tokens),
+            "over_limit": F.col(tokens) > limit,
         },
-    ).drop("__tokens")
+    ).drop(tokens)
