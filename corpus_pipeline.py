@@ -7,32 +7,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.llm import byte_bpe, line_dedup, mixing, quality_classifier, simhash
-from lendframe.llm.common import stored
+from lendframe.llm.common import release, stored, unused
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised classifier rejects go."""
+    """Documents that the weakly supervised classifier rejects go: NULL and blank texts too. An empty table stays empty."""
     return quality_classifier.classify(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines shared by three documents or more stay in one of them; n_chars follows the text."""
+    """Lines shared by three documents or more stay in one of them; n_chars follows the text, a NULL text becomes empty."""
     kept = line_dedup.line_dedup(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest id, or all if none of the group has an id."""
-    return simhash.near_duplicates(docs.select(*COLUMNS)).where("component_id <=> doc_id").select(*COLUMNS)
+    """One document of each group of near copies stays: that of the smallest id; one without id if none of the group has any."""
+    return simhash.representatives(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; a document that is taken twice is two rows."""
-    sized = docs.select(*COLUMNS, mixing.n_words(F.col("text")).alias("words"))
-    mixed = mixing.mix(sized, "words")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).where("__copy > 0").select(*COLUMNS)
+    sized = stored(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words")), "mix-sizes")
+    mixed = mixing.taken(docs.select(*COLUMNS), mixing.plan(sized, "words"))
+    (copy,) = unused(mixed, "copy")
+    return mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +52,16 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: The classifier's fit can't be written in SQL; tests compare the pipeline with a brute-force version.
+#: The classifier's fit can't be written in SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    read = []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # what the stage before wrote has been read
+        release(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
