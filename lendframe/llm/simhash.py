@@ -143,7 +143,8 @@ KEYS = ["positions", "held", "more", "byte", "i", "j"]
 def _sized(entries: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame]:
     """Entries of lists of 2 to ``block`` and of longer ones; the latter, of which there are few, with their length n."""
     lists = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = entries.join(lists, keys)
+    # most entries are alone in their lists: what is left is small and is read twice
+    sized = stored(entries.join(lists, keys), "postings")
     return sized.where(F.col("n") <= block).drop("n"), sized.where(F.col("n") > block)
 
 
