@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import chi2_sf, two_sided
+from lendframe.operators.quantiles import values
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,53 @@ def fit_logit(df: DataFrame, y: str, names: list[str], offset: str | None = None
     return _solve(step, list(names), rounds, lower, upper)
 
 
+def fit_groups(df: DataFrame, group: str, groups: int, y: str, names: list[str], weight: str | None = None, rounds: int = 25) -> list[Logit | None]:
+    """A logit for each group 0, 1, ..., all in one aggregate a Newton step; None for a group without complete rows."""
+    k, x_names = len(names) + 1, [f"__x{i}" for i in range(len(names))]
+    rows = df.select(
+        F.col(group).cast("int").alias("__g"), F.col(y).cast("double").alias("__y"),
+        *[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(names, x_names)], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"),
+    ).dropna()
+    x = [F.lit(1.0)] + [F.col(c) for c in x_names]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def run(betas: dict[int, np.ndarray]) -> dict[int, tuple]:
+        table = F.array(*[F.array(*[F.lit(float(b)) for b in betas.get(g, np.zeros(k))]) for g in range(groups)])
+        own = rows.where(F.col("__g").isin(list(betas))).withColumn("__b", F.get(table, F.col("__g")))
+        line = sum((F.col("__b")[i] * c for i, c in enumerate(x)), F.lit(0.0))
+        r = own.withColumn("__p", F.greatest(F.least(1 / (1 + F.exp(-line)), F.lit(1 - 1e-12)), F.lit(1e-12)))
+        p, t, w = F.col("__p"), F.col("__y"), F.col("__w")
+        got = r.groupBy("__g").agg(
+            *[F.sum(w * p * (1 - p) * x[i] * x[j]) for i, j in pairs], *[F.sum(w * (t - p) * c) for c in x],
+            F.sum(-2 * w * F.when(t == 1, F.log(p)).otherwise(F.log(1 - p))), F.sum(w), F.sum(w * t),
+        ).collect()
+        out = {}
+        for g, *row in got:
+            info = np.zeros((k, k))
+            for (i, j), v in zip(pairs, row):
+                info[i, j] = info[j, i] = v
+            out[g] = (info, np.array(row[len(pairs) : len(pairs) + k], dtype=float), row[-3], row[-2], row[-1] / row[-2] if row[-2] else 0.0)
+        return out
+
+    betas = {g: np.zeros(k) for g in range(groups)}
+    previous, made = dict.fromkeys(betas, math.inf), [None] * groups
+    for turn in range(rounds):
+        step = run(betas)
+        going = {}
+        for g, (info, gradient, dev, n, mean) in step.items():
+            done = abs(previous[g] - dev) < 1e-12 * (abs(dev) + 1e-9)
+            null_dev = -2.0 * n * sum(m * math.log(m) for m in (mean, 1 - mean) if m > 0)
+            b = betas[g]
+            made[g] = Logit(list(names), dict(zip(names, b[1:].tolist())), float(b[0]), np.linalg.pinv(info), float(dev), float(null_dev), int(n), done)
+            previous[g] = dev
+            if not done and turn + 1 < rounds:
+                going[g] = b + np.clip(np.linalg.pinv(info) @ gradient, -20, 20)
+        betas = going
+        if not betas:
+            break
+    return made
+
+
 @dataclass(frozen=True)
 class Cells:
     """A table compressed to its distinct rows and their counts, small enough for the driver."""
@@ -133,7 +181,7 @@ def _solve(step, names: list[str], rounds: int, lower: dict | None, upper: dict
     for _ in range(rounds):
         info, gradient, dev, n, mean = step(beta)
         null_dev = -2.0 * n * sum(m * math.log(m) for m in (mean, 1 - mean) if m > 0)
-        if abs(previous - dev) < 1e-9 * (abs(dev) + 1e-9):
+        if abs(previous - dev) < 1e-12 * (abs(dev) + 1e-9):
             converged = True
             break
         previous = dev
@@ -154,12 +202,19 @@ def u_shape(df: DataFrame, x: str, y: str, p_value: float = 0.05, knots: int = 2
     """Two hinges at each of the 5-95 % quantile knots; a U is found where both slopes are positive and significant."""
     points = [0.05 + 0.9 * i / (knots - 1) for i in range(knots)]
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    row = rows.agg(F.percentile(F.col(x), F.array(*[F.lit(p) for p in points])).alias("k"), F.min(x).alias("low"), F.max(x).alias("high")).first()
+    found = values(rows, {x: F.col(f"`{x}`")}, [0.0, *points, 1.0]).get(x)
+    low, *inner, high = found or [0.0, 0.0]
+    knots_ = [k for k in sorted(set(inner)) if low < k < high]
+    if not knots_:
+        return df.sparkSession.createDataFrame([], "knot double, left double, right double, deviance double, detected boolean")
+    # every knot has its rows: one aggregate a Newton step fits them all
+    each = rows.select(F.col(f"`{x}`").cast("double").alias("v"), F.col(y).alias("y"), F.posexplode(F.array(*[F.lit(float(k)) for k in knots_])).alias("at", "knot"))
+    v, knot_ = F.col("v"), F.col("knot")
+    each = each.select(
+        "at", "y", F.when(v < knot_, (knot_ - v) / (knot_ - low)).otherwise(0.0).alias("left"), F.when(v > knot_, (v - knot_) / (high - knot_)).otherwise(0.0).alias("right")
+    )
     out = []
-    for knot in sorted(set(row.k)):
-        if not row.low < knot < row.high:
-            continue
-        fit = fit_logit(u_basis(rows, x, knot, row.low, row.high), y, ["left", "right"])
+    for knot, fit in zip(knots_, fit_groups(each, "at", len(knots_), "y", ["left", "right"])):
         both = fit.coefficients["left"] > 0 and fit.coefficients["right"] > 0 and max(fit.p_value("left"), fit.p_value("right")) < p_value
         out.append((float(knot), fit.coefficients["left"], fit.coefficients["right"], fit.deviance, bool(both)))
     return df.sparkSession.createDataFrame(out, "knot double, left double, right double, deviance double, detected boolean")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import two_sided, wilcoxon_p
+from lendframe.operators.quantiles import sliced, values
 
 EPS = 1e-15
 
@@ -23,15 +24,9 @@ def by_score(df: DataFrame, score: str, y: str, *keys: str, digits: int | None =
     )
 
 
-SLICES = 64
-
-
 def running(rows: DataFrame, *keys: str) -> DataFrame:
     """rows: (keys, s, g, b). Adds goods and bads below each score (gb, bb) and in all (tg, tb) of its keys."""
-    points = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
-    edges = sorted(set(rows.agg(F.percentile_approx("s", points, F.lit(1000))).first()[0] or []))
-    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.col("s") > e)) if edges else F.lit(0)
-    rows = rows.withColumn("slice", part)
+    rows = sliced(rows.withColumnRenamed("s", "v"), list(keys)).withColumnRenamed("v", "s")
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     sums = rows.groupBy(*keys, "slice").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
@@ -40,7 +35,7 @@ def running(rows: DataFrame, *keys: str) -> DataFrame:
         F.coalesce(F.sum("g").over(before), F.lit(0)).alias("g0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"),
         F.sum("g").over(whole).alias("tg"), F.sum("b").over(whole).alias("tb"),
     )
-    # keys are models and folds: at most 64 rows for each
+    # keys are models and folds: as many rows as slices for each
     joined = rows.join(F.broadcast(sums), [F.col("slice") == F.col("at"), *[F.col(k).eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(keys)]])
     below = Window.partitionBy(*keys, "slice").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
@@ -95,9 +90,13 @@ def roc_points(df: DataFrame, score: str, y: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Inner and outer edges by linear interpolation, duplicates dropped."""
-    points = [i / bins for i in range(bins + 1)]
-    row = df.agg(F.percentile(F.col(column), F.array(*[F.lit(p) for p in points]))).first()[0]
-    return sorted(set(row)) if row else []
+    return edges_of(df, [column], bins).get(column, [])
+
+
+def edges_of(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
+    """``quantile_edges`` of several columns in one pass; a column without values is left out."""
+    found = values(df, {c: F.col(f"`{c}`") for c in columns}, [i / bins for i in range(bins + 1)])
+    return {c: sorted(set(q)) for c, q in found.items()}
 
 
 def cut(x: Column, edges: list[float], right: bool = True) -> Column:
@@ -116,12 +115,12 @@ def reliability(df: DataFrame, prob: str, y: str, bins: int = 10) -> DataFrame:
 def _placements(df: DataFrame, score: str, y: str, name: str) -> DataFrame:
     """(score value, y) to the share of the other class that it beats, ties one half: from distinct scores."""
     return running(by_score(df, score, y)).select(
-        "s", ((F.col("gb") + F.col("g") / 2) / F.col("tg")).alias(f"{name}_1"), (1 - (F.col("bb") + F.col("b") / 2) / F.col("tb")).alias(f"{name}_0")
+        "s", F.try_divide(F.col("gb") + F.col("g") / 2, F.col("tg")).alias(f"{name}_1"), (1 - F.try_divide(F.col("bb") + F.col("b") / 2, F.col("tb"))).alias(f"{name}_0")
     )
 
 
 def delong(df: DataFrame, a: str, b: str, y: str) -> dict[str, float]:
-    """Paired DeLong test of two scores of the same rows; z > 0: a is better; no variance: (0, 1)."""
+    """Paired DeLong test of two scores of the same rows; z > 0: a is better; no variance: (0, 1); under two rows of a class: no test."""
     pa, pb = _placements(df, a, y, "a"), _placements(df, b, y, "b")
     rows = df.join(pa, df[a] == pa["s"]).drop("s").join(pb, df[b] == pb["s"]).drop("s")
     va, vb = F.when(F.col(y) == 1, F.col("a_1")).otherwise(F.col("a_0")), F.when(F.col(y) == 1, F.col("b_1")).otherwise(F.col("b_0"))
@@ -130,6 +129,8 @@ def delong(df: DataFrame, a: str, b: str, y: str) -> dict[str, float]:
         for r in rows.select(F.col(y).alias("y"), va.alias("va"), vb.alias("vb")).groupBy("y")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), F.var_samp(F.col("va") - F.col("vb")).alias("vd")).collect()
     }
+    if not {0, 1} <= got.keys() or min(got[0]["n"], got[1]["n"]) < 2:
+        return {"auc_a": got[1]["ma"] if 1 in got else None, "auc_b": got[1]["mb"] if 1 in got else None, "z": None, "p_value": None}
     one, zero = got[1], got[0]
     variance = one["vd"] / one["n"] + zero["vd"] / zero["n"]
     z = (one["ma"] - one["mb"]) / math.sqrt(variance) if variance > 0 else 0.0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lendframe.functions.dist import chi2_sf
 from lendframe.functions.special import SC_THRESHOLD, clean, is_numeric, is_special, long_form, require
+from lendframe.operators.quantiles import of_counts, values
 
 POINTS = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -25,25 +26,25 @@ def univariate(df: DataFrame, columns: list[str], codes: list = (), separately:
         F.concat(F.lit("special case "), F.coalesce(F.col("value").cast("string"), F.lit("null"))) if separately else F.lit("special cases")
     )
     rows = rows.withColumn("bin_type", kind)
-    whole = ~F.col("sc")
-    x = F.when(whole, F.col("value"))
+    x = F.when(~F.col("sc"), F.col("value"))
     first = rows.groupBy("rf", "bin_type").agg(
-        F.count(F.lit(1)).alias("cnt"), F.countDistinct("value").alias("cnt_unique"),
-        F.percentile(x, F.array(*[F.lit(p) for p in POINTS.values()])).alias("pct"),
-        F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("avg"), F.stddev_samp(x).alias("sd"),
+        F.count(F.lit(1)).alias("cnt"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("avg"), F.stddev_samp(x).alias("sd"),
         F.count_if(x < 0).alias("neg"), F.count_if(x > 0).alias("pos"),
     )
-    quartiles = first.where(F.col("pct").isNotNull()).select(F.col("rf").alias("q_rf"), F.col("pct")[2].alias("q25"), F.col("pct")[4].alias("q75"))
-    spread = 1.5 * (F.col("q75") - F.col("q25"))
+    counts = rows.groupBy("rf", "bin_type", "sc", F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.where(~F.col("sc"))
+    found = of_counts(whole.select("rf", "v", "n"), ["rf"], list(POINTS.values())).select(F.col("rf").alias("q_rf"), F.col("q").alias("pct"))
+    spread = 1.5 * (F.col("pct")[4] - F.col("pct")[2])
+    outside = (F.col("v") < F.col("pct")[2] - spread) | (F.col("v") > F.col("pct")[4] + spread)
     # one row per column: bounded by the schema
-    outliers = (
-        rows.where(whole).join(F.broadcast(quartiles), F.col("rf") == F.col("q_rf"))
-        .groupBy(F.col("rf").alias("o_rf")).agg(F.count_if((F.col("value") < F.col("q25") - spread) | (F.col("value") > F.col("q75") + spread)).alias("cnt_outliers"))
+    placed = counts.join(F.broadcast(found), (F.col("rf") == F.col("q_rf")) & ~F.col("sc"), "left")
+    more = placed.groupBy(F.col("rf").alias("m_rf"), F.col("bin_type").alias("m_type")).agg(
+        F.count("v").alias("cnt_unique"), F.first("pct", True).alias("pct"), F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("cnt_outliers"),
     )
     total = F.sum("cnt").over(Window.partitionBy("rf"))
     special = F.sum(F.when(F.col("bin_type") != "complete cases", F.col("cnt")).otherwise(0)).over(Window.partitionBy("rf"))
     complete = F.col("bin_type") == "complete cases"
-    return first.join(outliers, F.col("rf") == F.col("o_rf"), "left").select(
+    return first.join(more, (F.col("rf") == F.col("m_rf")) & (F.col("bin_type") == F.col("m_type"))).select(
         "rf", "bin_type", "cnt", (F.col("cnt") / total).alias("pct"), "cnt_unique", "min",
         *[F.col("pct")[i].alias(name) for i, name in enumerate(POINTS)], "avg",
         (F.col("sd") / F.sqrt("cnt")).alias("avg_se"), "max", "neg", "pos",
@@ -67,12 +68,18 @@ def nzv(df: DataFrame, columns: list[str], codes: list[str] = ()) -> DataFrame:
     """Near-zero variance: the two most frequent complete values of each column and their ratio."""
     rows = long_form(df, columns, numeric=False).withColumn("sc", is_special(F.col("value"), codes, numeric=False))
     counts = rows.groupBy("rf", "sc", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("rank", F.when(~F.col("sc"), F.row_number().over(Window.partitionBy("rf", "sc").orderBy(F.desc("n"), "value"))))
-    pick = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
-    out = ranked.groupBy("rf").agg(
+    # the two most frequent values by partial aggregates: no task ranks a column
+    of = lambda keep: F.min(F.when(keep, F.struct((-F.col("n")).alias("least"), "value")))
+    out = counts.groupBy("rf").agg(
         F.sum(F.when(F.col("sc"), F.col("n")).otherwise(0)).alias("sc_num"), F.sum(F.when(~F.col("sc"), F.col("n")).otherwise(0)).alias("cc_num"),
-        F.count_if(~F.col("sc")).alias("cc_unique"), pick(1, "value").alias("mfq_value"), pick(2, "value").alias("smfq_value"),
-        pick(1, "n").alias("mfq"), pick(2, "n").alias("smfq"),
+        F.count_if(~F.col("sc")).alias("cc_unique"), of(~F.col("sc")).alias("one"),
+    )
+    tops = out.select(F.col("rf").alias("t_rf"), F.col("one.value").alias("top"))
+    # one row a column
+    second = counts.join(F.broadcast(tops), (F.col("rf") == F.col("t_rf")) & ~F.col("sc") & (F.col("value") != F.col("top"))).groupBy(F.col("rf").alias("s_rf")).agg(of(F.lit(True)).alias("two"))
+    out = out.join(F.broadcast(second), F.col("rf") == F.col("s_rf"), "left").select(
+        "rf", "sc_num", "cc_num", "cc_unique", F.col("one.value").alias("mfq_value"), F.col("two.value").alias("smfq_value"),
+        (-F.col("one.least")).alias("mfq"), (-F.col("two.least")).alias("smfq"),
     )
     total = F.col("sc_num") + F.col("cc_num")
     ratio = F.col("mfq") / F.col("smfq")
@@ -129,16 +136,19 @@ def impute(df: DataFrame, columns: list[str], codes: list = (), method: str = "a
     aggs = []
     for i, c in enumerate(columns):
         x = F.when(~special[c], clean(df, c))
-        value = F.struct(F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median")) if is_numeric(df, c) else F.mode(x, True)
-        aggs += [F.count(x).alias(f"n{i}"), value.alias(f"v{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), (F.avg(x) if is_numeric(df, c) else F.lit(None)).alias(f"v{i}")]
+    numbers = {c: F.when(~special[c], clean(df, c)) for c in columns if is_numeric(df, c)}
+    medians = values(df, numbers, [0.5]) if method in ("automatic", "median") else {}
+    texts = [c for c in columns if c not in numbers]
+    modes = {r.rf: r.mfq_value for r in nzv(df, texts, codes).collect()} if texts else {}
     row = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
     p = normality_p(df, [c for c in columns if is_numeric(df, c)], codes) if method == "automatic" else {}
     report, new = [], {}
     for i, c in enumerate(columns):
-        share, value, how = (row[f"n{i}"] / row["n"] if row["n"] else 0.0), row[f"v{i}"], "mode"
+        share, value, how = (row[f"n{i}"] / row["n"] if row["n"] else 0.0), row[f"v{i}"] if c in numbers else modes.get(c), "mode"
         if is_numeric(df, c):
             how = method if method != "automatic" else "median" if p.get(c, 1.0) < p_value else "mean"
-            value = 0.0 if how == "zero" else value[how]
+            value = 0.0 if how == "zero" else value if how == "mean" else medians.get(c, [None])[0]
             if value is not None and df.schema[c].dataType.typeName() in ("integer", "long", "short", "byte"):
                 value = float(round(value))
         done = share >= 0.1 and value is not None
@@ -154,12 +164,10 @@ def winsorise(df: DataFrame, columns: list[str], codes: list = (), method: str =
     numeric = [c for c in columns if is_numeric(df, c)]
     points = [0.25, 0.75] if method == "iqr" else [lower, upper]
     x = {c: F.when(~is_special(clean(df, c), codes), clean(df, c)) for c in numeric}
-    row = df.agg(*[F.percentile(x[c], F.array(*[F.lit(p) for p in points])).alias(f"q{i}") for i, c in enumerate(numeric)]).first() if numeric else []
+    found = values(df, x, points)
     new, report = {}, []
-    for i, c in enumerate(numeric):
-        if row[f"q{i}"] is None:
-            continue
-        low, high = row[f"q{i}"]
+    for c in [c for c in numeric if c in found]:
+        low, high = found[c]
         if method == "iqr":
             low, high = low - range_val * (high - low), high + range_val * (high - low)
         capped = F.when(x[c] > high, F.lit(high)).when(x[c] < low, F.lit(low)).otherwise(F.col(f"`{c}`").cast("double"))
@@ -169,9 +177,10 @@ def winsorise(df: DataFrame, columns: list[str], codes: list = (), method: str =
 
 
 def fold_safe_caps(df: DataFrame, fold: str, columns: list[str], folds: list[int]) -> DataFrame:
-    """Upper IQR fence of each column for each fold, from the rows of the other folds, in one aggregate."""
-    def cap(c: str, f: int) -> Column:
-        q = F.percentile(F.when(F.col(fold) != f, F.col(c)), F.array(F.lit(0.25), F.lit(0.75)))
-        return q[1] + 1.5 * (q[1] - q[0])
-    cells = [F.struct(F.lit(f).alias("fold"), F.lit(c).alias("rf"), cap(c, f).alias("upper_cap")) for f in folds for c in columns]
-    return df.agg(F.array(*cells).alias("caps")).select(F.inline("caps"))
+    """Upper IQR fence of each column for each fold, from the rows of the other folds."""
+    cells = F.array(*[F.struct(F.lit(c).alias("rf"), clean(df, c).cast("double").alias("v")) for c in columns])
+    counts = df.select(F.col(fold).alias("own"), F.inline(cells)).where(F.col("v").isNotNull()).groupBy("own", "rf", "v").agg(F.count(F.lit(1)).alias("n"))
+    others = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col("own"))
+    spread = counts.select(F.explode(others).alias("fold"), "rf", "v", "n").groupBy("fold", "rf", "v").agg(F.sum("n").alias("n"))
+    q = F.col("q")
+    return of_counts(spread, ["fold", "rf"], [0.25, 0.75]).select("fold", "rf", (q[1] + 1.5 * (q[1] - q[0])).alias("upper_cap"))

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendframe.operators.glm import Cells, compress, fit_logit
+from lendframe.functions.draws import hashed, uniform
+from lendframe.functions.special import require_binary
+from lendframe.operators.glm import Cells, compress, fit_groups, fit_logit
 from lendframe.operators.metrics import auc
+from lendframe.operators.quantiles import slices_of
 
 #: Counts of cells and draws that one aggregate of the bootstrap brings to the driver at most, more than one draw at a time.
 DRAWN = 200_000
+#: Rows of a block that is compared with another block.
+BLOCK = 2048
 
 
 def order_key(id_col: str, seed: int) -> Column:
@@ -18,13 +25,13 @@ def order_key(id_col: str, seed: int) -> Column:
     return (F.col(id_col).cast("long") + seed) * F.lit(2654435761) % F.lit(1 << 32)
 
 
-def folds(df: DataFrame, id_col: str, y: str | None, k: int = 10, seed: int = 2191, salt: int = 64) -> DataFrame:
-    """A ``fold`` column of near-equal sizes, per class if ``y`` is given.
+def placed(df: DataFrame, id_col: str, keys: list[str], seed: int) -> DataFrame:
+    """Adds ``__place``, the rank from 0 of each row in the hash order of its keys, and ``__all``, the rows of its keys.
 
-    The rank of a row is its place within a slice of the hash order plus the sizes of the slices before, so that no task
-    orders more than a slice of a class.
+    The rank is the place within a slice of the hash order plus the sizes of the slices before, so that no task orders more
+    than a slice.
     """
-    keys = [y] if y else []
+    salt = slices_of(df)
     rows = df.withColumn("__key", order_key(id_col, seed)).withColumn("__slice", F.floor(F.col("__key") / F.lit((1 << 32) / salt)))
     sizes = rows.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,7 +39,32 @@ def folds(df: DataFrame, id_col: str, y: str | None, k: int = 10, seed: int = 21
     # classes times slices rows
     joined = rows.join(F.broadcast(sizes), [F.col("__slice") == F.col("__s"), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]])
     place = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy("__key", id_col)) - 1 + F.col("__before")
-    return joined.withColumn("fold", F.floor(place * k / F.col("__all")).cast("int")).drop("__key", "__slice", "__s", "__before", "__all", *[f"__{c}" for c in keys])
+    return joined.withColumn("__place", place).drop("__key", "__slice", "__s", "__before", *[f"__{c}" for c in keys])
+
+
+def folds(df: DataFrame, id_col: str, y: str | None, k: int = 10, seed: int = 2191) -> DataFrame:
+    """A ``fold`` column of near-equal sizes, per class if ``y`` is given."""
+    rows = placed(df, id_col, [y] if y else [], seed)
+    return rows.withColumn("fold", F.floor(F.col("__place") * k / F.col("__all")).cast("int")).drop("__place", "__all")
+
+
+def fold_count(df: DataFrame, y: str, k: int) -> int:
+    """How many folds there are: no more than the rarer class has rows, nor than there are rows (leave-one-out)."""
+    if k < 0:
+        raise ValueError("k can't be negative")
+    require_binary(df, y)
+    sizes = {r[0]: r[1] for r in df.where(F.col(y).isNotNull()).groupBy(y).count().collect()}
+    least = min(sizes.get(0, 0), sizes.get(1, 0))
+    return min(least if 0 < least < k else k, sum(sizes.values()))
+
+
+def kfold_indices(df: DataFrame, id_col: str, y: str, kind: str = "stratified", k: int = 10, seed: int = 2191) -> DataFrame:
+    """``folds`` of the rows with a target, with the number of folds cut by ``fold_count``. kind: random or stratified."""
+    if kind not in ("random", "stratified"):
+        raise ValueError("kind: random or stratified")
+    number = fold_count(df, y, k)
+    rows = df.where(F.col(y).isNotNull())
+    return folds(rows, id_col, y if kind == "stratified" and number < rows.count() else None, number, seed)
 
 
 def kfold_validation(df: DataFrame, y: str, predictors: list[str], id_col: str, k: int = 10, seed: int = 1984) -> DataFrame:
@@ -53,11 +85,13 @@ def kfold_validation(df: DataFrame, y: str, predictors: list[str], id_col: str,
                 amse = float((n * (t - p) ** 2).sum() / n.sum())
                 done.append((f, area, ks, gini, amse, amse**0.5))
         return df.sparkSession.createDataFrame(done, "fold int, auc double, ks double, gini double, amse double, rmse double")
-    out = None
-    for f in range(k):
-        fit = fit_logit(rows.where(F.col("fold") != f), y, predictors)
-        test = rows.where(F.col("fold") == f).select("fold", y, fit.probability().alias("p"))
-        out = test if out is None else out.unionByName(test)
+    # every fit has the rows of the other folds: one aggregate a Newton step serves all folds
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
+    fits = fit_groups(rows.select(*columns, F.explode(others).alias("__for")), "__for", k, y, list(predictors))
+    table = F.array(*[F.array(*[F.lit(float(b)) for b in ([f.intercept, *f.coefficients.values()] if f else [0.0] * (len(predictors) + 1))]) for f in fits])
+    own = rows.dropna(subset=columns).withColumn("__b", F.get(table, F.col("fold")))
+    line = sum((F.col("__b")[i + 1] * F.col(f"`{c}`") for i, c in enumerate(predictors)), F.col("__b")[0])
+    out = own.select("fold", y, (1 / (1 + F.exp(-line))).alias("p"))
     got = auc(out, "p", y, "fold").join(out.groupBy("fold").agg(F.avg((F.col(y) - F.col("p")) ** 2).alias("amse")), "fold")
     return got.withColumn("rmse", F.sqrt("amse"))
 
@@ -74,7 +108,7 @@ def bootstrap_validation(df: DataFrame, y: str, predictors: list[str], id_col: s
     out = []
     if cells is None:
         for i in range(b):
-            drawn = df.withColumn("__w", _poisson(id_col, F.lit(seed + i)))
+            drawn = df.withColumn("__w", _poisson(id_col, F.lit(i), seed))
             fit = fit_logit(drawn.where("__w > 0"), y, predictors, weight="__w")
             got = auc(drawn.where("__w = 0").select(y, fit.probability().alias("p")), "p", y).first()
             out.append((i, got.auc, got.ks, got.gini))
@@ -82,7 +116,7 @@ def bootstrap_validation(df: DataFrame, y: str, predictors: list[str], id_col: s
         step = max(1, DRAWN // len(cells.count))
         for start in range(0, b, step):
             drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(start), F.lit(min(b, start + step) - 1))))
-            weighted = drawn.withColumn("__w", _poisson(id_col, F.lit(seed) + F.col("draw")))
+            weighted = drawn.withColumn("__w", _poisson(id_col, F.col("draw"), seed))
             counts = weighted.groupBy("draw", *columns).agg(F.sum("__w").alias("__in"), F.count_if(F.col("__w") == 0).alias("__out")).toArrow().to_pandas()
             for i, part in sorted(counts.groupby("draw")):
                 fit = Cells({c: part[c].to_numpy() for c in columns}, part["__in"].to_numpy()).fit(y, list(predictors))
@@ -91,9 +125,16 @@ def bootstrap_validation(df: DataFrame, y: str, predictors: list[str], id_col: s
     return df.sparkSession.createDataFrame(out, "draw int, auc double, ks double, gini double")
 
 
-def _poisson(id_col: str, seed: Column) -> Column:
-    u = F.pmod(F.xxhash64(F.col(id_col), seed), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return sum((u >= c).cast("int") for c in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518))
+#: Cumulative chances of 0, 1, ... 5 of a Poisson variable of mean 1 (fixed values).
+POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)
+
+
+def _poisson(id_col: str, draw: Column, seed: int) -> Column:
+    """How often a row is in a draw: from a 32-bit hash of its id that every draw moves on by a multiplicative step."""
+    start = F.conv(F.substring(hashed(F.lit(seed), F.col(id_col)), 1, 8), 16, 10).cast("long")
+    mixed = (start + draw * F.lit(2654435761)) % F.lit(1 << 32)
+    u = (mixed.bitwiseXOR(F.shiftright(mixed, 15)) * F.lit(739982445)) % F.lit(1 << 32) / F.lit(float(1 << 32))
+    return sum((u >= c).cast("int") for c in POISSON)
 
 
 def _counted_auc(p: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[float | None, float, float | None]:
@@ -107,19 +148,26 @@ def _counted_auc(p: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[float | N
     return area, float(max(((bad.sum() - upto) / bad.sum() - (good.sum() - below) / good.sum()).max(), 0.0)), 2 * area - 1
 
 
-def heom_neighbours(df: DataFrame, id_col: str, numeric: list[str], categorical: list[str], k: int = 5, blocks: int = 16) -> DataFrame:
+def spans_of(df: DataFrame, numeric: list[str]) -> list[float]:
+    row = df.agg(*[(F.max(f"`{c}`") - F.min(f"`{c}`")).cast("double") for c in numeric]).first() if numeric else []
+    return [float(v or 1.0) for v in row]
+
+
+def heom_neighbours(df: DataFrame, id_col: str, numeric: list[str], categorical: list[str], k: int = 5, spans: list[float] | None = None) -> DataFrame:
     """The k nearest rows of each by HEOM: range-scaled differences, 0/1 for categories, 1 for a missing side.
 
-    All pairs of a minority class are compared, as the distance has no index; they are dealt in blocks by blocks tasks and
-    each block keeps its own k best before the final choice, so no task holds more than two blocks.
+    All pairs are compared, as the distance has no index, so this is for minority classes. They are dealt in blocks of
+    about ``BLOCK`` rows by blocks, whose number grows with the rows, and each block keeps its own k best before the final
+    choice: no task holds more than two blocks or orders more than k rows a block for one row.
     """
-    spans = df.agg(*[(F.max(c) - F.min(c)).alias(f"s{i}") for i, c in enumerate(numeric)]).first()
+    spans = spans or spans_of(df, numeric)
+    blocks = max(1, math.ceil(df.count() / BLOCK))
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     side = lambda s: df.select(F.col(id_col).alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in [*numeric, *categorical]], block.alias(f"{s}_block"))
     left = side("a").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = side("b").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = left.join(right, (F.col("a_block") == F.col("i")) & (F.col("j") == F.col("b_block"))).where("a_id <> b_id")
-    parts = [F.coalesce(((F.col(f"a_{c}") - F.col(f"b_{c}")) / F.lit(float(spans[i] or 1))) ** 2, F.lit(1.0)) for i, c in enumerate(numeric)]
+    parts = [F.coalesce(((F.col(f"a_{c}") - F.col(f"b_{c}")) / F.lit(float(spans[i]))) ** 2, F.lit(1.0)) for i, c in enumerate(numeric)]
     parts += [F.coalesce((F.col(f"a_{c}") != F.col(f"b_{c}")).cast("double"), F.lit(1.0)) for c in categorical]
     scored = pairs.withColumn("distance", F.sqrt(sum(parts, F.lit(0.0))))
     near = lambda d, *by: d.withColumn("rank", F.row_number().over(Window.partitionBy("a_id", *by).orderBy("distance", "b_id"))).where(F.col("rank") <= k)
@@ -127,24 +175,29 @@ def heom_neighbours(df: DataFrame, id_col: str, numeric: list[str], categorical:
 
 
 def smote(df: DataFrame, y: str, minority, osr: float, id_col: str, numeric: list[str], categorical: list[str] = (), bounds: dict[str, tuple] | None = None, k: int = 5, seed: int = 81000) -> DataFrame:
-    """The table and round(osr * (majority - minority)) or, for osr 1 of a 90/10 table, osr * minority synthetic rows.
+    """The table and round(osr * minority rows) synthetic rows of the minority class; ``smote`` flags them.
 
-    A synthetic row lies between a minority row and one of its neighbours; categories come from the neighbour.
-    ``bounds``: (lower, upper, type) per numeric column. ``smote`` flags synthetic rows.
+    Every minority row is used as often as the others, and the rest goes to those first in the order of a hash. A synthetic
+    row lies between its row and one of the row's k nearest by one random factor; categories come from the neighbour.
+    Differences are scaled by the range in the whole table. ``bounds``: (lower, upper, type) per numeric column. A class of
+    one row has no neighbour and gets no synthetic rows.
     """
     small = df.where(F.col(y) == minority)
-    near = heom_neighbours(small, id_col, list(numeric), list(categorical), k)
-    copies = max(1, round(osr))
-    draw = lambda *more: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), *more), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picks = small.select(F.col(id_col).alias("id")).withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    near = heom_neighbours(small, id_col, list(numeric), list(categorical), k, spans_of(df, list(numeric)))
+    n = small.count()
+    total = round(osr * n)
+    ranked = placed(small.select(F.col(id_col).alias("id")), "id", [], seed)
+    copies = F.lit(total // max(n, 1)) + (F.col("__place") < total % max(n, 1)).cast("int")
+    picks = ranked.withColumn("n", copies).where("n > 0").select("id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("c"))
+    draw = lambda what: uniform(F.lit(seed), F.col("id"), F.col("c"), F.lit(what))
     # a class of k rows or fewer has fewer neighbours
     held = near.groupBy("id").agg(F.max("rank").alias("__held"))
-    picks = picks.join(held, "id").withColumn("rank", F.floor(draw(F.col("c")) * F.col("__held")).cast("int") + 1).drop("__held")
+    picks = picks.join(held, "id").withColumn("rank", F.floor(draw("neighbour") * F.col("__held")).cast("int") + 1).drop("__held")
     made = picks.join(near, ["id", "rank"]).join(small.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"a_{c}") for c in numeric]), "id")
     made = made.join(small.select(F.col(id_col).alias("neighbour"), *[F.col(c).alias(f"b_{c}") for c in [*numeric, *categorical]]), "neighbour")
     new = {}
     for c in numeric:
-        v = F.col(f"a_{c}") + draw(F.col("c"), F.lit(c)) * (F.col(f"b_{c}") - F.col(f"a_{c}"))
+        v = F.col(f"a_{c}") + draw("factor") * (F.col(f"b_{c}") - F.col(f"a_{c}"))
         if bounds and c in bounds:
             low, high, kind = bounds[c]
             v = F.greatest(F.least(v, F.lit(high)), F.lit(low))

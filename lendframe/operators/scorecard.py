@@ -133,5 +133,15 @@ def composite(models: DataFrame, weights: dict[str, float] | None = None) -> Dat
     return models.withColumn("composite", sum(w * part(n) for n, w in weights.items()))
 
 
+def stability(auc: float, cv_auc: float, most: float = 0.03) -> float:
+    """1 where the cross-validated AUC equals the development AUC, down to 0 at a gap of ``most``."""
+    return max(0.0, min(1.0, 1 - abs(auc - cv_auc) / most))
+
+
+def parsimony(n: int, least: int = 4, most: int = 12) -> float:
+    """1 for ``least`` variables or fewer, down to 0 for ``most``."""
+    return max(0.0, min(1.0, 1 - (n - least) / (most - least)))
+
+
 def variable_overlap(a: list[str], b: list[str]) -> float:
     return len({*a} & {*b}) / len({*a} | {*b}) if a or b else 0.0

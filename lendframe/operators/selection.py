@@ -1,16 +1,24 @@
-"""Stepwise selection: one greedy engine, with scorers for MIV and likelihood steps, and block-wise models."""
+"""Stepwise selection: one greedy engine, with scorers for MIV and likelihood steps, and block-wise models.
+
+A factor is a term of one column (as it is, or coded by weight of evidence) or of several (dummies of its levels). Terms of
+one column are judged by their coefficient, terms of several by a joint Wald test.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import chi2_sf
+from lendframe.functions.special import require, require_binary
 from lendframe.operators.glm import Logit, compress, fit_logit
-from lendframe.operators.woe import lookup, woe_table, woe_table_expected
+from lendframe.operators.woe import MOST_LEVELS, woe_table, woe_table_expected, with_woe
+
+CODINGS = (None, "WoE", "dummy")
+METHODS = ("stepMIV", "stepFWD", "stepRPC")
 
 
 @dataclass(frozen=True)
@@ -19,6 +27,7 @@ class Selection:
     steps: DataFrame
     model: Logit
     data: DataFrame
+    warnings: list[str] = field(default_factory=list)
 
 
 def parse_formula(formula: str) -> tuple[str, list[str]]:
@@ -26,6 +35,44 @@ def parse_formula(formula: str) -> tuple[str, list[str]]:
     return target.strip(), [t for t in (x.strip() for x in right.split("+")) if t and t != "1"]
 
 
+def _start(target: str, start: str | list[str]) -> tuple[str, list[str]]:
+    """``start``: names, or a formula that names the target too."""
+    if isinstance(start, str):
+        named, names = parse_formula(start)
+        if target and named != target:
+            raise ValueError(f"the start model is for {named}, not for {target}")
+        return named, names
+    return target, list(start)
+
+
+def coded(df: DataFrame, target: str, factors: list[str], coding: str | None, plain: list[str] = ()) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The table with coded columns, and the columns of each factor's term; ``plain`` factors stay as they are.
+
+    Dummies: a 0/1 column for each level but the first in sorted order, NULL being a level; at most ten levels.
+    """
+    if coding not in CODINGS:
+        raise ValueError("coding: WoE, dummy or None")
+    terms = {c: [c] for c in factors}
+    names = [c for c in factors if c not in plain]
+    if coding == "WoE" and names:
+        df = with_woe(df, target, names)
+        terms |= {c: [f"{c}_woe"] for c in names}
+    if coding == "dummy" and names:
+        made: dict[str, Column] = {}
+        n = {r.rf: r.n for r in woe_table(df, names, target).groupBy("rf").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if wide := [c for c in names if n.get(c, 0) > MOST_LEVELS + 1]:
+            raise ValueError(f"over {MOST_LEVELS} levels, too many for dummies: {', '.join(wide)}")
+        levels: dict[str, list] = {}
+        for r in woe_table(df, names, target).select("rf", "bin").collect():  # ten levels a factor
+            levels.setdefault(r.rf, []).append(r.bin)
+        for c in names:
+            rest = sorted(levels.get(c, []), key=lambda v: (v is None, v))[1:]
+            terms[c] = [f"{c}__{'NULL' if v is None else v}" for v in rest]
+            made |= {name: F.col(f"`{c}`").cast("string").eqNullSafe(F.lit(v)).cast("int") for name, v in zip(terms[c], rest)}
+        df = df.withColumns(made)
+    return df, terms
+
+
 def miv_table(df: DataFrame, target: str, candidates: list[str], pd_col: str, compat: bool = False) -> DataFrame:
     """Marginal information value of each candidate: observed against expected WoE, and its G-statistic.
 
@@ -46,123 +93,240 @@ def miv_table(df: DataFrame, target: str, candidates: list[str], pd_col: str, co
     )
 
 
-def step_miv(df: DataFrame, target: str, candidates: list[str], miv_threshold: float = 0.02, p_value: float = 0.05, compat: bool = False) -> Selection:
+class Fitter:
+    """Fits of terms on one table. Coded factors have few distinct rows: then one pass compresses the table and all fits run on that."""
+
+    def __init__(self, df: DataFrame, target: str, terms: dict[str, list[str]], offset: str | None = None):
+        self.df, self.target, self.terms, self.offset = df, target, terms, offset
+        columns = list(dict.fromkeys([target, *(c for t in terms.values() for c in t), *([offset] if offset else [])]))
+        self.cells = compress(df.dropna(subset=columns), columns)
+
+    def __call__(self, factors: list[str]) -> Logit:
+        names = [c for f in factors for c in self.terms[f]]
+        return self.cells.fit(self.target, names, self.offset) if self.cells else fit_logit(self.df, self.target, names, self.offset)
+
+    def p_value(self, fit: Logit, factor: str) -> float:
+        names = self.terms[factor]
+        return fit.p_value(names[0]) if len(names) == 1 else fit.wald_p(names) if names else 1.0
+
+    def sign_ok(self, fit: Logit, factor: str, sign: int) -> bool:
+        names = self.terms[factor]
+        return not sign or len(names) != 1 or fit.coefficients[names[0]] * sign > 0
+
+
+def checked(fit: Fitter, model: Logit, start: list[str], p_value: float, sign: int) -> list[str]:
+    """What is wrong with the terms of a start model."""
+    out = [f"{c}: not significant in the start model" for c in start if fit.p_value(model, c) >= p_value]
+    return out + [f"{c}: coefficient of the wrong sign in the start model" for c in start if not fit.sign_ok(model, c, sign)]
+
+
+def step_miv(
+    df: DataFrame, target: str, candidates: list[str], miv_threshold: float = 0.02, p_value: float = 0.05, compat: bool = False,
+    start: str | list[str] = (), coding: str = "WoE", coding_start: bool = True, offset: str | None = None,
+) -> Selection:
     """Add the candidate of the largest MIV while it exceeds the threshold and its G-test is significant.
 
-    The current model is fitted once a step, and one grouped pass scores all candidates. Ties go by name.
+    The current model is fitted once a step, and one grouped pass scores all candidates. Ties go by name. ``start``: a
+    formula or names that are in the model from the beginning, coded too unless ``coding_start`` is off.
     """
-    base = _with_woe(df, target, candidates)
-    cells = compress(base.where(F.col(target).isNotNull()), [target, *[f"{c}_woe" for c in candidates]])
-    fit = (lambda names: cells.fit(target, names)) if cells else (lambda names: fit_logit(base, target, names))
-    chosen: list[str] = []
-    steps = []
+    target, first = _start(target, start)
+    require(df, target, *first, *candidates)
+    require_binary(df, target)
+    candidates = [c for c in candidates if c not in first]
+    base, terms = coded(df.where(F.col(target).isNotNull()), target, [*first, *candidates], coding, [] if coding_start else first)
+    fit = Fitter(base, target, terms, offset)
+    chosen, steps = list(first), []
     while True:
-        model = fit([f"{c}_woe" for c in chosen])
+        model = fit(chosen)
         left = [c for c in candidates if c not in chosen]
         if not left:
             break
-        scored = miv_table(base.withColumn("__pd", model.probability()), target, left, "__pd", compat).collect()
+        scored = miv_table(base.withColumn("__pd", model.probability(F.col(offset) if offset else None)), target, left, "__pd", compat).collect()
         best = max(sorted(scored, key=lambda r: r.rf), key=lambda r: r.miv)
         p = chi2_sf(best.g_stat, best.df) if best.df else 1.0
         if best.miv <= miv_threshold or p >= p_value:
             break
         chosen.append(best.rf)
-        steps.append((len(chosen), best.rf, float(best.miv), float(best.g_stat), p))
+        steps.append((len(steps) + 1, best.rf, float(best.miv), float(best.g_stat), p))
     table = df.sparkSession.createDataFrame(steps, "step int, rf string, miv double, g_stat double, p_value double")
     return Selection(chosen, table, model, base)
 
 
-def _with_woe(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    maps: dict[str, dict] = {c: {} for c in columns}
-    for r in woe_table(df, columns, target).select("rf", "bin", "woe").collect():
-        maps[r.rf][r.bin] = r.woe
-    return df.withColumns({f"{c}_woe": lookup(F.col(f"`{c}`").cast("string"), maps[c], maps[c].get(None)) for c in columns})
+Rule = Callable[[Fitter, Logit, str, list[str]], float | None]
 
 
-def greedy(
-    df: DataFrame, target: str, candidates: list[str], accept: Callable[[Logit, str], float | None], start: list[str] = (), offset: str | None = None
-) -> tuple[list[str], list[tuple], Logit]:
-    """Fit each candidate with what is chosen; ``accept`` gives its rank (smaller is better) or None. Ties go by name."""
+def greedy(fit: Fitter, candidates: list[str], rule: Rule, start: list[str] = ()) -> tuple[list[str], list[tuple], Logit]:
+    """Fit each candidate with what is chosen; ``rule`` gives its rank (smaller is better) or None. Ties go by name."""
     chosen, steps = list(start), []
-    # coded factors have few distinct rows: then one pass compresses the table and all fits run on that summary
-    cells = compress(df, list(dict.fromkeys([target, *chosen, *candidates, *([offset] if offset else [])])))
-    fit = (lambda names: cells.fit(target, names, offset)) if cells else (lambda names: fit_logit(df, target, names, offset))
     model = fit(chosen)
     while left := sorted(c for c in candidates if c not in chosen):
-        fits = [(rank, c, m) for c in left for m in [fit([*chosen, c])] for rank in [accept(m, c)] if rank is not None]
+        fits = [(rank, c, m) for c in left for m in [fit([*chosen, c])] for rank in [rule(fit, m, c, [*chosen, c])] if rank is not None]
         if not fits:
             break
         _, name, model = min(fits, key=lambda x: (x[0], x[1]))
         chosen.append(name)
-        steps.append((len(steps) + 1, name, model.coefficients[name], model.p_value(name), model.aic))
+        names = fit.terms[name]
+        steps.append((len(steps) + 1, name, model.coefficients[names[0]] if len(names) == 1 else None, fit.p_value(model, name), model.aic))
     return chosen, steps, model
 
 
-def _by_p(p_value: float, sign: int) -> Callable[[Logit, str], float | None]:
-    def accept(fit: Logit, name: str) -> float | None:
-        p = fit.p_value(name)
-        return p if p < p_value and (not sign or fit.coefficients[name] * sign > 0) else None
-    return accept
+def _p_rule(p_value: float, sign: int, free: list[str] = ()) -> Rule:
+    """The candidate's own p-value; ``free`` factors may have any sign."""
+    def rule(fit: Fitter, model: Logit, name: str, _: list[str]) -> float | None:
+        p = fit.p_value(model, name)
+        return p if p < p_value and (name in free or fit.sign_ok(model, name, sign)) else None
+    return rule
+
 
+def _size_rule(p_value: float, sign: int, free: list[str] = ()) -> Rule:
+    """Among significant candidates the largest coefficient."""
+    def rule(fit: Fitter, model: Logit, name: str, _: list[str]) -> float | None:
+        ok = fit.p_value(model, name) < p_value and (name in free or fit.sign_ok(model, name, sign))
+        return -max(abs(model.coefficients[c]) for c in fit.terms[name]) if ok else None
+    return rule
 
-def _by_aic(p_value: float, sign: int) -> Callable[[Logit, str], float | None]:
-    def accept(fit: Logit, name: str) -> float | None:
-        ok = all(fit.p_value(n) < p_value and (not sign or fit.coefficients[n] * sign > 0) for n in fit.names)
-        return fit.aic if ok else None
-    return accept
+
+def _aic_rule(p_value: float, sign: int) -> Rule:
+    """AIC, where all terms of the model stay significant and keep their sign."""
+    def rule(fit: Fitter, model: Logit, _: str, names: list[str]) -> float | None:
+        return model.aic if all(fit.p_value(model, n) < p_value and fit.sign_ok(model, n, sign) for n in names) else None
+    return rule
 
 
 STEPS = "step int, rf string, coefficient double, p_value double, aic double"
 
 
-def step_fwd(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, offset: str | None = None) -> Selection:
-    """Forward by the lowest p-value. ``sign``: of accepted coefficients, -1 for WoE with bad = 1, 0 for any."""
-    chosen, steps, model = greedy(df.dropna(subset=[target, *candidates]), target, candidates, _by_p(p_value, sign), offset=offset)
-    return Selection(chosen, df.sparkSession.createDataFrame(steps, STEPS), model, df)
+def _prepared(df: DataFrame, target: str, candidates: list[str], start, coding, coding_start, offset) -> tuple[Fitter, str, list[str], list[str]]:
+    target, first = _start(target, start)
+    require(df, target, *first, *candidates, *([offset] if offset else []))
+    require_binary(df, target)
+    candidates = [c for c in candidates if c not in first]
+    rows = df.where(F.col(target).isNotNull())
+    if coding is None:
+        rows = rows.dropna(subset=[*first, *candidates])
+    rows, terms = coded(rows, target, [*first, *candidates], coding, [] if coding_start else first)
+    return Fitter(rows, target, terms, offset), target, first, candidates
+
 
+def _selection(df: DataFrame, fit: Fitter, chosen: list[str], steps: list[tuple], model: Logit, warnings: list[str]) -> Selection:
+    return Selection(chosen, df.sparkSession.createDataFrame(steps, STEPS), model, fit.df, warnings)
+
+
+def step_fwd(
+    df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, offset: str | None = None,
+    start: str | list[str] = (), coding: str | None = None, coding_start: bool = True, check_start: bool = True, by_aic: bool = False,
+) -> Selection:
+    """Forward by the lowest p-value. ``sign``: of accepted coefficients, -1 for WoE with bad = 1, 0 for any.
+
+    ``start``: a formula or names that are in the model from the beginning; their terms are checked and complaints are in
+    ``warnings``. ``coding``: None for columns that are coded already, WoE or dummy.
+    """
+    fit, target, first, rest = _prepared(df, target, candidates, start, coding, coding_start, offset)
+    chosen, steps, model = greedy(fit, rest, (_aic_rule if by_aic else _p_rule)(p_value, sign), first)
+    return _selection(df, fit, chosen, steps, model, checked(fit, fit(first), first, p_value, sign) if check_start and first else [])
 
-def step_fwdr(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = 0, offset: str | None = None) -> Selection:
-    """Forward by AIC among candidates with which all terms stay significant and keep their sign."""
-    chosen, steps, model = greedy(df.dropna(subset=[target, *candidates]), target, candidates, _by_aic(p_value, sign), offset=offset)
-    return Selection(chosen, df.sparkSession.createDataFrame(steps, STEPS), model, df)
 
+def step_fwdr(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = 0, offset: str | None = None, **more) -> Selection:
+    """Forward by AIC among candidates with which all terms stay significant and keep their sign; see ``step_fwd``."""
+    return step_fwd(df, target, candidates, p_value, sign, offset, by_aic=True, **more)
 
-def step_rpc(df: DataFrame, target: str, profile: dict[str, int], p_value: float = 0.05, sign: int = -1, by_aic: bool = False, offset: str | None = None) -> Selection:
-    """Forward within groups of candidates, by ascending priority; each group starts from what is chosen."""
-    rows = df.dropna(subset=[target, *profile])
-    chosen: list[str] = []
-    steps: list[tuple] = []
-    model = None
-    rule = (_by_aic if by_aic else _by_p)(p_value, sign)
+
+def step_rpc(
+    df: DataFrame, target: str, profile: dict[str, int], p_value: float = 0.05, sign: int = -1, by_aic: bool = False, offset: str | None = None,
+    start: str | list[str] = (), coding: str | None = None, coding_start: bool = True, check_start: bool = True,
+) -> Selection:
+    """Forward within groups of candidates, by ascending priority; each group starts from what is chosen. See ``step_fwd``."""
+    fit, target, first, rest = _prepared(df, target, list(profile), start, coding, coding_start, offset)
+    chosen, steps, model = list(first), [], fit(first)
+    rule = (_aic_rule if by_aic else _p_rule)(p_value, sign)
     for group in sorted(set(profile.values())):
-        chosen, more, model = greedy(rows, target, [c for c, g in profile.items() if g == group], rule, chosen, offset)
+        chosen, more, model = greedy(fit, [c for c in rest if profile[c] == group], rule, chosen)
         steps += [(len(steps) + i + 1, *m[1:]) for i, m in enumerate(more)]
-    return Selection(chosen, df.sparkSession.createDataFrame(steps, STEPS), model, df)
+    return _selection(df, fit, chosen, steps, model, checked(fit, fit(first), first, p_value, sign) if check_start and first else [])
+
+
+def step_rpcr(df: DataFrame, target: str, profile: dict[str, int], p_value: float = 0.05, sign: int = -1, **more) -> Selection:
+    """``step_rpc`` by AIC."""
+    return step_rpc(df, target, profile, p_value, sign, by_aic=True, **more)
+
 
+def forward_or_any(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, **more) -> Selection:
+    """``step_fwd``; where no candidate is significant with the right sign, any significant one will do."""
+    got = step_fwd(df, target, candidates, p_value, sign, **more)
+    return got if got.selected else step_fwd(df, target, candidates, p_value, 0, **more)
 
-def blocks(df: DataFrame, target: str, plan: dict[str, str], kind: str = "staged", p_value: float = 0.05, sign: int = -1) -> tuple[DataFrame, DataFrame]:
+
+def by_importance(importance: dict[str, float], share: float = 0.90, least: int = 4, most: int = 12) -> list[str]:
+    """Factors by descending importance until they make up ``share`` of all, the one that crosses it included; ties by name."""
+    ranked = sorted(importance, key=lambda c: (-importance[c], c))
+    total, run, picked = sum(importance.values()), 0.0, []
+    for c in ranked:
+        picked.append(c)
+        run += importance[c]
+        if run > share * total:
+            break
+    return ranked[: min(max(len(picked), least), most)]
+
+
+def boosted_selection(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, trees: int = 40, depth: int = 4, seed: int = 42) -> Selection:
+    """Candidates by the importance in boosted trees, then a logit; terms of the wrong sign or without significance go, worst first."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = df.dropna(subset=[target, *candidates])
+    ready = VectorAssembler(inputCols=list(candidates), outputCol="__f").transform(rows).withColumn("__y", F.col(target).cast("double"))
+    model = GBTClassifier(labelCol="__y", featuresCol="__f", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(ready)
+    names = by_importance(dict(zip(candidates, model.featureImportances.toArray().tolist())))
+    fit = Fitter(rows, target, {c: [c] for c in names})
+    logit, dropped = fit(names), []
+    while names:
+        bad = [c for c in names if not fit.sign_ok(logit, c, sign) or fit.p_value(logit, c) >= p_value]
+        if not bad:
+            break
+        worst = max(bad, key=lambda c: (not fit.sign_ok(logit, c, sign), fit.p_value(logit, c), c))
+        dropped.append(worst)
+        names = [c for c in names if c != worst]
+        logit = fit(names)
+    steps = [(i + 1, c, logit.coefficients[c], logit.p_value(c), logit.aic) for i, c in enumerate(names)]
+    return _selection(df, fit, names, steps, logit, [f"{c}: left out of the boosted selection" for c in dropped])
+
+
+def blocks(
+    df: DataFrame, target: str, plan: dict[str, str], kind: str = "staged", p_value: float = 0.05, sign: int = -1, method: str = "stepFWD",
+    priority: dict[str, int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Models of blocks of candidates, in the order of block names; ``plan`` maps candidates to blocks.
 
-    staged: the linear predictors of earlier blocks are the offset. embedded: the last block's prediction is a candidate.
-    ensemble: blocks by themselves, and a logit of their predictions. Returns the scored table and the steps.
+    staged: the linear predictors of earlier blocks are the offset. embedded: the predicted probabilities of all earlier
+    blocks are candidates of any sign. ensemble: blocks by themselves, and a logit of their predictions. ``method``:
+    stepFWD goes by p-value, stepMIV by the size of significant coefficients, stepRPC by p-value within ``priority``
+    groups. Returns the scored table and the steps.
     """
+    if kind not in ("staged", "embedded", "ensemble") or method not in METHODS:
+        raise ValueError("kind: staged, embedded or ensemble; method: stepMIV, stepFWD or stepRPC")
     rows = df.dropna(subset=[target, *plan])
     steps, scores = [], []
     for block in sorted(set(plan.values())):
         names = [c for c, b in plan.items() if b == block]
         offset = "__offset" if kind == "staged" and scores else None
-        extra = scores[-1:] if kind == "embedded" else []
-        start = [f"{s}" for s in extra]
-        chosen, more, model = greedy(rows, target, names, _by_p(p_value, sign), start, offset)
+        earlier = list(scores) if kind == "embedded" else []
+        fit = Fitter(rows, target, {c: [c] for c in [*names, *earlier]}, offset)
+        rule = (_size_rule if method == "stepMIV" else _p_rule)(p_value, sign, earlier)
+        groups = {c: (priority or {}).get(c, 0) for c in names} if method == "stepRPC" else dict.fromkeys(names, 0)
+        groups |= dict.fromkeys(earlier, max(groups.values(), default=0))
+        chosen, more, model = [], [], fit([])
+        for group in sorted(set(groups.values())):
+            chosen, found, model = greedy(fit, [c for c, g in groups.items() if g == group], rule, chosen)
+            more += found
         name = f"pred_{block}"
-        rows = rows.withColumn(name, model.linear(F.col(offset) if offset else None))
+        score = model.linear(F.col(offset) if offset else None)
+        rows = rows.withColumn(name, 1 / (1 + F.exp(-score)) if kind == "embedded" else score)
         if kind == "staged":
             rows = rows.withColumn("__offset", F.col(name))
         scores.append(name)
-        steps += [(block, *m) for m in more]
+        steps += [(block, i + 1, *m[1:]) for i, m in enumerate(more)]
     if kind == "ensemble":
-        model = fit_logit(rows, target, scores)
-        rows = rows.withColumn("prediction", model.probability())
+        rows = rows.withColumn("prediction", fit_logit(rows, target, scores).probability())
     else:
-        rows = rows.withColumn("prediction", 1 / (1 + F.exp(-F.col(scores[-1]))))
+        rows = rows.withColumn("prediction", F.col(scores[-1]) if kind == "embedded" else 1 / (1 + F.exp(-F.col(scores[-1]))))
     return rows.drop("__offset"), df.sparkSession.createDataFrame(steps, f"block string, {STEPS}")

@@ -12,6 +12,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 
 from lendframe.functions.dist import phi, two_sided
 from lendframe.functions.special import is_numeric
+from lendframe.operators.quantiles import of_counts
 
 DECILES = [i / 10 for i in range(1, 10)]
 
@@ -31,7 +32,8 @@ def best_splits(df: DataFrame, node: Column, y: str, factors: list[str]) -> list
     out = []
     if numeric:
         long = rows.select("__node", F.col(y).alias("y"), F.inline(F.array(*[F.struct(F.lit(c).alias("rf"), F.col(f"`{c}`").cast("double").alias("v")) for c in numeric]))).where("v is not null")
-        cuts = long.groupBy(F.col("__node").alias("n"), F.col("rf").alias("r")).agg(F.array_distinct(F.percentile("v", F.array(*[F.lit(p) for p in DECILES]))).alias("cuts"))
+        counts = long.groupBy("__node", "rf", "v").agg(F.count(F.lit(1)).alias("n"))
+        cuts = of_counts(counts, ["__node", "rf"], DECILES).select(F.col("__node").alias("n"), F.col("rf").alias("r"), F.array_distinct("q").alias("cuts"))
         # nodes by factors rows of nine cuts
         tried = long.join(F.broadcast(cuts), (F.col("__node") == F.col("n")) & (F.col("rf") == F.col("r"))).select("__node", "rf", "y", "v", F.explode("cuts").alias("cut"))
         left = F.col("v") <= F.col("cut")

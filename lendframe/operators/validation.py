@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import beta_cdf, binomial_cdf, chi2_ppf, chi2_sf, f_sf, phi, phi_column, phi_inverse, two_sided
+from lendframe.functions.draws import normal
 from lendframe.operators.metrics import cut, quantile_edges
 
 
@@ -142,6 +143,8 @@ def psi(base: DataFrame, target: DataFrame, column: str, bins: int = 10, numeric
         few = base.agg(F.countDistinct(column)).first()[0] <= bins
         if few:  # under ``bins`` values
             points = sorted(r[0] for r in base.select(column).where(F.col(column).isNotNull()).distinct().collect())
+            if not points:
+                raise ValueError(f"the base has no values of {column}")
             edges = [points[0], *[(a + b) / 2 for a, b in zip(points, points[1:])], points[-1]]
         else:
             edges = quantile_edges(base, column, bins)
@@ -232,23 +235,37 @@ def vif(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {c: float(m[i, i] * inverse[i, i]) for i, c in enumerate(columns)}
 
 
-def evrs(df: DataFrame, y: str, pd_est: str, pd_bm: str, lgd: float = 0.45, rf: float = 0.02, elasticity: float = 5.0, threshold: float = 0.5, sims: int = 100, seed: int = 991) -> DataFrame:
-    """Simulated return of pricing by two PD models with logit noise: one row per simulation and model."""
-    draws = df.select(y, pd_est, pd_bm).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-    noise = F.randn(seed) * 0.5
-    noisy = lambda p: 1 / (1 + F.exp(-(F.log(F.col(p) / (1 - F.col(p))) + noise)))
-    rows = draws.withColumns({"e": spread(noisy(pd_est), lgd, rf), "b": spread(noisy(pd_bm), lgd, rf)})
-    out = []
-    for name, own, other in (("estimated", "e", "b"), ("benchmark", "b", "e")):
-        stays = 1 / (1 + F.exp(elasticity * (F.col(own) - F.col(other)) * 100)) >= 1 - threshold
-        gain = F.when(F.col(y) == 1, -F.lit(lgd)).otherwise(F.col(own))
-        out.append(rows.where(stays).groupBy("sim").agg(F.avg(gain).alias("portfolio_return")).withColumn("model", F.lit(name)))
-    return out[0].unionByName(out[1])
-
+def evrs(df: DataFrame, y: str, pd_est: str, pd_bm: str, id_col: str, lgd: float | str = 0.45, rf: float = 0.02, elasticity: float = 5.0, threshold: float = 0.5, sims: int = 500, seed: int = 991) -> DataFrame:
+    """Simulated return of pricing by two PD models observed with noise: one row (sim, model, portfolio_return) each.
 
-def spread(p: Column, lgd: float = 0.45, rf: float = 0.02) -> Column:
+    Each model's log odds get a normal error of 0.5, drawn apart for the two from a hash of (seed, id, simulation, model).
+    A customer leaves where the chance 1 - exp(-elasticity * overprice) against the spread of the benchmark without error
+    reaches the threshold; those who stay bring the spread, or lose ``lgd`` (a number or a column) on default. No customer
+    left: 0. Rows with a NULL are left out.
+    """
+    loss = F.lit(lgd) if isinstance(lgd, float) else F.col(lgd)
+    base = df.select(F.col(id_col).alias("id"), F.col(y).alias("y"), F.col(pd_est).alias("e"), F.col(pd_bm).alias("b"), loss.cast("double").alias("lgd")).dropna()
+    drawn = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
+    cells = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("p")) for n, c in (("estimated", "e"), ("benchmark", "b"))])
+    rows = drawn.select("id", "y", "b", "lgd", "sim", F.inline(cells))
+    safe = F.greatest(F.least(F.col("p"), F.lit(1 - 1e-10)), F.lit(1e-10))
+    odds = F.log(safe / (1 - safe)) + 0.5 * normal(F.lit(seed), F.col("id"), F.col("sim"), F.col("model"))
+    priced = rows.withColumns({"own": spread(1 / (1 + F.exp(-odds)), F.col("lgd"), rf), "fair": spread(F.col("b"), F.col("lgd"), rf)})
+    stays = 1 - F.exp(-elasticity * F.greatest(F.col("own") - F.col("fair"), F.lit(0.0))) < threshold
+    gain = F.when(stays, F.when(F.col("y") == 1, -F.col("lgd")).otherwise(F.col("own")))
+    return priced.groupBy("sim", "model").agg(F.coalesce(F.avg(gain), F.lit(0.0)).alias("portfolio_return"))
+
+
+def evrs_summary(returns: DataFrame) -> DataFrame:
+    """Mean, population deviation, least and largest return of each model."""
+    r = F.col("portfolio_return")
+    return returns.groupBy("model").agg(F.avg(r).alias("mean_return"), F.stddev_pop(r).alias("std_return"), F.min(r).alias("min_return"), F.max(r).alias("max_return"))
+
+
+def spread(p: Column, lgd: float | Column = 0.45, rf: float = 0.02) -> Column:
     """Credit spread that makes up for expected loss."""
-    return (1 + rf) / (1 - p * lgd) - 1 - rf
+    loss = F.greatest(F.least(p * lgd, F.lit(0.999)), F.lit(0.0))
+    return (1 + rf) / (1 - loss) - 1 - rf
 
 
 def half_split_auc(df: DataFrame, score: str, y: str, half: Column) -> DataFrame:

@@ -83,17 +83,39 @@ def lookup(value: Column, mapping: dict, null_value=None) -> Column:
     return F.coalesce(F.when(value.isNotNull(), found), F.lit(null_value))
 
 
+#: Levels of a table of columns that go into the plan as maps; columns of more are joined to their table.
+MAPPED_LEVELS = 1000
+
+
+def _woe_of(df: DataFrame, target: str, columns: list[str], names: dict[str, str]) -> DataFrame:
+    """``df`` with the WoE of each column under its name: by a map in the plan if levels are few, by a join if they are many."""
+    table = woe_table(df, columns, target).select("rf", "bin", "woe")
+    counts = {r.rf: r.n for r in table.groupBy("rf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    few = [c for c in columns if counts.get(c, 0) <= MAPPED_LEVELS]
+    maps: dict[str, dict] = {c: {} for c in few}
+    for r in table.where(F.col("rf").isin(few)).collect() if few else []:
+        maps[r.rf][r.bin] = r.woe
+    out = df.withColumns({names[c]: lookup(F.col(f"`{c}`").cast("string"), maps[c], maps[c].get(None)) for c in few})
+    for c in [c for c in columns if c not in few]:
+        own = table.where(F.col("rf") == c).select(F.col("bin").alias("__bin"), F.col("woe").alias("__woe"))
+        joined = out.join(own, F.col(f"`{c}`").cast("string").eqNullSafe(F.col("__bin")), "left")
+        out = joined.drop("__bin", *([names[c]] if names[c] == c else [])).withColumnRenamed("__woe", names[c])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{n}`") for n in names.values() if n not in df.columns])
+
+
+def with_woe(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
+    """``df`` and a column c_woe for each column c."""
+    return _woe_of(df, target, columns, {c: f"{c}_woe" for c in columns}) if columns else df
+
+
 def replace_woe(df: DataFrame, target: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Each categorical column replaced by its WoE. Info code 1: numeric, passed; 2: over ten levels, still encoded."""
     numeric = [c for c in columns if is_numeric(df, c)]
     rest = [c for c in columns if c not in numeric]
     n = levels(df, rest) if rest else {}
-    maps: dict[str, dict] = {c: {} for c in rest}
-    for r in woe_table(df, rest, target).select("rf", "bin", "woe").collect() if rest else []:
-        maps[r.rf][r.bin] = r.woe
-    coded = df.withColumns({c: lookup(F.col(f"`{c}`").cast("string"), maps[c], maps[c].get(None)) for c in rest})
+    made = _woe_of(df, target, rest, {c: c for c in rest}) if rest else df
     info = df.sparkSession.createDataFrame([(c, 1) for c in numeric] + [(c, 2) for c in rest if n[c] > MOST_LEVELS], "rf string, info_code int")
-    return coded, info
+    return made, info
 
 
 def encode_woe(df: DataFrame, column: str, mapping: dict) -> DataFrame:
@@ -154,8 +176,30 @@ def create_partitions(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Dat
     return df.withColumns(new), df.sparkSession.createDataFrame(info, "rf string, info_code int")
 
 
-def shortlist(table: DataFrame, iv: float = 0.1, low: float = 0.05, high: float = 0.15) -> DataFrame:
-    """Columns by IV: those of at least ``iv``; under 5 of them, of at least ``low``; over 15, of at least ``high``."""
+def shortlist(table: DataFrame, iv: float = 0.1, low: float = 0.05, high: float = 0.15, pairs: DataFrame | None = None, corr: float = 0.7) -> DataFrame:
+    """Columns by IV: those of at least ``iv``; under 5 of them, of at least ``low``; over 15, of at least ``high``.
+
+    ``pairs``: (rf1, rf2, corr) of coded columns. Of a pair above ``corr`` the one of lower IV goes, ties by name.
+    """
     per = table.groupBy("rf").agg(F.sum("iv_b").alias("iv"))
     n = F.count_if(F.col("iv") >= iv).over(Window.partitionBy())
-    return per.withColumn("cut", F.when(n < 5, low).when(n > 15, high).otherwise(iv)).where("iv >= cut").select("rf", "iv")
+    listed = per.withColumn("cut", F.when(n < 5, low).when(n > 15, high).otherwise(iv)).where("iv >= cut").select("rf", "iv")
+    if pairs is None:
+        return listed
+    close = pairs.where(F.abs("corr") > corr).select("rf1", "rf2")
+    one, two = (listed.select(F.col("rf").alias(f"rf{i}"), F.col("iv").alias(f"iv{i}")) for i in (1, 2))
+    # as many rows as pairs of columns
+    both = close.join(one, "rf1").join(two, "rf2")
+    loser = F.when((F.col("iv1") < F.col("iv2")) | ((F.col("iv1") == F.col("iv2")) & (F.col("rf1") > F.col("rf2"))), F.col("rf1")).otherwise(F.col("rf2"))
+    return listed.join(both.select(loser.alias("rf")), "rf", "left_anti")
+
+
+def oriented(auc: Column) -> Column:
+    """The AUC of a score whichever way it points."""
+    return F.greatest(auc, 1 - auc)
+
+
+def coverage(dictionary: DataFrame, listed: DataFrame, category: str = "category") -> DataFrame:
+    """Per risk category of the dictionary (rf, category): factors in all, factors listed, and whether any is."""
+    mine = listed.select("rf", F.lit(1).alias("__in"))
+    return dictionary.join(mine, "rf", "left").groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.count("__in").alias("n_listed")).withColumn("covered", F.col("n_listed") > 0)

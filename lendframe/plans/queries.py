@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import phi_sql
+from lendframe.functions.draws import normal_sql, uniform_sql
 from lendframe.operators import binning, cluster, glm, metrics, profile, resample, scorecard, selection, trees, validation, woe
-from lendframe.plans import benchmark
+from lendframe.plans import benchmark, logit_sql
 from lendframe.plans import scorecard as pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,7 +317,21 @@ def calibrate_scaling(spark, sf):
     return scorecard.calibrate(scale, 0.3)[0].select("rating", r("pd_calib"))
 
 
-@query()
+def logit_scale_sql() -> str:
+    """Grades with their log odds; bisection for one parameter, Gauss-Newton steps for two."""
+    expit = lambda e: f"(1 / (1 + exp(-({e}))))"
+    mean = lambda e: f"(sum(({e}) * no) / sum(no))"
+    p = expit("a + b * x")
+    return f""", s as (select grade as rating, count(*)::double as no, avg(y_b)::double as dr from graded group by 1), l as (select *, ln(greatest(least(dr, 1 - 1e-10), 1e-10) / (1 - greatest(least(dr, 1 - 1e-10), 1e-10))) as x from s),
+  one(it, low, high) as (select 0, -10.0::double, 10.0::double union all select it + 1, case when m < 0.3 then (low + high) / 2 else low end, case when m < 0.3 then high else (low + high) / 2 end
+    from (select it, low, high, {mean(expit('(low + high) / 2 + x'))} as m from one, l where it < 60 group by it, low, high)),
+  two(it, a, b) as (select 0, 0.0::double, 1.0::double union all select it + 1, a - ((db * db + 0.001) * miss * da - da * db * (miss * db + 0.001 * (b - 1))) / det, b - ((da * da + 1e-12) * (miss * db + 0.001 * (b - 1)) - da * db * miss * da) / det
+    from (select *, (da * da + 1e-12) * (db * db + 0.001) - da * db * da * db as det from (
+      select it, a, b, {mean(p)} - 0.3 as miss, {mean(p + ' * (1 - ' + p + ')')} as da, {mean(p + ' * (1 - ' + p + ') * x')} as db from two, l where it < 300 group by it, a, b)))
+  select 'a' as method, rating, round({expit('low + x')}, 6) as pd_calib from one, l where it = 60 union all select 'ab', rating, round({p}, 6) from two, l where it = 300"""
+
+
+@query(GRADED.replace("with ", "with recursive ", 1) + logit_scale_sql())
 def calibrate_log_odds(spark, sf):
     scale = scorecard.rating_scale(graded(spark, sf), "grade", "y_b", "pd")
     one, _ = scorecard.calibrate(scale, 0.3, method="log_odds_a")
@@ -366,12 +381,44 @@ def pp_zscore_hl(spark, sf):
     return validation.predictive_power(scale).select("rating", "no", "nb", r("pdc"), r("z", 5), r("hl", 4))
 
 
-@query()
+SCALE_PD = ", scale as (select grade as rating, count(*)::double as no, sum(y_b)::double as nb, avg(pd)::double as pdc from graded group by 1)"
+
+
+def binomial_sql(k: str, n: str, p: str) -> str:
+    return f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
+
+
+def beta_sql(x: str, a: str, b: str, terms: str) -> str:
+    """The incomplete beta function by its series of positive terms; ``terms``: a list of 0, 1, ..."""
+    before = f"{a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - lgamma({a}) - lgamma({b})"
+    return f"list_sum(list_transform({terms}, lambda i: exp({before} + lgamma({a} + {b} + i) - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * ln({x}))))"
+
+
+def chi2_sf_sql(x: str, df: str) -> str:
+    """For even degrees of freedom: a finite sum."""
+    return f"list_sum(list_transform(range(({df} / 2)::bigint), lambda i: exp(-{x} / 2 + i * ln({x} / 2) - lgamma(i + 1))))"
+
+
+@query(GRADED + SCALE_PD + f""", tail as (select rating, sum({binomial_sql('k', 'no', 'pdc')}) as binomial_p from (select *, unnest(range(nb::bigint, no::bigint + 1))::double as k from scale) group by 1),
+  hl as (select sum((nb - no * pdc) * (nb - no * pdc) / (no * pdc * (1 - pdc))) as hl, count(*) as df from scale), z as (select *, (nb / no - pdc) / sqrt(pdc * (1 - pdc) / no) as z from scale)
+  select z.rating, round(binomial_p, 6) as binomial_p, round({beta_sql('pdc', '(nb + 0.5)', '(no - nb + 0.5)', 'range(20000)')}, 6) as jeffreys_p, round(1 - ({phi_sql('z')}), 6) as zscore_p, round({chi2_sf_sql('hl', 'df')}, 6) as hl_p
+  from z join tail using (rating), hl""")
 def pp_binomial_jeffreys(spark, sf):
     scale = scorecard.rating_scale(graded(spark, sf), "grade", "y_b", "pd")
     return validation.predictive_power(scale).select("rating", r("binomial_p"), r("jeffreys_p"), r("zscore_p"), r("hl_p"))
 
 
+@query(GRADED + f""", scale as (select grade as rating, count(*)::double as no, sum(y_a)::double as nb, avg(y_a)::double - 0.01 as pdc from graded group by 1),
+  chance as (select *, unnest(range(no::bigint + 1))::double as k from scale), mass as (select *, {binomial_sql('k', 'no', '(nb / no)')} as mass, {binomial_sql('k', 'no', 'pdc')} as null_mass from chance),
+  tail as (select *, sum(null_mass) over (partition by rating order by k desc) as binomial_p from mass),
+  tried as (select *, (k / no - pdc) / sqrt(pdc * (1 - pdc) / no) as z from tail where mass > 1e-12),
+  tests as (select *, 1 - ({phi_sql('z')}) as zscore_p, {beta_sql('pdc', '(k + 0.5)', '(no - k + 0.5)', 'range(6000)')} as jeffreys_p from tried)
+  select rating, unnest(['binomial', 'jeffreys', 'zscore']) as test, round(unnest([sum(mass) filter (binomial_p < 0.05), sum(mass) filter (jeffreys_p < 0.05), sum(mass) filter (zscore_p < 0.05)]), 6) as power from tests group by rating""")
+def power_exact_tests(spark, sf):
+    scale = scorecard.rating_scale(graded(spark, sf), "grade", "y_a", "pd").withColumn("pdc", F.col("dr") - 0.01)
+    return validation.power(scale).select("rating", "test", r("power"))
+
+
 @query()
 def power_of_tests(spark, sf):
     scale = scorecard.rating_scale(graded(spark, sf), "grade", "y_a", "pd").withColumn("pdc", F.col("dr") - 0.01)
@@ -468,7 +515,16 @@ def fairness_anova(spark, sf):
     return validation.fairness_continuous(portfolio(spark, sf), "c_mktsegment", "o_totalprice").select("df1", "df2", r("f", 5))
 
 
-@query()
+def parity_sql(name: str, source: str, stratum: str = "0") -> str:
+    """One row (chi2, df) of the chi-squared of out by segment, summed over strata."""
+    return f"""{name} as (with c as (select {stratum} as k, o_totalprice > 300000 as o, c_mktsegment as s, count(*)::double as n from {source} group by 1, 2, 3),
+    f as (select *, sum(n) over (partition by k, o) * sum(n) over (partition by k, s) / sum(n) over (partition by k) as e from c),
+    x as (select k, sum((n - e) * (n - e) / e) + sum(n) - sum(e) as chi2, (count(distinct o) - 1) * (count(distinct s) - 1) as df from f group by k) select sum(chi2) as chi2, sum(df) as df from x)"""
+
+
+@query(WITH + f""", {parity_sql('p1', 'portfolio')}, {parity_sql('p2', 'portfolio', 'r_name')}, {parity_sql('p3', '(select * from portfolio where y_b = 1)')},
+  t as (select 'statistical parity' as test, * from p1 union all select 'conditional parity', * from p2 union all select 'equal opportunity', * from p3)
+  select test, round(chi2, 5) as statistic, round({chi2_sf_sql('chi2', 'df')}, 6) as p_value from t""")
 def fairness_all(spark, sf):
     rows = portfolio(spark, sf).withColumn("out", (F.col("o_totalprice") > 300000).cast("int"))
     return validation.fairness_vld(rows, "c_mktsegment", "y_b", "out", "r_name").select("test", r("statistic", 5), r("p_value"))
@@ -492,10 +548,16 @@ def evrs_spread(spark, sf):
     return portfolio(spark, sf).select("id", F.round(validation.spread(F.col("pd")), 8).alias("spread"))
 
 
-@query()
+EVRS_ODDS = f"ln(p / (1 - p)) + 0.5 * {normal_sql('991', 'id', 'sim', 'model')}"
+
+
+@query(WITH + f""", d as (select id, y_b, sim, model, case when model = 'estimated' then pd else 0.3 end as p from portfolio, range(1, 501) s(sim), (values ('estimated'), ('benchmark')) m(model)),
+  s as (select *, 1.02 / (1 - least(0.45 / (1 + exp(-({EVRS_ODDS}))), 0.999)) - 1.02 as own, 1.02 / (1 - 0.45 * 0.3) - 1.02 as fair from d),
+  g as (select sim, model, avg(case when y_b = 1 then -0.45 else own end) filter (1 - exp(-5 * greatest(own - fair, 0)) < 0.5) as gain from s group by 1, 2)
+  select sim::int as sim, model, round(coalesce(gain, 0), 6) as portfolio_return from g""")
 def evrs_returns(spark, sf):
     rows = portfolio(spark, sf).withColumn("pd_bm", F.lit(0.3))
-    return validation.evrs(rows, "y_b", "pd", "pd_bm", sims=500).select("sim", "model", r("portfolio_return"))
+    return validation.evrs(rows, "y_b", "pd", "pd_bm", "id", sims=500).select("sim", "model", r("portfolio_return"))
 
 
 ORDER_KEY = "((id + 2191) * 2654435761 % 4294967296)"
@@ -522,18 +584,56 @@ def smote_knn(spark, sf):
     return resample.heom_neighbours(rows, "s_suppkey", ["s_acctbal"], ["s_nationkey"]).select("id", "neighbour", r("distance"), "rank")
 
 
-@query()
-def smote_rows(spark, sf):
+def smote_sql(osr: float) -> str:
+    draw = lambda what: uniform_sql("81000", "id", "c", f"'{what}'")
+    return f"""with m as {SMALL}, s as (select max(s_acctbal) - min(s_acctbal) as span from supplier), p as (select a.s_suppkey as id, b.s_suppkey as neighbour, sqrt(((a.s_acctbal - b.s_acctbal) / span) ** 2 + (a.s_nationkey <> b.s_nationkey)::int) as distance
+  from m a, m b, s where a.s_suppkey <> b.s_suppkey), k as (select *, row_number() over (partition by id order by distance, neighbour) as rank from p), near as (select * from k where rank <= 5), held as (select id, max(rank) as held from near group by id),
+  n as (select count(*) as n, round_even(count(*) * {osr}::double, 0)::bigint as total from m), placed as (select s_suppkey as id, row_number() over (order by (s_suppkey + 81000) * 2654435761 % 4294967296, s_suppkey) - 1 as place from m),
+  copied as (select id, unnest(range(1, 1 + total // n + (place < total % n)::int)) as c from placed, n), drawn as (select id, c, 1 + floor({draw('neighbour')} * held)::bigint as rank, {draw('factor')} as factor from copied join held using (id)),
+  made as (select b.s_nationkey, a.s_acctbal + factor * (b.s_acctbal - a.s_acctbal) as s_acctbal from drawn join near using (id, rank) join m a on a.s_suppkey = id join m b on b.s_suppkey = neighbour)
+  select s_suppkey, s_nationkey, round(s_acctbal::double, 6) as s_acctbal, (s_nationkey < 5)::int as y, 0 as smote from supplier union all select null, s_nationkey, round(s_acctbal::double, 6), 1, 1 from made"""
+
+
+def _smote(spark, sf, osr: float) -> DataFrame:
     rows = table(spark, sf, "supplier").withColumn("y", (F.col("s_nationkey") < 5).cast("int"))
-    return resample.smote(rows, "y", 1, 1.0, "s_suppkey", ["s_acctbal"], ["s_nationkey"]).select("s_suppkey", "s_nationkey", r("s_acctbal"), "y", "smote")
+    return resample.smote(rows, "y", 1, osr, "s_suppkey", ["s_acctbal"], ["s_nationkey"]).select("s_suppkey", "s_nationkey", r("s_acctbal"), "y", "smote")
 
 
-@query()
+@query(smote_sql(1.0))
+def smote_rows(spark, sf):
+    return _smote(spark, sf, 1.0)
+
+
+@query(smote_sql(0.2))
+def smote_a_fifth(spark, sf):
+    return _smote(spark, sf, 0.2)
+
+
+@query(smote_sql(2.5))
+def smote_two_and_a_half(spark, sf):
+    return _smote(spark, sf, 2.5)
+
+
+@query(WITH + """, l as (select priority_na as v, count(*) filter (y_b = 0)::double as g, count(*) filter (y_b = 1)::double as b from portfolio group by 1), t as (select sum(g) as tg, sum(b) as tb from l),
+  o as (select *, row_number() over (order by v) as i from l where v is not null),
+  p as (select a.i, (a.g / tg - a.b / tb) * ln((a.g / tg) / (a.b / tb)) + (c.g / tg - c.b / tb) * ln((c.g / tg) / (c.b / tb)) - ((a.g + c.g) / tg - (a.b + c.b) / tb) * ln(((a.g + c.g) / tg) / ((a.b + c.b) / tb)) as loss
+    from o a join o c on c.i = a.i + 1, t), m as (select arg_min(i, (loss, i)) as place from p),
+  k as (select case when i > place then i - 1 else i end as k, v, g, b from o, m), grouped as (select printf('%02d', k) || ' [' || string_agg(v, ',' order by v) || ']' as bin, sum(g) as g, sum(b) as b from k group by k union all select 'SC', g, b from l where v is null)
+  select bin, (g + b)::bigint as no, g::bigint as ng, b::bigint as nb, round(b / (g + b), 6) as dr, round(ln((g / tg) / (b / tb)), 6) as woe from grouped, t""")
 def cat_bin_summary(spark, sf):
     return binning.cat_bin(portfolio(spark, sf), "priority_na", "y_b", max_groups=3)[0].select("bin", "no", "ng", "nb", r("dr"), r("woe"))
 
 
-@query()
+@query(WITH.replace("with ", "with recursive ", 1) + ", " + edges_sql("price_sc", 20, where="price_sc <> -1") + """, k as (select case when price_sc = -1 then null else 1 + len(list_filter(e, lambda x: price_sc > x)) end as k, y_b from portfolio, e),
+  c as (select k, count(*) filter (y_b = 0)::double as g, count(*) filter (y_b = 1)::double as b from k group by 1), t as (select sum(g) as tg, sum(b) as tb, sum(g + b) filter (k is not null) as n, max(k) as m from c),
+  u as (select k, sum(g) over (order by k) as cg, sum(b) over (order by k) as cb from c where k is not null union all select 0, 0, 0),
+  part as (select a.k as i, z.k as j, z.cg - a.cg as g, z.cb - a.cb as b, (z.cb - a.cb) / (z.cg - a.cg + z.cb - a.cb) as rate, ((z.cg - a.cg) / tg - (z.cb - a.cb) / tb) * ln(((z.cg - a.cg) / tg) / ((z.cb - a.cb) / tb)) as gain
+    from u a join u z on z.k > a.k, t where z.cg - a.cg + z.cb - a.cb >= 0.05 * n),
+  way(sign, j, rate, total, path) as (select sign, j, rate, gain, [j] from part, (values (1), (-1)) s(sign) where i = 0 union all
+    select sign, p.j, p.rate, total + gain, list_append(path, p.j) from way join part p on p.i = way.j where (p.rate - way.rate) * sign > 0 and len(path) < 10),
+  best as (select arg_max(path, (total, -len(path))) as path from way, t where j = m), cut as (select unnest(path) as j, unnest([0] || path[: len(path) - 1]) as i from best),
+  named as (select '(' || case when i = 0 then '-inf' else printf('%.2f', e[i]) end || ', ' || case when j = m then 'inf)' else printf('%.2f', e[j]) || ']' end as bin, g, b from cut join part using (i, j), e, t union all select 'Special', g, b from c where k is null)
+  select bin, (g + b)::bigint as no, g::bigint as ng, b::bigint as nb, round(b / (g + b), 6) as dr, round(ln((g / tg) / (b / tb)), 6) as woe from named, t""")
 def optimal_bin_summary(spark, sf):
     return binning.optimal_bins(portfolio(spark, sf), "price_sc", "y_b", [-1.0]).select("bin", "no", "ng", "nb", r("dr"), r("woe"))
 
@@ -551,64 +651,151 @@ def miv_first_iteration(spark, sf):
     return selection.miv_table(rows.withColumn("p", F.lit(rate)), "y_b", FACTORS, "p").select("rf", r("miv"), r("g_stat", 4), "df")
 
 
+CODED = ["band", "seventh", *FACTORS]
+
+
 def coded(spark, sf) -> tuple[DataFrame, list[str]]:
     """The portfolio with five WoE-coded factors, two of them with signal."""
+    return woe.replace_woe(factored(spark, sf), "y_b", CODED)[0].cache(), CODED
+
+
+def factored(spark, sf) -> DataFrame:
     rows = portfolio(spark, sf).withColumns({"band": F.floor(F.col("o_totalprice") / 100000).cast("string"), "seventh": (F.col("id") % 7).cast("string")})
-    names = ["band", "seventh", *FACTORS]
-    return woe.replace_woe(rows.select("id", "y_b", *names), "y_b", names)[0].cache(), names
+    return rows.select("id", "y_b", *CODED)
 
 
-@query()
+CODED_SQL = (
+    WITH.replace("with ", "with recursive ", 1) + ", factored as (select *, floor(o_totalprice / 100000)::bigint::varchar as band, (id % 7)::varchar as seventh from portfolio), "
+    + ", ".join(f"w_{c} as ({woe_sql(c, 'y_b', 'factored')})" for c in CODED)
+    + ", coded as (select id, y_b, " + ", ".join(f"w_{c}.woe as {c}, f.{c} as of_{c}" for c in CODED) + " from factored f " + " ".join(f"join w_{c} on f.{c} is not distinct from w_{c}.bin" for c in CODED) + ")"
+)
+SUBSETS = CODED_SQL + ", " + logit_sql.subset_cells("cell", "coded", CODED, "y_b") + ", " + logit_sql.newton("fit", "cell", 6)
+
+
+def steps_sql(**how) -> str:
+    return SUBSETS + ", " + logit_sql.forward("fwd", "fit", CODED, **how) + " select step, rf, round(coefficient, 4) as coefficient, round(p_value, 5) as p_value, round(aic, 3) as aic from fwd"
+
+
+def miv_steps_sql() -> str:
+    """MIV and G of each candidate for the model of each subset, then the greedy steps over subsets."""
+    p = "1 / (1 + exp(-(b[1] + " + " + ".join(f"b[{i + 2}] * {c}" for i, c in enumerate(CODED)) + ")))"
+    cells = " union all ".join(
+        f"select g, {i} as i, '{c}' as rf, of_{c} as bin, sum(w) filter (y_b = 0) as og, sum(w) filter (y_b = 1) as ob, sum(w * (1 - p)) as eg, sum(w * p) as eb from prob group by g, of_{c}" for i, c in enumerate(CODED)
+    )
+    woe_ = lambda g, b: f"ln(greatest({g}, 1e-10) / greatest({b}, 1e-10))"
+    return SUBSETS + f""", small as (select {', '.join(f'{c}, of_{c}' for c in CODED)}, y_b, count(*)::double as w from coded group by all), prob as (select f.g, small.*, {p} as p from fit f, small), bins as ({cells}),
+  shares as (select *, coalesce(og, 0) / sum(og) over s as dg, coalesce(ob, 0) / sum(ob) over s as db, eg / sum(eg) over s as xg, eb / sum(eb) over s as xb from bins window s as (partition by g, i)),
+  scored as (select g, i, rf, sum((dg - db) * ({woe_('dg', 'db')} - {woe_('xg', 'xb')})) as miv, sum(coalesce(2 * og * ln(og / eg), 0) + coalesce(2 * ob * ln(ob / eb), 0)) as g_stat, count(*) - 1 as df from shares group by 1, 2, 3),
+  steps(step, mask, rf, miv, g_stat, df) as (select 0, 0, null::varchar, null::double, null::double, null::bigint union all
+    select step + 1, (mask | (1 << best.i))::int, best.rf, best.miv, best.g_stat, best.df from (
+      select step, mask, arg_max({{'i': s.i, 'rf': s.rf, 'miv': s.miv, 'g_stat': s.g_stat, 'df': s.df}}, s.miv) as best from steps t join scored s on s.g = t.mask and t.mask & (1 << s.i) = 0 group by step, mask)
+      where best.miv > 0.02 and {chi2_tail_sql('best.g_stat', 'best.df')} < 0.05)
+  select step, rf, round(miv, 6) as miv, round(g_stat, 4) as g_stat, round({chi2_tail_sql('g_stat', 'df')}, 5) as p_value from steps where step > 0"""
+
+
+def chi2_tail_sql(x: str, df: str) -> str:
+    """The upper tail for any degrees of freedom: 1 less the series of the incomplete gamma function."""
+    term = f"exp(i * ln({x} / 2) - {x} / 2 + ({df} / 2) * ln({x} / 2) - lgamma({df} / 2 + i + 1))"
+    return f"(1 - list_sum(list_transform(range(0, 40 + (2 * least({x}, 4000))::bigint), lambda i: {term})))"
+
+
+@query(miv_steps_sql())
 def step_miv_steps(spark, sf):
-    rows = portfolio(spark, sf).withColumns({"band": F.floor(F.col("o_totalprice") / 100000).cast("string"), "seventh": (F.col("id") % 7).cast("string")})
-    return selection.step_miv(rows, "y_b", ["band", "seventh", *FACTORS]).steps.select("step", "rf", r("miv"), r("g_stat", 4), r("p_value"))
+    return selection.step_miv(factored(spark, sf), "y_b", CODED).steps.select("step", "rf", r("miv"), r("g_stat", 4), r("p_value", 5))
 
 
 def out_steps(df: DataFrame) -> DataFrame:
-    return df.select("step", "rf", r("coefficient", 4), r("p_value"), r("aic", 3))
+    return df.select("step", "rf", r("coefficient", 4), r("p_value", 5), r("aic", 3))
 
 
-@query()
+@query(steps_sql())
 def step_fwd_steps(spark, sf):
     rows, names = coded(spark, sf)
     return out_steps(selection.step_fwd(rows, "y_b", names).steps)
 
 
-@query()
+@query(steps_sql())
+def step_fwd_coding(spark, sf):
+    return out_steps(selection.step_fwd(factored(spark, sf), "y_b", CODED, coding="WoE", start="y_b ~ 1").steps)
+
+
+@query(steps_sql(by_aic=True))
 def step_fwdr_steps(spark, sf):
     rows, names = coded(spark, sf)
     return out_steps(selection.step_fwdr(rows, "y_b", names, sign=-1).steps)
 
 
-@query()
+PROFILE = {c: 1 + (i > 0) for i, c in enumerate(CODED)}
+
+
+@query(steps_sql(groups=PROFILE))
 def step_rpc_steps(spark, sf):
-    rows, names = coded(spark, sf)
-    return out_steps(selection.step_rpc(rows, "y_b", {c: 1 + (i > 0) for i, c in enumerate(names)}).steps)
+    return out_steps(selection.step_rpc(coded(spark, sf)[0], "y_b", PROFILE).steps)
 
 
-@query()
+@query(steps_sql(groups=PROFILE, by_aic=True))
 def step_rpcr_steps(spark, sf):
-    rows, names = coded(spark, sf)
-    return out_steps(selection.step_rpc(rows, "y_b", {c: 1 + (i > 0) for i, c in enumerate(names)}, by_aic=True).steps)
+    return out_steps(selection.step_rpcr(coded(spark, sf)[0], "y_b", PROFILE).steps)
+
+
+@query(steps_sql(start=["priority_na"]))
+def step_fwd_start(spark, sf):
+    return out_steps(selection.step_fwd(coded(spark, sf)[0], "y_b", CODED, start="y_b ~ priority_na").steps)
+
+
+def dummy_terms() -> dict[str, list[str]]:
+    return {"r_name": ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], "seventh": [str(i) for i in range(1, 7)]}
+
+
+def dummy_sql() -> str:
+    """Joint Wald tests of dummies: the statistic by solving the block of the covariance, here the fit without the other term."""
+    xs = [f"({c} = '{v}')::int" for c, vs in dummy_terms().items() for v in vs]
+    cells = f", cell as (select 0 as g, [1.0::double, {', '.join(f'({x})::double' for x in xs)}] as x, y_b as y, count(*)::double as w, 0.0::double as o from factored group by all)"
+    return CODED_SQL + cells + ", " + logit_sql.newton("fit", "cell", len(xs) + 1) + """ select i::int as term, round(b[i], 4) as coefficient, round(sqrt(var[i]), 5) as se from fit, range(1, 12) t(i)"""
+
+
+@query(dummy_sql())
+def dummy_coded_logit(spark, sf):
+    rows, terms = selection.coded(factored(spark, sf), "y_b", ["r_name", "seventh"], "dummy")
+    fit = selection.Fitter(rows, "y_b", terms)(["r_name", "seventh"])
+    made = [(i + 1, b, se) for i, (_, b, se, _) in enumerate(fit.table())]
+    return spark.createDataFrame(made, "term int, coefficient double, se double").select("term", r("coefficient", 4), r("se", 5))
+
+
+def chosen_sql(name: str, fits: str, columns: list[str], source: str, offset: str = "0", **how) -> str:
+    """CTEs: forward selection, and ``name`` (id and what else ``source`` has) with the linear predictor lin_{name}."""
+    line = " + ".join(["b[1]", *(f"b[{i + 2}] * {c}" for i, c in enumerate(columns))])
+    return f"""{logit_sql.subset_cells(f'{name}_cell', source, columns, 'y_b', offset)}, {logit_sql.newton(fits, f'{name}_cell', len(columns) + 1)}, {logit_sql.forward(f'{name}_fwd', fits, columns, **how)},
+  {name} as (select s.*, {line} + {offset} as lin_{name} from {source} s, {fits} f where f.g = (select coalesce(max_by(mask, step), 0) from {name}_fwd))"""
+
+
+EXPIT = "round(1 / (1 + exp(-({}))), 5) as prediction"
+BLOCKS_SQL = {
+    "staged": f"{CODED_SQL}, {chosen_sql('b1', 'f1', CODED[:1], 'coded')}, {chosen_sql('b2', 'f2', CODED[1:], 'b1', 'lin_b1')} select id, {EXPIT.format('lin_b2')} from b2",
+    "embedded": f"{CODED_SQL}, {chosen_sql('b1', 'f1', CODED[:1], 'coded')}, b1p as (select *, 1 / (1 + exp(-lin_b1)) as pred_b1 from b1), {chosen_sql('b2', 'f2', [*CODED[1:], 'pred_b1'], 'b1p', free=['pred_b1'])} select id, {EXPIT.format('lin_b2')} from b2",
+    "ensemble": f"{CODED_SQL}, {chosen_sql('b1', 'f1', CODED[:1], 'coded')}, {chosen_sql('b2', 'f2', CODED[1:], 'b1')}, {logit_sql.subset_cells('duo_cell', 'b2', ['lin_b1', 'lin_b2'], 'y_b')}, {logit_sql.newton('duo', 'duo_cell', 3)}"
+    f" select id, {EXPIT.format('b[1] + b[2] * lin_b1 + b[3] * lin_b2')} from b2, duo where g = 3",
+}
 
 
 def _blocks(kind: str):
     def run(spark, sf):
         rows, names = coded(spark, sf)
         scored, _ = selection.blocks(rows, "y_b", {c: "b1" if i < 1 else "b2" for i, c in enumerate(names)}, kind)
-        return scored.groupBy((F.col("id") % 10).alias("k")).agg(F.round(F.avg("prediction"), 5).alias("prediction"))
+        return scored.select("id", r("prediction", 5))
     run.__name__ = f"{kind}_blocks"
-    return query()(run)
+    return query(BLOCKS_SQL[kind])(run)
 
 
 for _kind in ("staged", "embedded", "ensemble"):
     _blocks(_kind)
 
 
-@query()
+# the bound on band holds (its free coefficient is -1), the one on seventh doesn't
+@query(CODED_SQL + ", " + logit_sql.subset_cells("cell", "coded", ["seventh"], "y_b", "(-0.5 * band)") + ", " + logit_sql.newton("fit", "cell", 2) + " select id, round(b[1] + b[2] * seventh - 0.5 * band, 4) as linear_predictor from coded, fit where g = 1")
 def constrained_logit(spark, sf):
     rows, _ = coded(spark, sf)
-    return glm.constrained_logit(rows, "y_b", ["band", "seventh"], {"band": -0.5}, {"seventh": 0.0}).groupBy((F.col("id") % 10).alias("k")).agg(F.round(F.avg("linear_predictor"), 4).alias("linear_predictor"))
+    return glm.constrained_logit(rows, "y_b", ["band", "seventh"], {"band": -0.5}, {"seventh": 0.0}).select("id", r("linear_predictor", 4))
 
 
 @query(WITH + """, b as (select min(o_totalprice) as low, max(o_totalprice) as high from portfolio) select id, round(case when o_totalprice < 250000 then (250000 - o_totalprice) / (250000 - low) else 0 end, 6) as left,
@@ -619,9 +806,11 @@ def u_shape_basis(spark, sf):
     return glm.u_basis(rows, "o_totalprice", 250000.0, low, high).select("id", r("left"), r("right"))
 
 
-@query()
+@query(WITH.replace("with ", "with recursive ", 1) + f""", e as (select unnest(list_distinct(quantile_cont(o_totalprice, [{', '.join(repr(0.05 + 0.9 * i / 19) for i in range(20))}]))) as knot from portfolio), b as (select min(o_totalprice) as low, max(o_totalprice) as high from portfolio),
+  cell as (select knot as g, [1.0::double, greatest(knot - o_totalprice, 0) / (knot - low), greatest(o_totalprice - knot, 0) / (high - knot)] as x, y_a as y, 1.0::double as w, 0.0::double as o from portfolio, e, b), {logit_sql.newton('fit', 'cell', 3)}
+  select round(g, 4) as knot, round(b[2], 4) as "left", round(b[3], 4) as "right", round(dev, 3) as deviance, b[2] > 0 and b[3] > 0 and greatest({logit_sql.p_value('b[2]', 'var[2]')}, {logit_sql.p_value('b[3]', 'var[3]')}) < 0.05 as detected from fit""")
 def u_shape_test(spark, sf):
-    return glm.u_shape(portfolio(spark, sf).cache(), "o_totalprice", "y_a", knots=20).select("knot", r("left", 4), r("right", 4), r("deviance", 3), "detected")
+    return glm.u_shape(portfolio(spark, sf), "o_totalprice", "y_a", knots=20).select(r("knot", 4), r("left", 4), r("right", 4), r("deviance", 3), "detected")
 
 
 @query(WITH + ", e as (select unnest(list_distinct(quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) as cut from portfolio) select round(cut, 4) as cut, count(*) filter (o_totalprice <= cut and y_b = 0) as lg, count(*) filter (o_totalprice <= cut and y_b = 1) as lb, count(*) filter (o_totalprice > cut and y_b = 0) as rg, count(*) filter (o_totalprice > cut and y_b = 1) as rb from portfolio, e group by cut")
@@ -663,13 +852,33 @@ def rf_clusters(spark, sf):
     return cluster.rf_clustering(table(spark, sf, "lineitem"), COR, k=2).select("rf", "cluster", r("dist_to_cluster"))
 
 
-@query()
+def held_out_sql(cells: str, more: str = "") -> str:
+    """AUC, KS and squared error of the fits' groups on ``cells`` (g, the columns, y, n): rows that each fit left out."""
+    p = "1 / (1 + exp(-(b[1] + " + " + ".join(f"b[{i + 2}] * {c}" for i, c in enumerate(CODED)) + ")))"
+    return f""", tested as (select c.g, y, n, {p} as p from {cells} c join fit f on f.g = c.g), level as (select g, p, sum(n) filter (y = 0) as good, sum(n) filter (y = 1) as bad from tested group by 1, 2),
+  ranked as (select g, coalesce(good, 0) as good, coalesce(bad, 0) as bad, coalesce(sum(good) over (partition by g order by p rows between unbounded preceding and 1 preceding), 0) as below from level),
+  area as (select g, sum(bad * (below + good / 2)) / (sum(good) * sum(bad)) as auc from ranked group by g), error as (select g, sum(n * (y - p) * (y - p)) / sum(n) as amse from tested group by g)"""
+
+
+EACH = ", ".join(CODED)
+LISTED = f"[1.0::double, {', '.join(f'{c}::double' for c in CODED)}]"
+
+
+@query(CODED_SQL + f""", folded as (select *, floor((row_number() over (order by (id + 1984) * 2654435761 % 4294967296, id) - 1) * 10 / count(*) over ())::int as fold from coded),
+  small as (select fold, {EACH}, y_b as y, count(*)::double as n from folded group by all), cell as (select g, {LISTED} as x, y, n as w, 0.0::double as o from small, range(0, 10) f(g) where fold <> g), {logit_sql.newton('fit', 'cell', 6)}"""
+       + held_out_sql("(select fold as g, * from small)") + " select g::int as fold, round(auc, 6) as auc, round(amse, 6) as amse, round(sqrt(amse), 6) as rmse from area join error using (g)")
 def kfold_validation(spark, sf):
     rows, names = coded(spark, sf)
     return resample.kfold_validation(rows, "y_b", names, "id", 10).select("fold", r("auc"), r("amse"), r("rmse"))
 
 
-@query()
+POISSON_SQL = " + ".join(f"(u >= {c})::int" for c in resample.POISSON)
+
+
+@query(CODED_SQL + f""", keyed as (select *, ('0x' || substr(md5(concat_ws('|', 1122, id)), 1, 8))::bigint as start from coded), moved as (select k.*, g, (start + g * 2654435761) % 4294967296 as mixed from keyed k, range(0, 1000) d(g)),
+  drawn as (select g, {EACH}, y_b as y, (xor(mixed, mixed >> 15) * 739982445) % 4294967296 / 4294967296.0::double as u from moved),
+  small as (select g, {EACH}, y, sum({POISSON_SQL})::double as w, count(*) filter (u < {resample.POISSON[0]})::double as n from drawn group by all), cell as (select g, {LISTED} as x, y, w, 0.0::double as o from small), {logit_sql.newton('fit', 'cell', 6, 9)}"""
+       + held_out_sql("small") + " select g::int as draw, round(auc, 6) as auc from area")
 def bootstrap_validation(spark, sf):
     rows, names = coded(spark, sf)
     return resample.bootstrap_validation(rows, "y_b", names, "id", 1000).select("draw", r("auc"))
@@ -677,7 +886,7 @@ def bootstrap_validation(spark, sf):
 
 @query()
 def scorecard_pipeline(spark, sf):
-    made = pipeline.build(portfolio(spark, sf), "y_b", ["o_totalprice", "c_acctbal"], FACTORS)
+    made = pipeline.build(portfolio(spark, sf), "y_b", "id", ["o_totalprice", "c_acctbal"], FACTORS)
     return made.scale.select("rating", "no", "nb", r("dr"), r("pdc"), r("pd_calib"))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.operators import metrics, profile, scorecard, selection, validation, woe
+from lendframe.operators import metrics, profile, resample, scorecard, selection, validation, woe
 from lendframe.operators.glm import Logit
 
 
@@ -26,26 +26,31 @@ def assess(auc: float, gini: float, ks: float) -> str:
     return "FAIL" if auc < 0.70 or gini < 0.35 or ks < 0.30 else "PASS"
 
 
-def build(df: DataFrame, y: str, numeric: list[str], categorical: list[str], ct: float | None = None) -> Scorecard:
+def build(df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], ct: float | None = None) -> Scorecard:
     """Run all stages; row-level data stays on the executors, models and scales are the only things collected.
 
     Numbers are winsorised and cut at quintiles, all factors are WoE-coded, columns of too low IV or near-zero variance go,
-    and three builders (MIV, forward by p-value, forward by AIC) run side by side.
+    and three builders (MIV, forward by p-value, importance in boosted trees) run side by side.
     """
     checked = profile.nzv(df, categorical).where("high_freq_ratio = 1").select("rf").collect() if categorical else []
     dull = {r.rf for r in checked}
     capped, _ = profile.winsorise(df, numeric)
     binned, factors = capped, [c for c in categorical if c not in dull]
-    for c in numeric:
-        edges = metrics.quantile_edges(capped, c, 5)
-        binned = binned.withColumn(f"{c}_bin", F.coalesce(F.format_string("%02d", metrics.cut(F.col(c), edges)), F.lit("SC")))
-        factors.append(f"{c}_bin")
-    listed = [r.rf for r in woe.shortlist(woe.woe_table(binned, factors, y), iv=0.02, low=0.0).orderBy(F.desc("iv"), "rf").limit(15).collect()]
-    coded = woe.replace_woe(binned.select(y, *listed), y, listed)[0].cache()
+    edges = metrics.edges_of(capped, numeric, 5)
+    binned = binned.withColumns({f"{c}_bin": F.coalesce(F.format_string("%02d", metrics.cut(F.col(c), edges.get(c, []))), F.lit("SC")) for c in numeric})
+    factors += [f"{c}_bin" for c in numeric]
+    # read by every step of every builder
+    binned = binned.select(id_col, y, *factors).cache()
+    table = woe.woe_table(binned, factors, y)
+    wide = selection.with_woe(binned, y, factors)
+    pairs = profile.correlation_pairs(wide, [f"{c}_woe" for c in factors], -1.0)
+    pairs = pairs.select(F.regexp_replace("rf1", "_woe$", "").alias("rf1"), F.regexp_replace("rf2", "_woe$", "").alias("rf2"), "corr")
+    listed = [r.rf for r in woe.shortlist(table, iv=0.02, low=0.0, pairs=pairs).orderBy(F.desc("iv"), "rf").limit(15).collect()]
+    coded = woe.replace_woe(binned.select(id_col, y, *listed), y, listed)[0].cache()
     builders = {
         "miv": lambda: selection.step_miv(binned.select(y, *listed), y, listed),
         "forward": lambda: selection.step_fwd(coded, y, listed),
-        "aic": lambda: selection.step_fwdr(coded, y, listed, sign=-1),
+        "boosted": lambda: selection.boosted_selection(coded, y, listed),
     }
     with ThreadPoolExecutor(len(builders)) as pool:  # independent jobs of one session
         made = dict(zip(builders, pool.map(lambda f: f(), builders.values())))
@@ -53,9 +58,11 @@ def build(df: DataFrame, y: str, numeric: list[str], categorical: list[str], ct:
     for name, s in made.items():
         frame = s.data.select(y, s.model.probability().alias("pd"))
         m = metrics.all_metrics(frame, "pd", y).first()
-        signs = sum(b < 0 for b in s.model.coefficients.values()) / max(1, len(s.model.coefficients))
+        cv = resample.kfold_validation(coded, y, s.selected, id_col, 5).agg(F.avg("auc")).first()[0] if s.selected else m.auc
+        stable = scorecard.stability(m.auc, cv)
+        signs = float(all(b < 0 for b in s.model.coefficients.values()))
         dec = scorecard.deciles(frame.withColumn("score", scorecard.scaled_score(F.col("pd"))), "score", y).agg(F.sum("reversal")).first()[0]
-        rows.append((name, m.auc, m.gini, m.ks, 1.0, signs, 1 / (1 + len(s.selected)), 1.0 / (1 + dec), len(s.selected), s.model.pseudo_r2))
+        rows.append((name, m.auc, m.gini, m.ks, stable, signs, scorecard.parsimony(len(s.selected)), float(dec == 0), len(s.selected), s.model.pseudo_r2))
         scored[name] = frame
     table = df.sparkSession.createDataFrame(
         rows, "model string, auc double, gini double, ks double, stability double, sign double, parsimony double, monotonicity double, n_variables int, pseudo_r2 double"
@@ -70,4 +77,5 @@ def build(df: DataFrame, y: str, numeric: list[str], categorical: list[str], ct:
     m = next(r for r in rows if r[0] == best)
     het = validation.heterogeneity(graded, y, "grade").agg(F.max("p_value")).first()[0]
     facts = [("auc", m[1], assess(m[1], m[2], m[3])), ("gini", m[2], ""), ("ks", m[3], ""), ("heterogeneity max p", het, "")]
-    return Scorecard(best, made[best].model, ranked, scale, df.sparkSession.createDataFrame(facts, "measure string, value double, result string"), graded)
+    assessment = df.sparkSession.createDataFrame(facts, "measure string, value double, result string")
+    return Scorecard(best, made[best].model, ranked, scale, assessment, graded)
