@@ -41,10 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break
-        # a large star has as many links as what it is made from
-        mark, before = seen, current
-        current = stored(_small_star(_large_star(current, seen[0]), seen[0]), "links")
-        release(before)
+        # a large star has as many links as what it is made from; stored, so that plans stay small
+        mark, before, starred = seen, current, stored(_large_star(current, seen[0]), "links")
+        current = stored(_small_star(starred, seen[0]), "links")
+        release(before, starred)
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
