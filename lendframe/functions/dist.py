@@ -118,7 +118,7 @@ def f_sf(x: float, d1: float, d2: float) -> float:
 
 
 def wilcoxon_p(differences: list[float]) -> float:
-    """Two-sided signed-rank p-value, zeros dropped: exact without ties up to 50 pairs, else normal."""
+    """Two-sided signed-rank p-value, zeros dropped: exact up to 50 pairs, or up to 13 with ties or zeros, else normal."""
     d = [x for x in differences if x]
     if not d:
         return 1.0
@@ -135,11 +135,12 @@ def wilcoxon_p(differences: list[float]) -> float:
     n = len(d)
     plus = sum(r for r, x in zip(ranks, d) if x > 0)
     least = min(plus, n * (n + 1) / 2 - plus)
-    if n <= 50 and not ties:
-        ways = [1] + [0] * (n * (n + 1) // 2)
-        for r in range(1, n + 1):
-            for s in range(len(ways) - 1, r - 1, -1):
-                ways[s] += ways[s - r]
-        return min(1.0, 2 * sum(ways[: int(least) + 1]) / 2**n)
+    if len(differences) <= 13 or n <= 50 and n == len(differences) and not ties:
+        # ranks are halves where values tie: twice their sums are whole
+        ways = [1] + [0] * (n * (n + 1))
+        for r in ranks:
+            for s in range(len(ways) - 1, round(2 * r) - 1, -1):
+                ways[s] += ways[s - round(2 * r)]
+        return min(1.0, 2 * sum(ways[: round(2 * least) + 1]) / 2**n)
     spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
     return two_sided((plus - n * (n + 1) / 4) / spread)

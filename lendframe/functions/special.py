@@ -37,7 +37,9 @@ def is_special(value: Column, codes: Iterable = (), infinities: bool = True, num
     if codes:
         out = out | F.coalesce(value.isin(codes), F.lit(False))
     if infinities and numeric:
-        out = out | F.coalesce(F.abs(value) == float("inf"), F.lit(False))
+        # a code of one infinity leaves the other a value
+        signs = [v for v in (float("inf"), float("-inf")) if v in codes] or [float("inf"), float("-inf")]
+        out = out | F.coalesce(value.isin(signs), F.lit(False))
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lendframe.functions.special import FLOOR, MIN_AVG_RATE, MIN_PCT_OBS, SC_LABEL, clean, is_special
 from lendframe.operators.metrics import cut, quantile_edges
+from lendframe.operators.woe import MAPPED_LEVELS
 
 
 def _woe(g: float, b: float, tg: float, tb: float) -> float:
@@ -26,6 +27,23 @@ def _merge(groups: list[list], i: int) -> None:
     del groups[j + 1]
 
 
+#: Why a column can't be binned (fixed values).
+CODES = {1: "y has one value among complete cases", 2: "x has one value among complete cases", 3: "y is not 0/1", 4: "no complete cases"}
+
+
+def cat_bin_checks(df: DataFrame, x: str, y: str, codes: list[str] = ()) -> DataFrame:
+    """One row (code, message) if ``cat_bin`` can't work, none if it can; from one aggregate."""
+    value = clean(df, x).cast("string")
+    whole = ~is_special(value, codes, numeric=False) & F.col(y).isNotNull()
+    kept = lambda c: F.when(whole, c)
+    row = df.agg(
+        F.count(kept(F.lit(1))).alias("n"), (F.max(kept(F.col(y))) == F.min(kept(F.col(y)))).alias("one_y"), (F.max(kept(value)) == F.min(kept(value))).alias("one_x"),
+        F.max(F.when(F.col(y).isNotNull() & ~F.col(y).isin(0, 1), 1)).alias("odd"),
+    ).first()
+    code = 4 if not row.n else 1 if row.one_y else 2 if row.one_x else 3 if row.odd else 0
+    return df.sparkSession.createDataFrame([(code, CODES[code])] if code else [], "code int, message string")
+
+
 def cat_bin(
     df: DataFrame, x: str, y: str, codes: list[str] = (), sc_merge: str = "none", min_pct_obs: float = MIN_PCT_OBS, min_avg_rate: float = MIN_AVG_RATE,
     max_groups: int | None = None, force_trend: str = "modalities",
@@ -37,7 +55,9 @@ def cat_bin(
     """
     value = clean(df, x).cast("string")
     rows = df.where(F.col(y).isNotNull())
-    counts = rows.groupBy(value.alias("v"), is_special(value, codes, numeric=False).alias("sc")).agg(F.count_if(F.col(y) == 0).alias("g"), F.count_if(F.col(y) == 1).alias("b")).collect()
+    counts = rows.groupBy(value.alias("v"), is_special(value, codes, numeric=False).alias("sc")).agg(F.count_if(F.col(y) == 0).alias("g"), F.count_if(F.col(y) == 1).alias("b")).limit(MAPPED_LEVELS + 1).collect()
+    if len(counts) > MAPPED_LEVELS:
+        raise ValueError(f"{x} has over {MAPPED_LEVELS} levels")
     n, bads = sum(r.g + r.b for r in counts), sum(r.b for r in counts)
     goods = n - bads
     key = (lambda r: r.v) if force_trend == "modalities" else (lambda r: (r.b / (r.g + r.b), r.v))
@@ -89,6 +109,8 @@ def optimal_bins(df: DataFrame, x: str, y: str, codes: list = (), prebins: int =
     special = [(r.g, r.b) for r in counts if r["__sc"]]
     tg, tb = sum(r.g for r in counts), sum(r.b for r in counts)
     m = len(cells)
+    if not m or not tg or not tb:
+        raise ValueError("optimal_bins needs complete cases and both classes")
     cg, cb = [0], [0]
     for _, g, b in cells:
         cg.append(cg[-1] + g)
@@ -133,5 +155,7 @@ def optimal_bins(df: DataFrame, x: str, y: str, codes: list = (), prebins: int =
 
 def ord_to_int(df: DataFrame, x: str, name: str) -> DataFrame:
     """Sorted levels to 1..k: the levels of a categorical column are few and go into the plan as a map."""
-    known = [r[0] for r in df.select(x).where(F.col(x).isNotNull()).distinct().orderBy(x).collect()]
+    known = [r[0] for r in df.select(x).where(F.col(x).isNotNull()).distinct().orderBy(x).limit(MAPPED_LEVELS + 1).collect()]
+    if len(known) > MAPPED_LEVELS:
+        raise ValueError(f"{x} has over {MAPPED_LEVELS} levels")
     return df.withColumn(name, F.when(F.col(x).isNotNull(), F.array_position(F.array(*[F.lit(v) for v in known]), F.col(x))).cast("int"))

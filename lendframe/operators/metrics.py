@@ -142,6 +142,20 @@ def wilcoxon(a: list[float], b: list[float]) -> float:
     return wilcoxon_p([x - y for x, y in zip(a, b, strict=True)])
 
 
+def forest(folds: DataFrame, champion: str, metric: str = "auc") -> DataFrame:
+    """Per model the mean difference of a fold metric to the champion's, and its interval at 1.96 standard errors."""
+    own = folds.where(F.col("model") == champion).select(F.col("fold").alias("c_fold"), F.col(metric).alias("c"))
+    # one row a fold
+    gap = folds.where(F.col("model") != champion).join(F.broadcast(own), F.col("fold") == F.col("c_fold")).withColumn("d", F.col(metric) - F.col("c"))
+    out = gap.groupBy("model").agg(F.avg("d").alias("difference"), (1.96 * F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("half"))
+    return out.select("model", "difference", (F.col("difference") - F.col("half")).alias("low"), (F.col("difference") + F.col("half")).alias("high"))
+
+
+def runtimes(folds: DataFrame) -> DataFrame:
+    """Mean and total seconds of each model."""
+    return folds.groupBy("model").agg(F.avg("runtime_s").alias("mean_s"), F.sum("runtime_s").alias("total_s"))
+
+
 def bonferroni(p: Column, n: int) -> Column:
     return F.least(p * n, F.lit(1.0))
 

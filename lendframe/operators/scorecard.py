@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,31 @@ def grades(df: DataFrame, score: str, labels: str = "ABCDEFGH") -> DataFrame:
     return df.withColumn("grade", F.get(names, F.lit(len(labels)) - cut(F.col(score), edges)))
 
 
+def fixed_grades(score: Column, table: list[tuple[str, float, float]]) -> Column:
+    """The grade whose (label, low, high) holds the score; scores in the gap between two grades go to the lower, beyond the
+    outermost to these. In an overlap the grade that comes first wins."""
+    ordered = sorted(table, key=lambda t: t[1])
+    out = F.lit(None).cast("string")
+    for (low_label, _, high), (_, low, _) in zip(ordered, ordered[1:]):
+        if low > high:
+            out = F.when((score > high) & (score < low), low_label).otherwise(out)
+    for label, low, high in reversed(table):
+        out = F.when((score >= low) & (score <= high), label).otherwise(out)
+    return F.when(score < ordered[0][1], ordered[0][0]).when(score > ordered[-1][2], ordered[-1][0]).otherwise(out)
+
+
+def parameters(model, maps: dict[str, dict], method: str = "") -> str:
+    """A model and its WoE maps as a JSON document, which ``score_from_parameters`` can use after ``read_parameters``."""
+    levels = {c: [{"bin": k, "woe": v} for k, v in sorted(m.items(), key=lambda kv: (kv[0] is None, kv[0]))] for c, m in maps.items()}
+    return json.dumps({"selection_method": method, "selected_variables": list(model.names), "intercept": model.intercept, "coefficients": model.coefficients, "woe_mappings": levels})
+
+
+def read_parameters(text: str) -> tuple[dict[str, float], float, dict[str, dict]]:
+    """Coefficients, intercept and WoE maps of a JSON document."""
+    made = json.loads(text)
+    return made["coefficients"], made["intercept"], {c: {r["bin"]: r["woe"] for r in rows} for c, rows in made["woe_mappings"].items()}
+
+
 def rating_scale(df: DataFrame, rating: str, y: str, pd_col: str) -> DataFrame:
     return df.groupBy(F.col(rating).alias("rating")).agg(
         F.count(y).alias("no"), F.count_if(F.col(y) == 1).alias("nb"), F.avg(F.col(y).cast("double")).alias("dr"), F.avg(pd_col).alias("pdc")

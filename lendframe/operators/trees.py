@@ -11,10 +11,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 
 from lendframe.functions.dist import phi, two_sided
+from lendframe.functions.draws import uniform
 from lendframe.functions.special import is_numeric
 from lendframe.operators.quantiles import of_counts
 
 DECILES = [i / 10 for i in range(1, 10)]
+#: Cumulative chances of 0, 1, ... of a Poisson variable of mean 2 / 3.
+DRAWS = [sum(math.exp(-2 / 3) * (2 / 3) ** j / math.factorial(j) for j in range(i + 1)) for i in range(6)]
 
 
 def _z(g1: float, b1: float, g0: float, b0: float) -> float:
@@ -119,7 +122,10 @@ def forest_interactions(df: DataFrame, y: str, factors: list[str], trees: int =
     for i in range(trees):
         picked = sorted(random.Random(seed + i).sample(factors, per_tree))
         vector = VectorAssembler(inputCols=picked, outputCol="__f", handleInvalid="keep")
-        rows = df.dropna(subset=[y, *picked]).sample(True, 2 / 3, seed + i)
+        # how often a row is in the bootstrap: Poisson of mean 2 / 3 by a hash of its values
+        u = uniform(F.lit(seed + i), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+        times = sum((u >= c).cast("int") for c in DRAWS)
+        rows = df.dropna(subset=[y, *picked]).withColumn("__n", F.explode(F.sequence(F.lit(0), times))).where("__n > 0").drop("__n")
         least = max(1, round(min_pct_obs * rows.count()))
         tree = DecisionTreeClassifier(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=seed)
         model = tree.fit(vector.transform(rows).withColumn("__y", F.col(y).cast("double")))

@@ -160,6 +160,16 @@ def psi(base: DataFrame, target: DataFrame, column: str, bins: int = 10, numeric
     return shares.withColumn("psi", (a - b) * F.log(F.greatest(a, floor) / F.greatest(b, floor)))
 
 
+def psi_summary(table: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row for the bins of ``psi``: the index, its two critical values, and the chi-squared form of the index."""
+    floor = F.lit(1e-10)
+    p, q = F.greatest(F.col("base_pct"), floor), F.greatest(F.col("target_pct"), floor)
+    row = table.agg(F.sum("psi").alias("psi"), F.sum((p - q) * (p - q) / p).alias("psi_star"), F.count(F.lit(1)).alias("bins"), F.sum("base_no").alias("n"), F.sum("target_no").alias("m")).first()
+    cv = psi_critical(row.bins, row.n, row.m, alpha)
+    made = [(row.psi, cv["cv_zscore"], row.psi_star, cv["cv_chisq"], 1 - alpha)]
+    return table.sparkSession.createDataFrame(made, "psi double, cv_zscore double, psi_star double, cv_chisq double, ci double")
+
+
 def psi_critical(bins: int, n_base: int, n_target: int, alpha: float = 0.05) -> dict[str, float]:
     """Critical values of the index: by the normal approximation and by chi-squared, and the sample size factor."""
     factor = 1 / n_base + 1 / n_target
@@ -204,6 +214,30 @@ def fairness_continuous(df: DataFrame, sensitive: str, outcome: str) -> DataFram
     return row.select((F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"), ((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("f"))
 
 
+def fairness_continuous_conditional(df: DataFrame, sensitive: str, outcome: str, conditional: str) -> tuple[float, int, int]:
+    """F statistic and its degrees of freedom: do groups differ in a continuous outcome beside the conditional's levels?
+
+    Both attributes are dummies of one linear model; it and the model without the groups are fitted on the cells' sums.
+    """
+    import numpy as np
+
+    cells = df.dropna(subset=[sensitive, outcome, conditional]).groupBy(F.col(sensitive).alias("s"), F.col(conditional).alias("c")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("t"), F.sum(F.col(outcome) * F.col(outcome)).alias("q")
+    ).collect()  # levels by levels
+    groups, strata = (sorted({r[i] for r in cells}) for i in (0, 1))
+    n, t = np.array([r.n for r in cells], dtype=float), np.array([r.t for r in cells], dtype=float)
+    own = np.array([[float(r.s == g) for g in groups[1:]] for r in cells]).reshape(len(cells), -1)
+    base = np.array([[1.0] + [float(r.c == k) for k in strata[1:]] for r in cells])
+
+    def left(x: np.ndarray) -> float:
+        return float(-(b := np.linalg.pinv(x.T @ (x * n[:, None])) @ (x.T @ t)) @ (x.T @ t))
+
+    df1, df2 = own.shape[1], int(n.sum()) - own.shape[1] - base.shape[1]
+    total = float(sum(r.q for r in cells))
+    full, less = total + left(np.hstack([base, own])), total + left(base)
+    return ((less - full) / df1) / (full / df2), df1, df2
+
+
 def fairness_p(row) -> float:
     return chi2_sf(row.chi2, row.df) if "chi2" in row else f_sf(row.f, row.df1, row.df2)
 
@@ -219,6 +253,9 @@ def fairness_vld(df: DataFrame, sensitive: str, observed: str, modelled: str, co
     else:
         got = {"statistical parity": fairness_continuous(df, sensitive, modelled), "equal opportunity": fairness_continuous(good, sensitive, modelled)}
     rows = [(name, row[0] if discrete else row["f"], fairness_p(row)) for name, t in got.items() for row in [t.first()]]
+    if not discrete:
+        f, df1, df2 = fairness_continuous_conditional(df, sensitive, modelled, conditional)
+        rows.insert(1, ("conditional parity", f, f_sf(f, df1, df2)))
     return df.sparkSession.createDataFrame(rows, "test string, statistic double, p_value double")
 
 
@@ -268,6 +305,26 @@ def spread(p: Column, lgd: float | Column = 0.45, rf: float = 0.02) -> Column:
     return (1 + rf) / (1 - loss) - 1 - rf
 
 
+#: Least AUC, Gini and KS, and the most that the AUC of halves and the stability index may differ (fixed values).
+LEAST = {"auc": 0.70, "gini": 0.35, "ks": 0.30}
+MOST = {"auc_difference": 0.05, "psi": 0.25}
+MARGIN = 0.01
+
+
+def assessment(facts: dict[str, float], tests: list[tuple[str, float]], rates: list[tuple[str, float]] = (), alpha: float = 0.05) -> tuple[str, list[str]]:
+    """FAIL for too little discrimination, PASS WITH FLAGS if anything else is wrong or marginal, else PASS; and the flags.
+
+    facts: auc, gini, ks, auc_difference, psi; tests: (name, p-value) that should not be significant; rates: default rates
+    by grade, which should rise.
+    """
+    weak = [f"{k} {facts[k]:.4f} < {v}" for k, v in LEAST.items() if k in facts and facts[k] < v]
+    flags = weak + [f"{k} {facts[k]:.4f} > {v}" for k, v in MOST.items() if k in facts and facts[k] > v]
+    flags += [f"{name} fails (p = {p:.4f})" for name, p in tests if p is not None and p < alpha]
+    flags += [f"inverted default rates at {a} and {b}" for (a, x), (b, y) in zip(rates, rates[1:]) if y < x]
+    flags += [f"marginal: {name} (p = {p:.4f})" for name, p in tests if p is not None and abs(p - alpha) < MARGIN]
+    return ("FAIL" if weak else "PASS WITH FLAGS" if flags else "PASS"), flags
+
+
 def half_split_auc(df: DataFrame, score: str, y: str, half: Column) -> DataFrame:
     from lendframe.operators.metrics import auc
 

@@ -63,29 +63,52 @@ def default_models(n: int) -> list[Model]:
     return [WoeLogit(), MlModel("logit", plain, True), MlModel("boosted_trees", GBTClassifier(maxIter=20, maxDepth=3, seed=42), False)]
 
 
-def run(df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], models: list[Model], k: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def run(
+    df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], models: list[Model], k: int = 10, seed: int = 42, path: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions (model, fold, id, y, proba) and metrics per model and fold.
 
-    Caps come from the training rows of each fold; all folds' caps are one aggregate.
+    Caps come from the training rows of each fold; all folds' caps are one query. With ``path`` each fold of a model is
+    written there as a part when it is done, and a run that is started again leaves out the parts that are there.
     """
+    spark = df.sparkSession
     rows = resample.folds(df, id_col, y, k, seed).cache()
     caps = {(r.fold, r.rf): r.upper_cap for r in profile.fold_safe_caps(rows, "fold", numeric, list(range(k))).collect()}
+    done = _parts(spark, path) if path else set()
     out, times = None, []
     for f in range(k):
         capped = rows.withColumns({c: F.when(F.col(c) > caps[f, c], caps[f, c]).otherwise(F.col(c).cast("double")) for c in numeric})
         train, test = capped.where(F.col("fold") != f), capped.where(F.col("fold") == f)
         for m in models:
+            if (m.name, f) in done:
+                continue
             began = time.time()
             got = m.fit_predict(train, test, y, numeric, categorical).select(F.lit(m.name).alias("model"), F.lit(f).alias("fold"), F.col(id_col).alias("id"), F.col(y).alias("y"), "proba")
-            times.append((m.name, f, time.time() - began))
-            out = got if out is None else out.unionByName(got)
-    out = out.cache()
-    timed = df.sparkSession.createDataFrame(times, "t_model string, t_fold int, runtime_s double")
+            if path:
+                timed = got.withColumn("runtime_s", F.lit(time.time() - began))
+                timed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "fold").parquet(path)
+            else:
+                times.append((m.name, f, time.time() - began))
+                out = got if out is None else out.unionByName(got)
+    if path:
+        whole = spark.read.parquet(path).where(F.col("model").isin([m.name for m in models]))
+        out, timed = whole.select("model", "fold", "id", "y", "proba"), whole.groupBy(F.col("model").alias("t_model"), F.col("fold").alias("t_fold")).agg(F.max("runtime_s").alias("runtime_s"))
+    else:
+        out, timed = out.cache(), spark.createDataFrame(times, "t_model string, t_fold int, runtime_s double")
     scored = metrics.all_metrics(out, "proba", "y", "model", "fold")
+    # models by folds rows
     scored = scored.join(F.broadcast(timed), (F.col("model") == F.col("t_model")) & (F.col("fold") == F.col("t_fold"))).drop("t_model", "t_fold")
     return out, scored
 
 
+def _parts(spark, path: str) -> set[tuple[str, int]]:
+    """(model, fold) of the parts under a path: as many as models times folds."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return set()
+    return {(r.model, r.fold) for r in spark.read.parquet(path).select("model", "fold").distinct().collect()}
+
+
 def aligned(predictions: DataFrame, a: str, b: str) -> None:
     """An error unless two models have the same rows and labels."""
     one, two = (predictions.where(F.col("model") == m).select("fold", "id", F.col("y").alias(f"y_{s}")) for m, s in ((a, "a"), (b, "b")))
@@ -109,9 +132,17 @@ def paired_tests(predictions: DataFrame, folds: DataFrame, champion: str) -> Dat
     return predictions.sparkSession.createDataFrame(rows, "model string, auc_diff double, z double, delong_p double, wilcoxon_p double, delong_p_adjusted double")
 
 
-def inner_tune(train: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], grid: list[float], k: int = 5) -> float:
-    """The penalty with the best mean inner AUC; caps are refitted from each inner training part."""
-    models = [MlModel(str(g), LogisticRegression(regParam=g, standardization=False), True) for g in grid]
-    _, scored = run(train, y, id_col, numeric, categorical, models, k, 42)
-    best = scored.groupBy("model").agg(F.avg("auc").alias("auc")).orderBy(F.desc("auc"), "model").first()
-    return float(best.model)
+def candidates(name: str) -> list[Model]:
+    """What a learner is tuned over: penalties of the logit; depth and rate of boosted trees."""
+    if name == "logit":
+        return [MlModel(f"logit {g}", LogisticRegression(regParam=g, standardization=False), True) for g in (0.0001, 0.001, 0.01, 0.1)]
+    if name == "boosted_trees":
+        return [MlModel(f"boosted_trees {d} {r}", GBTClassifier(maxIter=20, maxDepth=d, stepSize=r, seed=42), False) for d in (2, 3) for r in (0.05, 0.1)]
+    raise ValueError("logit or boosted_trees")
+
+
+def inner_tune(train: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], tried: list[Model], k: int = 5) -> Model:
+    """The model with the best mean inner AUC; caps are refitted from each inner training part."""
+    _, scored = run(train, y, id_col, numeric, categorical, tried, k, 42)
+    best = scored.groupBy("model").agg(F.avg("auc").alias("auc")).orderBy(F.desc("auc"), "model").first().model
+    return next(m for m in tried if m.name == best)

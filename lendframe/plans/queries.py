@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import phi_sql
-from lendframe.functions.draws import normal_sql, uniform_sql
+from lendframe.functions.draws import normal, normal_sql, uniform_sql
 from lendframe.operators import binning, cluster, glm, metrics, profile, resample, scorecard, selection, trees, validation, woe
 from lendframe.plans import benchmark, logit_sql
 from lendframe.plans import scorecard as pipeline
+from lendframe.sources import loans
+from lendframe.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -896,3 +898,179 @@ def cv_benchmark(spark, sf):
     models = benchmark.default_models(rows.count())
     _, scored = benchmark.run(rows, "y_b", "id", ["o_totalprice", "c_acctbal"], ["r_name"], models, k=10)
     return metrics.fold_summary(scored, ["auc", "ks", "brier"])
+
+
+# ---- further operators, each with its SQL
+
+
+def ols_sql(name: str, source: str, xs: list[str], y: str) -> str:
+    """CTE ``name`` (rss): the residual sum of squares of a linear model, by eliminating the normal equations."""
+    p = len(xs)
+    sums = ", ".join([f"sum(({a})::double * ({b})::double) as h{i}_{j}" for i, a in enumerate(xs) for j, b in enumerate(xs) if j >= i] + [f"sum(({a})::double * {y}) as g{i}" for i, a in enumerate(xs)])
+    rows = ", ".join("[" + ", ".join([f"h{min(i, j)}_{max(i, j)}" for j in range(p)] + [f"g{i}"]) + "]" for i in range(p))
+    gains = ", ".join(f"g{i}" for i in range(p))
+    matrix = f"select yy, [{gains}] as g, [{rows}]::double[][] as a from (select {sums}, sum({y} * {y}) as yy from {source})"
+    for k in range(1, p + 1):
+        matrix = f"select yy, g, list_transform(a, lambda r, i: case when i = {k} then list_transform(r, lambda v: v / a[{k}][{k}]) else list_transform(r, lambda v, j: v - r[{k}] * a[{k}][j] / a[{k}][{k}]) end) as a from ({matrix})"
+    return f"{name} as (select yy - list_sum(list_transform(g, lambda v, i: v * a[i][{p + 1}])) as rss from ({matrix}))"
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_STRATA = ["1", *(f"(r_name = '{v}')::int" for v in REGIONS[1:])]
+_GROUPS = [f"(c_mktsegment = '{v}')::int" for v in SEGMENTS[1:]]
+
+
+@query(WITH + ", scaled as (select *, o_totalprice / 1000 as price from portfolio), " + ols_sql("less", "scaled", _STRATA, "price") + ", " + ols_sql("whole", "scaled", _STRATA + _GROUPS, "price")
+       + " select round(((less.rss - whole.rss) / 4) / (whole.rss / (select count(*) - 9 from portfolio)), 4) as f, 4 as df1, (select count(*) - 9 from portfolio)::int as df2 from less, whole")
+def fairness_anova_conditional(spark, sf):
+    made = validation.fairness_continuous_conditional(portfolio(spark, sf), "c_mktsegment", "o_totalprice", "r_name")
+    return spark.createDataFrame([made], "f double, df1 int, df2 int").select(r("f", 4), "df1", "df2")
+
+
+# 1.6448536 and 16.9189776: the 95 % points of the normal and of chi-squared with 9 degrees of freedom
+@query(psi_sql(PSI_BIN, PSI_BIN, HALVES + edges_sql("o_totalprice", 10, "base") + ",", "left").rsplit("select bin", 1)[0]
+       + """, n as (select count(*)::double as b, 1 / sum(base_no) + 1 / sum(target_no) as f from s) select round(sum((q - p) * ln(q / p)), 8) as psi, round(max(f * (b - 1) + 1.6448536269514722 * f * sqrt(2 * (b - 1))), 8) as cv_zscore,
+  round(sum((p - q) * (p - q) / p), 8) as psi_star, round(max(16.918977604620448 * f), 8) as cv_chisq, 0.95::double as ci from s, n""")
+def psi_summary(spark, sf):
+    return validation.psi_summary(validation.psi(*halves(spark, sf), "o_totalprice")).select(r("psi", 8), r("cv_zscore", 8), r("psi_star", 8), r("cv_chisq", 8), r("ci"))
+
+
+@query(ORACLE_SQL["evrs_returns"].rsplit("select sim::int", 1)[0] + "select model, round(avg(coalesce(gain, 0)), 6) as mean_return, round(stddev_pop(coalesce(gain, 0)), 6) as std_return, round(min(coalesce(gain, 0)), 6) as min_return, round(max(coalesce(gain, 0)), 6) as max_return from g group by 1")
+def evrs_summary(spark, sf):
+    rows = portfolio(spark, sf).withColumn("pd_bm", F.lit(0.3))
+    made = validation.evrs_summary(validation.evrs(rows, "y_b", "pd", "pd_bm", "id", sims=500))
+    return made.select("model", *[r(f"{c}_return") for c in ("mean", "std", "min", "max")])
+
+
+RARE = "(id % 3000 = 0)::int"
+
+
+@query(WITH + f", t as (select id, {RARE} as y from portfolio), k as (select least(10, sum(y)) as k from t) select fold, y, count(*) as n from (select y, floor((row_number() over (partition by y order by {ORDER_KEY}, id) - 1) * (select k from k) / count(*) over (partition by y))::int as fold from t) group by 1, 2")
+def kfold_rare_class(spark, sf):
+    rows = portfolio(spark, sf).select("id", (F.col("id") % 3000 == 0).cast("int").alias("y"))
+    return resample.kfold_indices(rows, "id", "y").groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+CUTS = {"band": "floor(o_totalprice / 100000)::bigint::varchar", "half": "floor(o_totalprice / 50000)::bigint::varchar", "c_mktsegment": "c_mktsegment"}
+
+
+@query(WITH + ", cut as (select y_b, " + ", ".join(f"{e} as {c}" for c, e in CUTS.items()) + " from portfolio), " + ", ".join(f"w_{c} as ({woe_sql(c, 'y_b', 'cut')})" for c in CUTS)
+       + ", iv as (" + " union all ".join(f"select '{c}' as rf, sum(iv_b) as iv from w_{c}" for c in CUTS) + "), pair as (select corr(a.woe, b.woe) as corr from cut join w_band a on cut.band = a.bin join w_half b on cut.half = b.bin)"
+       + ", top as (select arg_max(rf, iv) as rf from iv where rf <> 'c_mktsegment') select rf, round(iv, 6) as iv from iv, pair where iv >= 0.0001 and (rf = 'c_mktsegment' or corr <= 0.7 or rf = (select rf from top))")
+def iv_shortlist_uncorrelated(spark, sf):
+    rows = portfolio(spark, sf).select("y_b", F.floor(F.col("o_totalprice") / 100000).cast("string").alias("band"), F.floor(F.col("o_totalprice") / 50000).cast("string").alias("half"), "c_mktsegment")
+    names = list(CUTS)
+    pairs = profile.correlation_pairs(woe.with_woe(rows, "y_b", names), [f"{c}_woe" for c in names], -1.0)
+    pairs = pairs.select(F.regexp_replace("rf1", "_woe$", "").alias("rf1"), F.regexp_replace("rf2", "_woe$", "").alias("rf2"), "corr")
+    return woe.shortlist(woe.woe_table(rows, names, "y_b"), iv=0.0001, low=0.0001, pairs=pairs).select("rf", r("iv"))
+
+
+@query(SCORE.replace("o_totalprice as s", "-o_totalprice as s") + " select round(greatest(sum(b * (gb + g / 2)) / max(tg * tb), 1 - sum(b * (gb + g / 2)) / max(tg * tb)), 6) as auc from c")
+def auc_oriented(spark, sf):
+    rows = portfolio(spark, sf).withColumn("s", -F.col("o_totalprice"))
+    return metrics.auc(rows, "s", "y_b").select(F.round(woe.oriented(F.col("auc")), 6).alias("auc"))
+
+
+@query("select * from (values ('behaviour', 1::bigint, 1::bigint, true), ('application', 2::bigint, 0::bigint, false)) t(category, n, n_listed, covered)")
+def category_coverage(spark, sf):
+    book = spark.createDataFrame([("band", "behaviour"), ("c_mktsegment", "application"), ("r_name", "application")], "rf string, category string")
+    return woe.coverage(book, iv_shortlist(spark, sf).where("iv > 0.2"))
+
+
+_MAP = {"1-URGENT": 0.4, "2-HIGH": 0.1, "3-MEDIUM": -0.2, "5-LOW": -0.3, None: 0.05}
+
+
+@query(WITH + " select id, round(1 / (1 + exp(-(-0.5 - 1.2 * case priority_na when '1-URGENT' then 0.4 when '2-HIGH' then 0.1 when '3-MEDIUM' then -0.2 when '5-LOW' then -0.3 else 0.05 end))), 8) as pd from portfolio")
+def score_from_parameters(spark, sf):
+    stored = scorecard.parameters(glm.Logit(["priority_na"], {"priority_na": -1.2}, -0.5, None, 0.0, 0.0, 0, True), {"priority_na": _MAP}, "manual")
+    return scorecard.score_from_parameters(portfolio(spark, sf), *scorecard.read_parameters(stored)).select("id", r("pd", 8))
+
+
+MODELS = [("miv", 0.81, 0.62, 0.50, 0.8060, 1.0, 8, 1.0), ("boosted", 0.80, 0.60, 0.52, 0.7700, 1.0, 5, 0.0), ("forward", 0.79, 0.58, 0.47, 0.7890, 0.0, 13, 1.0)]
+_NORM = "({0} - min({0}) over ()) / (max({0}) over () - min({0}) over ())"
+
+
+@query("with m as (select * from (values " + ", ".join(map(str, MODELS)) + ") t(model, auc, gini, ks, cv, sign, n, monotonicity)) select model, round((0.25 * " + _NORM.format("auc") + " + 0.15 * " + _NORM.format("gini") + " + 0.1 * " + _NORM.format("ks")
+       + " + 0.2 * greatest(0, least(1, 1 - abs(auc - cv) / 0.03)) + 0.15 * sign + 0.1 * greatest(0, least(1, 1 - (n - 4) / 8)) + 0.05 * monotonicity)::double, 6) as composite from m")
+def composite_models(spark, sf):
+    rows = [(m, a, g, k, scorecard.stability(a, cv), s, scorecard.parsimony(n), mono) for m, a, g, k, cv, s, n, mono in MODELS]
+    return scorecard.composite(spark.createDataFrame(rows, "model string, auc double, gini double, ks double, stability double, sign double, parsimony double, monotonicity double")).select("model", r("composite"))
+
+
+@query(WITH + """, f as (select r_name as model, id % 10 as fold, avg(y_b) as auc from portfolio group by 1, 2), d as (select f.model, f.auc - c.auc as d from f join f c on c.model = 'ASIA' and c.fold = f.fold where f.model <> 'ASIA')
+  select model, round(avg(d), 6) as difference, round(avg(d) - 1.96 * stddev_samp(d) / sqrt(count(*)), 6) as low, round(avg(d) + 1.96 * stddev_samp(d) / sqrt(count(*)), 6) as high from d group by 1""")
+def forest_table(spark, sf):
+    rows = portfolio(spark, sf).groupBy(F.col("r_name").alias("model"), (F.col("id") % 10).alias("fold")).agg(F.avg(F.col("y_b").cast("double")).alias("auc"))
+    return metrics.forest(rows, "ASIA").select("model", r("difference"), r("low"), r("high"))
+
+
+@query("""with b as (select year(o_orderdate) as w, 1 + (o_totalprice >= 100000)::int + (o_totalprice >= 200000)::int + (o_totalprice >= 300000)::int as bin, count(*) as n from orders group by 1, 2),
+  s as (select *, n / sum(n) over (partition by w) as share, case bin when 1 then 0.3 when 2 then 0.3 when 3 then 0.2 else 0.2 end::double as base from b) select w::int as w, round(sum((share - base) * ln(share / base)), 6) as psi, sum(n)::bigint as n from s group by 1""")
+def window_psi(spark, sf):
+    rows = table(spark, sf, "orders").withColumn("bin", metrics.cut(F.col("o_totalprice"), [0.0, 100000.0, 200000.0, 300000.0, 1e9], right=False))
+    counts = rows.groupBy(F.year("o_orderdate").alias("window_start"), "bin").agg(F.count(F.lit(1)).alias("n"))
+    return monitor.window_psi(counts, {1: 0.3, 2: 0.3, 3: 0.2, 4: 0.2}).select(F.col("window_start").cast("int").alias("w"), r("psi"), "n")
+
+
+@query("select n_nationkey, case n_regionkey when 0 then 'south' when 1 then 'west' when 2 then 'east' else n_regionkey::varchar end as n_regionkey from nation")
+def dictionary_decode(spark, sf):
+    return loans.decode(table(spark, sf, "nation"), "n_regionkey", loans.parse_codes("0 = south, 1 = west; 2 = east")).select("n_nationkey", "n_regionkey")
+
+
+BOUNDS = [("A", 300000.0, 600000.0), ("B", 200000.0, 290000.0), ("C", 100000.0, 195000.5), ("D", 5000.0, 100000.0)]
+
+
+@query(WITH + " select grade, count(*) as n from (select case when o_totalprice >= 300000 then 'A' when o_totalprice >= 200000 then 'B' when o_totalprice >= 100000 then 'C' else 'D' end as grade from portfolio) group by 1")
+def grades_with_gaps(spark, sf):
+    return portfolio(spark, sf).groupBy(scorecard.fixed_grades(F.col("o_totalprice"), BOUNDS).alias("grade")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select * from (values ('x', 2, 'x has one value among complete cases'), ('gone', 4, 'no complete cases'), ('y', 1, 'y has one value among complete cases'), ('odd', 3, 'y is not 0/1')) t(case_, code, message)")
+def cat_bin_codes(spark, sf):
+    rows = portfolio(spark, sf).withColumns({"one": F.lit("a"), "gone": F.lit(None).cast("string"), "flat": F.lit(1), "odd": (F.col("id") % 3).cast("int")})
+    cases = {"x": ("one", "y_b"), "gone": ("gone", "y_b"), "y": ("r_name", "flat"), "odd": ("r_name", "odd")}
+    out = [binning.cat_bin_checks(rows, x, y).select(F.lit(name).alias("case_"), "code", "message") for name, (x, y) in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(WITH + f""", d as (select {normal_sql('7', 'id')} as v from portfolio), m as (select avg(v) as m, stddev_pop(v) as s, count(*) as n, ceil(2 * count(*) ** 0.4)::int as k from d), c as (select least(floor(({phi_sql('((v - m) / s)')}) * k), k - 1) as c, count(*) as n from d, m group by 1),
+  x as (select sum(c.n * c.n)::double * max(k) / max(m.n) - max(m.n) as stat, max(k) - 3 as df from c, m) select round({chi2_tail_sql('stat', 'df')}, 3) as p from x""")
+def normality_of_draws(spark, sf):
+    rows = portfolio(spark, sf).select(normal(F.lit(7), F.col("id")).alias("v"))
+    return spark.createDataFrame([(profile.normality_p(rows, ["v"])["v"],)], "p double").select(r("p", 3))
+
+
+@query(WITH + f", d as (select id, case when id % 9 = 0 then null else {normal_sql('7', 'id')} end as v from portfolio) select id, round(coalesce(v, (select avg(v) from d)), 6) as v, round(case when id % 9 = 0 then (select quantile_cont(c_acctbal, 0.5) from portfolio where id % 9 <> 0) else c_acctbal end, 6) as w from d join portfolio using (id)")
+def impute_automatic(spark, sf):
+    gone = F.col("id") % 9 == 0
+    rows = portfolio(spark, sf).select("id", F.when(~gone, normal(F.lit(7), F.col("id"))).alias("v"), F.when(~gone, F.col("c_acctbal")).alias("w"))
+    return profile.impute(rows, ["v", "w"])[0].select("id", r("v"), r("w"))
+
+
+def loans_sql(n: int, seed: int) -> str:
+    u, z = (lambda what: uniform_sql(str(seed), "id", f"'{what}'")), (lambda what: normal_sql(str(seed), "id", f"'{what}'"))
+    pick = lambda values, what: f"({values!r})[(1 + floor({u(what)} * {len(values)}))::int]"
+    return f"""with d as (select id, floor({u('age')} * 50 + 20)::int as age, exp({z('income')} * 0.5 + 10.8) as income, floor({u('job')} * 20)::int as emp_length, exp({z('amount')} * 0.6 + 9.3) as loan_amount, {u('rate')} * 18 + 5 as interest_rate, {u('dti')} * 40 as dti,
+  least(greatest(round_even({z('score')} * 60 + 680, 0), 300), 850)::int as credit_score, {pick(loans.OWNERSHIP, 'home')} as home_ownership, {pick(loans.PURPOSES, 'purpose')} as purpose, {pick(loans.GRADES, 'grade')} as grade, {u('default')} as u from range({n}) t(id))
+  select id, age, round(income, 4) as income, emp_length, round(loan_amount, 4) as loan_amount, round(interest_rate, 6) as interest_rate, round(dti, 6) as dti, credit_score, home_ownership, purpose, grade,
+  (u < 1 / (1 + exp(-(-2.0 + 0.08 * (interest_rate - 14) + 0.03 * (dti - 20) - 0.01 * (credit_score - 680)))))::int as "default" from d"""
+
+
+@query(loans_sql(3000, 2191))
+def synthetic_loans(spark, sf):
+    made = loans.load_loans(spark)
+    return made.select("id", "age", r("income", 4), "emp_length", r("loan_amount", 4), r("interest_rate"), r("dti"), "credit_score", "home_ownership", "purpose", "grade", "default")
+
+
+@query()
+def boosted_selection(spark, sf):
+    rows, names = coded(spark, sf)
+    return out_steps(selection.boosted_selection(rows, "y_b", names).steps)
+
+
+@query()
+def x2y_distances(spark, sf):
+    d = cluster.distances(table(spark, sf, "lineitem"), COR, "x2y")
+    rows = [(a, b, float(d[i, j])) for i, a in enumerate(COR) for j, b in enumerate(COR[:i])]
+    return spark.createDataFrame(rows, "rf1 string, rf2 string, distance double").select("rf1", "rf2", r("distance"))

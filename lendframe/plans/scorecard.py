@@ -22,10 +22,6 @@ class Scorecard:
     scored: DataFrame
 
 
-def assess(auc: float, gini: float, ks: float) -> str:
-    return "FAIL" if auc < 0.70 or gini < 0.35 or ks < 0.30 else "PASS"
-
-
 def build(df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], ct: float | None = None) -> Scorecard:
     """Run all stages; row-level data stays on the executors, models and scales are the only things collected.
 
@@ -48,7 +44,7 @@ def build(df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: l
     listed = [r.rf for r in woe.shortlist(table, iv=0.02, low=0.0, pairs=pairs).orderBy(F.desc("iv"), "rf").limit(15).collect()]
     coded = woe.replace_woe(binned.select(id_col, y, *listed), y, listed)[0].cache()
     builders = {
-        "miv": lambda: selection.step_miv(binned.select(y, *listed), y, listed),
+        "miv": lambda: selection.step_miv(binned.select(id_col, y, *listed), y, listed),
         "forward": lambda: selection.step_fwd(coded, y, listed),
         "boosted": lambda: selection.boosted_selection(coded, y, listed),
     }
@@ -76,6 +72,11 @@ def build(df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: l
     scale, _ = scorecard.calibrate(scale, rate)
     m = next(r for r in rows if r[0] == best)
     het = validation.heterogeneity(graded, y, "grade").agg(F.max("p_value")).first()[0]
-    facts = [("auc", m[1], assess(m[1], m[2], m[3])), ("gini", m[2], ""), ("ks", m[3], ""), ("heterogeneity max p", het, "")]
+    halves = [r.auc for r in validation.half_split_auc(made[best].data.select(id_col, y, made[best].model.probability().alias("pd")), "pd", y, F.pmod(F.xxhash64(id_col), F.lit(2))).collect() if r.auc is not None]
+    power = validation.predictive_power(scale.where("pdc > 0 and pdc < 1")).collect()
+    tests = [(f"binomial test of grade {r.rating}", r.binomial_p) for r in power] + [("Hosmer-Lemeshow test", power[0].hl_p)] * bool(power)
+    rates = [(r.rating, r.nb / r.no) for r in sorted(scale.collect(), key=lambda r: r.rating)]  # grades
+    overall, flags = validation.assessment({"auc": m[1], "gini": m[2], "ks": m[3], "auc_difference": max(halves) - min(halves) if halves else 0.0}, tests, rates)
+    facts = [("auc", m[1], ""), ("gini", m[2], ""), ("ks", m[3], ""), ("heterogeneity max p", het, ""), ("overall", None, overall), *[("flag", None, f) for f in flags]]
     assessment = df.sparkSession.createDataFrame(facts, "measure string, value double, result string")
     return Scorecard(best, made[best].model, ranked, scale, assessment, graded)
