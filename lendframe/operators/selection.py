@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -274,10 +275,17 @@ def boosted_selection(df: DataFrame, target: str, candidates: list[str], p_value
     from pyspark.ml.feature import VectorAssembler
 
     rows = df.dropna(subset=[target, *candidates])
-    ready = VectorAssembler(inputCols=list(candidates), outputCol="__f").transform(rows).withColumn("__y", F.col(target).cast("double"))
-    model = GBTClassifier(labelCol="__y", featuresCol="__f", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(ready)
+    fit = Fitter(rows, target, {c: [c] for c in candidates})
+    if fit.cells:  # the trees see the distinct rows with their counts
+        cells = fit.cells
+        made = pd.DataFrame({**{c: cells.columns[c].astype(float) for c in [target, *candidates]}, "__w": cells.count.astype(float)})
+        ready = df.sparkSession.createDataFrame(made).coalesce(1)
+    else:
+        ready = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in [target, *candidates]], F.lit(1.0).alias("__w"))
+    ready = VectorAssembler(inputCols=list(candidates), outputCol="__f").transform(ready)
+    learner = GBTClassifier(labelCol=target, featuresCol="__f", weightCol="__w", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
+    model = learner.fit(ready)
     names = by_importance(dict(zip(candidates, model.featureImportances.toArray().tolist())))
-    fit = Fitter(rows, target, {c: [c] for c in names})
     logit, dropped = fit(names), []
     while names:
         bad = [c for c in names if not fit.sign_ok(logit, c, sign) or fit.p_value(logit, c) >= p_value]

@@ -822,7 +822,33 @@ def tree_first_split(spark, sf):
     return spark.createDataFrame(rows, "cut double, lg long, lb long, rg long, rb long").select(r("cut", 4), "lg", "lb", "rg", "rb")
 
 
-@query()
+def split_sql(name: str, source: str) -> str:
+    """CTE ``name`` (rf, cut): the best split of a node by deciles of two numbers or one category; one row, NULL if there is none."""
+    counts = lambda left: f"count(*) filter ({left} and y_b = 0)::double as lg, count(*) filter ({left} and y_b = 1)::double as lb, count(*) filter (not ({left}) and y_b = 0)::double as rg, count(*) filter (not ({left}) and y_b = 1)::double as rb"
+    deciles = "[" + ", ".join(str(i / 10) for i in range(1, 10)) + "]"
+    numbers = " union all ".join(
+        f"select '{c}' as rf, cut::varchar as cut, {counts(f'{c} <= cut')} from {source}, (select unnest(list_distinct(quantile_cont({c}::double, {deciles}))) as cut from {source}) group by cut" for c in ("o_totalprice", "c_acctbal")
+    )
+    return f"""{name} as (with tried as ({numbers} union all select 'r_name', l, {counts('r_name = l')} from {source}, (select distinct r_name as l from {source}) group by l),
+    tested as (select *, {z_sql('lb', '(lg + lb)', 'rb', '(rg + rb)')} as z from tried, need where least(lg + lb, rg + rb) >= rows and least(lb, rb) >= bads)
+    select best.rf as rf, best.cut as cut from (select arg_min({{'rf': rf, 'cut': cut}}, (-abs(z), rf, cut)) as best from tested where 2 * (1 - ({phi_sql('abs(z)')})) < 0.05))"""
+
+
+def left_sql(split: str) -> str:
+    return f"(case {split}.rf when 'r_name' then r_name = {split}.cut when 'o_totalprice' then o_totalprice <= try_cast({split}.cut as double) else c_acctbal <= try_cast({split}.cut as double) end)"
+
+
+def rule_sql(split: str, side: str) -> str:
+    signs = {"left": ("=", "<="), "right": ("<>", ">")}[side]
+    return f"({split}.rf || ' ' || case when {split}.rf = 'r_name' then '{signs[0]}' else '{signs[1]}' end || ' ' || {split}.cut)"
+
+
+@query(WITH + f""", need as (select greatest(30, ceil(count(*) * 0.05)) as rows, greatest(1, ceil(sum(y_b) * 0.01)) as bads from portfolio), {split_sql('s1', 'portfolio')},
+  one as (select p.*, {left_sql('s1')} as l1 from portfolio p, s1), a as (select * from one where l1), b as (select * from one where not l1), {split_sql('s2', 'a')}, {split_sql('s3', 'b')},
+  placed as (select y_b, case when l1 then case when s2.rf is null then 2 when {left_sql('s2')} then 4 else 5 end when s3.rf is null then 3 else 4 + 2 * (s2.rf is not null)::int + (not {left_sql('s3')})::int end as leaf,
+    case when l1 then {rule_sql('s1', 'left')} || case when s2.rf is null then '' when {left_sql('s2')} then ' & ' || {rule_sql('s2', 'left')} else ' & ' || {rule_sql('s2', 'right')} end
+    else {rule_sql('s1', 'right')} || case when s3.rf is null then '' when {left_sql('s3')} then ' & ' || {rule_sql('s3', 'left')} else ' & ' || {rule_sql('s3', 'right')} end end as rule from one, s1, s2, s3)
+  select leaf::int as leaf, count(*) as no, sum(y_b)::bigint as nb, round(avg(y_b), 6) as dr, rule from placed group by leaf, rule""")
 def tree_leaves(spark, sf):
     return trees.decision_tree(portfolio(spark, sf), "y_b", ["o_totalprice", "c_acctbal", "r_name"], max_depth=2)[0].select("leaf", "no", "nb", r("dr"), "rule")
 
