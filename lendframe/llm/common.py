@@ -103,11 +103,12 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: str,
     """
     least = hot_from(total)
     out = [c for c in table.columns if c not in keys]
-    hot = F.broadcast(table.where(F.col(n_rows) > least).select(*keys, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in out]))
+    flag, *held = unused(rows, "hot", *[f"hot_{c}" for c in out])
+    hot = F.broadcast(table.where(F.col(n_rows) > least).select(*keys, F.lit(True).alias(flag), *[F.col(c).alias(h) for c, h in zip(out, held)]))
     near = rows.join(hot, keys, "left")
     kept = [F.col(f"`{c}`") for c in rows.columns]
-    one = near.where(F.col("__hot")).select(*kept, *[F.col(f"__hot_{c}").alias(c) for c in out])
-    two = near.where(F.col("__hot").isNull()).select(*kept).join(table.where(F.col(n_rows) <= least), keys)
+    one = near.where(F.col(flag)).select(*kept, *[F.col(h).alias(c) for c, h in zip(out, held)])
+    two = near.where(F.col(flag).isNull()).select(*kept).join(table.where(F.col(n_rows) <= least), keys)
     return one.unionByName(two)
 
 

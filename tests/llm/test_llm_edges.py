@@ -36,7 +36,7 @@ OPERATORS = {
 #: Names that operators use or used for themselves.
 CLASHING = (
     "__id", "__hash", "__text_hash", "__fp", "__component", "__dropped", "__votes", "__m", "__both", "__tokens", "__quality", "__vector", "__found", "__base",
-    "__random", "__source", "__target", "__copies", "h1", "h2", "run", "batch", "first", "hot", "n", "root", "pattern", "posterior_", "a.b", "rows", "size_",
+    "__random", "__hot", "__hot___component", "__source", "__target", "__copies", "h1", "h2", "run", "batch", "first", "hot", "n", "root", "pattern", "posterior_", "a.b", "rows", "size_",
 )
 
 
