@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendframe.functions.dist import chi2_sf
+from lendframe.functions.dist import chi2_sf, phi_column
 from lendframe.functions.special import SC_THRESHOLD, clean, is_numeric, is_special, long_form, require
 from lendframe.operators.quantiles import of_counts, values
 
@@ -103,25 +102,17 @@ def normality_p(df: DataFrame, columns: list[str], codes: list = ()) -> dict[str
     if not columns:
         return {}
     rows = long_form(df, columns, numeric=True).where(~is_special(F.col("value"), codes))
+    # a row a column
     moments = {r.rf: r for r in rows.groupBy("rf").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect()}
-    edges = {
-        rf: [r.m + r.s * NormalDist().inv_cdf(i / k) for i in range(1, k)]
-        for rf, r in moments.items() if r.n >= 10 and r.s > 0 for k in [math.ceil(2 * r.n**0.4)]
-    }
-    if not edges:
+    classes = {rf: math.ceil(2 * r.n**0.4) for rf, r in moments.items() if r.n >= 10 and r.s > 0}
+    if not classes:
         return {}
-    # columns by classes, 2 n^0.4 of them: a table of bounded size
-    table = df.sparkSession.createDataFrame(sorted(edges.items()), "e_rf string, edges array<double>")
-    counts = (
-        rows.join(F.broadcast(table), F.col("rf") == F.col("e_rf"))
-        .groupBy("rf", F.size(F.filter("edges", lambda e: e < F.col("value"))).alias("class")).count().collect()
-    )
-    out = {}
-    for rf, cut in edges.items():
-        k, n = len(cut) + 1, moments[rf].n
-        squares = sum(c["count"] ** 2 for c in counts if c["rf"] == rf)
-        out[rf] = chi2_sf(squares * k / n - n, k - 3)
-    return out
+    table = df.sparkSession.createDataFrame([(rf, moments[rf].m, moments[rf].s, k) for rf, k in sorted(classes.items())], "e_rf string, m double, s double, k int")
+    share = phi_column((F.col("value") - F.col("m")) / F.col("s"))
+    at = F.least(F.floor(share * F.col("k")), F.col("k") - 1)
+    counts = rows.join(F.broadcast(table), F.col("rf") == F.col("e_rf")).groupBy("rf", at.alias("class")).count()
+    squares = {r.rf: r.q for r in counts.groupBy("rf").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("q")).collect()}
+    return {rf: chi2_sf(squares[rf] * k / moments[rf].n - moments[rf].n, k - 3) for rf, k in classes.items()}
 
 
 def impute(df: DataFrame, columns: list[str], codes: list = (), method: str = "automatic", p_value: float = 0.05) -> tuple[DataFrame, DataFrame]:

@@ -16,17 +16,18 @@ def woe_of(dist_g: Column, dist_b: Column) -> Column:
 
 def _table(rows: DataFrame, keys: list[str], good: Column, bad: Column, count: Column) -> DataFrame:
     counts = rows.groupBy(*keys).agg(count.alias("no"), good.alias("ng"), bad.alias("nb"))
-    # windows over bins, not rows: as many as there are levels
-    whole = Window.partitionBy(*keys[:-1])
-    so, sg, sb = (F.sum(c).over(whole) for c in ("no", "ng", "nb"))
-    out = counts.withColumns({"so": so, "sg": sg, "sb": sb})
+    # totals by partial aggregates: a column of very many levels is in no one task
+    whole = keys[:-1]
+    totals = counts.groupBy(*[F.col(k).alias(f"t_{k}") for k in whole]).agg(F.sum("no").alias("so"), F.sum("ng").alias("sg"), F.sum("nb").alias("sb"))
+    out = counts.join(F.broadcast(totals), [F.col(k) == F.col(f"t_{k}") for k in whole]).drop(*[f"t_{k}" for k in whole])  # a row a column
     out = out.withColumns({
         "pct_o": F.try_divide("no", "so"), "pct_g": F.try_divide("ng", "sg"), "pct_b": F.try_divide("nb", "sb"),
         "dr": F.try_divide("nb", "no"), "dist_g": F.try_divide("ng", "sg"), "dist_b": F.try_divide("nb", "sb"),
     })
     out = out.withColumn("woe", woe_of(F.col("dist_g"), F.col("dist_b")))
     out = out.withColumn("iv_b", (F.col("dist_g") - F.col("dist_b")) * F.col("woe"))
-    return out.withColumn("iv_s", F.sum("iv_b").over(whole))
+    sums = out.groupBy(*[F.col(k).alias(f"s_{k}") for k in whole]).agg(F.sum("iv_b").alias("iv_s"))
+    return out.join(F.broadcast(sums), [F.col(k) == F.col(f"s_{k}") for k in whole]).drop(*[f"s_{k}" for k in whole])
 
 
 def woe_table(df: DataFrame, columns: list[str], target: str) -> DataFrame:
