@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor
 
@@ -100,17 +99,20 @@ def decision_tree(df: DataFrame, y: str, factors: list[str], min_pct_obs: float
 
 
 def interaction(df: DataFrame, y: str, factors: list[str], min_pct_obs: float = 0.05, max_depth: int = 3, seed: int = 42, name: str = "interaction") -> DataFrame:
-    """Leaves of a Gini tree as a new factor L1, L2, ...; rows with a NULL get NULL."""
+    """Leaves of a Gini tree as a new factor L1, L2, ...; rows with a NULL get NULL.
+
+    Of 0 and 1 the variance is half the Gini impurity, and a regression tree doesn't join leaves of one majority class.
+    """
     rows = df.dropna(subset=[y, *factors])
     least = max(int(min_pct_obs * rows.count()), 30)
-    tree = DecisionTreeClassifier(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=seed)
+    tree = DecisionTreeRegressor(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=seed)
     vector = VectorAssembler(inputCols=list(factors), outputCol="__f", handleInvalid="keep")
     model = tree.fit(vector.transform(rows).withColumn("__y", F.col(y).cast("double")))
     whole = F.lit(True)
     for c in factors:
         whole = whole & F.col(f"`{c}`").isNotNull()
     coded = model.transform(vector.transform(df))
-    return coded.withColumn(name, F.when(whole, F.concat(F.lit("L"), (F.col("__leaf") + 1).cast("int")))).drop("__f", "__leaf", "rawPrediction", "probability", "prediction")
+    return coded.withColumn(name, F.when(whole, F.concat(F.lit("L"), (F.col("__leaf") + 1).cast("int")))).drop("__f", "__leaf", "prediction")
 
 
 def forest_interactions(df: DataFrame, y: str, factors: list[str], trees: int = 10, per_tree: int | None = None, max_depth: int = 2, seed: int = 991, min_pct_obs: float = 0.05) -> DataFrame:
@@ -127,9 +129,9 @@ def forest_interactions(df: DataFrame, y: str, factors: list[str], trees: int =
         times = sum((u >= c).cast("int") for c in DRAWS)
         rows = df.dropna(subset=[y, *picked]).withColumn("__n", F.explode(F.sequence(F.lit(0), times))).where("__n > 0").drop("__n")
         least = max(1, round(min_pct_obs * rows.count()))
-        tree = DecisionTreeClassifier(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=seed)
+        tree = DecisionTreeRegressor(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=seed)
         model = tree.fit(vector.transform(rows).withColumn("__y", F.col(y).cast("double")))
-        out = model.transform(vector.transform(out)).withColumn(f"tree_{i + 1}", F.concat(F.lit("L"), (F.col("__leaf") + 1).cast("int"))).drop("__f", "__leaf", "rawPrediction", "probability", "prediction")
+        out = model.transform(vector.transform(out)).withColumn(f"tree_{i + 1}", F.concat(F.lit("L"), (F.col("__leaf") + 1).cast("int"))).drop("__f", "__leaf", "prediction")
     return out
 
 

@@ -407,3 +407,80 @@ def test_fold_goldens():
     p = {m: metrics.wilcoxon([auc[m][f] for f in range(10)], [auc["woe_logit"][f] for f in range(10)]) for m in ("logit", "tabpfn_v2", "tabicl", "tabdpt", "xgb", "lgbm")}
     want = {"logit": 0.922, "tabpfn_v2": 0.105, "tabicl": 0.090, "tabdpt": 0.232, "xgb": 0.557, "lgbm": 0.922}
     assert {m: round(v, 3) for m, v in p.items()} == want, p
+
+
+def brute_tree(x, y, depth, least):
+    """Leaf of each row of a greedy tree of least variance, by every cut between values."""
+    leaf = [""] * len(y)
+
+    def grow(rows, level):
+        if level == depth:
+            return
+        mean = lambda r: sum(y[i] for i in r) / len(r)
+        loss = lambda r: sum((y[i] - mean(r)) ** 2 for i in r)
+        best = None
+        for j in range(len(x[0])):
+            values = sorted({x[i][j] for i in rows})
+            for a, b in zip(values, values[1:]):
+                left = [i for i in rows if x[i][j] <= (a + b) / 2]
+                right = [i for i in rows if x[i][j] > (a + b) / 2]
+                if min(len(left), len(right)) >= least:
+                    gain = loss(rows) - loss(left) - loss(right)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                        best = (gain, left, right)
+        if best:
+            for side, part in zip("lr", best[1:]):
+                for i in part:
+                    leaf[i] += side
+                grow(part, level + 1)
+
+    grow(list(range(len(y))), 0)
+    return leaf
+
+
+def test_tree_leaves_by_brute_force(spark):
+    own = random.Random(12)
+    x = [(own.randint(0, 9), own.randint(0, 6)) for _ in range(900)]
+    y = [int(own.random() < 0.1 + 0.06 * a + 0.05 * (b > 3) * a) for a, b in x]
+    pd_ = [round(0.1 + 0.05 * a, 6) for a, _ in x]
+    df = spark.createDataFrame([(i, float(a), float(b), t, p) for i, ((a, b), t, p) in enumerate(zip(x, y, pd_))], "id long, a double, b double, y int, pd double")
+    same = lambda one, two: len(set(one)) == len(set(zip(one, two))) == len(set(two)) > 2
+    got = {r.id: r.interaction for r in trees.interaction(df, "y", ["a", "b"], min_pct_obs=0.05, max_depth=3).collect()}
+    assert same([got[i] for i in range(900)], brute_tree(x, y, 3, 45))
+    leaf = brute_tree(x, [t - p for t, p in zip(y, pd_)], 3, 30)
+    want = sorted((leaf.count(k), round(sum(t for t, v in zip(y, leaf) if v == k) / leaf.count(k), 9)) for k in set(leaf))
+    made = trees.segment_validation(df, "y", "pd", ["a", "b"], min_leaf=0.03, max_depth=3).collect()
+    assert sorted((r.no, round(r.odr, 9)) for r in made) == want
+    for r in made:
+        z = (r.odr - r.pd) / math.sqrt(r.pd * (1 - r.pd) / r.no)
+        assert abs(r.z - z) < 1e-9 and abs(r.p_value - 0.5 * math.erfc(abs(z) / math.sqrt(2))) < 1e-12
+
+
+def test_x2y_by_brute_force(spark):
+    from lendframe.operators import cluster
+
+    own = random.Random(3)
+    x = [(own.randint(0, 9),) for _ in range(400)]
+    y = [float(a * a + own.random()) for (a,) in x]
+    leaf = brute_tree(x, y, 3, 20)
+    mean = {k: sum(v for v, q in zip(y, leaf) if q == k) / leaf.count(k) for k in set(leaf)}
+    middle = float(np.median(y))
+    want = 1 - sum(abs(v - mean[q]) for v, q in zip(y, leaf)) / sum(abs(v - middle) for v in y)
+    got = cluster.x2y(spark.createDataFrame([(float(a), v) for (a,), v in zip(x, y)], "x double, y double"), "x", "y")
+    assert abs(got - want) < 1e-9
+
+
+def test_clusters_by_brute_force(spark):
+    """Two pairs of columns that follow one another; the distance to the own cluster is the mean of the others'."""
+    from lendframe.operators import cluster
+
+    own = np.random.default_rng(1)
+    a, b = own.standard_normal(500), own.standard_normal(500)
+    made = np.column_stack([a, a + 0.1 * own.standard_normal(500), b, b + 0.2 * own.standard_normal(500), a + 0.3 * own.standard_normal(500)])
+    names = ["p", "q", "r", "s", "t"]
+    got = {x.rf: (x.cluster, x.dist_to_cluster) for x in cluster.rf_clustering(spark.createDataFrame(made.tolist(), [*names]), names, k=2).collect()}
+    d = (1 - np.corrcoef(made.T)) / 2
+    assert [got[n][0] for n in names] == [1, 1, 2, 2, 1]
+    for i, n in enumerate(names):
+        others = [j for j in range(5) if j != i and got[names[j]][0] == got[n][0]]
+        assert abs(got[n][1] - d[i, others].mean()) < 1e-9
