@@ -199,8 +199,12 @@ def _trees(rows: DataFrame, sizes: dict[int, int], numbers: list[int], cell: int
     return out
 
 
-def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
-    """classes: (node, vector). Edges (a, b) that connect what the leaves of all passes, or the pairs of the rest, link."""
+def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell: int = CELL) -> tuple[DataFrame, list[DataFrame]]:
+    """classes: (node, vector). Edges (a, b) that connect what the leaves of all passes, or the pairs of the rest, link.
+
+    The second value lists the stored tables that the edges are read from.
+    """
+    held: list[DataFrame] = []
     rows, found, passes, rest = classes.select("node", "vector"), [], 0, NEED
     parts = shuffle_partitions(classes.sparkSession)
     while True:
@@ -223,7 +227,9 @@ def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell:
         passes += ROUND
         hits = reduce(DataFrame.unionByName, found).where("hit = 1").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("hits"))
         scored = classes.select("node", "vector").join(hits, "node", "left").withColumn("hits", F.coalesce("hits", F.lit(0))).where(F.col("hits") < NEED)
-        rows = stored(scored, "vectors-left")
+        before, rows = held[-1:], stored(scored, "vectors-left")
+        release(*before)
+        held = [rows]
         left, hit = rows.agg(F.count(F.lit(1)), F.sum("hits")).first()
         if not left:
             rows = rows.limit(0)
@@ -239,7 +245,7 @@ def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell:
         .select("dim", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "vector")
         .repartition(parts, *keys).sortWithinPartitions(*keys, "node").mapInPandas(lambda frames: _pair_links(frames, threshold), "a long, b long")
     )
-    return reduce(DataFrame.unionByName, [links.where("b >= 0").select("a", "b") for links in found], exact)
+    return reduce(DataFrame.unionByName, [links.where("b >= 0").select("a", "b") for links in found], exact), [*held, *found]
 
 
 def near_duplicates(
@@ -271,7 +277,9 @@ def near_duplicates(
         "vector-classes",
     )
     entries, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    roots = stored(components(window_edges(classes, threshold, block, cell)), "vector-roots")
+    edges, passed = window_edges(classes, threshold, block, cell)
+    roots = stored(components(edges), "vector-roots")
+    release(*passed)
     members = classes.select("node", "least", "rows").join(roots, "node")
     sizes = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     placed = stored(spread_join(members, sizes, ["root"], "n", entries), "vector-members")
