@@ -28,6 +28,8 @@ def build(df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: l
     Numbers are winsorised and cut at quintiles, all factors are WoE-coded, columns of too low IV or near-zero variance go,
     and three builders (MIV, forward by p-value, importance in boosted trees) run side by side.
     """
+    # every stage reads these columns
+    df = df.select(id_col, y, *numeric, *categorical).cache()
     checked = profile.nzv(df, categorical).where("high_freq_ratio = 1").select("rf").collect() if categorical else []
     dull = {r.rf for r in checked}
     capped, _ = profile.winsorise(df, numeric)
@@ -50,16 +52,19 @@ def build(df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: l
     }
     with ThreadPoolExecutor(len(builders)) as pool:  # independent jobs of one session
         made = dict(zip(builders, pool.map(lambda f: f(), builders.values())))
-    rows, scored = [], {}
-    for name, s in made.items():
+    def judged(name: str) -> tuple:
+        s = made[name]
         frame = s.data.select(y, s.model.probability().alias("pd"))
         m = metrics.all_metrics(frame, "pd", y).first()
         cv = resample.kfold_validation(coded, y, s.selected, id_col, 5).agg(F.avg("auc")).first()[0] if s.selected else m.auc
-        stable = scorecard.stability(m.auc, cv)
         signs = float(all(b < 0 for b in s.model.coefficients.values()))
         dec = scorecard.deciles(frame.withColumn("score", scorecard.scaled_score(F.col("pd"))), "score", y).agg(F.sum("reversal")).first()[0]
-        rows.append((name, m.auc, m.gini, m.ks, stable, signs, scorecard.parsimony(len(s.selected)), float(dec == 0), len(s.selected), s.model.pseudo_r2))
-        scored[name] = frame
+        measures = (scorecard.stability(m.auc, cv), signs, scorecard.parsimony(len(s.selected)), float(dec == 0))
+        return (name, m.auc, m.gini, m.ks, *measures, len(s.selected), s.model.pseudo_r2), frame
+
+    with ThreadPoolExecutor(len(made)) as pool:
+        results = list(pool.map(judged, made))
+    rows, scored = [row for row, _ in results], {row[0]: frame for row, frame in results}
     table = df.sparkSession.createDataFrame(
         rows, "model string, auc double, gini double, ks double, stability double, sign double, parsimony double, monotonicity double, n_variables int, pseudo_r2 double"
     )
