@@ -11,7 +11,9 @@ from lendframe.llm import (
     embedding_dedup,
     license_scan,
     line_dedup,
+    merkle,
     mixing,
+    oracle,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -74,6 +76,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *byte_bpe.digests())
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.audit(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.siblings_sha256(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -85,6 +92,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle": op11_merkle,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -166,3 +174,4 @@ join cut c on d.source is not distinct from c.source and d.hash = c.hash
 }
 
 ORACLE_SQL["op6_license_scan"] = license_scan.oracle_sql()
+ORACLE_SQL["op11_merkle"] = oracle.MERKLE
