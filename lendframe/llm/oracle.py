@@ -60,3 +60,43 @@ with recursive {CRC_TABLE}, doc as (
 )
 select *, folded_root = root as verified from folded
 """
+
+#: UTF-8 bytes of a list of code points below 0x800.
+_UTF8 = "flatten(list_transform(points, lambda p: case when p < 128 then [p] else [192 + (p >> 6), 128 + (p & 63)] end))"
+
+SPELLING = f"""
+with recursive {CRC_TABLE}, run as (
+  select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) as raw from documents
+), lowered as (
+  select doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as k
+  from run where length(raw) >= 5 group by all
+), coded as (
+  select run, k, {crc_of(_UTF8)} as h
+  from (select *, list_transform(string_split(doc_id || ':' || run, ''), lambda x: unicode(x)::bigint) as points from lowered), crc_table
+), word as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from coded
+), vocab as (
+  select word, sum(k)::bigint as n from word where length(word) >= 5 group by word having sum(k) >= 3
+), cut as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as short, substr(word, 1, i) || '*' || substr(word, i + 2) as gap
+  from (select word, n, unnest(range(length(word))) as i from vocab)
+), near as (
+  select a.word, b.word as other, b.n from cut a join cut b on a.gap = b.gap and a.word <> b.word
+  union
+  select c.word, v.word, v.n from cut c join vocab v on v.word = c.short
+  union
+  select v.word, c.word, c.n from cut c join vocab v on v.word = c.short
+), best as (
+  select word, count(*) as n_near, arg_min(other, (-n, other)) as other, max(n) as most from near group by word
+), formed as (
+  select v.word, v.n, coalesce(b.n_near, 0) as n_near, case when b.most >= 2 * v.n then b.other end as form, case when b.most >= 2 * v.n then b.most end as form_n
+  from vocab v left join best b on b.word = v.word
+), walk as (
+  select word, word as here, 0 as steps from formed
+  union all
+  select w.word, f.form, w.steps + 1 from walk w join formed f on f.word = w.here where f.form is not null
+), root as (
+  select word, arg_max(here, steps) as root from walk group by word
+)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from formed f join root r on r.word = f.word
+"""

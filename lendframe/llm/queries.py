@@ -18,6 +18,7 @@ from lendframe.llm import (
     quality_rules,
     secret_scan,
     simhash,
+    spelling,
     token_count,
 )
 from lendframe.llm.common import stored
@@ -81,6 +82,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.siblings_sha256(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle": op11_merkle,
+    "op13_spelling": op13_spelling,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -175,3 +181,4 @@ join cut c on d.source is not distinct from c.source and d.hash = c.hash
 
 ORACLE_SQL["op6_license_scan"] = license_scan.oracle_sql()
 ORACLE_SQL["op11_merkle"] = oracle.MERKLE
+ORACLE_SQL["op13_spelling"] = oracle.SPELLING
