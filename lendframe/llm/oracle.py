@@ -100,3 +100,36 @@ with recursive {CRC_TABLE}, run as (
 )
 select f.word, f.form, r.root, f.n, f.n_near, f.form_n from formed f join root r on r.word = f.word
 """
+
+NGRAMS = f"""
+with {CRC_TABLE}, doc as (
+  select doc_id, coalesce({crc_of("list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)")} % 7 = 2, false) as held_out,
+         list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') as words
+  from documents, crc_table
+), token as (
+  select doc_id, held_out, unnest(words) as c, unnest(range(len(words))) as pos from doc
+), gram as (
+  select *, coalesce(lag(c) over w, '<begin>') as b, coalesce(lag(c, 2) over w, '<begin>') as a from token window w as (partition by doc_id order by pos)
+), one as (
+  select c, count(*) as n from token where not held_out group by c
+), total as (
+  select sum(n)::bigint as train_tokens, count(*) as n_words, (select count(*) from doc where not held_out) as begins from one
+), two as (
+  select b, c, count(*) as n from gram where not held_out group by b, c
+), three as (
+  select a, b, c, count(*) as n from gram where not held_out group by a, b, c
+), known as (
+  select g.*, coalesce(o.n, 0) as n1, case when g.pos = 0 then t.begins else coalesce(ob.n, 0) end as nb, coalesce(t2.n, 0) as n2, coalesce(t3.n, 0) as n3,
+         case when g.pos > 0 then coalesce(tc.n, 0) else 0 end as nc, t.train_tokens, (coalesce(o.n, 0) + 1.0::double) / (t.train_tokens + t.n_words + 1) as p1
+  from gram g cross join total t left join one o on o.c = g.c left join one ob on ob.c = g.b left join two t2 on t2.b = g.b and t2.c = g.c
+  left join three t3 on t3.a = g.a and t3.b = g.b and t3.c = g.c left join two tc on tc.b = g.a and tc.c = g.b
+), coded as (
+  select *, {{}} from known
+), paired as (
+  select *, case when nb > 0 then (1 - 1 / (1 + nb ** 0.3::double)) * least(q2 / nb, 1) + 1 / (1 + nb ** 0.3::double) * p1 else p1 end as p2 from coded
+), judged as (
+  select *, case when qc > 0 then (1 - 1 / (1 + qc ** 0.3::double)) * least(q3 / qc, 1) + 1 / (1 + qc ** 0.3::double) * p2 else p2 end as p3 from paired
+)
+select doc_id, held_out, count(*) as n_tokens, count(*) filter (where n1 > 0) as n_known, any_value(train_tokens) as train_tokens, sum(log10(p1)) as base_score, sum(log10(p3)) as score
+from judged group by doc_id, held_out
+""".format(", ".join(f"case when {n} < 128 then {n}::double else 128 * 2.0::double ** (round(4 * log2({n} / 128.0::double)) / 4) end as {q}" for n, q in (("n2", "q2"), ("n3", "q3"), ("nc", "qc"))))

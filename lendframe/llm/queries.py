@@ -13,6 +13,7 @@ from lendframe.llm import (
     line_dedup,
     merkle,
     mixing,
+    ngram_model,
     oracle,
     quality_classifier,
     quality_rules,
@@ -82,6 +83,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.siblings_sha256(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle": op11_merkle,
+    "op12_ngram_scores": op12_ngram_scores,
     "op13_spelling": op13_spelling,
 }
 
@@ -182,3 +188,4 @@ join cut c on d.source is not distinct from c.source and d.hash = c.hash
 ORACLE_SQL["op6_license_scan"] = license_scan.oracle_sql()
 ORACLE_SQL["op11_merkle"] = oracle.MERKLE
 ORACLE_SQL["op13_spelling"] = oracle.SPELLING
+ORACLE_SQL["op12_ngram_scores"] = oracle.NGRAMS
