@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every contract here: space and the five ASCII controls from tab to carriage return.
@@ -116,6 +116,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` (tree, node, tie, ...) with each row's rank in its tree by ``order``, node and tie, and the tree's size n.
+
+    Ranks come from a range partitioning: an index inside the partition, and starts from counts of (partition, tree).
+    """
+    keys = ["tree", *order, "node", "tie"]
+    dealt = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    indexed = stored(dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranks")
+    runs = indexed.groupBy("part", "tree").agg(F.count("*").alias("here"), F.min("at").alias("first"))
+    whole = Window.partitionBy("tree")
+    starts = runs.select(
+        F.col("part").alias("part_"), F.col("tree").alias("tree_"), F.sum("here").over(whole).alias("n"),
+        (F.sum("here").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("here") - F.col("first")).alias("start"),
+    )
+    joined = indexed.join(starts, (F.col("part") == F.col("part_")) & F.col("tree").eqNullSafe(F.col("tree_")))
+    return joined.withColumn("pos", F.col("start") + F.col("at")).drop("part", "part_", "tree_", "at", "start", "tie")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

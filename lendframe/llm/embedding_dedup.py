@@ -1,18 +1,22 @@
-"""Near-duplicate vectors by median trees of random projections.
+"""Near-duplicate vectors by sorted projection passes.
 
-Each pass cuts the vectors by random planes, every part at its own median, into leaves of at most ``BLOCK`` rows,
-however the vectors crowd together; all pairs of a leaf are compared. The planes of a pass that part cells of
-``CELL`` rows are cut at the medians of a sample, those inside a cell at the exact medians.
+Each pass hashes every vector to ``PLANES`` bits, one for each of as many random planes, sorts the vectors by the concatenated
+bits, and compares neighbours: the order is cut into chunks of ``CHUNK_ROWS`` ranks that overlap by ``OVERLAP``, and all pairs of
+a chunk are compared. Verified pairs of all passes are united into components.
 
-How many passes a vector needs is measured: in each pass it gets a probe, a made partner at the threshold that is as
-far from the mean direction of its crowd as the vector itself, and it leaves once ``NEED`` of its probes fell into its
-leaf. If a pair stays together in a pass as often as the probes do, it is missed with a chance of at most
-2 * 2 ** -NEED, 0.2 %. Where the passes still expected would compare more pairs than there are, all pairs of the
-vectors left are compared, by pairs of bounded chunks. Verified pairs are united into components.
+Planes are cut at medians, so that vectors crowding in one direction are parted too: the first bits at the medians of what the
+bits before them left together (a small tree fitted on a bounded sample), the others at the medians of the sample in that part.
 
-Equal vectors are one entry however many rows hold them, known by a 128-bit hash; entries of many rows are joined to
-them by broadcast. The links inside each component are counted exactly, by pairs of bounded chunks: passes find every
-component, but not every pair of a dense one.
+How many passes a vector needs is measured: in each pass it gets a probe, a made partner at the threshold that is as far from the
+mean direction of its crowd as the vector itself, and it leaves once ``NEED`` of its probes sorted into its chunk. If a pair meets
+in a pass as often as the probes do, it is missed with a chance of at most 2 * 2 ** -NEED, 0.012 %. Those left are hashed with
+trees of their own in the next round of passes; there is no other way to compare vectors, however few there are. After
+``MOST_PASSES`` a vector leaves anyhow: that are the inner vectors of groups far denser than the threshold asks, of which each
+pass links neighbours all along.
+
+Equal vectors are one entry however many rows hold them, known by a 128-bit hash; entries of many rows are joined to them by
+broadcast. An exact count of the links inside each component follows, by pairs of bounded chunks: passes find every component, but
+not every pair of a dense one.
 """
 
 from __future__ import annotations
@@ -26,17 +30,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import merged, release, runs_of, shuffle_partitions, ship, spread_join, stored, unused
+from lendframe.llm.common import merged, positions, release, runs_of, shuffle_partitions, ship, spread_join, stored, unused
 from lendframe.llm.components import components, local_roots
 
-BLOCK = 1024
-CELL = 8192
+CHUNK_ROWS, OVERLAP = 256, 64
 SAMPLE = 64
 PLANES = 48
 CHUNK = 512
-WIDE = 2048
-NEED = 10
+NEED = 14
 ROUND = 12
+MOST_PASSES = 120
 SEED = 20_240
 
 
@@ -69,24 +72,37 @@ def _median_cuts(shades: np.ndarray) -> np.ndarray:
     return cuts
 
 
-def _descend(shades: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The cell of each row, numbered from 0."""
+def _bits(shades: np.ndarray, tree: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The concatenated bits of each row as a number: the way down the tree, then the sides of the medians of its end."""
+    cuts, medians = tree
     depth = (len(cuts) + 1).bit_length() - 1
     at = np.zeros(len(shades), dtype=np.int64)
     for level in range(depth):
         at = 2 * at + 1 + (shades[:, level] > cuts[at])
-    return at - len(cuts)
+    leaf = at - len(cuts)
+    key = leaf
+    for level in range(depth, shades.shape[1]):
+        key = 2 * key + (shades[:, level] > medians[leaf, level - depth])
+    return key
+
+
+def _cuts_of(key: int, shared: int, tree: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where the first ``shared`` planes were cut on the way to ``key``."""
+    cuts, medians = tree
+    depth = (len(cuts) + 1).bit_length() - 1
+    way, at = [], 0
+    for level in range(depth):
+        way.append(cuts[at])
+        at = 2 * at + 1 + (key >> (PLANES - 1 - level) & 1)
+    return np.concatenate([way, medians[at - len(cuts)]])[:shared]
 
 
-def _place(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, np.ndarray]], numbers: list[int]) -> Iterator[pd.DataFrame]:
+def _keys(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, tuple]], numbers: list[int]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for dim, part in frame.groupby(frame["vector"].map(len)):
-            cells = np.zeros((len(part), len(numbers)), dtype=np.int64)
-            if int(dim) in trees:
-                unit = _unit(part)
-                for i, number in enumerate(numbers):
-                    cells[:, i] = _descend(unit @ _planes(int(dim), number), trees[int(dim)][number])
-            yield part.assign(dim=int(dim), cells=list(cells))[["node", "vector", "dim", "cells"]]
+            unit, own = _unit(part), trees[int(dim)]
+            keys = np.stack([_bits(unit @ _planes(int(dim), number), own[number]) for number in numbers], axis=1)
+            yield pd.DataFrame({"node": part["node"].to_numpy(), "dim": int(dim), "keys": list(keys)})
 
 
 def _crowd(unit: np.ndarray, planes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -113,59 +129,34 @@ def _probes(unit: np.ndarray, mean: np.ndarray, threshold: float, own: np.random
     return along + size * (np.cos(turn) * rest + np.sin(turn) * aside)
 
 
-def _leaf_links(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, np.ndarray]], threshold: float, block: int) -> Iterator[pd.DataFrame]:
-    """(a, b, hit): b is the row that a is linked to in its leaf, or -1; hit: the probe of a fell into the leaf."""
-    for group in runs_of(frames, ["dim", "number", "cell"]):
-        dim, number, cell = (int(group[c].iat[0]) for c in ("dim", "number", "cell"))
-        own = np.random.default_rng([SEED, number, cell])
-        group = group.iloc[own.permutation(len(group))]
-        unit, node = _unit(group), group["node"].to_numpy()
-        planes = _planes(dim, number)
-        cuts = trees[dim][number] if dim in trees else np.zeros(0)
-        depth = (len(cuts) + 1).bit_length() - 1
-        shades = unit @ planes
-        # the cuts on the way down to the cell, one a level
-        down, at = [], 0
-        for level in range(depth):
-            down.append(cuts[at])
-            at = 2 * at + 1 + (cell >> (depth - 1 - level) & 1)
-        # (rows, level, the cuts on the way within the cell: level, side, value)
-        open_parts = [(np.arange(len(node)), depth, [])]
-        while open_parts:
-            rows, level, way = open_parts.pop()
-            if len(rows) > block:
-                values = shades[rows, level % PLANES]
-                order = np.argsort(values, kind="stable")
-                half = len(rows) // 2
-                cut = (values[order[half - 1]] + values[order[half]]) / 2
-                open_parts.append((rows[order[:half]], level + 1, [*way, (level % PLANES, False, cut)]))
-                open_parts.append((rows[order[half:]], level + 1, [*way, (level % PLANES, True, cut)]))
-                continue
-            hit = np.ones(len(rows), dtype=bool)
-            if way or depth:
-                used = [*range(depth), *(column for column, _, _ in way)]
-                crowd = _crowd(unit[rows], planes[:, used], np.array([*down, *(cut for _, _, cut in way)]))
-                seen = _probes(unit[rows], crowd, threshold, own) @ planes
-                hit &= _descend(seen, cuts) == cell
-                for column, side, cut in way:
-                    hit &= (seen[:, column] > cut) == side
-            linked = unit[rows] @ unit[rows].T >= threshold
+def _window_links(frames: Iterator[pd.DataFrame], trees: dict[int, dict[int, tuple]], threshold: float, chunk_rows: int) -> Iterator[pd.DataFrame]:
+    """(a, b, hit): b is the row that a is linked to in its chunk, or -1; hit: the probe of a sorted into the chunk."""
+    for group in runs_of(frames, ["number", "chunk"]):
+        number, chunk = int(group["number"].iat[0]), int(group["chunk"].iat[0])
+        rng = np.random.default_rng([SEED, number, chunk])
+        n, last = int(group["n"].iat[0]), len(group) - 1
+        dims = group["dim"].to_numpy()
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            part = group.iloc[at]
+            unit, node, key, pos = _unit(part), part["node"].to_numpy(), part["key"].to_numpy(), part["pos"].to_numpy()
+            own = pos // chunk_rows == chunk
+            # an end is open where the order, or the vectors of this length, begin or stop inside the chunk
+            open_low, open_high = at[0] > 0 or pos[0] == 0, at[-1] < last or pos[-1] == n - 1
+            hit = own.copy()
+            if not (open_low and open_high):
+                low, high = int(key[0]), int(key[-1])
+                shared = PLANES if low == high else PLANES - (low ^ high).bit_length()
+                tree, planes = trees[int(dim)][number], _planes(int(dim), number)
+                crowd = _crowd(unit, planes[:, :shared], _cuts_of(low, shared, tree))
+                seen = _bits(_probes(unit, crowd, threshold, rng) @ planes, tree)
+                hit &= (open_low | (seen > low)) & (open_high | (seen < high))
+            linked = unit @ unit.T >= threshold
             np.fill_diagonal(linked, False)
             label = local_roots(linked)
-            b = np.where((label >= 0) & (label != np.arange(len(rows))), node[rows][label], -1)
+            b = np.where((label >= 0) & (label != np.arange(len(node))), node[label], -1)
             said = hit | (b >= 0)
-            yield pd.DataFrame({"a": node[rows][said], "b": b[said], "hit": hit[said].astype(np.int32)})
-
-
-def _pair_links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    for group in runs_of(frames, ["dim", "i", "j"]):
-        unit, node = _unit(group), group["node"].to_numpy()
-        linked = unit @ unit.T >= threshold
-        np.fill_diagonal(linked, False)
-        label = local_roots(linked)
-        child = np.flatnonzero((label >= 0) & (label != np.arange(len(node))))
-        if len(child):
-            yield pd.DataFrame({"a": node[child], "b": node[label[child]]})
+            yield pd.DataFrame({"a": node[said], "b": b[said], "hit": hit[said].astype(np.int32)})
 
 
 def _count_links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -181,76 +172,74 @@ def _count_links(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[p
             yield pd.DataFrame({"node": np.concatenate((node[one], node[two])), "links": np.concatenate((linked @ rows[two], rows[one] @ linked))})
 
 
-def _trees(rows: DataFrame, sizes: dict[int, int], numbers: list[int], cell: int) -> dict[int, dict[int, np.ndarray]]:
-    """Per length with more than ``cell`` vectors and per pass, the cuts that part its cells; from a bounded sample."""
+def _trees(rows: DataFrame, sizes: dict[int, int], numbers: list[int], chunk_rows: int) -> dict[int, dict[int, tuple]]:
+    """Per length of vectors and per pass, the cuts of the first planes and the medians of the others; from a bounded sample."""
     out = {}
     for dim, count in sizes.items():
-        if count <= cell:
-            continue
-        # 2,097,152 numbers a sample at most, and 16 rows a cell at least
-        depth = min(math.ceil(math.log2(count / cell)), max(1, int(math.log2(max(2, (1 << 21) / (16 * dim))))))
+        # 2,097,152 numbers a sample at most, and 16 rows at least where the tree ends
+        depth = max(0, min(math.ceil(math.log2(max(1, count / chunk_rows))), int(math.log2(max(1, (1 << 21) / (16 * dim))))))
         wanted = min(SAMPLE << depth, max(16 << depth, (1 << 21) // dim))
         step = max(1, count // wanted)
         drawn = rows.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(step)) == 0)).select("vector").toPandas()
-        if not len(drawn):
-            continue
-        unit = _unit(drawn)
-        out[dim] = {number: _median_cuts((unit @ _planes(dim, number))[:, :depth]) for number in numbers}
+        unit = _unit(drawn) if len(drawn) else np.zeros((1, dim))
+        out[dim] = {}
+        for number in numbers:
+            shades = unit @ _planes(dim, number)
+            cuts = _median_cuts(shades[:, :depth])
+            ends = _bits(shades[:, :depth], (cuts, np.zeros((1 << depth, 0))))
+            medians = np.tile(np.median(shades[:, depth:], axis=0), (1 << depth, 1))
+            for leaf in np.unique(ends):
+                medians[leaf] = np.median(shades[ends == leaf, depth:], axis=0)
+            out[dim][number] = (cuts, medians)
     return out
 
 
-def window_edges(classes: DataFrame, threshold: float, block: int = BLOCK, cell: int = CELL) -> tuple[DataFrame, list[DataFrame]]:
-    """classes: (node, vector). Edges (a, b) that connect what the leaves of all passes, or the pairs of the rest, link.
+def window_edges(classes: DataFrame, threshold: float, chunk_rows: int = CHUNK_ROWS, overlap: int = OVERLAP, most: int = MOST_PASSES) -> tuple[DataFrame, list[DataFrame], int]:
+    """classes: (node, vector). Edges (a, b) that connect what the windows of all passes link.
 
-    The second value lists the stored tables that the edges are read from.
+    The second value lists the stored tables that the edges are read from, the third is the number of passes.
     """
-    held: list[DataFrame] = []
-    rows, found, passes, rest = classes.select("node", "vector"), [], 0, NEED
+    rows, found, held, passes = classes.select("node", "vector"), [], [], 0
     parts = shuffle_partitions(classes.sparkSession)
     while True:
         # one count a length
         sizes = {int(n): int(c) for n, c in rows.groupBy(F.size("vector")).count().collect()}
-        if max(sizes.values(), default=0) <= rest * block:
+        if found and (max(sizes.values(), default=0) == 0 or passes >= most):
             break
-        numbers = list(range(passes, passes + ROUND))
-        trees = _trees(rows, sizes, numbers, cell)
-        keys = ["dim", "number", "cell"]
+        # what one chunk holds is compared whole, whatever the planes
+        turns = 1 if sum(sizes.values()) <= chunk_rows else ROUND
+        numbers = list(range(passes, passes + turns))
+        trees = _trees(rows, sizes, numbers, chunk_rows)
+        keyed = rows.mapInPandas(lambda frames, t=trees, k=numbers: _keys(frames, t, k), "node long, dim int, keys array<long>")
+        light = keyed.select("node", "dim", F.posexplode("keys").alias("i", "key")).select(
+            (F.col("i") + passes).cast("string").alias("tree"), "dim", "key", "node", F.lit(0).alias("tie")
+        )
+        ranked = positions(light, ["dim", "key"])
+        chunk = F.floor(F.col("pos") / chunk_rows)
+        both = F.when((F.col("pos") % chunk_rows < overlap) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+        dealt = ranked.select(F.col("tree").cast("int").alias("number"), "n", "pos", "dim", "key", "node", F.explode(both).alias("chunk"))
         links = stored(
-            rows.mapInPandas(lambda frames, t=trees, n=numbers: _place(frames, t, n), "node long, vector array<double>, dim int, cells array<long>")
-            .select("node", "vector", "dim", F.posexplode("cells").alias("i", "cell"))
-            .select("node", "vector", "dim", (F.col("i") + passes).alias("number"), "cell")
-            .repartition(parts, *keys).sortWithinPartitions(*keys, "node")
-            .mapInPandas(lambda frames, t=trees: _leaf_links(frames, t, threshold, block), "a long, b long, hit int"),
-            "leaf-links",
+            dealt.join(rows, "node").select("number", "chunk", "pos", "n", "dim", "key", "node", "vector")
+            .repartition(parts, "number", "chunk").sortWithinPartitions("number", "chunk", "pos")
+            .mapInPandas(lambda frames, t=trees: _window_links(frames, t, threshold, chunk_rows), "a long, b long, hit int"),
+            "window-links",
         )
         found.append(links)
-        passes += ROUND
+        passes += turns
+        if turns == 1:
+            break
         hits = reduce(DataFrame.unionByName, found).where("hit = 1").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("hits"))
-        scored = classes.select("node", "vector").join(hits, "node", "left").withColumn("hits", F.coalesce("hits", F.lit(0))).where(F.col("hits") < NEED)
-        before, rows = held[-1:], stored(scored, "vectors-left")
+        left = classes.join(hits, "node", "left").where(F.coalesce("hits", F.lit(0)) < NEED).select("node", "vector")
+        before, rows = held, stored(left, "vectors-left")
         release(*before)
         held = [rows]
-        left, hit = rows.agg(F.count(F.lit(1)), F.sum("hits")).first()
-        if not left:
-            rows = rows.limit(0)
-        # passes still expected, at the rate of hits of those left
-        rest = NEED * passes * max(left, 1) / ((hit or 0) + 1)
-        rows = rows.select("node", "vector")
-    chunks = F.create_map(*[F.lit(x) for n, c in (sizes or {0: 1}).items() for x in (n, max(1, -(-c // (WIDE // 2))))])
-    keys = ["dim", "i", "j"]
-    exact = (
-        rows.withColumn("dim", F.size("vector")).withColumn("chunks", chunks[F.col("dim")])
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .select("node", "vector", "dim", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("dim", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "vector")
-        .repartition(parts, *keys).sortWithinPartitions(*keys, "node").mapInPandas(lambda frames: _pair_links(frames, threshold), "a long, b long")
-    )
-    return reduce(DataFrame.unionByName, [links.where("b >= 0").select("a", "b") for links in found], exact), [*held, *found]
+    edges = reduce(DataFrame.unionByName, [links.where("b >= 0").select("a", "b") for links in found])
+    return edges, [*held, *found], passes
 
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-    block: int = BLOCK, cell: int = CELL,
+    chunk_rows: int = CHUNK_ROWS, overlap: int = OVERLAP,
 ) -> DataFrame:
     """Link vectors of a cosine of at least ``threshold``, in double precision.
 
@@ -268,7 +257,9 @@ def near_duplicates(
     parts = shuffle_partitions(spark)
     given = F.col(f"`{vector_col}`")
     own, one, two, count, component, links = unused(vectors, "vector", "h1", "h2", "rows", "component", "links")
-    rows = vectors.withColumn(own, F.when(usable(given), given.cast("array<double>")))
+    # floats are moved as such and widened where they are compared
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.withColumn(own, F.when(usable(given), given.cast(kind)))
     rows = rows.withColumns({one: F.when(F.col(own).isNotNull(), F.xxhash64(own)), two: F.when(F.col(own).isNotNull(), F.xxhash64(F.lit(1), F.col(own)))})
     classes = stored(
         rows.where(F.col(own).isNotNull()).groupBy(one, two)
@@ -277,7 +268,7 @@ def near_duplicates(
         "vector-classes",
     )
     entries, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    edges, passed = window_edges(classes, threshold, block, cell)
+    edges, passed, _ = window_edges(classes, threshold, chunk_rows, overlap)
     roots = stored(components(edges), "vector-roots")
     release(*passed)
     members = classes.select("node", "least", "rows").join(roots, "node")

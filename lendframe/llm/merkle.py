@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lendframe.llm.common import shuffle_partitions, stored
+from lendframe.llm.common import positions, stored
 
 #: Nodes that the driver takes, and with them the rows that are broadcast. Their paths are below 10 MB.
 BOUND = 4096
@@ -168,24 +168,6 @@ def _above_one(nodes: DataFrame, count: int, bound: int, most_bits: int) -> Data
     return _members(blocks, up, most_bits, n_tops <= bound)
 
 
-def positions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` (tree, node, tie, ...) with each row's rank in its tree by ``order``, node and tie, and the tree's size n.
-
-    Ranks come from a range partitioning: an index inside the partition, and starts from counts of (partition, tree).
-    """
-    keys = ["tree", *order, "node", "tie"]
-    dealt = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    indexed = stored(dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "merkle-ranks")
-    runs = indexed.groupBy("part", "tree").agg(F.count("*").alias("here"), F.min("at").alias("first"))
-    whole = Window.partitionBy("tree")
-    starts = runs.select(
-        F.col("part").alias("part_"), F.col("tree").alias("tree_"), F.sum("here").over(whole).alias("n"),
-        (F.sum("here").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("here") - F.col("first")).alias("start"),
-    )
-    joined = indexed.join(starts, (F.col("part") == F.col("part_")) & F.col("tree").eqNullSafe(F.col("tree_")))
-    return joined.withColumn("pos", F.col("start") + F.col("at")).drop("part", "part_", "tree_", "at", "start", "tie")
-
-
 def manifest(
     docs: DataFrame, fields: list[str], group: str, order: str, carry: dict[str, Column] | None = None, bound: int = BOUND, most_bits: int = MOST_BITS
 ) -> DataFrame:

@@ -370,7 +370,7 @@ def cone_vectors(seed, n, cone, pairs, dim=64, mean=0.8):
     return np.concatenate((x, np.sqrt(mean) * axis + np.sqrt(1 - mean) * (c * rest + np.sqrt(1 - c * c) * turn)))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block": 64, "cell": 512}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_rows": 64, "overlap": 16}])
 def test_embedding_pairs_in_a_cone(spark, sizes):
     x = cone_vectors(5, 5000, 4000, 400)
     table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
@@ -382,6 +382,30 @@ def test_embedding_pairs_in_a_cone(spark, sizes):
     assert linked.sum() >= 800 and not missed, len(missed)
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.01", 12), ("sf0.1", 24)])
+def test_embedding_passes_run_with_default_sizes(spark, sf, least):
+    """The windows of the sorted passes alone connect what all pairs connect; no chunk is the table."""
+    vectors = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.array(vectors["embedding"].tolist(), dtype=np.float64)
+    x, first = np.unique(x, axis=0, return_index=True)
+    classes = spark.createDataFrame([(int(i), v) for i, v in zip(first, x.tolist())], "node long, vector array<double>")
+    edges, _, passes = embedding_dedup.window_edges(classes, 0.95)
+    assert passes >= least and len(x) > embedding_dedup.CHUNK_ROWS
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)))]
+    place = {int(n): k for k, n in enumerate(first)}
+    assert united(len(x), [(place[r.a], place[r.b]) for r in edges.distinct().collect()]) == united(len(x), pairs)
+
+
+def test_embedding_pass_compares_windows_only(spark):
+    """One pass over vectors on a half circle: linked neighbours in the order are found, chunk borders included."""
+    turn = np.linspace(0, np.pi, 2000)
+    classes = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(turn)], "node long, vector array<double>")
+    edges, _, passes = embedding_dedup.window_edges(classes, 0.95, chunk_rows=100, overlap=25, most=1)
+    assert passes == embedding_dedup.ROUND
+    assert len({r.root for r in components.components(edges).collect()}) == 1
+
+
 def test_mixing(spark, docs):
     sized = docs.withColumn("n", mixing.n_words(F.col("text")))
     got = mixing.mix(sized, "n").collect()
