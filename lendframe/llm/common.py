@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ def release(*frames: DataFrame) -> None:
         discard(frame.sparkSession, frame._scratch_path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of DataFrames that nothing refers to any more: it does so when garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch path that no returned DataFrame reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,15 +12,14 @@ several shards by a hash of the last word, so no shard has to hold it. Nothing i
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import release, ship, shuffle_partitions, stored
+from lendframe.llm.common import let_go, release, ship, shuffle_partitions, stored
 
-BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 20
+BLOCK_TOKENS, SHARD_TOKENS = 1 << 19, 1 << 19
 #: Exponent by which the number of different successors is taken to grow with a context's count (Heaps' law).
 GROWTH = 0.7
 #: The empty word stands for the end; no text has it. The begin of a text is number 1, words count from 2.
@@ -31,18 +30,20 @@ HELD_OUT = 2
 def packed(values) -> bytes:
     """Whole numbers as planes of bytes, compressed: the high planes are nearly all zero."""
     import numpy as np
+    import pyarrow as pa
 
     x = np.ascontiguousarray(values, dtype=np.uint64)
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
     planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return bytes([width]) + len(x).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
 
 
 def unpacked(raw: bytes):
     import numpy as np
+    import pyarrow as pa
 
-    width = raw[0]
-    planes = np.frombuffer(zlib.decompress(raw[1:]), dtype=np.uint8).reshape(width, -1)
+    width, size = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw[9:], width * size), dtype=np.uint8).reshape(width, size)
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     out[:, :width] = planes.T
     return out.view(np.uint64).ravel().astype(np.int64)
@@ -84,7 +85,7 @@ def _tokenise(batches: Iterator, block_tokens: int) -> Iterator:
         by_times = np.argsort(-times, kind="stable")
         place = np.empty(len(words), dtype=np.int64)
         place[by_times] = np.arange(len(words))
-        row = {"block": [serial], "ids": [ids], "lengths": [lengths.tolist()], "held": [out.tolist()], "words": [words[by_times].tobytes()], "tokens": [packed(place[token])]}
+        row = {"block": [serial], "ids": [ids], "lengths": [lengths.tolist()], "held": [out.tolist()], "words": [words[by_times].tobytes()], "buckets": [packed(_buckets(words[by_times]))], "tokens": [packed(place[token])]}
         serial, size = serial + 1, 0
         held.clear()
         return row
@@ -92,7 +93,7 @@ def _tokenise(batches: Iterator, block_tokens: int) -> Iterator:
     schema = None
     for batch in batches:
         schema = schema or pa.schema([
-            ("block", pa.int64()), ("ids", pa.list_(batch.schema.field(0).type)), ("lengths", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("words", pa.binary()), ("tokens", pa.binary()),
+            ("block", pa.int64()), ("ids", pa.list_(batch.schema.field(0).type)), ("lengths", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("words", pa.binary()), ("buckets", pa.binary()), ("tokens", pa.binary()),
         ])
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(2), "").cast(pa.large_string())))
         n_all = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -129,6 +130,17 @@ def _training(lengths, held):
     return np.repeat(~np.asarray(held, dtype=bool), np.asarray(lengths, dtype=np.int64))
 
 
+def _buckets(words):
+    import numpy as np
+
+    return (words >> np.uint64(40)).astype(np.int64)
+
+
+def _shards_of(buckets, shards: int):
+    """Shards of the 24-bit buckets that stand for words once their hashes have been sent."""
+    return buckets * shards >> 24
+
+
 def _ask_words(frames: Iterator, shards: int) -> Iterator:
     import numpy as np
     import pandas as pd
@@ -138,7 +150,7 @@ def _ask_words(frames: Iterator, shards: int) -> Iterator:
             words, token = np.frombuffer(r.words, dtype=np.uint64), unpacked(r.tokens)
             times = np.bincount(token, minlength=len(words))
             learnt = np.bincount(token[_training(r.lengths, r.held)], minlength=len(words))
-            shard = (words % np.uint64(shards)).astype(np.int64)
+            shard = _shards_of(_buckets(words), shards)
             order = np.argsort(shard, kind="stable")
             out = []
             for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
@@ -173,10 +185,11 @@ class _Block:
     def __init__(self, r, shards_words: int, shards: int, learnt_begin: int, times_begin: int) -> None:
         import numpy as np
 
-        words, token = np.frombuffer(r.words, dtype=np.uint64), unpacked(r.tokens)
-        shard = (words % np.uint64(shards_words)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        number, learnt, times = (np.empty(len(words), dtype=np.int64) for _ in range(3))
+        from lendframe.llm.trie import sorted_by
+
+        token = unpacked(r.tokens)
+        order = np.argsort(_shards_of(unpacked(r.buckets), shards_words), kind="stable")
+        number, learnt, times = (np.empty(len(order), dtype=np.int64) for _ in range(3))
         answers = sorted(r.answers, key=lambda x: x["shard"])
         for target, name in ((number, "number"), (learnt, "learnt"), (times, "times")):
             target[order] = np.concatenate([unpacked(x[name]) for x in answers])
@@ -200,7 +213,7 @@ class _Block:
         share = -(-back(times[token], 1, times_begin)[self.asked] // SHARD_TOKENS)
         salt = (mixed(c) >> np.uint64(20)).astype(np.int64) % np.maximum(share, 1)
         to = ((mixed(b * 1_000_003 + salt) >> np.uint64(11)) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((a, c, b))
+        order = sorted_by(b, c, a)
         order = order[np.argsort(to[order], kind="stable")]
         a, b, c, to = a[order], b[order], c[order], to[order]
         new = np.ones(len(order), dtype=bool)
@@ -303,7 +316,7 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == HELD_OUT, F.lit(False))
     rows = docs.select("doc_id", held.alias("held"), "text")
-    schema = f"block long, ids array<{kind}>, lengths array<long>, held array<boolean>, words binary, tokens binary"
+    schema = f"block long, ids array<{kind}>, lengths array<long>, held array<boolean>, words binary, buckets binary, tokens binary"
     blocks = stored(rows.mapInArrow(lambda x: _tokenise(x, block_tokens), schema), "lm-blocks")
     each = F.arrays_zip("lengths", "held")
     of = blocks.select(
@@ -312,7 +325,8 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
         F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + F.when(x, 0).otherwise(1)).alias("learnt"), F.size("held").cast("long").alias("docs"),
     ).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "train", "learnt", "docs")]).first()
     shards = max(shuffle_partitions(spark), of.n // SHARD_TOKENS + 1)
-    shards_words = max(shuffle_partitions(spark), of.n // (4 * SHARD_TOKENS) + 1)
+    shards_words = max(shuffle_partitions(spark), of.n // (8 * SHARD_TOKENS) + 1)
+    let_go(spark)
     asked = blocks.mapInPandas(lambda x: _ask_words(x, shards_words), "shard long, block long, words binary, learnt binary, times binary")
     words = stored(
         asked.groupBy("shard").applyInPandas(
@@ -322,11 +336,15 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     )
     n_words = words.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     answers = words.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "number", "learnt", "times")).alias("answers"))
-    ready = blocks.join(answers, "block")
+    del asked
+    let_go(spark)
+    ready = blocks.drop("words").join(answers, "block")
     settings = (shards_words, shards, of.learnt, of.docs)
     sent = ready.mapInPandas(lambda x: _ask_trigrams(x, *settings), "shard long, block long, b binary, c binary, a binary, counts binary")
     codes = sent.groupBy("shard").applyInPandas(_answer_trigrams, "block long, shard long, two binary, three binary")
     back = stored(codes.groupBy("block").agg(F.collect_list(F.struct("shard", "two", "three")).alias("trigrams")), "lm-codes")
+    del sent, codes
+    let_go(spark)
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scores = stored(ready.join(back, "block", "left").mapInPandas(lambda x: _score(x, of.train, n_words, *settings), out), "lm-scores")
     release(blocks, words, back)

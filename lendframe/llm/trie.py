@@ -95,24 +95,24 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """The place of the first value that is ``x`` or more; n if there is none."""
+        return self.find(x)[0]
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The successor's place, and whether it is ``x`` itself."""
         h = x >> self.low_bits
-        lo, hi = self._with_high(h), self._with_high(h + 1)
-        want = x & ((1 << self.low_bits) - 1)
+        lo, end = self._with_high(h), self._with_high(h + 1)
+        hi, want = end.copy(), x & ((1 << self.low_bits) - 1)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
+            a, b = lo[open_], hi[open_]
+            mid = (a + b) >> 1
             less = self._lows(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
+            lo[open_], hi[open_] = np.where(less, mid + 1, a), np.where(less, b, mid)
             open_ = open_[lo[open_] < hi[open_]]
-        return lo
-
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The successor's place, and whether it is ``x`` itself."""
-        at = self.successor(x)
-        there = at < self.n
-        there[there] = self.access(at[there]) == x[there]
-        return at, there
+        there = lo < end
+        some = np.flatnonzero(there)
+        there[some] = self._lows(lo[some]) == want[some]
+        return lo, there
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits]), self.low, self.high]
@@ -140,6 +140,13 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def sorted_by(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """The order by three columns of whole numbers; two that fit are sorted as one."""
+    if len(first) and max(int(first.max()), int(second.max())) < 1 << 31:
+        return np.lexsort((third, first << 32 | second))
+    return np.lexsort((third, second, first))
+
+
 class Trie:
     PARTS = ("middle", "to_after", "to_before", "after", "before", "to_third", "third")
 
@@ -149,7 +156,7 @@ class Trie:
     @classmethod
     def of(cls, b: np.ndarray, c: np.ndarray, a: np.ndarray, counts: np.ndarray) -> Trie:
         """From trigrams in any order; equal ones are added up."""
-        order = np.lexsort((a, c, b))
+        order = sorted_by(b, c, a)
         a, b, c, counts = a[order], b[order], c[order], counts[order]
         heads = _heads(b, c, a)
         counts = np.add.reduceat(counts, heads) if len(heads) else counts
@@ -161,7 +168,7 @@ class Trie:
         middle = b2[start2]
         which = np.repeat(np.arange(len(pair)), np.diff(np.r_[pair, len(b)]))
         relative = which - np.repeat(start2, np.diff(np.r_[start2, len(b2)]))[which] + 1
-        order = np.lexsort((relative, a, b))
+        order = sorted_by(b, a, relative)
         a3, b3, r3, three = a[order], b[order], relative[order], counts[order]
         start3 = _heads(b3, a3)
         a1, b1 = a3[start3], b3[start3]
@@ -198,38 +205,48 @@ class Trie:
     def open(cls, path: str) -> Trie:
         return cls.over(np.memmap(path, mode="r"))
 
-    def _child(self, pointers: str, level: str, parent: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of ``value`` in the ranges of ``parent``, the starts of these, and whether it is there."""
+    def _range(self, pointers: str, level: str, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ranges of ``parent`` start, and the values that they start from."""
         start = self.parts[pointers].access(parent)
-        stop = self.parts[pointers].access(parent + 1)
-        values = self.parts[level]
-        base = np.where(start > 0, values.access(np.maximum(start - 1, 0)), 0)
-        at, there = values.find(base + value)
-        return at, start, there & (at < stop)
+        base = np.zeros(len(parent), dtype=np.int64)
+        inner = np.flatnonzero(start > 0)
+        base[inner] = self.parts[level].access(start[inner] - 1)
+        return start, base
+
+    def _inside(self, pointers: str, parent: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """``there``, but only where the place is still in the range of its parent."""
+        some = np.flatnonzero(there)
+        out = np.zeros(len(at), dtype=bool)
+        out[some] = at[some] < self.parts[pointers].access(parent[some] + 1)
+        return out
 
     def codes(self, b: np.ndarray, c: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the frequencies of (b, c) and (a, b, c), 0 for what isn't there. Sorted queries share their steps."""
         two, three = np.zeros(len(b), dtype=np.uint8), np.zeros(len(b), dtype=np.uint8)
         if not len(self.two) or not len(b):
             return two, three
+        after, before, third = self.parts["after"], self.parts["before"], self.parts["third"]
+        # once for each run of b: its place and its ranges of successors and predecessors
         heads = _heads(b)
-        at, there = self.parts["middle"].find(b[heads])
-        spread = np.diff(np.r_[heads, len(b)])
-        middle, known = np.repeat(at, spread), np.repeat(there, spread)
+        middle, known = self.parts["middle"].find(b[heads])
+        middle[~known] = 0
+        (start2, base2), (_, base1) = self._range("to_after", "after", middle), self._range("to_before", "before", middle)
+        run = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(b)]))
+        # once for each (b, c)
         pair = _heads(b, c)
+        own = run[pair]
+        at, there = after.find(base2[own] + c[pair])
+        there = self._inside("to_after", middle[own], at, there & known[own])
         spread = np.diff(np.r_[pair, len(b)])
-        asked = np.flatnonzero(known[pair])
-        place, first, hit = self._child("to_after", "after", middle[pair[asked]], c[pair[asked]])
-        found = np.zeros(len(pair), dtype=bool)
-        found[asked] = hit
-        relative = np.zeros(len(pair), dtype=np.int64)
-        relative[asked] = place - first + 1
-        code = np.zeros(len(pair), dtype=np.uint8)
-        code[asked[hit]] = self.two[place[hit]]
-        two = np.repeat(code, spread)
-        rest = np.flatnonzero(np.repeat(found, spread))
-        context, _, there = self._child("to_before", "before", middle[rest], a[rest])
+        two = np.repeat(np.where(there, self.two[np.where(there, at, 0)], 0).astype(np.uint8), spread)
+        relative = np.repeat(at - start2[own] + 1, spread)
+        # only where (b, c) is there: the context (a, b), then the relative number
+        rest = np.flatnonzero(np.repeat(there, spread))
+        context, there = before.find(base1[run[rest]] + a[rest])
+        there = self._inside("to_before", middle[run[rest]], context, there)
         rest, context = rest[there], context[there]
-        place, _, there = self._child("to_third", "third", context, np.repeat(relative, spread)[rest])
-        three[rest[there]] = self.three[place[there]]
+        _, base3 = self._range("to_third", "third", context)
+        at, there = third.find(base3 + relative[rest])
+        there = self._inside("to_third", context, at, there)
+        three[rest[there]] = self.three[at[there]]
         return two, three
