@@ -179,20 +179,31 @@ def _answer_words(group, shards: int):
     return pd.DataFrame(out, columns=["block", "shard", "n_words", "number", "learnt", "times"])
 
 
+def _resolve(frames: Iterator, shards: int) -> Iterator:
+    """Blocks whose words have become numbers and counts."""
+    import numpy as np
+    import pandas as pd
+
+    for frame in frames:
+        for r in frame.itertuples():
+            order = np.argsort(_shards_of(unpacked(r.buckets), shards), kind="stable")
+            answers, out = sorted(r.answers, key=lambda x: x["shard"]), {}
+            for name in ("number", "learnt", "times"):
+                whole = np.empty(len(order), dtype=np.int64)
+                whole[order] = np.concatenate([unpacked(x[name]) for x in answers])
+                out[name] = [packed(whole)]
+            yield pd.DataFrame({"block": [r.block], "ids": [list(r.ids)], "lengths": [r.lengths], "held": [r.held], "tokens": [r.tokens], **out})
+
+
 class _Block:
     """A block with the numbers and counts of its words, and its tokens' trigrams in the order in which they are sent."""
 
-    def __init__(self, r, shards_words: int, shards: int, learnt_begin: int, times_begin: int) -> None:
+    def __init__(self, r, shards: int, learnt_begin: int, times_begin: int) -> None:
         import numpy as np
 
         from lendframe.llm.trie import sorted_by
 
-        token = unpacked(r.tokens)
-        order = np.argsort(_shards_of(unpacked(r.buckets), shards_words), kind="stable")
-        number, learnt, times = (np.empty(len(order), dtype=np.int64) for _ in range(3))
-        answers = sorted(r.answers, key=lambda x: x["shard"])
-        for target, name in ((number, "number"), (learnt, "learnt"), (times, "times")):
-            target[order] = np.concatenate([unpacked(x[name]) for x in answers])
+        token, number, learnt, times = (unpacked(x) for x in (r.tokens, r.number, r.learnt, r.times))
         self.lengths = np.asarray(r.lengths, dtype=np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = _training(r.lengths, r.held)
@@ -247,7 +258,7 @@ def _answer_trigrams(group):
     import numpy as np
     import pandas as pd
 
-    from lendframe.llm.trie import Trie
+    from lendframe.llm.trie import Trie, sorted_by
 
     parts = []
     for r in group.itertuples():
@@ -257,12 +268,18 @@ def _answer_trigrams(group):
         before = np.r_[0, total][heads]
         parts.append((np.cumsum(step), total - np.repeat(before, np.diff(np.r_[heads, len(c)])), unpacked(r.a), unpacked(r.counts)))
     b, c, a, counts = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    order = sorted_by(b, c, a)
+    b, c, a, counts = b[order], c[order], a[order], counts[order]
     seen = counts > 0
     trie = Trie.over(Trie.of(b[seen], c[seen], a[seen], counts[seen]).to_bytes())
-    out = []
-    for block, (b, c, a, _) in zip(group["block"], parts):
-        two, three = trie.codes(b, c, a)
-        out.append((block, int(group["shard"].iat[0]), packed(two), packed(three)))
+    # all blocks' queries in the order of the levels, then back to each block's own
+    two, three = (np.empty(len(order), dtype=np.uint8) for _ in range(2))
+    two[order], three[order] = trie.codes(b, c, a)
+    out, at = [], 0
+    for block, part in zip(group["block"], parts):
+        here = slice(at, at + len(part[0]))
+        at = here.stop
+        out.append((block, int(group["shard"].iat[0]), packed(two[here]), packed(three[here])))
     return pd.DataFrame(out, columns=["block", "shard", "two", "three"])
 
 
@@ -326,7 +343,6 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     ).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "train", "learnt", "docs")]).first()
     shards = max(shuffle_partitions(spark), of.n // SHARD_TOKENS + 1)
     shards_words = max(shuffle_partitions(spark), of.n // (8 * SHARD_TOKENS) + 1)
-    let_go(spark)
     asked = blocks.mapInPandas(lambda x: _ask_words(x, shards_words), "shard long, block long, words binary, learnt binary, times binary")
     words = stored(
         asked.groupBy("shard").applyInPandas(
@@ -336,10 +352,13 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     )
     n_words = words.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     answers = words.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "number", "learnt", "times")).alias("answers"))
-    del asked
+    joined = blocks.drop("words").join(answers, "block")
+    known = f"block long, ids array<{kind}>, lengths array<long>, held array<boolean>, tokens binary, number binary, learnt binary, times binary"
+    ready = stored(joined.mapInPandas(lambda x: _resolve(x, shards_words), known), "lm-ready")
+    release(blocks, words)
+    del asked, answers, joined
     let_go(spark)
-    ready = blocks.drop("words").join(answers, "block")
-    settings = (shards_words, shards, of.learnt, of.docs)
+    settings = (shards, of.learnt, of.docs)
     sent = ready.mapInPandas(lambda x: _ask_trigrams(x, *settings), "shard long, block long, b binary, c binary, a binary, counts binary")
     codes = sent.groupBy("shard").applyInPandas(_answer_trigrams, "block long, shard long, two binary, three binary")
     back = stored(codes.groupBy("block").agg(F.collect_list(F.struct("shard", "two", "three")).alias("trigrams")), "lm-codes")
@@ -347,5 +366,5 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     let_go(spark)
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scores = stored(ready.join(back, "block", "left").mapInPandas(lambda x: _score(x, of.train, n_words, *settings), out), "lm-scores")
-    release(blocks, words, back)
+    release(ready, back)
     return scores

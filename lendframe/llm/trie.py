@@ -155,9 +155,7 @@ class Trie:
 
     @classmethod
     def of(cls, b: np.ndarray, c: np.ndarray, a: np.ndarray, counts: np.ndarray) -> Trie:
-        """From trigrams in any order; equal ones are added up."""
-        order = sorted_by(b, c, a)
-        a, b, c, counts = a[order], b[order], c[order], counts[order]
+        """From trigrams sorted by b, c and a; equal ones are added up."""
         heads = _heads(b, c, a)
         counts = np.add.reduceat(counts, heads) if len(heads) else counts
         a, b, c = a[heads], b[heads], c[heads]

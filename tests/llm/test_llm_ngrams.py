@@ -26,6 +26,8 @@ def test_elias_fano(values):
 def test_trie_in_a_mapped_file(tmp_path, n, words):
     rng = np.random.default_rng(n)
     b, c, a = (rng.zipf(1.3, n) % words + 1 for _ in range(3))
+    order = np.lexsort((a, c, b))
+    b, c, a = b[order], c[order], a[order]
     (tmp_path / "trie").write_bytes(Trie.of(b, c, a, np.ones(n, dtype=np.int64)).to_bytes())
     trie = Trie.open(str(tmp_path / "trie"))
     two, three = Counter(zip(b.tolist(), c.tolist())), Counter(zip(b.tolist(), c.tolist(), a.tolist()))
