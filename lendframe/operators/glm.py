@@ -94,8 +94,14 @@ def fit_logit(df: DataFrame, y: str, names: list[str], offset: str | None = None
     return _solve(step, list(names), rounds, lower, upper)
 
 
-def fit_groups(df: DataFrame, group: str, groups: int, y: str, names: list[str], weight: str | None = None, rounds: int = 25) -> list[Logit | None]:
-    """A logit for each group 0, 1, ..., all in one aggregate a Newton step; None for a group without complete rows."""
+def fit_groups(
+    df: DataFrame, group: str, groups: int, y: str, names: list[str], weight: str | None = None, rounds: int = 25, ridge: float | list[float] = 0.0,
+) -> list[Logit | None]:
+    """A logit for each group 0, 1, ..., all in one aggregate a Newton step; None for a group without complete rows.
+
+    ``ridge``: half of it (or of the group's own) times the squares of all slopes is added to the negative log likelihood.
+    """
+    penalties = ridge if isinstance(ridge, list) else [ridge] * groups
     k, x_names = len(names) + 1, [f"__x{i}" for i in range(len(names))]
     rows = df.select(
         F.col(group).cast("int").alias("__g"), F.col(y).cast("double").alias("__y"),
@@ -128,6 +134,8 @@ def fit_groups(df: DataFrame, group: str, groups: int, y: str, names: list[str],
         step = run(betas)
         going = {}
         for g, (info, gradient, dev, n, mean) in step.items():
+            slopes = np.r_[0.0, betas[g][1:]]
+            info, gradient, dev = info + penalties[g] * np.diag(np.r_[0.0, np.ones(k - 1)]), gradient - penalties[g] * slopes, dev + penalties[g] * float(slopes @ slopes)
             done = abs(previous[g] - dev) < 1e-12 * (abs(dev) + 1e-9)
             null_dev = -2.0 * n * sum(m * math.log(m) for m in (mean, 1 - mean) if m > 0)
             b = betas[g]

@@ -39,22 +39,20 @@ def of_counts(counts: DataFrame, keys: list[str], points: list[float], slices: i
     totals = rows.groupBy(*keys, "slice").agg(F.sum("n").alias("n")).select(
         *keys, "slice", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy(*keys)).alias("all")
     )
-    place = lambda p: (F.col("all") - 1) * F.lit(float(p))
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), f(place(p)).cast("long").alias("rank")) for i, p in enumerate(points) for side, f in ((0, F.floor), (1, F.ceil))])
-    wanted = (
-        totals.select("*", F.inline(ranks)).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-        .select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col("slice").alias("w_slice"), "start", "all", "i", "side", "rank")
-    )
-    asked = wanted.groupBy(*[f"w_{k}" for k in keys], "w_slice", "start", "all").agg(F.collect_list(F.struct("i", "side", "rank")).alias("asked"))
+    # the plan has as many expressions for one point as for a hundred
+    at = F.array(*[F.lit(float(p)) for p in points])
+    place = lambda p: (F.col("all") - 1) * p
+    ranks = F.transform(at, lambda p, i: F.array(F.struct((2 * i).alias("i"), F.floor(place(p)).alias("rank")), F.struct((2 * i + 1).alias("i"), F.ceil(place(p)).alias("rank"))))
+    inside = F.filter(F.flatten(ranks), lambda r: (r["rank"] >= F.col("start")) & (r["rank"] < F.col("start") + F.col("n")))
+    asked = totals.select(*[F.col(k).alias(f"w_{k}") for k in keys], F.col("slice").alias("w_slice"), "start", "all", inside.alias("asked")).where(F.size("asked") > 0)
     same = [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys] + [F.col("slice") == F.col("w_slice")]
     upto = F.sum("n").over(Window.partitionBy(*keys, "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # points by keys rows
     held = rows.join(F.broadcast(asked), same).withColumn("upto", F.col("start") + upto)
-    found = held.select(*keys, "v", "all", F.inline(F.filter("asked", lambda a: (a["rank"] < F.col("upto")) & (a["rank"] >= F.col("upto") - F.col("n")))))
-    value = lambda i, side: F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("v")))
-    got = found.groupBy(*keys).agg(F.max("all").alias("all"), *[value(i, s).alias(f"v{i}_{s}") for i in range(len(points)) for s in (0, 1)])
-    part = lambda i, p: F.col(f"v{i}_0") + (place(p) - F.floor(place(p))) * (F.col(f"v{i}_1") - F.col(f"v{i}_0"))
-    return got.select(*keys, F.array(*[part(i, p) for i, p in enumerate(points)]).alias("q"))
+    found = held.select(*keys, "v", "all", F.inline(F.filter("asked", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("n")))))
+    got = found.groupBy(*keys).agg(F.max("all").alias("all"), F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("by"))
+    low, high = (lambda i: F.col("by")[2 * i]), (lambda i: F.col("by")[2 * i + 1])
+    return got.select(*keys, F.transform(at, lambda p, i: low(i) + (place(p) - F.floor(place(p))) * (high(i) - low(i))).alias("q"))
 
 
 def exact(df: DataFrame, columns: dict[str, Column], points: list[float], *keys: str) -> DataFrame:

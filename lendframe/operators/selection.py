@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lendframe.functions.dist import chi2_sf
 from lendframe.functions.special import require, require_binary
+from lendframe.operators.boosting import Params, fit_boosted
 from lendframe.operators.glm import Logit, compress, fit_logit
 from lendframe.operators.woe import MOST_LEVELS, woe_table, woe_table_expected, with_woe
 
@@ -269,34 +270,54 @@ def by_importance(importance: dict[str, float], share: float = 0.90, least: int
     return ranked[: min(max(len(picked), least), most)]
 
 
-def boosted_selection(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, trees: int = 40, depth: int = 4, seed: int = 42) -> Selection:
-    """Candidates by the importance in boosted trees, then a logit; terms of the wrong sign or without significance go, worst first."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+def swap_search(fit: Fitter, ranked: list[str], names: list[str], p_value: float, sign: int, rounds: int = 3) -> tuple[list[str], Logit, list[str]]:
+    """Mends a model by its ranking: terms of the wrong sign give way, worst rank first, to the next candidates not tried yet.
+
+    Each round swaps out all terms of the wrong sign and refits; after ``rounds`` those that are left are dropped, and so are terms
+    without significance, the weakest first.
+    """
+    model, out, said = fit(names), list(names), []
+    waiting = [c for c in ranked if c not in out]
+    for _ in range(rounds):
+        wrong = [c for c in ranked[::-1] if c in out and not fit.sign_ok(model, c, sign)]
+        if not wrong or not waiting:
+            break
+        for c in wrong:
+            out.remove(c)
+            if waiting:
+                new = waiting.pop(0)
+                out.append(new)
+                said.append(f"{c}: wrong sign, swapped for {new}")
+            else:
+                said.append(f"{c}: wrong sign, left out")
+        model = fit(out)
+    while out:
+        bad = [c for c in out if not fit.sign_ok(model, c, sign) or fit.p_value(model, c) >= p_value]
+        if not bad:
+            break
+        worst = max(bad, key=lambda c: (not fit.sign_ok(model, c, sign), fit.p_value(model, c), c))
+        said.append(f"{worst}: left out of the boosted selection")
+        out.remove(worst)
+        model = fit(out)
+    return out, model, said
 
+
+def boosted_selection(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, trees: int = 40, depth: int = 4, seed: int = 42) -> Selection:
+    """Candidates by the gain of their splits in boosted trees, then a logit of them, mended by ``swap_search``."""
     rows = df.dropna(subset=[target, *candidates])
     fit = Fitter(rows, target, {c: [c] for c in candidates})
     if fit.cells:  # the trees see the distinct rows with their counts
-        cells = fit.cells
-        made = pd.DataFrame({**{c: cells.columns[c].astype(float) for c in [target, *candidates]}, "__w": cells.count.astype(float)})
-        ready = df.sparkSession.createDataFrame(made).coalesce(1)
+        made = pd.DataFrame({**{c: fit.cells.columns[c].astype(float) for c in [target, *candidates]}, "__w": fit.cells.count.astype(float)})
+        ready = df.sparkSession.createDataFrame(made)
     else:
         ready = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in [target, *candidates]], F.lit(1.0).alias("__w"))
-    ready = VectorAssembler(inputCols=list(candidates), outputCol="__f").transform(ready)
-    learner = GBTClassifier(labelCol=target, featuresCol="__f", weightCol="__w", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
-    model = learner.fit(ready)
-    names = by_importance(dict(zip(candidates, model.featureImportances.toArray().tolist())))
-    logit, dropped = fit(names), []
-    while names:
-        bad = [c for c in names if not fit.sign_ok(logit, c, sign) or fit.p_value(logit, c) >= p_value]
-        if not bad:
-            break
-        worst = max(bad, key=lambda c: (not fit.sign_ok(logit, c, sign), fit.p_value(logit, c), c))
-        dropped.append(worst)
-        names = [c for c in names if c != worst]
-        logit = fit(names)
+    ready = ready.withColumn("__id", F.xxhash64(target, *candidates))
+    learner = fit_boosted(ready, target, "__id", list(candidates), [], [Params(trees=trees, leaves=2**depth, depth=depth, seed=seed)], weight="__w")
+    importance = learner.importance()
+    ranked = sorted(importance, key=lambda c: (-importance[c], c))
+    names, logit, warnings = swap_search(fit, ranked, by_importance(importance), p_value, sign)
     steps = [(i + 1, c, logit.coefficients[c], logit.p_value(c), logit.aic) for i, c in enumerate(names)]
-    return _selection(df, fit, names, steps, logit, [f"{c}: left out of the boosted selection" for c in dropped])
+    return _selection(df, fit, names, steps, logit, warnings)
 
 
 def blocks(

@@ -3,68 +3,145 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 from typing import Protocol
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import wilcoxon_p
-from lendframe.operators import metrics, profile, resample, woe
-from lendframe.operators.glm import fit_logit
+from lendframe.functions.scratch import release, stored
+from lendframe.functions.special import FLOOR
+from lendframe.operators import metrics, profile, quantiles, resample
+from lendframe.operators.boosting import Params, fit_boosted
+from lendframe.operators.glm import Logit, fit_groups
 
 
 class Model(Protocol):
-    """A plug-in: the test rows with a ``proba`` column. Pretrained networks join through ``mapInPandas`` in it."""
+    """A plug-in for one fold: the test rows with a ``proba`` column. Pretrained networks join through ``mapInPandas`` in it."""
 
     name: str
 
     def fit_predict(self, train: DataFrame, test: DataFrame, y: str, numeric: list[str], categorical: list[str]) -> DataFrame: ...
 
 
-class WoeLogit:
-    name = "woe_logit"
+class FoldModel:
+    """A model of all folds at once, and so of one.
 
-    def fit_predict(self, train: DataFrame, test: DataFrame, y: str, numeric: list[str], categorical: list[str]) -> DataFrame:
-        factors = list(categorical)
-        for c in numeric:
-            edges = metrics.quantile_edges(train, c, 5)
-            name = F.coalesce(F.format_string("%02d", metrics.cut(F.col(c), edges)), F.lit("SC"))
-            train, test = train.withColumn(f"{c}_bin", name), test.withColumn(f"{c}_bin", name)
-            factors.append(f"{c}_bin")
-        maps: dict[str, dict] = {c: {} for c in factors}
-        for r in woe.woe_table(train, factors, y).select("rf", "bin", "woe").collect():
-            maps[r.rf][r.bin] = r.woe
-        code = {f"{c}_woe": woe.lookup(F.col(c).cast("string"), maps[c], maps[c].get(None, 0.0)) for c in factors}
-        fit = fit_logit(train.withColumns(code), y, list(code))
-        return test.withColumns(code).withColumn("proba", fit.probability())
+    ``rows`` has a copy of each row for each fold g, with ``__train`` false for the one that the row is tested in, and the numbers
+    capped as the fold's training rows say. The result: the copies to be tested, with a ``proba`` column.
+    """
 
+    name: str
 
-class MlModel:
-    def __init__(self, name: str, learner, scale: bool):
-        self.name, self.learner, self.scale = name, learner, scale
+    def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
+        raise NotImplementedError
 
     def fit_predict(self, train: DataFrame, test: DataFrame, y: str, numeric: list[str], categorical: list[str]) -> DataFrame:
-        index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in categorical]
-        hot = OneHotEncoder(inputCols=[f"{c}_i" for c in categorical], outputCols=[f"{c}_h" for c in categorical], dropLast=False)
-        numbers = VectorAssembler(inputCols=numeric, outputCol="__n", handleInvalid="keep")
-        scaler = StandardScaler(inputCol="__n", outputCol="__s", withMean=True)
-        every = VectorAssembler(inputCols=["__s" if self.scale else "__n", *[f"{c}_h" for c in categorical]], outputCol="features")
-        stages = [*index, *([hot] if categorical else []), numbers, *([scaler] if self.scale else []), every, self.learner]
-        fitted = Pipeline(stages=stages).fit(train.withColumn("label", F.col(y).cast("double")))
-        return fitted.transform(test).withColumn("proba", vector_to_array("probability")[1])
+        both = [d.withColumns({"g": F.lit(0), "__train": F.lit(own)}) for d, own in ((train, True), (test, False))]
+        rows = both[0].unionByName(both[1])
+        if "__id" not in rows.columns:
+            rows = rows.withColumn("__id", F.monotonically_increasing_id())
+        return self.fit_folds(rows, y, 1, numeric, categorical)
+
+
+def _by_group(values: list, kind: str) -> Column:
+    """The value of the row's fold."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("g"))
+
 
+def _scored(rows: DataFrame, fits: list[Logit | None], names: list[str]) -> DataFrame:
+    line = _by_group([f.intercept if f else None for f in fits], "double")
+    for n in names:
+        line = line + _by_group([f.coefficients[n] if f else None for f in fits], "double") * F.col(f"`{n}`")
+    return rows.where(~F.col("__train")).withColumn("proba", 1 / (1 + F.exp(-line)))
 
-def default_models(n: int) -> list[Model]:
-    plain = LogisticRegression(regParam=1 / n, elasticNetParam=0.0, standardization=False)
-    return [WoeLogit(), MlModel("logit", plain, True), MlModel("boosted_trees", GBTClassifier(maxIter=20, maxDepth=3, seed=42), False)]
+
+class WoeLogit(FoldModel):
+    """Five quantile bins of each number and the levels of categories, coded by the weight of evidence of the fold's training rows."""
+
+    name = "woe_logit"
+
+    def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
+        train, factors = rows.where("__train"), list(categorical)
+        points = [i / 5 for i in range(1, 5)]
+        found = {(r.g, r.rf): sorted(set(r.q)) for r in quantiles.exact(train, {c: F.col(f"`{c}`") for c in numeric}, points, "g").collect()} if numeric else {}
+        bins = {}
+        for c in numeric:  # folds by columns by four edges
+            edges = F.get(F.array(*[F.array(*[F.lit(float(e)) for e in found.get((g, c), [])]).cast("array<double>") for g in range(k)]), F.col("g"))
+            value = F.col(f"`{c}`")
+            at = F.size(F.filter(edges, lambda e: e < value))
+            bins[f"{c}_bin"] = F.when(value.isNull(), "SC").otherwise(at.cast("string"))
+            factors.append(f"{c}_bin")
+        rows = rows.withColumns(bins)
+        cells = F.array(*[F.struct(F.lit(c).alias("rf"), F.col(f"`{c}`").cast("string").alias("bin")) for c in factors])
+        counts = rows.where("__train").select("g", F.col(y).alias("y"), F.inline(cells)).groupBy("g", "rf", "bin").agg(F.count_if(F.col("y") == 0).alias("good"), F.count_if(F.col("y") == 1).alias("bad"))
+        totals = counts.groupBy(F.col("g").alias("t_g"), F.col("rf").alias("t_rf")).agg(F.sum("good").alias("goods"), F.sum("bad").alias("bads"))
+        shares = counts.join(F.broadcast(totals), (F.col("g") == F.col("t_g")) & (F.col("rf") == F.col("t_rf")))  # folds by factors rows
+        floor = lambda a, b: F.greatest(F.try_divide(F.col(a), F.col(b)), F.lit(FLOOR))
+        table = stored(shares.select("g", "rf", "bin", F.log(floor("good", "goods") / floor("bad", "bads")).alias("woe")), "fold-woe")
+        for c in factors:
+            own = table.where(F.col("rf") == c).select(F.col("g").alias("w_g"), F.col("bin").alias("w_bin"), F.col("woe").alias(f"{c}_woe"))
+            rows = rows.join(own, (F.col("g") == F.col("w_g")) & F.col(f"`{c}`").cast("string").eqNullSafe(F.col("w_bin")), "left").drop("w_g", "w_bin")
+        names = [f"{c}_woe" for c in factors]
+        # a level that the training rows don't have counts as neutral
+        rows = rows.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names})
+        return _scored(rows, fit_groups(rows.where("__train"), "g", k, y, names), names)
+
+
+class PlainLogit(FoldModel):
+    """Standardised numbers and dummies of all levels, with a ridge of 1 / c on the slopes."""
+
+    def __init__(self, c: float = 1.0, name: str = "logit"):
+        self.c, self.name = c, name
+
+    def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
+        train = rows.where("__train")
+        got = {r.g: r for r in train.groupBy("g").agg(*[f(F.col(f"`{c}`")).alias(f"{n}_{i}") for i, c in enumerate(numeric) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count(F.lit(1)).alias("n")).collect()}
+        made = {}
+        for i, c in enumerate(numeric):
+            mean, spread = ([(got[g][f"{n}_{i}"] if g in got else None) for g in range(k)] for n in ("m", "s"))
+            scaled = (F.col(f"`{c}`") - _by_group(mean, "double")) / _by_group([v or 1.0 for v in spread], "double")
+            made[f"{c}__scaled"] = F.coalesce(scaled, F.lit(0.0))
+        for c in categorical:
+            levels = [r.v for r in train.select(F.col(f"`{c}`").cast("string").alias("v")).distinct().limit(MOST_DUMMIES + 1).collect()]
+            if len(levels) > MOST_DUMMIES:
+                raise ValueError(f"over {MOST_DUMMIES} levels, too many for dummies: {c}")
+            made |= {f"{c}__{'NULL' if v is None else v}": F.col(f"`{c}`").cast("string").eqNullSafe(F.lit(v)).cast("double") for v in sorted(levels, key=lambda v: (v is None, v))}
+        rows, names = rows.withColumns(made), list(made)
+        return _scored(rows, fit_groups(rows.where("__train"), "g", k, y, names, ridge=1 / self.c), names)
+
+
+class BoostedTrees(FoldModel):
+    def __init__(self, params: Params = Params(trees=20, leaves=8, depth=3), name: str = "boosted_trees"):
+        self.params, self.name = params, name
+
+    def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
+        model = fit_boosted(rows.where("__train"), y, "__id", numeric, categorical, [self.params] * k, "g")
+        return model.predict(rows.where(~F.col("__train")), "g", ["__id", "g", "fold", y])
+
+
+MOST_DUMMIES = 100
+
+
+def default_models(n: int = 0) -> list[FoldModel]:
+    return [WoeLogit(), PlainLogit(), BoostedTrees()]
+
+
+def fold_copies(rows: DataFrame, id_col: str, numeric: list[str], k: int) -> DataFrame:
+    """A copy of each row for each fold g, its numbers capped by the fences of the rows of the other folds."""
+    fences = profile.fold_safe_caps(rows, "fold", numeric, list(range(k)))
+    caps = {(r.fold, r.rf): r.upper_cap for r in fences.collect()} if numeric else {}  # folds by columns rows
+    copies = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("__train", F.col("fold") != F.col("g")).withColumn("__id", F.col(f"`{id_col}`"))
+    capped = {}
+    for c in numeric:
+        cap = _by_group([caps.get((g, c)) for g in range(k)], "double")
+        capped[c] = F.when(F.col(f"`{c}`") > cap, cap).otherwise(F.col(f"`{c}`").cast("double"))
+    return copies.withColumns(capped)
 
 
 def run(
-    df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], models: list[Model], k: int = 10, seed: int = 42, path: str | None = None,
+    df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], models: list[Model | FoldModel], k: int = 10, seed: int = 42, path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions (model, fold, id, y, proba) and metrics per model and fold.
 
@@ -72,33 +149,37 @@ def run(
     written there as a part when it is done, and a run that is started again leaves out the parts that are there.
     """
     spark = df.sparkSession
-    rows = resample.folds(df, id_col, y, k, seed).cache()
-    caps = {(r.fold, r.rf): r.upper_cap for r in profile.fold_safe_caps(rows, "fold", numeric, list(range(k))).collect()}
+    rows = stored(resample.folds(df, id_col, y, k, seed), "benchmark-folds")
+    copies = fold_copies(rows, id_col, numeric, k)
     done = _parts(spark, path) if path else set()
-    out, times = None, []
-    for f in range(k):
-        capped = rows.withColumns({c: F.when(F.col(c) > caps[f, c], caps[f, c]).otherwise(F.col(c).cast("double")) for c in numeric})
-        train, test = capped.where(F.col("fold") != f), capped.where(F.col("fold") == f)
-        for m in models:
-            if (m.name, f) in done:
-                continue
+    kept = []
+
+    def keep(model: Model | FoldModel, got: DataFrame, began: float) -> None:
+        own = got.select(F.lit(model.name).alias("model"), F.col("fold").cast("int").alias("fold"), F.col("__id").alias("id"), F.col(y).alias("y"), "proba")
+        if path:
+            own.withColumn("runtime_s", F.lit(time.time() - began)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "fold").parquet(path)
+        else:
+            part = stored(own, "benchmark-part")
+            kept.append(part.withColumn("runtime_s", F.lit(time.time() - began)))
+
+    for m in models:
+        # a run that may have to start again goes fold by fold
+        if isinstance(m, FoldModel) and not path:
             began = time.time()
-            got = m.fit_predict(train, test, y, numeric, categorical).select(F.lit(m.name).alias("model"), F.lit(f).alias("fold"), F.col(id_col).alias("id"), F.col(y).alias("y"), "proba")
-            if path:
-                timed = got.withColumn("runtime_s", F.lit(time.time() - began))
-                timed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "fold").parquet(path)
-            else:
-                times.append((m.name, f, time.time() - began))
-                out = got if out is None else out.unionByName(got)
-    if path:
-        whole = spark.read.parquet(path).where(F.col("model").isin([m.name for m in models]))
-        out, timed = whole.select("model", "fold", "id", "y", "proba"), whole.groupBy(F.col("model").alias("t_model"), F.col("fold").alias("t_fold")).agg(F.max("runtime_s").alias("runtime_s"))
-    else:
-        out, timed = out.cache(), spark.createDataFrame(times, "t_model string, t_fold int, runtime_s double")
+            keep(m, m.fit_folds(copies, y, k, numeric, categorical), began)
+            continue
+        for f in range(k):
+            if (m.name, f) not in done:
+                began, own = time.time(), copies.where(F.col("g") == f)
+                keep(m, m.fit_predict(own.where("__train"), own.where(~F.col("__train")), y, numeric, categorical), began)
+    whole = spark.read.parquet(path).where(F.col("model").isin([m.name for m in models])) if path else reduce(DataFrame.unionByName, kept)
+    out = whole.select("model", "fold", "id", "y", "proba")
+    timed = whole.groupBy(F.col("model").alias("t_model"), F.col("fold").alias("t_fold")).agg(F.max("runtime_s").alias("runtime_s"))
     scored = metrics.all_metrics(out, "proba", "y", "model", "fold")
     # models by folds rows
     scored = scored.join(F.broadcast(timed), (F.col("model") == F.col("t_model")) & (F.col("fold") == F.col("t_fold"))).drop("t_model", "t_fold")
-    return out, scored
+    release(rows)
+    return out, stored(scored, "benchmark-metrics")
 
 
 def _parts(spark, path: str) -> set[tuple[str, int]]:
@@ -132,17 +213,3 @@ def paired_tests(predictions: DataFrame, folds: DataFrame, champion: str) -> Dat
     return predictions.sparkSession.createDataFrame(rows, "model string, auc_diff double, z double, delong_p double, wilcoxon_p double, delong_p_adjusted double")
 
 
-def candidates(name: str) -> list[Model]:
-    """What a learner is tuned over: penalties of the logit; depth and rate of boosted trees."""
-    if name == "logit":
-        return [MlModel(f"logit {g}", LogisticRegression(regParam=g, standardization=False), True) for g in (0.0001, 0.001, 0.01, 0.1)]
-    if name == "boosted_trees":
-        return [MlModel(f"boosted_trees {d} {r}", GBTClassifier(maxIter=20, maxDepth=d, stepSize=r, seed=42), False) for d in (2, 3) for r in (0.05, 0.1)]
-    raise ValueError("logit or boosted_trees")
-
-
-def inner_tune(train: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], tried: list[Model], k: int = 5) -> Model:
-    """The model with the best mean inner AUC; caps are refitted from each inner training part."""
-    _, scored = run(train, y, id_col, numeric, categorical, tried, k, 42)
-    best = scored.groupBy("model").agg(F.avg("auc").alias("auc")).orderBy(F.desc("auc"), "model").first().model
-    return next(m for m in tried if m.name == best)
