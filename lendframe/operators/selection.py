@@ -9,17 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import chi2_sf
-from lendframe.functions.special import require, require_binary
+from lendframe.functions.special import clean, is_numeric, require, require_binary
 from lendframe.operators.boosting import Params, fit_boosted
 from lendframe.operators.glm import Logit, compress, fit_logit
+from lendframe.operators.quantiles import sliced
 from lendframe.operators.woe import MOST_LEVELS, woe_table, woe_table_expected, with_woe
 
-CODINGS = (None, "WoE", "dummy")
+CODINGS = (None, "WoE", "dummy", "mixed")
 METHODS = ("stepMIV", "stepFWD", "stepRPC")
 
 
@@ -50,16 +52,17 @@ def _start(target: str, start: str | list[str]) -> tuple[str, list[str]]:
 def coded(df: DataFrame, target: str, factors: list[str], coding: str | None, plain: list[str] = ()) -> tuple[DataFrame, dict[str, list[str]]]:
     """The table with coded columns, and the columns of each factor's term; ``plain`` factors stay as they are.
 
-    Dummies: a 0/1 column for each level but the first in sorted order, NULL being a level; at most ten levels.
+    Dummies: a 0/1 column for each level but the first in sorted order, NULL being a level; at most ten levels. Mixed: numbers stay
+    as they are, other factors get dummies.
     """
     if coding not in CODINGS:
-        raise ValueError("coding: WoE, dummy or None")
+        raise ValueError("coding: WoE, dummy, mixed or None")
     terms = {c: [c] for c in factors}
-    names = [c for c in factors if c not in plain]
+    names = [c for c in factors if c not in plain and not (coding == "mixed" and is_numeric(df, c))]
     if coding == "WoE" and names:
         df = with_woe(df, target, names)
         terms |= {c: [f"{c}_woe"] for c in names}
-    if coding == "dummy" and names:
+    if coding in ("dummy", "mixed") and names:
         made: dict[str, Column] = {}
         n = {r.rf: r.n for r in woe_table(df, names, target).groupBy("rf").agg(F.count(F.lit(1)).alias("n")).collect()}
         if wide := [c for c in names if n.get(c, 0) > MOST_LEVELS + 1]:
@@ -188,10 +191,71 @@ def _size_rule(p_value: float, sign: int, free: list[str] = ()) -> Rule:
     return rule
 
 
-def _aic_rule(p_value: float, sign: int) -> Rule:
-    """AIC, where all terms of the model stay significant and keep their sign."""
+def concordance(df: DataFrame, y: str, columns: list[str]) -> dict[str, float]:
+    """Share of (bad, good) pairs in which the bad row has the larger value, ties one half, less one half, for all columns at once.
+
+    It has the sign of the rank correlation with a 0/1 target. NULL, NaN and infinite values are left out; a column without a pair
+    is left out. Values are counted, cut into slices and summed up by slice, so that no task holds a column.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("rf"), clean(df, c).cast("double").alias("v")) for c in columns])
+    long = df.where(F.col(y).isNotNull()).select(F.col(y).alias("y"), F.inline(cells)).where(F.col("v").isNotNull())
+    rows = sliced(long.groupBy("rf", "v").agg(F.count_if(F.col("y") == 0).alias("g"), F.count_if(F.col("y") == 1).alias("b")), ["rf"])
+    before = Window.partitionBy("rf").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # at most as many rows a column as there are slices
+    starts = rows.groupBy("rf", "slice").agg(F.sum("g").alias("n")).select(F.col("rf").alias("s_rf"), F.col("slice").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    joined = rows.join(F.broadcast(starts), (F.col("rf") == F.col("s_rf")) & (F.col("slice") == F.col("s")))
+    below = F.coalesce(F.sum("g").over(Window.partitionBy("rf", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = joined.withColumn("won", F.col("b") * (F.col("start") + below + F.col("g") / 2))
+    got = won.groupBy("rf").agg((F.try_divide(F.sum("won"), F.sum("g") * F.sum("b")) - 0.5).alias("c")).collect()
+    return {r.rf: r.c for r in got if r.c is not None}
+
+
+def _midranks(values: list[float]) -> list[float]:
+    return [sum(w < v for w in values) + sum(w == v for w in values) / 2 for v in values]
+
+
+Trend = dict[str, float | dict[str, float]]
+
+
+def observed_trends(df: DataFrame, target: str, terms: dict[str, list[str]], source: DataFrame) -> Trend:
+    """What the data say of each factor: the sign of its rank correlation with the target, or for dummies the default rate of each
+    level less that of the reference level. Factors and levels without data are left out."""
+    single = [c for c, names in terms.items() if len(names) == 1 and not names[0].startswith(f"{c}__")]
+    many = [c for c in terms if c not in single]
+    found = concordance(df, target, [terms[c][0] for c in single]) if single else {}
+    out: Trend = {c: found[terms[c][0]] for c in single if terms[c][0] in found}
+    if many:
+        rates: dict[str, dict] = {}
+        for r in woe_table(source, many, target).select("rf", "bin", "dr").collect():  # ten levels a factor
+            rates.setdefault(r.rf, {})[f"{r.rf}__{'NULL' if r.bin is None else r.bin}"] = r.dr
+        for c, by in rates.items():
+            reference = [v for k, v in by.items() if k not in terms[c]]
+            if len(reference) == 1 and reference[0] is not None:
+                out[c] = {k: v - reference[0] for k, v in by.items() if k in terms[c] and v is not None}
+    return out
+
+
+def consistent(fit: Logit, names: list[str], seen: float | dict[str, float] | None) -> bool:
+    """Whether coefficients go with the data: a number's sign; for dummies each sign and the order of the levels."""
+    if seen is None:
+        return True
+    if not isinstance(seen, dict):
+        return bool(np.sign(seen) == np.sign(fit.coefficients[names[0]]))
+    levels = [n for n in names if n in seen]
+    gaps, slopes = [seen[n] for n in levels], [fit.coefficients[n] for n in levels]
+    return all(np.sign(g) == np.sign(b) for g, b in zip(gaps, slopes)) and _midranks(gaps) == _midranks(slopes)
+
+
+def _aic_rule(p_value: float, sign: int, trends: Trend | None = None, unchecked: list[str] = ()) -> Rule:
+    """AIC, where all terms of the model stay significant and keep their sign, or go with the data if ``trends`` are given."""
     def rule(fit: Fitter, model: Logit, _: str, names: list[str]) -> float | None:
-        return model.aic if all(fit.p_value(model, n) < p_value and fit.sign_ok(model, n, sign) for n in names) else None
+        for n in names:
+            if n in unchecked:
+                continue
+            right = fit.sign_ok(model, n, sign) and (trends is None or consistent(model, fit.terms[n], trends.get(n)))
+            if not right or fit.p_value(model, n) >= p_value:
+                return None
+        return model.aic
     return rule
 
 
@@ -214,42 +278,51 @@ def _selection(df: DataFrame, fit: Fitter, chosen: list[str], steps: list[tuple]
     return Selection(chosen, df.sparkSession.createDataFrame(steps, STEPS), model, fit.df, warnings)
 
 
+def _by_aic(fit: Fitter, df: DataFrame, target: str, p_value: float, sign: int, trend: bool, unchecked: list[str]) -> Rule:
+    return _aic_rule(p_value, sign, observed_trends(fit.df, target, fit.terms, df) if trend else None, unchecked)
+
+
 def step_fwd(
     df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, offset: str | None = None,
-    start: str | list[str] = (), coding: str | None = None, coding_start: bool = True, check_start: bool = True, by_aic: bool = False,
+    start: str | list[str] = (), coding: str | None = None, coding_start: bool = True, check_start: bool = True, by_aic: bool = False, trend: bool = False,
 ) -> Selection:
     """Forward by the lowest p-value. ``sign``: of accepted coefficients, -1 for WoE with bad = 1, 0 for any.
 
     ``start``: a formula or names that are in the model from the beginning; their terms are checked and complaints are in
-    ``warnings``. ``coding``: None for columns that are coded already, WoE or dummy.
+    ``warnings``. ``coding``: None for columns that are coded already, WoE, dummy or mixed.
     """
     fit, target, first, rest = _prepared(df, target, candidates, start, coding, coding_start, offset)
-    chosen, steps, model = greedy(fit, rest, (_aic_rule if by_aic else _p_rule)(p_value, sign), first)
+    rule = _by_aic(fit, df, target, p_value, sign, trend, () if check_start else first) if by_aic else _p_rule(p_value, sign)
+    chosen, steps, model = greedy(fit, rest, rule, first)
     return _selection(df, fit, chosen, steps, model, checked(fit, fit(first), first, p_value, sign) if check_start and first else [])
 
 
-def step_fwdr(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = 0, offset: str | None = None, **more) -> Selection:
-    """Forward by AIC among candidates with which all terms stay significant and keep their sign; see ``step_fwd``."""
-    return step_fwd(df, target, candidates, p_value, sign, offset, by_aic=True, **more)
+def step_fwdr(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = 0, offset: str | None = None, trend: bool = True, **more) -> Selection:
+    """Forward by AIC among candidates with which all terms stay significant and go with the data; see ``step_fwd``.
+
+    With the data goes a number whose coefficient has the sign of its rank correlation with the target, and a factor in dummies
+    whose coefficients have the signs and the order of its levels' default rates against the reference level.
+    """
+    return step_fwd(df, target, candidates, p_value, sign, offset, by_aic=True, trend=trend, **more)
 
 
 def step_rpc(
     df: DataFrame, target: str, profile: dict[str, int], p_value: float = 0.05, sign: int = -1, by_aic: bool = False, offset: str | None = None,
-    start: str | list[str] = (), coding: str | None = None, coding_start: bool = True, check_start: bool = True,
+    start: str | list[str] = (), coding: str | None = None, coding_start: bool = True, check_start: bool = True, trend: bool = False,
 ) -> Selection:
     """Forward within groups of candidates, by ascending priority; each group starts from what is chosen. See ``step_fwd``."""
     fit, target, first, rest = _prepared(df, target, list(profile), start, coding, coding_start, offset)
     chosen, steps, model = list(first), [], fit(first)
-    rule = (_aic_rule if by_aic else _p_rule)(p_value, sign)
+    rule = _by_aic(fit, df, target, p_value, sign, trend, () if check_start else first) if by_aic else _p_rule(p_value, sign)
     for group in sorted(set(profile.values())):
         chosen, more, model = greedy(fit, [c for c in rest if profile[c] == group], rule, chosen)
         steps += [(len(steps) + i + 1, *m[1:]) for i, m in enumerate(more)]
     return _selection(df, fit, chosen, steps, model, checked(fit, fit(first), first, p_value, sign) if check_start and first else [])
 
 
-def step_rpcr(df: DataFrame, target: str, profile: dict[str, int], p_value: float = 0.05, sign: int = -1, **more) -> Selection:
-    """``step_rpc`` by AIC."""
-    return step_rpc(df, target, profile, p_value, sign, by_aic=True, **more)
+def step_rpcr(df: DataFrame, target: str, profile: dict[str, int], p_value: float = 0.05, sign: int = 0, trend: bool = True, **more) -> Selection:
+    """``step_rpc`` by AIC, with the checks of ``step_fwdr``."""
+    return step_rpc(df, target, profile, p_value, sign, by_aic=True, trend=trend, **more)
 
 
 def forward_or_any(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, **more) -> Selection:

@@ -55,16 +55,18 @@ def subset_cells(name: str, source: str, columns: list[str], y: str, offset: str
 
 
 def forward(
-    name: str, fits: str, columns: list[str], p_limit: float = 0.05, sign: int = -1, groups: dict[str, int] | None = None, by_aic: bool = False,
+    name: str, fits: str, columns: list[str], p_limit: float = 0.05, sign: int | dict[str, str] = -1, groups: dict[str, int] | None = None, by_aic: bool = False,
     start: list[str] = (), free: list[str] = (),
 ) -> str:
     """CTE ``name`` (step, rf, coefficient, p_value, aic, mask): greedy forward selection over the fits of all subsets.
 
-    ``free`` columns may have any sign; ``start`` columns are in the model from the beginning.
+    ``free`` columns may have any sign; ``start`` columns are in the model from the beginning. ``sign``: of all coefficients, or
+    for each column an expression that has it.
     """
+    signs = sign if isinstance(sign, dict) else dict.fromkeys(columns, sign)
     n, first = len(columns), sum(1 << columns.index(c) for c in start)
     ps = ", ".join(p_value(f"b[{i + 2}]", f"var[{i + 2}]") for i in range(n))
-    ok = lambda i: f"p[{i + 1}] < {p_limit}" + (f" and {sign} * b[{i + 2}] > 0" if sign and columns[i] not in free else "")
+    ok = lambda i: f"p[{i + 1}] < {p_limit}" + (f" and {signs[columns[i]]} * b[{i + 2}] > 0" if signs[columns[i]] and columns[i] not in free else "")
     options = []
     for i, c in enumerate(columns):
         bit = 1 << i

@@ -727,6 +727,52 @@ def step_fwdr_steps(spark, sf):
     return out_steps(selection.step_fwdr(rows, "y_b", names, sign=-1).steps)
 
 
+TRENDED = {
+    "price": "round(o_totalprice / 50000)", "balance": "round(c_acctbal / 1000)", "seventh": "cast(id % 7 = 0 as int)", "noise": "id % 5",
+    "mirror": "id % 3 - round(o_totalprice / 50000)",
+}
+TREND_GROUPS = {"price": 2, "balance": 2, "seventh": 1, "noise": 1, "mirror": 1}
+
+
+def trend_sql(**how) -> str:
+    """Factors of mixed signs: each coefficient must have the sign of the factor's rank correlation with the target."""
+    made = ", ".join(f"{e} as {c}" for c, e in TRENDED.items())
+    ranked = ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0::double as {c}" for c in TRENDED)
+    signs = ", ".join(f"sign(corr({c}, y_b)) as {c}" for c in TRENDED)
+    return (
+        WITH.replace("with ", "with recursive ", 1) + f", trended as (select {made}, y_b from portfolio), signs as (select {signs} from (select {ranked}, y_b from trended)), "
+        + logit_sql.subset_cells("tcells", "trended", list(TRENDED), "y_b") + ", " + logit_sql.newton("tfit", "tcells", len(TRENDED) + 1)
+        + ", " + logit_sql.forward("fwd", "tfit", list(TRENDED), sign={c: f"(select {c} from signs)" for c in TRENDED}, by_aic=True, **how)
+        + " select step, rf, round(coefficient, 4) as coefficient, round(p_value, 5) as p_value, round(aic, 3) as aic from fwd"
+    )
+
+
+def trended(spark, sf) -> DataFrame:
+    return portfolio(spark, sf).selectExpr("y_b", *[f"{e} as {c}" for c, e in TRENDED.items()])
+
+
+@query(trend_sql())
+def step_fwdr_trend(spark, sf):
+    return out_steps(selection.step_fwdr(trended(spark, sf), "y_b", list(TRENDED)).steps)
+
+
+@query(trend_sql(groups=TREND_GROUPS))
+def step_rpcr_trend(spark, sf):
+    return out_steps(selection.step_rpcr(trended(spark, sf), "y_b", TREND_GROUPS).steps)
+
+
+_TREND_RATES = " union all ".join(
+    f"select '{c}' as rf, sum(b * (coalesce(below, 0) + g / 2.0::double)) / (sum(b) * sum(g)) - 0.5 as concordance from (select *, sum(g) over (order by v rows between unbounded preceding and 1 preceding) as below "
+    f"from (select {c} as v, count(*) filter (y_b = 0) as g, count(*) filter (y_b = 1) as b from trended group by 1))" for c in TRENDED
+)
+
+
+@query(WITH + ", trended as (select " + ", ".join(f"{e} as {c}" for c, e in TRENDED.items()) + f", y_b from portfolio) select rf, round(concordance, 6) as concordance from ({_TREND_RATES})")
+def rank_concordance(spark, sf):
+    found = selection.concordance(trended(spark, sf), "y_b", list(TRENDED))
+    return spark.createDataFrame(sorted(found.items()), "rf string, concordance double").select("rf", r("concordance"))
+
+
 PROFILE = {c: 1 + (i > 0) for i, c in enumerate(CODED)}
 
 
