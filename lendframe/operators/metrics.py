@@ -7,7 +7,9 @@ range, with the totals of the slices before added by a small broadcast table, so
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,13 +144,69 @@ def wilcoxon(a: list[float], b: list[float]) -> float:
     return wilcoxon_p([x - y for x, y in zip(a, b, strict=True)])
 
 
-def forest(folds: DataFrame, champion: str, metric: str = "auc") -> DataFrame:
-    """Per model the mean difference of a fold metric to the champion's, and its interval at 1.96 standard errors."""
-    own = folds.where(F.col("model") == champion).select(F.col("fold").alias("c_fold"), F.col(metric).alias("c"))
-    # one row a fold
-    gap = folds.where(F.col("model") != champion).join(F.broadcast(own), F.col("fold") == F.col("c_fold")).withColumn("d", F.col(metric) - F.col("c"))
-    out = gap.groupBy("model").agg(F.avg("d").alias("difference"), (1.96 * F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("half"))
-    return out.select("model", "difference", (F.col("difference") - F.col("half")).alias("low"), (F.col("difference") + F.col("half")).alias("high"))
+@dataclass(frozen=True)
+class PairedAreas:
+    """AUCs of models over the same rows, and the covariance matrix of these by DeLong's placements."""
+
+    models: list[str]
+    auc: np.ndarray
+    covariance: np.ndarray
+
+    def test(self, a: str, b: str) -> tuple[float, float, float]:
+        """Difference, z and two-sided p-value; z > 0: a is better; without variance (0, 1)."""
+        i, j = self.models.index(a), self.models.index(b)
+        gap, c = float(self.auc[i] - self.auc[j]), self.covariance
+        variance = float(c[i, i] + c[j, j] - 2 * c[i, j])
+        z = gap / math.sqrt(variance) if variance > 1e-18 else 0.0
+        return gap, z, two_sided(z) if variance > 1e-18 else 1.0
+
+
+def paired_areas(predictions: DataFrame, model: str = "model", id_col: str = "id", y: str = "y", score: str = "proba") -> PairedAreas:
+    """All models at once: placements of all scores in one sliced pass, then one aggregate of their covariances for each class.
+
+    ``predictions`` has a row for each model and id, all models with the same ids and labels, else ValueError.
+    """
+    rows = predictions.select(F.col(model).alias("m"), F.col(id_col).alias("id"), F.col(y).alias("y"), F.col(score).cast("double").alias("p")).dropna()
+    placed = running(by_score(rows, "p", "y", "m"), "m").select(
+        F.col("m").alias("p_m"), F.col("s").alias("p_s"), F.try_divide(F.col("gb") + F.col("g") / 2, F.col("tg")).alias("one"),
+        (1 - F.try_divide(F.col("bb") + F.col("b") / 2, F.col("tb"))).alias("zero"),
+    )
+    joined = rows.join(placed, (F.col("m") == F.col("p_m")) & (F.col("p") == F.col("p_s")))
+    valued = joined.select("id", "y", "m", F.when(F.col("y") == 1, F.col("one")).otherwise(F.col("zero")).alias("v"))
+    names = sorted(r.m for r in rows.select("m").distinct().collect())
+    wide = valued.groupBy("id").agg(
+        F.min("y").alias("y"), (F.min("y") == F.max("y")).alias("same"), F.count(F.lit(1)).alias("n"), *[F.max(F.when(F.col("m") == name, F.col("v"))).alias(f"v{i}") for i, name in enumerate(names)]
+    )
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    whole = F.col("same") & (F.col("n") == len(names))
+    got = {
+        r.y: r for r in wide.groupBy("y").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(~whole).alias("odd"), *[F.avg(f"v{i}").alias(f"a{i}") for i in range(len(names))], *[F.covar_samp(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in pairs]
+        ).collect()
+    }
+    if any(r.odd for r in got.values()):
+        raise ValueError("the models' predictions do not align")
+    if not {0, 1} <= got.keys() or min(got[0].n, got[1].n) < 2:
+        raise ValueError("two rows of each class at least")
+    covariance = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        covariance[i, j] = covariance[j, i] = sum(r[f"c{i}_{j}"] / r.n for r in got.values())
+    return PairedAreas(names, np.array([got[1][f"a{i}"] for i in range(len(names))]), covariance)
+
+
+def forest(predictions: DataFrame, champion: str, **columns: str) -> DataFrame:
+    """Each model's AUC over all out-of-fold rows less the champion's, with DeLong's interval at 1.96 standard errors and p-value.
+
+    The standard error is |difference / z|, and 0.05 where z is 0.
+    """
+    areas = paired_areas(predictions, **columns)
+    rows = []
+    for m in areas.models:
+        if m != champion:
+            gap, z, p = areas.test(m, champion)
+            half = 1.96 * (abs(gap / z) if z else 0.05)
+            rows.append((m, gap, gap - half, gap + half, p))
+    return predictions.sparkSession.createDataFrame(rows, "model string, difference double, low double, high double, p_value double")
 
 
 def runtimes(folds: DataFrame) -> DataFrame:

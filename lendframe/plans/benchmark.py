@@ -198,18 +198,15 @@ def aligned(predictions: DataFrame, a: str, b: str) -> None:
 
 
 def paired_tests(predictions: DataFrame, folds: DataFrame, champion: str) -> DataFrame:
-    """DeLong on out-of-fold scores and Wilcoxon on fold AUCs of each model against the champion, Bonferroni-adjusted."""
-    names = [r.model for r in folds.select("model").distinct().orderBy("model").collect()]
-    others = [m for m in names if m != champion]
-    wide = predictions.groupBy("fold", "id", "y").pivot("model", names).agg(F.first("proba"))
-    aucs = {(r.model, r.fold): r.auc for r in folds.collect()}
+    """DeLong on out-of-fold scores and Wilcoxon on fold AUCs of each model against the champion, both with Bonferroni's adjustment."""
+    areas = metrics.paired_areas(predictions)
+    others = [m for m in areas.models if m != champion]
+    aucs = {(r.model, r.fold): r.auc for r in folds.select("model", "fold", "auc").collect()}
     ks = sorted({f for _, f in aucs})
     rows = []
     for m in others:
-        aligned(predictions, champion, m)
-        d = metrics.delong(wide, m, champion, "y")
+        gap, z, p = areas.test(m, champion)
         w = wilcoxon_p([aucs[m, f] - aucs[champion, f] for f in ks])
-        rows.append((m, d["auc_a"] - d["auc_b"], d["z"], d["p_value"], w, min(1.0, d["p_value"] * len(others))))
-    return predictions.sparkSession.createDataFrame(rows, "model string, auc_diff double, z double, delong_p double, wilcoxon_p double, delong_p_adjusted double")
-
-
+        rows.append((m, gap, z, p, w, min(1.0, p * len(others)), min(1.0, w * len(others))))
+    names = "auc_diff double, z double, delong_p double, wilcoxon_p double, delong_p_adjusted double, wilcoxon_p_adjusted double"
+    return predictions.sparkSession.createDataFrame(rows, f"model string, {names}")

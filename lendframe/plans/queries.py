@@ -1070,11 +1070,38 @@ def composite_models(spark, sf):
     return scorecard.composite(spark.createDataFrame(rows, "model string, auc double, gini double, ks double, stability double, sign double, parsimony double, monotonicity double")).select("model", r("composite"))
 
 
-@query(WITH + """, f as (select r_name as model, id % 10 as fold, avg(y_b) as auc from portfolio group by 1, 2), d as (select f.model, f.auc - c.auc as d from f join f c on c.model = 'ASIA' and c.fold = f.fold where f.model <> 'ASIA')
-  select model, round(avg(d), 6) as difference, round(avg(d) - 1.96 * stddev_samp(d) / sqrt(count(*)), 6) as low, round(avg(d) + 1.96 * stddev_samp(d) / sqrt(count(*)), 6) as high from d group by 1""")
+SCORES = {"price": "o_totalprice", "coarse": "round(o_totalprice / 40000)", "balance": "c_acctbal", "mixed": "o_totalprice / 100000 + c_acctbal / 20000"}
+_PLACED = ", ".join(f"({e})::double as s_{m}" for m, e in SCORES.items())
+#: For each row the share of the other class that its score beats, ties one half, from ranks over all rows and inside the class.
+_OVER = lambda m, part: f"rank() over ({part} order by s_{m}) + (count(*) over (partition by {'y_b, ' if part else ''}s_{m}) - 1) / 2.0::double"
+_SHARE = lambda m: f"case when y_b = 1 then ({_OVER(m, '')} - ({_OVER(m, 'partition by y_b')})) / n0 else 1 - ({_OVER(m, '')} - ({_OVER(m, 'partition by y_b')})) / n1 end as v_{m}"
+AREAS_SQL = (
+    WITH + f", scored as (select y_b, {_PLACED}, count(*) filter (y_b = 1) over () as n1, count(*) filter (y_b = 0) over () as n0 from portfolio), placed as (select y_b, {', '.join(map(_SHARE, SCORES))} from scored), areas as ("
+    + " union all ".join(
+        f"select '{a}' as a, '{b}' as b, avg(v_{a}) filter (y_b = 1) as auc_a, avg(v_{b}) filter (y_b = 1) as auc_b, "
+        f"var_samp(v_{a} - v_{b}) filter (y_b = 1) / count(*) filter (y_b = 1) + var_samp(v_{a} - v_{b}) filter (y_b = 0) / count(*) filter (y_b = 0) as variance from placed"
+        for a in SCORES for b in SCORES if a != b
+    ) + "), tested as (select *, (auc_a - auc_b) / sqrt(variance) as z from areas)"
+)
+
+
+def predicted(spark, sf) -> DataFrame:
+    cells = ", ".join(f"struct('{m}' as model, cast({e} as double) as proba)" for m, e in SCORES.items())
+    return portfolio(spark, sf).selectExpr("id", "y_b as y", f"inline(array({cells}))")
+
+
+@query(AREAS_SQL + f" select a, b, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b, round(z, 4) as z, round(2 * (1 - ({phi_sql('abs(z)')})), 5) as p_value from tested where a < b")
+def paired_areas(spark, sf):
+    """DeLong's tests of all pairs of models from one covariance matrix."""
+    areas = metrics.paired_areas(predicted(spark, sf))
+    rows = [(a, b, float(areas.auc[i]), float(areas.auc[areas.models.index(b)]), *areas.test(a, b)[1:]) for i, a in enumerate(areas.models) for b in areas.models[i + 1 :]]
+    return spark.createDataFrame(rows, "a string, b string, auc_a double, auc_b double, z double, p_value double").select("a", "b", r("auc_a"), r("auc_b"), r("z", 4), r("p_value", 5))
+
+
+@query(AREAS_SQL + f""" select a as model, round(auc_a - auc_b, 6) as difference, round(auc_a - auc_b - 1.96 * abs((auc_a - auc_b) / z), 6) as low, round(auc_a - auc_b + 1.96 * abs((auc_a - auc_b) / z), 6) as high,
+  round(2 * (1 - ({phi_sql('abs(z)')})), 5) as p_value from tested where b = 'price'""")
 def forest_table(spark, sf):
-    rows = portfolio(spark, sf).groupBy(F.col("r_name").alias("model"), (F.col("id") % 10).alias("fold")).agg(F.avg(F.col("y_b").cast("double")).alias("auc"))
-    return metrics.forest(rows, "ASIA").select("model", r("difference"), r("low"), r("high"))
+    return metrics.forest(predicted(spark, sf), "price").select("model", r("difference"), r("low"), r("high"), r("p_value", 5))
 
 
 @query("""with b as (select year(o_orderdate) as w, 1 + (o_totalprice >= 100000)::int + (o_totalprice >= 200000)::int + (o_totalprice >= 300000)::int as bin, count(*) as n from orders group by 1, 2),
