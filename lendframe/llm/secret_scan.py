@@ -2,10 +2,15 @@
 
 Beside the patterns, tokens that look encoded (hex, base32, base64) are tested for randomness over the alphabet of
 their encoding: a chi-squared test of uniformity, a runs test about the middle of the alphabet and a test of serial
-correlation, joined by Fisher's method. A real key passes, a readable name does not. How small a p-value still counts
-as random is set for each encoding and band of lengths from all tokens of the corpus: with the share of random tokens
-taken from the upper half of the p-values (which are uniform for random tokens), the cut is the lowest at which at
-most ``FALSE_SHARE`` of the accepted tokens are expected not to be random. Small groups take a fixed low cut.
+correlation, joined by Fisher's method, and with them a test of the bytes that the token decodes to: the top bit of random
+bytes is set in half of them, that of encoded text hardly ever; and a chi-squared test of the classes of characters, which
+names made of words fail. A real key passes; a readable name and encoded prose do not.
+
+How small a p-value still counts as random is set for each encoding and band of lengths from all tokens of the corpus: with
+the share of random tokens taken from the upper half of the p-values (which are uniform for random tokens), the cut is the
+lowest at which no more than ``FALSE_SHARE`` of the accepted tokens are expected not to be random, beyond what the noise of
+so many counts explains. So a few tokens alone never move the cut, and a group in which other tokens pass the battery
+loses random ones rather than the control.
 """
 
 from __future__ import annotations
@@ -38,9 +43,10 @@ ENCODINGS = (
 P_BINS = 100
 FALSE_SHARE = 0.05
 BANDS = (32, 48, 80, 160)
-#: A group of fewer tokens than ``LEAST_TOKENS``, or one whose cut the share can't set, takes this cut: it loses one
-#: random token in a hundred.
-PRIOR_CUT, LEAST_TOKENS = 0.01, 50
+#: The lowest cut, which loses one random token in a hundred, and the standard errors that a count may be off.
+PRIOR_CUT, NOISE = 0.01, 1.64
+#: Where the top bits of decoded bytes are: for each encoding the characters of a period, and the bit of each that holds one.
+TOP_BITS = ((2, {0: 3}), (2, {0: 3}), (8, {0: 4, 1: 1, 3: 3, 4: 0, 6: 2}), (4, {0: 5, 1: 3, 2: 1}))
 
 
 def running(values: Column) -> Column:
@@ -164,6 +170,38 @@ def randomness(token: Column, alphabet: str) -> Column:
     return let(codes, battery)
 
 
+def decoded(token: Column, alphabet: str, code: int) -> Column:
+    """Two-sided p-value of the number of decoded bytes whose top bit is set, one half of them in random bytes."""
+    clean = F.translate(token, "-_", "+/") if len(alphabet) == 64 else token
+    period, places = TOP_BITS[code]
+
+    def top(c: Column, i: Column) -> Column:
+        value, out = F.instr(F.lit(alphabet), c) - 1, F.lit(0)
+        for at, bit in places.items():
+            out = F.when(i % period == at, 1 - 2 * (F.floor(value / (1 << bit)) % 2)).otherwise(out)
+        return out
+
+    # clear bits count 1, set ones -1
+    balance = F.aggregate(F.transform(F.split(clean, ""), top), F.lit(0.0), lambda a, v: a + v)
+    n = sum((F.ceil((F.length(token) - at) / period) for at in places), F.lit(0))
+    return 2 * _upper_tail(F.abs(balance) / F.sqrt(n))
+
+
+def classes(token: Column, alphabet: str) -> Column:
+    """p-value of the counts of upper-case, lower-case and other characters against their shares of the alphabet."""
+    n = F.length(token)
+    counts, held = [], F.lit(0)
+    for found, kind in (("[A-Z]", str.isupper), ("[a-z]", str.islower)):
+        share = sum(map(kind, alphabet)) / len(alphabet)
+        if share:
+            counts.append((n - F.length(F.regexp_replace(token, found, "")), share))
+            held = held + counts[-1][0]
+    counts.append((n - held, 1 - sum(share for _, share in counts)))
+    x = sum(((c - n * share) * (c - n * share) / (n * share) for c, share in counts), F.lit(0.0))
+    # chi-squared with two degrees of freedom, or one
+    return F.exp(-x / 2) if len(counts) == 3 else 2 * _upper_tail(F.sqrt(x))
+
+
 def _fisher(p_values: list[Column]) -> Column:
     """Combined p-value of three tests: the tail of chi-squared with six degrees of freedom."""
     half = sum((-F.log(F.greatest(p, F.lit(1e-15))) for p in p_values), F.lit(0.0))
@@ -190,7 +228,9 @@ def candidates(text: Column) -> Column:
     def tested(row: Column) -> Column:
         p = F.lit(None).cast("double")
         for code, (_, alphabet, _, _) in enumerate(ENCODINGS):
-            p = F.when(row["code"] == code, randomness(row["s"]["token"], alphabet)).otherwise(p)
+            token = row["s"]["token"]
+            both = _fisher([randomness(token, alphabet), decoded(token, alphabet, code), classes(token, alphabet)])
+            p = F.when(row["code"] == code, both).otherwise(p)
         s = row["s"]
         return F.struct(
             s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token"),
@@ -201,6 +241,16 @@ def candidates(text: Column) -> Column:
     return F.transform(F.filter(coded, lambda row: row["code"] >= 0), tested)
 
 
+def estimates(counts: list[int]) -> list[tuple[int, float, float]]:
+    """counts by p bin: for each cut up to one half, the tokens accepted, those expected not to be random, and the noise of that."""
+    random = 2 * sum(counts[P_BINS // 2 :])
+    out = []
+    for at in range(P_BINS // 2 + 1):
+        accepted = sum(counts[at:])
+        out.append((accepted, accepted - random * (1 - at / P_BINS), math.sqrt(accepted + 2 * random)))
+    return out
+
+
 def cuts(bins: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], float]:
     """bins: (code, band, p bin, tokens), at most encodings x bands x bins of them. The least p accepted of each group."""
     groups: dict[tuple[int, int], list[int]] = {}
@@ -208,15 +258,8 @@ def cuts(bins: list[tuple[int, int, int, int]]) -> dict[tuple[int, int], float]:
         groups.setdefault((code, length), [0] * P_BINS)[at] += n
     out = {}
     for key, counts in groups.items():
-        upper = 2 * sum(counts[P_BINS // 2 :]) / P_BINS
-        out[key] = PRIOR_CUT
-        if sum(counts) < LEAST_TOKENS:
-            continue
-        for at in range(1, P_BINS // 2 + 1):
-            accepted = sum(counts[at:])
-            if accepted and accepted - upper * (P_BINS - at) <= FALSE_SHARE * accepted:
-                out[key] = at / P_BINS
-                break
+        held = (at for at, (n, wrong, noise) in enumerate(estimates(counts)) if at / P_BINS >= PRIOR_CUT and wrong <= FALSE_SHARE * n + NOISE * noise)
+        out[key] = next(held, P_BINS // 2) / P_BINS
     return out
 
 

@@ -1,5 +1,6 @@
 """Odd tables: clashing column names, empty tables, repeated rows, very long texts; and more brute-force versions."""
 
+import base64
 import hashlib
 import math
 import random
@@ -185,6 +186,39 @@ def test_planted_keys(spark, keys):
     assert np.allclose(ours, p, atol=1e-6)
 
 
+@pytest.mark.parametrize("keys", [0, 20, 200])
+def test_keys_among_readable_tokens_of_their_band(spark, keys):
+    """Encoded prose, identifiers and ids of the length of the keys: nine keys in ten found, one accepted token in twenty false."""
+    own = random.Random(keys + 1)
+    alphabet, vocabulary = secret_scan.ENCODINGS[3][1], "the of report Final account to Please contact 2021 and invoice number 77 for".split()
+    real = []
+    while len(real) < keys:
+        token = "".join(own.choice(alphabet) for _ in range(44))
+        if re.fullmatch("(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).*", token):
+            real.append(token)
+    prose = [base64.b64encode((" ".join(own.choice(vocabulary) for _ in range(24)))[:33].encode()).decode() for _ in range(400)]
+    names = ["".join(own.choice(vocabulary).title() for _ in range(24))[:41] + f"{own.randrange(100):03d}" for _ in range(200)]
+    rows = [*real, *prose, *names]
+    assert all(len(t) == 44 for t in rows)
+    data = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.scan(data).collect() if r.spans}
+    assert len(found & set(range(keys))) >= 0.9 * keys
+    false = len(found - set(range(keys)))
+    assert false <= max(1, 0.05 * len(found))
+
+
+@pytest.mark.parametrize("code", range(4))
+def test_top_bits_of_decoded_bytes(spark, code):
+    _, alphabet, _, _ = secret_scan.ENCODINGS[code]
+    own = random.Random(code)
+    coder = {0: lambda b: b.hex(), 1: lambda b: b.hex().upper(), 2: lambda b: base64.b32encode(b).decode(), 3: lambda b: base64.b64encode(b).decode()}[code]
+    texts = [bytes(own.randrange(256) for _ in range(30)) for _ in range(20)] + [b"a plain text of thirty letters"]
+    table = spark.createDataFrame([(coder(x),) for x in texts], "t string")
+    got = [r[0] for r in table.select(secret_scan.decoded(F.col("t"), alphabet, code)).collect()]
+    want = [math.erfc(abs(2 * sum(b < 128 for b in x) - 30) / math.sqrt(30) / math.sqrt(2)) for x in texts]
+    assert np.allclose(got, want, atol=1e-6) and got[-1] < 1e-6
+
+
 def brute_p(token, alphabet):
     x = [alphabet.index(c) for c in token.translate(str.maketrans("-_", "+/"))]
     n, k = len(x), len(alphabet)
