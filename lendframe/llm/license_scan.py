@@ -56,14 +56,35 @@ NAMES: dict[str, tuple[str, ...]] = {
         f"CC-{code}-{version}": (f"CC {code} {version}", f"Creative Commons {name} {version}", f"Creative Commons {name} {version} {place} License")
         for code, name in _CC.items() for version, place in (("3.0", "Unported"), ("4.0", "International"))
     },
+    "EUPL-1.2": ("European Union Public Licence v. 1.2", "European Union Public Licence version 1.2", "EUPL 1.2", "EUPL v1.2"),
+    "Artistic-2.0": ("Artistic License 2.0", "Artistic License, version 2.0"),
+    "WTFPL": ("Do What The Fuck You Want To Public License", "WTFPL"),
 }
+for _code, _name in _CC.items():  # the version may come last, and without a place
+    for _version in ("3.0", "4.0"):
+        NAMES[f"CC-{_code}-{_version}"] += (f"Creative Commons {_name} License {_version}",)
+#: Names in passing, for statements too short for a whole name (fixed values).
+SHORT = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache 2.0", "Apache-2.0"), "BSD-2-Clause": ("BSD-2-Clause",), "BSD-3-Clause": ("BSD-3-Clause",), "MPL-2.0": ("MPL 2.0",),
+    "EPL-2.0": ("EPL 2.0",), "ISC": ("ISC",), "GPL-2.0": ("GPLv2", "GPL-2.0"), "GPL-3.0": ("GPLv3", "GPL-3.0"), "LGPL-2.1": ("LGPLv2.1", "LGPL-2.1"),
+    "LGPL-3.0": ("LGPLv3", "LGPL-3.0"), "AGPL-3.0": ("AGPLv3", "AGPL-3.0"), "CC0-1.0": ("CC0-1.0",), "EUPL-1.2": ("EUPL-1.2",), "WTFPL": ("WTFPL",), "Unlicense": ("Unlicense",),
+}
+SHORT_FORMS = ("License: {}", "{} licensed", "is {} licensed", "{} license, see LICENSE file", "{} license, see the LICENSE file")
+#: Licences that are offered together, "A OR B" in either order (fixed values).
+EITHER = (("MIT", "Apache-2.0"), ("Apache-2.0", "GPL-2.0"), ("MIT", "GPL-2.0"), ("MIT", "GPL-3.0"), ("MPL-2.0", "GPL-2.0"), ("BSD-3-Clause", "GPL-2.0"), ("MIT", "BSD-3-Clause"), ("MIT", "Unlicense"))
 #: How texts declare a licence of a name (fixed values).
-FORMS = ("Licensed under {}", "Licensed under the {}", "Licensed under a {}", "Released under the {}", "Distributed under the {}", "Under the terms of the {}")
+FORMS = (
+    "Licensed under {}", "Licensed under the {}", "Licensed under a {}", "Released under the {}", "Distributed under the {}", "Under the terms of the {}",
+    "Available under the {}",
+)
 # The wording of licences and their notices.
 _NOTICE = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published "
     "by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 )
+#: How the GNU licences begin, and their dates in the order of ``_GNU``.
+_DATES = ("June 1991 Copyright (C) 1989, 1991", "29 June 2007 Copyright (C) 2007", "February 1999 Copyright (C) 1991, 1999", "29 June 2007 Copyright (C) 2007", "19 November 2007 Copyright (C) 2007")
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
 _DISCLAIMER = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
     "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
@@ -160,6 +181,17 @@ TEXTS = (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
     ),
     *((key, _NOTICE.format(kind, version)) for key, kind, _, version in _GNU),
+    *(
+        (key, f"GNU {kind} Public License Version {key.partition('-')[2].removesuffix('.0')}, {date} Free Software Foundation, Inc. {place}{_VERBATIM}")
+        for (key, kind, _, _), date in zip(_GNU, _DATES)
+        for place in ("", "<https://fsf.org/> ", "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA ")
+    ),
+    (
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions.",
+    ),
+    ("Artistic-2.0", "The Artistic License 2.0 Copyright (c) 2000-2006, The Perl Foundation. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("MIT", _GRANT), ("ISC", _ISC), ("Unlicense", _UNENCUMBERED), ("BSD-3-Clause", _BSD.partition(":")[0]),
 )
@@ -174,7 +206,7 @@ THRESHOLD = 0.8
 
 
 def normal_words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+    return re.findall(r"[^\W_]+", text.lower().replace("licence", "license"))
 
 
 def bounds(size: int, threshold: float) -> tuple[int, int]:
@@ -211,9 +243,12 @@ class Template:
 
 
 def wordings() -> list[tuple[str, str, str]]:
-    """(licence, wording, name) of all templates: whole texts, identifier lines, then every form with every name."""
+    """(licence, wording, name) of all templates: whole texts, identifier lines, statements in passing, then every form with every name."""
     texts = [(key, text, "") for key, text in TEXTS]
-    lines = [(key, f"SPDX-License-Identifier: {key}", key) for key in NAMES]
+    # of equal matches the one that says more comes first
+    lines = [(f"{a} OR {b}", f"{start}{a} OR {b}", f"{a} or {b}") for one, two in EITHER for a, b in ((one, two), (two, one)) for start in ("SPDX-License-Identifier: ", "License: ", "Licensed under ", "")]
+    lines += [(key, f"SPDX-License-Identifier: {key}", key) for key in NAMES]
+    lines += [(key, form.format(name), name) for key, names in SHORT.items() for form in SHORT_FORMS for name in names]
     return [*texts, *lines, *((key, form.format(name), name) for key, names in NAMES.items() for form in FORMS for name in names)]
 
 
@@ -224,7 +259,7 @@ def read_wordings(folder: str) -> list[tuple[str, str]]:
 
 def templates(threshold: float = THRESHOLD, more: list[tuple[str, str]] = ()) -> list[Template]:
     all_ = [*wordings(), *((key, text, "") for key, text in more)]
-    made = [Template.of(key, text, threshold, name) for key, text, name in all_ if len(normal_words(text)) >= 3]
+    made = [Template.of(key, text, threshold, name) for key, text, name in all_ if len(normal_words(text)) >= 2]
     return list({(t.license, t.grams): t for t in reversed(made)}.values())[::-1]
 
 
@@ -252,7 +287,7 @@ _HIT = "struct<start:int,end:int,template:int,dice:double,license:string>"
 def _matches(text: Column, threshold: float, made: list[Template]) -> Column:
     """array<struct<start,end,template,dice,license>> of the best matches, by place; in words, end exclusive."""
     none = F.array().cast(f"array<{_HIT}>")
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+    lowered = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("licence"), F.lit("license"))
     vocabulary = sorted({g for t in made for g in t.grams})
     fields = ("license", "words", "grams", "required", "variants", "low", "high", "need")
     rows = [{"number": n, **{f: getattr(t, f) for f in fields}} for n, t in enumerate(made)]
@@ -361,7 +396,7 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
 with template(template, license, words, grams, required, variants) as (values
     {rows}
 ), normal as (
-  select doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') as w from documents
+  select doc_id, string_split(trim(regexp_replace(replace(lower(coalesce(text, '')), 'licence', 'license'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') as w from documents
 ), place as (
   select doc_id, w, unnest(range(len(w) - 1)) as i from normal
 ), gram as (

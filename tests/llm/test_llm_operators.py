@@ -288,6 +288,32 @@ def test_license_scan(spark):
         assert 2 * min(low, size) >= 0.8 * (low + size) and 2 * size >= 0.8 * (high + size) and 2 * size < 0.8 * (high + 1 + size)
 
 
+#: Declarations and beginnings of licences as they stand in the wild.
+DECLARED = (
+    ("MIT", "This project is MIT licensed."), ("MIT", "License: MIT"), ("MIT", "MIT licence, see LICENSE file."), ("MIT", "Released under the MIT License"),
+    ("Apache-2.0", "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n 1. Definitions."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed."),
+    ("CC-BY-SA-4.0", "available under the Creative Commons Attribution-ShareAlike License 4.0"), ("EUPL-1.2", "Licensed under the EUPL v1.2"),
+    ("EUPL-1.2", "Distributed under the European Union Public Licence version 1.2."), ("Artistic-2.0", "Under the terms of the Artistic License 2.0"),
+    ("WTFPL", "Released under the WTFPL"), ("MIT OR Apache-2.0", "License: MIT OR Apache-2.0"), ("Apache-2.0 OR MIT", "SPDX-License-Identifier: Apache-2.0 OR MIT"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+)
+NOT_DECLARED = ("They sat with the mit of the glove.", "A license to drive was granted in 1991.", "The driver's licence: mixed feelings.", "Everyone is permitted to copy the apache dance.")
+
+
+def test_license_declarations(spark):
+    texts = [(i, f"{prose(15, i)}. {t} {prose(15, 99 + i)}") for i, t in enumerate([t for _, t in DECLARED] + list(NOT_DECLARED))]
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [k for k, _ in DECLARED] + [None] * len(NOT_DECLARED)
+
+
+def test_license_texts_from_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0").write_text("You may read this text aloud on Sundays, and on other days with the consent of two neighbours.")
+    more = license_scan.read_wordings(str(tmp_path))
+    docs = spark.createDataFrame([(1, f"{prose(9)} you may read this text aloud on sundays and on other days with the consent of two neighbours {prose(9, 2)}")], "doc_id long, text string")
+    assert license_scan.scan(docs, more=more).first().license == "Own-1.0" and license_scan.scan(docs).first().license is None
+
+
 def test_license_planted_and_sql(spark):
     """Every template and statement planted in prose is found under its name; the SQL agrees; prose has none."""
     own = random.Random(8)
