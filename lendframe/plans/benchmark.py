@@ -40,6 +40,8 @@ class FoldModel:
     def fit_predict(self, train: DataFrame, test: DataFrame, y: str, numeric: list[str], categorical: list[str]) -> DataFrame:
         both = [d.withColumns({"g": F.lit(0), "__train": F.lit(own)}) for d, own in ((train, True), (test, False))]
         rows = both[0].unionByName(both[1])
+        if "fold" not in rows.columns:
+            rows = rows.withColumn("fold", F.lit(0))
         if "__id" not in rows.columns:
             rows = rows.withColumn("__id", F.monotonically_increasing_id())
         return self.fit_folds(rows, y, 1, numeric, categorical)
@@ -50,13 +52,18 @@ def _by_group(values: list, kind: str) -> Column:
     return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("g"))
 
 
-def _scored(rows: DataFrame, fits: list[Logit | None], names: list[str]) -> DataFrame:
+def scored_by(rows: DataFrame, fits: list[Logit | None], names: list[str]) -> DataFrame:
     line = _by_group([f.intercept if f else None for f in fits], "double")
     for n in names:
         line = line + _by_group([f.coefficients[n] if f else None for f in fits], "double") * F.col(f"`{n}`")
     return rows.where(~F.col("__train")).withColumn("proba", 1 / (1 + F.exp(-line)))
 
 
+def _design(rows: DataFrame, y: str, names: list[str]) -> DataFrame:
+    """What the steps of a fit read, stored: they would make it anew each time."""
+    return stored(rows.select("__id", "g", "fold", "__train", F.col(f"`{y}`"), *[F.col(f"`{n}`").cast("double").alias(n) for n in names]), "fold-design")
+
+
 class WoeLogit(FoldModel):
     """Five quantile bins of each number and the levels of categories, coded by the weight of evidence of the fold's training rows."""
 
@@ -85,8 +92,8 @@ class WoeLogit(FoldModel):
             rows = rows.join(own, (F.col("g") == F.col("w_g")) & F.col(f"`{c}`").cast("string").eqNullSafe(F.col("w_bin")), "left").drop("w_g", "w_bin")
         names = [f"{c}_woe" for c in factors]
         # a level that the training rows don't have counts as neutral
-        rows = rows.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names})
-        return _scored(rows, fit_groups(rows.where("__train"), "g", k, y, names), names)
+        rows = _design(rows.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names}), y, names)
+        return scored_by(rows, fit_groups(rows.where("__train"), "g", k, y, names), names)
 
 
 class PlainLogit(FoldModel):
@@ -96,6 +103,12 @@ class PlainLogit(FoldModel):
         self.c, self.name = c, name
 
     def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
+        rows, names = self.design(rows, y, k, numeric, categorical)
+        return scored_by(rows, fit_groups(rows.where("__train"), "g", k, y, names, ridge=1 / self.c), names)
+
+    @staticmethod
+    def design(rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, list[str]]:
+        """The stored model columns and their names; the scale is that of each fold's training rows."""
         train = rows.where("__train")
         got = {r.g: r for r in train.groupBy("g").agg(*[f(F.col(f"`{c}`")).alias(f"{n}_{i}") for i, c in enumerate(numeric) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count(F.lit(1)).alias("n")).collect()}
         made = {}
@@ -108,8 +121,7 @@ class PlainLogit(FoldModel):
             if len(levels) > MOST_DUMMIES:
                 raise ValueError(f"over {MOST_DUMMIES} levels, too many for dummies: {c}")
             made |= {f"{c}__{'NULL' if v is None else v}": F.col(f"`{c}`").cast("string").eqNullSafe(F.lit(v)).cast("double") for v in sorted(levels, key=lambda v: (v is None, v))}
-        rows, names = rows.withColumns(made), list(made)
-        return _scored(rows, fit_groups(rows.where("__train"), "g", k, y, names, ridge=1 / self.c), names)
+        return _design(rows.withColumns(made), y, list(made)), list(made)
 
 
 class BoostedTrees(FoldModel):
@@ -150,7 +162,7 @@ def run(
     """
     spark = df.sparkSession
     rows = stored(resample.folds(df, id_col, y, k, seed), "benchmark-folds")
-    copies = fold_copies(rows, id_col, numeric, k)
+    copies = stored(fold_copies(rows, id_col, numeric, k), "benchmark-copies")
     done = _parts(spark, path) if path else set()
     kept = []
 
@@ -178,7 +190,7 @@ def run(
     scored = metrics.all_metrics(out, "proba", "y", "model", "fold")
     # models by folds rows
     scored = scored.join(F.broadcast(timed), (F.col("model") == F.col("t_model")) & (F.col("fold") == F.col("t_fold"))).drop("t_model", "t_fold")
-    release(rows)
+    release(rows, copies)
     return out, stored(scored, "benchmark-metrics")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lendframe.functions.dist import phi_sql
 from lendframe.functions.draws import normal, normal_sql, uniform_sql
 from lendframe.operators import binning, cluster, glm, metrics, profile, resample, scorecard, selection, trees, validation, woe
-from lendframe.plans import benchmark, logit_sql
+from lendframe.plans import benchmark, logit_sql, tuning
 from lendframe.plans import scorecard as pipeline
 from lendframe.sources import loans
 from lendframe.streaming import monitor
@@ -972,6 +972,13 @@ def cv_benchmark(spark, sf):
     return metrics.fold_summary(scored, ["auc", "ks", "brier"])
 
 
+@query()
+def tuned_logit(spark, sf):
+    """Fifty trials of the logit's penalty over five inner folds, as many as the tuning of a learner makes."""
+    rows = portfolio(spark, sf).select("id", "y_b", "o_totalprice", "c_acctbal", "r_name")
+    return tuning.tune(rows, "y_b", "id", ["o_totalprice", "c_acctbal"], ["r_name"], "logit").select("trial", r("c", 8), r("auc"))
+
+
 # ---- further operators, each with its SQL
 
 
