@@ -1051,9 +1051,13 @@ def auc_oriented(spark, sf):
     return metrics.auc(rows, "s", "y_b").select(F.round(woe.oriented(F.col("auc")), 6).alias("auc"))
 
 
-@query("select * from (values ('behaviour', 1::bigint, 1::bigint, true), ('application', 2::bigint, 0::bigint, false)) t(category, n, n_listed, covered)")
+CATEGORIES = [("band", "behaviour"), ("c_mktsegment", "application"), ("r_name", "application")]
+
+
+@query(f"""with book as (select * from (values {', '.join(map(str, CATEGORIES))}) t(rf, category)), listed as (select rf from ({ORACLE_SQL['iv_shortlist']}) where iv > 0.2)
+  select category, count(*) as n, count(l.rf) as n_listed, count(l.rf) > 0 as covered from book b left join listed l on l.rf = b.rf group by category""")
 def category_coverage(spark, sf):
-    book = spark.createDataFrame([("band", "behaviour"), ("c_mktsegment", "application"), ("r_name", "application")], "rf string, category string")
+    book = spark.createDataFrame(CATEGORIES, "rf string, category string")
     return woe.coverage(book, iv_shortlist(spark, sf).where("iv > 0.2"))
 
 
@@ -1132,7 +1136,14 @@ def grades_with_gaps(spark, sf):
     return portfolio(spark, sf).groupBy(scorecard.fixed_grades(F.col("o_totalprice"), BOUNDS).alias("grade")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select * from (values ('x', 2, 'x has one value among complete cases'), ('gone', 4, 'no complete cases'), ('y', 1, 'y has one value among complete cases'), ('odd', 3, 'y is not 0/1')) t(case_, code, message)")
+_CASES = {"x": ("'a'", "y_b"), "gone": ("null::varchar", "y_b"), "y": ("r_name", "1"), "odd": ("r_name", "(id % 3)::int")}
+
+
+@query(WITH + ", cases as (" + " union all ".join(f"select '{name}' as case_, {x} as x, {y} as y from portfolio" for name, (x, y) in _CASES.items()) + """), seen as (
+  select case_, count(*) filter (x is not null and y is not null) as n, count(distinct x) filter (y is not null) as nx, count(distinct y) filter (x is not null) as ny,
+         count(*) filter (x is not null and y is not null and y not in (0, 1)) as odd from cases group by case_
+), coded as (select case_, case when n = 0 then 4 when ny = 1 then 1 when nx = 1 then 2 when odd > 0 then 3 else 0 end as code from seen)
+select case_, code, case code when 4 then 'no complete cases' when 1 then 'y has one value among complete cases' when 2 then 'x has one value among complete cases' when 3 then 'y is not 0/1' end as message from coded""")
 def cat_bin_codes(spark, sf):
     rows = portfolio(spark, sf).withColumns({"one": F.lit("a"), "gone": F.lit(None).cast("string"), "flat": F.lit(1), "odd": (F.col("id") % 3).cast("int")})
     cases = {"x": ("one", "y_b"), "gone": ("gone", "y_b"), "y": ("r_name", "flat"), "odd": ("r_name", "odd")}
