@@ -84,7 +84,7 @@ def predictive_power(scale: DataFrame, alpha: float = 0.05) -> DataFrame:
 def power(scale: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Chance that each test rejects, were the observed rate true: exact sums over the number of defaults.
 
-    The Hosmer-Lemeshow test is simulated over grades by ``power_hl``.
+    ``power_hl`` is that of the Hosmer-Lemeshow test over all grades.
     """
     out = []
     for r in scale.collect():
@@ -102,19 +102,56 @@ def power(scale: DataFrame, alpha: float = 0.05) -> DataFrame:
     return scale.sparkSession.createDataFrame(out, "rating string, test string, power double")
 
 
-def power_hl(scale: DataFrame, sims: int = 1000, seed: int = 2211, alpha: float = 0.05) -> float | None:
-    """Share of simulated portfolios that Hosmer-Lemeshow rejects; None unless the observed rate exceeds the PD."""
+def _binomial_masses(n: int, p: float):
+    """Counts of defaults around the expected one, up to 12 standard errors off, and their chances."""
     import numpy as np
 
-    rows = scale.collect()
+    if p <= 0 or p >= 1:
+        return np.array([n if p >= 1 else 0]), np.ones(1)
+    spread = math.sqrt(n * p * (1 - p))
+    low, high = max(0, int(n * p - 12 * spread - 12)), min(n, int(n * p + 12 * spread + 12))
+    d = np.arange(low, high + 1)
+    steps = np.log((n - d[:-1]) / (d[:-1] + 1)) + math.log(p / (1 - p))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    mass = np.exp(logs - logs.max())
+    return d, mass / mass.sum()
+
+
+def power_hl_bounds(scale: DataFrame, alpha: float = 0.05, cells: int = 4096) -> tuple[float, float] | None:
+    """Bounds on the chance that Hosmer-Lemeshow rejects, were the observed rates true; None unless they exceed the PDs overall.
+
+    The statistic is a sum over grades, so its distribution is the convolution of the grades' terms under their binomials, on a
+    grid of ``cells`` steps up to the critical value. Terms rounded down give the lower bound, terms rounded up the upper one.
+    Rows are grades; grades with a PD of 0 or 1 have no term.
+    """
+    import numpy as np
+
+    rows = [r for r in scale.collect() if r.no]
     if sum(r.nb for r in rows) <= sum(r.no * r.pdc for r in rows):
         return None
-    rng = np.random.default_rng(seed)
-    n, odr, pdc = (np.array([f(r) for r in rows], dtype=float) for f in (lambda r: r.no, lambda r: r.nb / r.no, lambda r: r.pdc))
-    b = rng.binomial(n.astype(int), odr, size=(sims, len(rows)))
-    hl = ((b - n * pdc) ** 2 / (n * pdc * (1 - pdc))).sum(axis=1)
-    limit = chi2_ppf(1 - alpha, len(rows))
-    return float((hl > limit).mean())
+    step = chi2_ppf(1 - alpha, len(rows)) / cells
+    bounds = []
+    for rounded in (np.floor, np.ceil):
+        held = np.zeros(cells + 1)
+        held[0] = 1.0
+        for r in rows:
+            variance = r.no * r.pdc * (1 - r.pdc)
+            if variance <= 0:
+                continue
+            d, mass = _binomial_masses(int(r.no), r.nb / r.no)
+            at = rounded((d - r.no * r.pdc) ** 2 / variance / step)
+            # what lies beyond the critical value can't come back
+            term = np.bincount(at[at <= cells].astype(int), mass[at <= cells], minlength=cells + 1)
+            size = 2 * len(held)
+            held = np.fft.irfft(np.fft.rfft(held, size) * np.fft.rfft(term, size), size)[: cells + 1]
+        bounds.append(float(min(1.0, max(0.0, 1 - held.sum()))))
+    return bounds[0], bounds[1]
+
+
+def power_hl(scale: DataFrame, alpha: float = 0.05, cells: int = 4096) -> float | None:
+    """The middle of ``power_hl_bounds``, off by half their distance at most."""
+    bounds = power_hl_bounds(scale, alpha, cells)
+    return None if bounds is None else (bounds[0] + bounds[1]) / 2
 
 
 def normal_test(df: DataFrame, pdc: str, odr: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.functions.dist import phi_sql
+from lendframe.functions.dist import chi2_ppf, phi_sql
 from lendframe.functions.draws import normal, normal_sql, uniform_sql
 from lendframe.operators import binning, cluster, glm, metrics, profile, resample, scorecard, selection, trees, validation, woe
 from lendframe.plans import benchmark, logit_sql, tuning
@@ -421,7 +421,20 @@ def power_exact_tests(spark, sf):
     return validation.power(scale).select("rating", "test", r("power"))
 
 
-@query()
+_LIMITS = ", ".join(f"{chi2_ppf(0.95, k)}::double" for k in range(1, 13))
+HL_SQL = """, hl_terms as (select rating, k, mass, (k - no * pdc) ** 2 / (no * pdc * (1 - pdc)) as term from mass where mass > 1e-15),
+  hl_step as (select ([""" + _LIMITS + """])[count(*)] / 4096 as step, count(*) as grades from scale),
+  hl_cells as (select kind, dense_rank() over (order by rating) as num, case kind when 'low' then floor(term / step) else ceil(term / step) end::bigint as cell, sum(mass) as p
+    from hl_terms, hl_step, (values ('low'), ('high')) v(kind) where term / step <= 4097 group by kind, rating, cell),
+  hl(kind, num, cell, p) as (select kind, 0::bigint, 0::bigint, 1.0::double from (values ('low'), ('high')) v(kind)
+    union all select h.kind, h.num + 1, h.cell + c.cell, sum(h.p * c.p) from hl h join hl_cells c on c.kind = h.kind and c.num = h.num + 1 where h.cell + c.cell <= 4096 group by 1, 2, 3),
+  hl_power as (select avg(power) as power from (select kind, 1 - sum(p) as power from hl, hl_step where num = grades group by kind))"""
+
+
+@query(
+    ORACLE_SQL["power_exact_tests"].replace("with ", "with recursive ", 1).replace("\n  select rating, unnest(", HL_SQL + "\n  select rating, unnest(", 1)
+    + " union all select null, 'hosmer_lemeshow', round(power, 6) from hl_power"
+)
 def power_of_tests(spark, sf):
     scale = scorecard.rating_scale(graded(spark, sf), "grade", "y_a", "pd").withColumn("pdc", F.col("dr") - 0.01)
     whole = [(None, "hosmer_lemeshow", validation.power_hl(scale))]
