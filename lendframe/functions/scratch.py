@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -30,3 +32,17 @@ def release(*frames: DataFrame) -> None:
         spark = frame.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a context: they may run where it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_lendframe_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="lendframe-")) / f"lendframe_{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(target))
+    context._lendframe_shipped = True

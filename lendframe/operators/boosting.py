@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.functions.scratch import release, stored
+from lendframe.functions.scratch import release, ship, stored
 from lendframe.operators import quantiles
 
 BINS = 64
@@ -130,6 +130,7 @@ class Boosted:
 
     def predict(self, df: DataFrame, group: str, keep: list[str], name: str = "proba") -> DataFrame:
         """Columns ``keep`` of ``df`` and the probability by the model of each row's group."""
+        ship(df.sparkSession)
         model, used = self, [group, *self.binning.numeric, *self.binning.categorical]
         schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{name} double"])
 
@@ -313,6 +314,7 @@ def fit_boosted(
 
     Rows with a NULL y are left out. A group without rows, or of one class, gets its log odds, within +-20, and no trees.
     """
+    ship(df.sparkSession)
     groups = len(params)
     own = F.col(f"`{group}`").cast("int") if group else F.lit(0)
     rows = df.select(

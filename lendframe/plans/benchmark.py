@@ -140,6 +140,11 @@ def default_models(n: int = 0) -> list[FoldModel]:
     return [WoeLogit(), PlainLogit(), BoostedTrees()]
 
 
+def spread_out(copies: DataFrame) -> DataFrame:
+    """Dealt to all shuffle partitions: every pass of every fit reads these rows, and folds come in few partitions."""
+    return copies.repartition(int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__id")
+
+
 def fold_copies(rows: DataFrame, id_col: str, numeric: list[str], k: int) -> DataFrame:
     """A copy of each row for each fold g, its numbers capped by the fences of the rows of the other folds."""
     fences = profile.fold_safe_caps(rows, "fold", numeric, list(range(k)))
@@ -162,7 +167,7 @@ def run(
     """
     spark = df.sparkSession
     rows = stored(resample.folds(df, id_col, y, k, seed), "benchmark-folds")
-    copies = stored(fold_copies(rows, id_col, numeric, k), "benchmark-copies")
+    copies = stored(spread_out(fold_copies(rows, id_col, numeric, k)), "benchmark-copies")
     done = _parts(spark, path) if path else set()
     kept = []
 

@@ -17,7 +17,7 @@ from lendframe.functions.scratch import release, stored
 from lendframe.operators import metrics, resample
 from lendframe.operators.boosting import Params, fit_boosted
 from lendframe.operators.glm import fit_groups
-from lendframe.plans.benchmark import PlainLogit, fold_copies, scored_by
+from lendframe.plans.benchmark import PlainLogit, fold_copies, scored_by, spread_out
 
 TRIALS, INNER_FOLDS, BATCH, FIRST, DRAWN = 50, 5, 10, 10, 24
 
@@ -139,7 +139,7 @@ def tune(
     """
     space = space or {"logit": LOGIT, "depthwise": DEPTHWISE, "leafwise": LEAFWISE}[learner]
     folds = stored(resample.folds(train, id_col, y, k, seed), "tuning-folds")
-    copies = stored(fold_copies(folds, id_col, numeric, k), "tuning-copies")
+    copies = stored(spread_out(fold_copies(folds, id_col, numeric, k)), "tuning-copies")
     design = PlainLogit.design(copies, y, k, numeric, categorical) if learner == "logit" else None
     sampler, rows = Parzen(space, seed), []
     while len(rows) < trials:
