@@ -37,6 +37,17 @@ class Logit:
         spread = math.sqrt(max(self.covariance[i, i], 0.0))
         return two_sided(self.coefficients[name] / spread) if spread else 1.0
 
+    def interval(self, name: str, z: float = 1.959963984540054) -> tuple[float, float]:
+        """Wald interval of a coefficient ("(Intercept)" too), at 95 % by default."""
+        i = 0 if name == "(Intercept)" else self.names.index(name) + 1
+        middle, half = (self.intercept if i == 0 else self.coefficients[name]), z * math.sqrt(max(self.covariance[i, i], 0.0))
+        return middle - half, middle + half
+
+    def likelihood_ratio(self) -> tuple[float, float]:
+        """Statistic and p-value of the test against the model of the intercept alone."""
+        stat = self.null_deviance - self.deviance
+        return stat, chi2_sf(stat, len(self.names)) if self.names else 1.0
+
     def wald_p(self, names: list[str]) -> float:
         """Joint Wald test of several coefficients."""
         at = [self.names.index(n) + 1 for n in names]

@@ -740,6 +740,30 @@ def step_fwdr_steps(spark, sf):
     return out_steps(selection.step_fwdr(rows, "y_b", names, sign=-1).steps)
 
 
+@query(steps_sql(sign=0))
+def step_fwd_any_sign(spark, sf):
+    """No candidate has the sign asked for, so the fallback takes any."""
+    rows, names = coded(spark, sf)
+    return out_steps(selection.forward_or_any(rows, "y_b", names, sign=1).steps)
+
+
+_TERMS = ["(Intercept)", *CODED]
+
+
+@query(
+    SUBSETS + ", whole as (select b, var, dev from fit where g = (1 << " + str(len(CODED)) + ") - 1), base as (select -2 * (sum(w * y) * ln(sum(w * y) / sum(w)) + sum(w * (1 - y)) * ln(1 - sum(w * y) / sum(w))) as null_dev from cell where g = 0), terms as ("
+    + " union all ".join(f"select '{c}' as term, b[{i + 1}] as b, sqrt(var[{i + 1}]) as se, dev from whole" for i, c in enumerate(_TERMS))
+    + ") select term, round(b, 4) as estimate, round(b - 1.959963984540054 * se, 4) as low, round(b + 1.959963984540054 * se, 4) as high, round(null_dev - dev, 3) as likelihood_ratio from terms, base"
+)
+def final_refit(spark, sf):
+    """Estimates of all terms with their intervals, and the likelihood-ratio statistic of the model."""
+    rows, names = coded(spark, sf)
+    fit = glm.fit_logit(rows, "y_b", names)
+    stat, _ = fit.likelihood_ratio()
+    out = [(t, fit.intercept if t == "(Intercept)" else fit.coefficients[t], *fit.interval(t), stat) for t in ["(Intercept)", *names]]
+    return spark.createDataFrame(out, "term string, estimate double, low double, high double, likelihood_ratio double").select("term", r("estimate", 4), r("low", 4), r("high", 4), r("likelihood_ratio", 3))
+
+
 TRENDED = {
     "price": "round(o_totalprice / 50000)", "balance": "round(c_acctbal / 1000)", "seventh": "cast(id % 7 = 0 as int)", "noise": "id % 5",
     "mirror": "id % 3 - round(o_totalprice / 50000)",
