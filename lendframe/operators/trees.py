@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 
 from lendframe.functions.dist import phi, two_sided
 from lendframe.functions.draws import uniform
-from lendframe.functions.special import is_numeric
+from lendframe.functions.special import clean, is_numeric
+from lendframe.operators import exact_trees
 from lendframe.operators.quantiles import of_counts
 
 DECILES = [i / 10 for i in range(1, 10)]
@@ -98,57 +98,106 @@ def decision_tree(df: DataFrame, y: str, factors: list[str], min_pct_obs: float
     return summary, out
 
 
-def interaction(df: DataFrame, y: str, factors: list[str], min_pct_obs: float = 0.05, max_depth: int = 3, seed: int = 42, name: str = "interaction") -> DataFrame:
-    """Leaves of a Gini tree as a new factor L1, L2, ...; rows with a NULL get NULL.
+def _leaf_table(df: DataFrame, rows: list[Column]) -> DataFrame:
+    """rows: structs (tree, leaf, path, n, s). Counts and bads of each leaf."""
+    return df.select(F.inline(F.array(*rows))).where("leaf is not null and n > 0 and s is not null").groupBy("tree", "leaf", "path").agg(
+        F.sum("n").alias("no"), F.sum("s").alias("nb"), (F.sum("s") / F.sum("n")).alias("dr")
+    )
+
 
-    Of 0 and 1 the variance is half the Gini impurity, and a regression tree doesn't join leaves of one majority class.
+def interaction_leaves(df: DataFrame, y: str, factors: list[str], min_pct_obs: float = 0.05, max_depth: int = 3, name: str = "interaction") -> tuple[DataFrame, DataFrame]:
+    """Leaves of a Gini tree as a new factor L1, L2, ... from left to right; rows with a NULL in a factor get NULL.
+
+    Text factors become 0/1 columns. Returns (leaf, no, nb, dr, path) and the table with the factor.
     """
-    rows = df.dropna(subset=[y, *factors])
-    least = max(int(min_pct_obs * rows.count()), 30)
-    tree = DecisionTreeRegressor(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=seed)
-    vector = VectorAssembler(inputCols=list(factors), outputCol="__f", handleInvalid="keep")
-    model = tree.fit(vector.transform(rows).withColumn("__y", F.col(y).cast("double")))
-    whole = F.lit(True)
-    for c in factors:
-        whole = whole & F.col(f"`{c}`").isNotNull()
-    coded = model.transform(vector.transform(df))
-    return coded.withColumn(name, F.when(whole, F.concat(F.lit("L"), (F.col("__leaf") + 1).cast("int")))).drop("__f", "__leaf", "prediction")
-
-
-def forest_interactions(df: DataFrame, y: str, factors: list[str], trees: int = 10, per_tree: int | None = None, max_depth: int = 2, seed: int = 991, min_pct_obs: float = 0.05) -> DataFrame:
-    """Per tree a two-thirds bootstrap and a draw of factors; the leaves as columns tree_1, tree_2, ..."""
-    import random
-
-    per_tree = per_tree or max(1, round(math.sqrt(len(factors))))
-    out = df
-    for i in range(trees):
-        picked = sorted(random.Random(seed + i).sample(factors, per_tree))
-        vector = VectorAssembler(inputCols=picked, outputCol="__f", handleInvalid="keep")
-        # how often a row is in the bootstrap: Poisson of mean 2 / 3 by a hash of its values
-        u = uniform(F.lit(seed + i), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
-        times = sum((u >= c).cast("int") for c in DRAWS)
-        rows = df.dropna(subset=[y, *picked]).withColumn("__n", F.explode(F.sequence(F.lit(0), times))).where("__n > 0").drop("__n")
-        least = max(1, round(min_pct_obs * rows.count()))
-        tree = DecisionTreeRegressor(labelCol="__y", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=seed)
-        model = tree.fit(vector.transform(rows).withColumn("__y", F.col(y).cast("double")))
-        out = model.transform(vector.transform(out)).withColumn(f"tree_{i + 1}", F.concat(F.lit("L"), (F.col("__leaf") + 1).cast("int"))).drop("__f", "__leaf", "prediction")
-    return out
+    columns, target = exact_trees.dummies(df, factors), F.col(f"`{y}`").cast("long")
+    # a text column of one level has no 0/1 column, and its NULLs still count as missing
+    given = exact_trees.whole({c: clean(df, c) for c in factors})
+    least = max(int(min_pct_obs * df.where(given & target.isNotNull()).count()), 30)
+    (tree,) = exact_trees.grow(df.where(given), target, [columns], least, max_depth)
+    labels = tree.labels()
+    leaf = F.when(given, tree.place(columns, labels))
+    path = F.when(given, tree.place(columns, {n: tree.rule(n) for n in labels}))
+    info = _leaf_table(df, [F.struct(F.lit(1).alias("tree"), leaf.alias("leaf"), path.alias("path"), F.lit(1).alias("n"), target.alias("s"))]).drop("tree")
+    return info, df.withColumn(name, leaf)
+
+
+def interaction(df: DataFrame, y: str, factors: list[str], min_pct_obs: float = 0.05, max_depth: int = 3, name: str = "interaction") -> DataFrame:
+    """The table with the leaf factor of ``interaction_leaves``."""
+    return interaction_leaves(df, y, factors, min_pct_obs, max_depth, name)[1]
 
 
-def segment_validation(df: DataFrame, y: str, pd_col: str, factors: list[str], min_leaf: float = 0.03, alpha: float = 0.05, max_depth: int = 3) -> DataFrame:
-    """A regression tree on residuals; per leaf observed against modelled rate, one-sided z."""
-    rows = df.dropna(subset=[y, pd_col, *factors])
+def forest_factors(factors: list[str], trees: int, per_tree: int | None, seed: int) -> list[list[str]]:
+    """The factors drawn for each tree: the square root of their number unless said otherwise."""
+    k = min(len(factors), per_tree or max(1, round(math.sqrt(len(factors)))))
+    return [sorted(random.Random(seed + i).sample(factors, k)) for i in range(trees)]
+
+
+def forest_leaves(
+    df: DataFrame, y: str, factors: list[str], id_col: str | None = None, trees: int = 10, per_tree: int | None = None, max_depth: int = 2, seed: int = 991, min_pct_obs: float = 0.05
+) -> tuple[DataFrame, DataFrame]:
+    """Per tree a two-thirds bootstrap and a draw of factors; the leaves as columns tree_1, tree_2, ..., all trees grown together.
+
+    How often a row is drawn is a Poisson variable by a hash of ``id_col``, without it of the row's values (equal rows are then
+    drawn alike). Text factors are coded by the order of their levels. Returns (tree, leaf, no, nb, dr, path) over the samples
+    and the table with the columns; a row with a NULL in a tree's factors gets NULL.
+    """
+    picked = forest_factors(factors, trees, per_tree, seed)
+    coded, target = exact_trees.codes(df, factors), F.col(f"`{y}`").cast("long")
+    parts = [F.col(f"`{id_col}`")] if id_col else [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    times = []
+    for i in range(trees):
+        u = uniform(F.lit(seed + i), *parts)
+        times.append(sum((u >= c).cast("int") for c in DRAWS))
+    columns = [{c: coded[c] for c in own} for own in picked]
+    # one hash a row and tree, not one a cell
+    drawn = df.withColumns({f"__times_{i}": t for i, t in enumerate(times)})
+    weights = [F.col(f"__times_{i}") for i in range(trees)]
+    least = max(1, round(min_pct_obs * round(2 / 3 * df.count())))
+    grown = exact_trees.grow(drawn, target, columns, least, max_depth, weights)
+    place = lambda i, names: F.when(exact_trees.whole(columns[i]), grown[i].place(columns[i], names))
+    rules = [{n: t.rule(n) for n in t.leaves()} for t in grown]
+    info = _leaf_table(drawn, [
+        F.struct(F.lit(i + 1).alias("tree"), place(i, t.labels()).alias("leaf"), place(i, rules[i]).alias("path"), weights[i].alias("n"), (target * weights[i]).alias("s")) for i, t in enumerate(grown)
+    ])
+    return info, df.withColumns({f"tree_{i + 1}": place(i, t.labels()) for i, t in enumerate(grown)})
+
+
+def forest_interactions(
+    df: DataFrame, y: str, factors: list[str], id_col: str | None = None, trees: int = 10, per_tree: int | None = None, max_depth: int = 2, seed: int = 991, min_pct_obs: float = 0.05
+) -> DataFrame:
+    """The table with the columns of ``forest_leaves``."""
+    return forest_leaves(df, y, factors, id_col, trees, per_tree, max_depth, seed, min_pct_obs)[1]
+
+
+def segment_validation(df: DataFrame, y: str, pd_col: str, factors: list[str], min_leaf: float = 0.03, alpha: float = 0.05, max_depth: int | None = None) -> DataFrame:
+    """A regression tree on residuals; per leaf its rule, mean residual, and observed against modelled rate.
+
+    Residuals are taken to 12 digits. Text factors are coded by the order of their levels, NULL as -1; rows with a NULL in
+    another factor, the target or ``pd_col`` are left out. ``p_val`` and ``test_res`` come from a one-sided z test with the spread
+    of the observed rate, ``z``, ``p_value`` and ``res`` from one with that of the modelled rate. A tree without a split has no rows.
+    """
+    columns = exact_trees.codes(df, factors, missing=-1.0)
+    rows = df.where(exact_trees.whole(columns) & F.col(f"`{y}`").isNotNull() & clean(df, pd_col).isNotNull())
+    error = (F.col(f"`{y}`").cast("double") - F.col(f"`{pd_col}`").cast("double")).cast("decimal(18,12)")
     least = max(30, round(min_leaf * rows.count()))
-    vector = VectorAssembler(inputCols=list(factors), outputCol="__f")
-    tree = DecisionTreeRegressor(labelCol="__r", featuresCol="__f", leafCol="__leaf", maxDepth=max_depth, minInstancesPerNode=least, seed=1)
-    ready = vector.transform(rows).withColumn("__r", F.col(y) - F.col(pd_col))
-    leaves = tree.fit(ready).transform(ready).groupBy(F.col("__leaf").cast("int").alias("segment")).agg(
-        F.count(F.lit(1)).alias("no"), F.avg(F.col(y).cast("double")).alias("odr"), F.avg(pd_col).alias("pd")
+    (tree,) = exact_trees.grow(rows, error, [columns], least, max_depth)
+    names = tree.leaves()
+    leaves = rows.groupBy(tree.place(columns).alias("leaf")).agg(
+        F.count(F.lit(1)).alias("no"), F.sum(F.col(f"`{y}`").cast("long")).alias("nb"), F.sum(F.col(f"`{pd_col}`").cast("decimal(18,12)")).cast("double").alias("nb_mod"), F.sum(error).cast("double").alias("error")
     )
     out = []
-    for r in leaves.collect():  # leaves
-        spread = math.sqrt(r.pd * (1 - r.pd) / r.no) if 0 < r.pd < 1 else 0.0
-        z = (r.odr - r.pd) / spread if spread else 0.0
+    for r in leaves.collect() if tree.splits else []:  # at most 1 / min_leaf leaves
+        odr, rate = r.nb / r.no, r.nb_mod / r.no
+        spread = math.sqrt(rate * (1 - rate) / r.no) if 0 < rate < 1 else 0.0
+        z = (odr - rate) / spread if spread else 0.0
         p = 1 - phi(abs(z))
-        out.append((r.segment, r.no, r.odr, r.pd, z, p, "equal" if p >= alpha else "under" if z > 0 else "over"))
-    return df.sparkSession.createDataFrame(out, "segment int, no long, odr double, pd double, z double, p_value double, res string")
+        # rates of 0 and 1 leave room for a spread
+        near = 0.00001 if round(odr, 5) == 0 else 0.99999 if round(odr, 5) == 1 else odr
+        apart = (rate - near) / math.sqrt(near * (1 - near) / r.no)
+        p_val = phi(apart) if r.nb_mod <= r.nb else 1 - phi(apart)
+        verdict = "equal" if p_val >= alpha else "overestimate" if r.nb_mod > r.nb else "underestimate"
+        out.append((names.index(r.leaf) + 1, tree.rule(r.leaf), r.error / r.no, r.no, odr, rate, z, p, "equal" if p >= alpha else "under" if z > 0 else "over", r.no - r.nb, r.no - r.nb_mod, r.nb, r.nb_mod, rate - odr, p_val, verdict))
+    return df.sparkSession.createDataFrame(
+        out, "segment int, rule string, avg double, no long, odr double, pd double, z double, p_value double, res string, ng_obs long, ng_mod double, nb_obs long, nb_mod double, dr_diff double, p_val double, test_res string"
+    )

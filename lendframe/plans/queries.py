@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lendframe.functions.dist import chi2_ppf, phi_sql
 from lendframe.functions.draws import normal, normal_sql, uniform_sql
 from lendframe.operators import binning, cluster, glm, metrics, profile, resample, scorecard, selection, trees, validation, woe
-from lendframe.plans import benchmark, logit_sql, tuning
+from lendframe.plans import benchmark, logit_sql, tree_sql, tuning
 from lendframe.plans import scorecard as pipeline
 from lendframe.sources import loans
 from lendframe.streaming import monitor
@@ -936,19 +936,64 @@ def tree_leaves(spark, sf):
     return trees.decision_tree(portfolio(spark, sf), "y_b", ["o_totalprice", "c_acctbal", "r_name"], max_depth=2)[0].select("leaf", "no", "nb", r("dr"), "rule")
 
 
-@query()
+RECURSIVE = WITH.replace("with ", "with recursive ", 1)
+PAIR = {"o_totalprice": "o_totalprice", "acctbal_na": "acctbal_na"}
+
+
+def leaf_share(source: str, share: float, floor: int) -> str:
+    return f"(select greatest(floor({share}::double * count(*)), {floor}) as least from {source})"
+
+
+@query(RECURSIVE + ", " + tree_sql.grown("t", tree_sql.base("portfolio", PAIR, "y_b"), leaf_share("portfolio where acctbal_na is not null", 0.05, 30), 3)
+       + " select 'L' || place as interaction, count(*) as n from t group by 1 union all select null, count(*) from portfolio where acctbal_na is null having count(*) > 0")
 def interaction_leaves(spark, sf):
     return trees.interaction(portfolio(spark, sf), "y_b", ["o_totalprice", "acctbal_na"]).groupBy("interaction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+MIXED = {"c_acctbal": "c_acctbal", "band": BANDS} | {f"r_name_{v}": f"(r_name = '{v}')::int" for v in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
+
+
+@query(RECURSIVE + ", " + tree_sql.grown("t", tree_sql.base("portfolio", MIXED, "y_a"), leaf_share("portfolio", 0.05, 30), 3)
+       + " select 'L' || place as leaf, count(*) as no, sum(s)::bigint as nb, round(avg(s), 6) as dr, rule as path from t group by place, rule")
+def interaction_rules(spark, sf):
+    rows = portfolio(spark, sf).withColumn("band", F.floor(F.col("o_totalprice") / 100000).cast("int"))
+    return trees.interaction_leaves(rows, "y_a", ["c_acctbal", "band", "r_name"])[0].select("leaf", "no", "nb", r("dr"), "path")
+
+
+FOREST = ["o_totalprice", "c_acctbal", "price_sc"]
+
+
+def forest_sql(per_tree: int, depth: int, seed: int = 991) -> str:
+    """CTE ``t`` of ten trees on Poisson bootstraps of two thirds."""
+    drawn = lambda i: " + ".join(f"({uniform_sql(str(seed + i), 'id')} >= {c!r}::double)::int" for c in trees.DRAWS)
+    picked = trees.forest_factors(FOREST, 10, per_tree, seed)
+    rows = " union all ".join(tree_sql.base("portfolio", {c: c for c in own}, "y_b", i + 1, "id", drawn(i)) for i, own in enumerate(picked))
+    least = "(select greatest(1, round_even(0.05::double * round_even(2.0::double / 3 * count(*), 0), 0)) as least from portfolio)"
+    return tree_sql.grown("t", rows, least, depth)
+
+
+@query(RECURSIVE + ", " + forest_sql(2, 2) + ", wide as (select id, " + ", ".join(f"max('L' || place) filter (tree = {i}) as tree_{i}" for i in range(1, 11)) + " from t group by id) select "
+       + ", ".join(f"tree_{i}" for i in range(1, 11)) + ", count(*) as n from wide group by all")
 def forest_leaves(spark, sf):
-    return trees.forest_interactions(portfolio(spark, sf), "y_b", ["o_totalprice", "c_acctbal", "price_sc"], trees=10).groupBy(*[f"tree_{i}" for i in range(1, 11)]).agg(F.count(F.lit(1)).alias("n"))
+    return trees.forest_interactions(portfolio(spark, sf), "y_b", FOREST, "id", trees=10).groupBy(*[f"tree_{i}" for i in range(1, 11)]).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(RECURSIVE + ", " + forest_sql(3, 3) + " select tree::int as tree, 'L' || place as leaf, sum(n)::bigint as no, sum(n * s)::bigint as nb, round(sum(n * s) / sum(n), 6) as dr, rule as path from t where n > 0 group by tree, place, rule")
+def forest_rules(spark, sf):
+    return trees.forest_leaves(portfolio(spark, sf), "y_b", FOREST, "id", trees=10, per_tree=3, max_depth=3)[0].select("tree", "leaf", "no", "nb", r("dr"), "path")
+
+
+@query(RECURSIVE + ", p as (select * replace ((y_b - pd)::decimal(18, 12) as pd), pd as rate from portfolio where c_acctbal is not null and o_totalprice is not null), "
+       + tree_sql.grown("t", tree_sql.base("p", {"c_acctbal": "c_acctbal", "o_totalprice": "o_totalprice"}, "pd"), "(select greatest(30, round_even(0.03::double * count(*), 0)) as least from p)")
+       + f""", l as (select place, rule, count(*) as no, sum(s)::double / count(*) as avg, sum(y_b)::double as nb, sum(rate::decimal(18, 12))::double as nm from t join p using (id) group by place, rule),
+  m as (select *, nb / no as odr, nm / no as pd, case when round(nb / no, 5) = 0 then 0.00001 when round(nb / no, 5) = 1 then 0.99999 else nb / no end::double as near from l),
+  z as (select *, (odr - pd) / sqrt(pd * (1 - pd) / no) as z, (pd - near) / sqrt(near * (1 - near) / no) as apart from m),
+  q as (select *, 1 - ({phi_sql('abs(z)')}) as p, case when nm <= nb then {phi_sql('apart')} else 1 - ({phi_sql('apart')}) end as p_val from z)
+  select place::int as segment, rule, no, round(avg, 6) as avg, round(odr, 6) as odr, round(pd, 6) as pd, round(z, 4) as z, round(p, 6) as p_value, case when p >= 0.05 then 'equal' when z > 0 then 'under' else 'over' end as res,
+    nb::bigint as nb_obs, round(nm, 6) as nb_mod, round(p_val, 6) as p_val, case when p_val >= 0.05 then 'equal' when nm > nb then 'overestimate' else 'underestimate' end as test_res from q where (select count(*) from l) > 1""")
 def segment_leaves(spark, sf):
-    return trees.segment_validation(portfolio(spark, sf), "y_b", "pd", ["c_acctbal", "o_totalprice"]).select("segment", "no", r("odr"), r("pd"), r("z", 4), r("p_value"), "res")
+    got = trees.segment_validation(portfolio(spark, sf), "y_b", "pd", ["c_acctbal", "o_totalprice"])
+    return got.select("segment", "rule", "no", r("avg"), r("odr"), r("pd"), r("z", 4), r("p_value"), "res", "nb_obs", r("nb_mod"), r("p_val"), "test_res")
 
 
 @query(" union all ".join(f"select '{a}' as rf1, '{b}' as rf2, round((1 - corr({a}, {b})) / 2, 6) as distance from lineitem" for i, a in enumerate(COR) for b in COR[:i]))
