@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,11 +97,126 @@ def cat_bin(
     return df.sparkSession.createDataFrame(made, "bin string, no long, ng long, nb long, dr double, woe double"), binned
 
 
-def optimal_bins(df: DataFrame, x: str, y: str, codes: list = (), prebins: int = 20, min_share: float = 0.05, max_bins: int = 10) -> DataFrame:
-    """The contiguous bins of largest IV with a monotone default rate, exact over the pre-bins (quantiles).
+#: Trend of the default rate over the bins: the direction before and after the turn; 0 is any.
+TRENDS = {"ascending": (1,), "descending": (-1,), "peak": (1, -1), "valley": (-1, 1), "none": (0,)}
 
-    Dynamic programme over (last bin's start, end, number of bins) on the pre-bin counts; both directions are tried.
+
+class _Parts:
+    """Running counts of ordered cells, for the rate and IV of cells i to j - 1 together."""
+
+    def __init__(self, counts: list[tuple[int, int]], tg: int, tb: int) -> None:
+        self.g, self.b, self.tg, self.tb = [0], [0], tg, tb
+        for g, b in counts:
+            self.g.append(self.g[-1] + g)
+            self.b.append(self.b[-1] + b)
+
+    def counts(self, i: int, j: int) -> tuple[int, int]:
+        return self.g[j] - self.g[i], self.b[j] - self.b[i]
+
+    def rate(self, i: int, j: int) -> float:
+        g, b = self.counts(i, j)
+        return b / (g + b)
+
+    def gain(self, i: int, j: int) -> float:
+        g, b = self.counts(i, j)
+        return (max(g / self.tg, FLOOR) - max(b / self.tb, FLOOR)) * _woe(g, b, self.tg, self.tb)
+
+
+def _partition(parts: _Parts, need: float, max_bins: int, turns: tuple[int, ...]) -> tuple[float, list[int]]:
+    """The largest IV, and the ends of its bins, among bins of ``need`` rows whose rates go the ways of ``turns`` one after the other.
+
+    Dynamic programme over (last bin's start, end, number of bins, turns made); fewer bins win a tie.
+    """
+    m = len(parts.g) - 1
+    table: dict[tuple[int, int, int, int], tuple[float, tuple]] = {}
+    for j in range(1, m + 1):
+        for i in range(j):
+            if sum(parts.counts(i, j)) < need:
+                continue
+            rate, gain = parts.rate(i, j), parts.gain(i, j)
+            if i == 0:
+                table[0, j, 1, 0] = (gain, ())
+            for (h, at, k, turn), (total, _) in [(s, table[s]) for h in range(i) for k in range(1, max_bins) for turn in range(len(turns)) if (s := (h, i, k, turn)) in table]:
+                step = rate - parts.rate(h, at)
+                for now in range(turn, len(turns)):
+                    if (step * turns[now] > 0 or not turns[now]) and total + gain > table.get((i, j, k + 1, now), (-1.0, ()))[0]:
+                        table[i, j, k + 1, now] = (total + gain, (h, at, k, turn))
+    best: tuple[float, list[int]] = (-1.0, [])
+    for state in sorted((s for s in table if s[1] == m), key=lambda s: s[2]):
+        if table[state][0] > best[0] + 1e-12:
+            cuts, at = [], state
+            while at:
+                cuts.append(at[1])
+                at = table[at][1]
+            best = (table[state][0], cuts[::-1])
+    return best
+
+
+def optimal_levels(df: DataFrame, x: str, y: str, codes: list[str] = (), min_share: float = 0.05, max_bins: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The bins of largest IV of a text column, exact over its levels: levels stand in the order of their default rates (ties by
+    level), so that every cut into neighbours has rising rates, the best trend there is.
+
+    A bin holds ``min_share`` of the complete cases and both classes; without such bins all levels are one. NULL and ``codes``
+    stay apart as Special. One aggregate over the levels, of which more than a bound are refused. Returns the summary and the
+    table with ``x_bin``; a level that is new to the map has a NULL bin.
     """
+    value = clean(df, x).cast("string")
+    rows = df.where(F.col(y).isNotNull())
+    counts = rows.groupBy(value.alias("v"), is_special(value, codes, numeric=False).alias("sc")).agg(F.count_if(F.col(y) == 0).alias("g"), F.count_if(F.col(y) == 1).alias("b")).limit(MAPPED_LEVELS + 1).collect()
+    if len(counts) > MAPPED_LEVELS:
+        raise ValueError(f"{x} has over {MAPPED_LEVELS} levels")
+    kept = sorted((r for r in counts if not r.sc and r.g + r.b), key=lambda r: (r.b / (r.g + r.b), r.v))
+    special = [r for r in counts if r.sc and r.g + r.b]
+    tg, tb = sum(r.g for r in counts), sum(r.b for r in counts)
+    if not kept or not tg or not tb:
+        raise ValueError("optimal_levels needs complete cases and both classes")
+    m = len(kept)
+    g, b = (np.concatenate([[0], np.cumsum([getattr(r, c) for r in kept])]).astype(float) for c in "gb")
+    # best[j]: the largest IV of the first j levels in k bins; all last bins' starts at once
+    best, ways, found = np.full(m + 1, -np.inf), [], (-np.inf, 0)
+    best[0] = 0.0
+    for k in range(1, max_bins + 1):
+        after, way = np.full(m + 1, -np.inf), np.zeros(m + 1, dtype=int)
+        for j in range(1, m + 1):
+            own_g, own_b = g[j] - g[:j], b[j] - b[:j]
+            fits = (own_g > 0) & (own_b > 0) & (own_g + own_b >= min_share * (g[m] + b[m]))
+            if fits.any():
+                share_g, share_b = np.maximum(own_g / tg, FLOOR), np.maximum(own_b / tb, FLOOR)
+                total = np.where(fits, best[:j] + (share_g - share_b) * np.log(share_g / share_b), -np.inf)
+                way[j] = int(np.argmax(total))
+                after[j] = total[way[j]]
+        best = after
+        ways.append(way)
+        if best[m] > found[0] + 1e-12:
+            found = (best[m], k)
+    ends, at = [], m
+    for k in range(found[1], 0, -1):
+        ends.append(at)
+        at = ways[k - 1][at]
+    made, mapping, start = [], {}, 0
+    for i, stop in enumerate(ends[::-1] or [m], 1):
+        group = kept[start:stop]
+        label = f"{i:02d} [{','.join(sorted(r.v for r in group))}]"
+        mapping |= {r.v: label for r in group}
+        gg, bb = sum(r.g for r in group), sum(r.b for r in group)
+        made.append((label, gg + bb, gg, bb, bb / (gg + bb), _woe(gg, bb, tg, tb)))
+        start = stop
+    if special:
+        gg, bb = sum(r.g for r in special), sum(r.b for r in special)
+        made.append(("Special", gg + bb, gg, bb, bb / (gg + bb), _woe(gg, bb, tg, tb)))
+    pairs = [F.lit(p) for pair in mapping.items() for p in pair]
+    binned = df.withColumn("x_bin", F.when(is_special(value, codes, numeric=False), F.lit("Special")).otherwise(F.try_element_at(F.create_map(*pairs), value)))
+    return df.sparkSession.createDataFrame(made, "bin string, no long, ng long, nb long, dr double, woe double"), binned
+
+
+def optimal_bins(df: DataFrame, x: str, y: str, codes: list = (), prebins: int = 20, min_share: float = 0.05, max_bins: int = 10, trend: str = "monotone") -> DataFrame:
+    """The contiguous bins of largest IV whose default rate follows ``trend``, exact over the pre-bins (quantiles).
+
+    ``trend``: ascending, descending, peak or valley (one turn, at an end too), none, monotone (the better of the first two) or
+    auto (the best of the first four; the first of them wins a tie).
+    """
+    if trend not in (*TRENDS, "monotone", "auto"):
+        raise ValueError(f"no trend {trend}")
     value = clean(df, x)
     rows = df.where(F.col(y).isNotNull()).withColumn("__x", value).withColumn("__sc", is_special(value, codes))
     edges = quantile_edges(rows.where(~F.col("__sc")), "__x", prebins)
@@ -111,36 +227,14 @@ def optimal_bins(df: DataFrame, x: str, y: str, codes: list = (), prebins: int =
     m = len(cells)
     if not m or not tg or not tb:
         raise ValueError("optimal_bins needs complete cases and both classes")
-    cg, cb = [0], [0]
-    for _, g, b in cells:
-        cg.append(cg[-1] + g)
-        cb.append(cb[-1] + b)
-    need = min_share * (cg[-1] + cb[-1])
-
-    def part(i: int, j: int) -> tuple[float, float]:
-        g, b = cg[j] - cg[i], cb[j] - cb[i]
-        return b / (g + b), (max(g / tg, FLOOR) - max(b / tb, FLOOR)) * _woe(g, b, tg, tb)
-
+    parts = _Parts([(g, b) for _, g, b in cells], tg, tb)
+    need = min_share * (parts.g[-1] + parts.b[-1])
     best: tuple[float, list[int]] = (-1.0, [])
-    for sign in (1, -1):
-        table: dict[tuple[int, int, int], tuple[float, tuple]] = {}
-        for j in range(1, m + 1):
-            for i in range(j):
-                if cg[j] - cg[i] + cb[j] - cb[i] < need:
-                    continue
-                rate, gain = part(i, j)
-                if i == 0:
-                    table[0, j, 1] = (gain, ())
-                for (h, at, k), (total, _) in [((h, i, k), table[h, i, k]) for h in range(i) for k in range(1, max_bins) if (h, i, k) in table]:
-                    if (rate - part(h, at)[0]) * sign > 0 and total + gain > table.get((i, j, k + 1), (-1.0, ()))[0]:
-                        table[i, j, k + 1] = (total + gain, (h, at, k))
-        for (i, j, k), (total, _) in table.items():
-            if j == m and total > best[0] + 1e-12:
-                cuts, at = [], (i, j, k)
-                while at:
-                    cuts.append(at[1])
-                    at = table[at][1]
-                best = (total, cuts[::-1])
+    for name in {"monotone": ["ascending", "descending"], "auto": ["ascending", "descending", "peak", "valley"]}.get(trend, [trend]):
+        tried = _partition(parts, need, max_bins, TRENDS[name])
+        if tried[0] > best[0] + 1e-12:
+            best = tried
+    cg, cb = parts.g, parts.b
     out, start = [], 0
     # a pre-bin k ends at edge k
     for stop in best[1] or [m]:

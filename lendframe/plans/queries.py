@@ -27,6 +27,7 @@ select o_orderkey as id, cast(o_orderstatus = 'F' as int) as y_a, cast((o_totalp
 from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
 """
 WITH = "with portfolio as (" + PORTFOLIO.format(orders="orders", customer="customer", nation="nation", region="region") + ")"
+RECURSIVE = WITH.replace("with ", "with recursive ", 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -653,6 +654,37 @@ def optimal_bin_summary(spark, sf):
     return binning.optimal_bins(portfolio(spark, sf), "price_sc", "y_b", [-1.0]).select("bin", "no", "ng", "nb", r("dr"), r("woe"))
 
 
+@query(RECURSIVE + """, l as (select n_name as v, count(*) filter (y_b = 0)::double as g, count(*) filter (y_b = 1)::double as b from portfolio where n_name <> 'NATION_7' group by 1), t as (select count(*) filter (y_b = 0)::double as tg, count(*) filter (y_b = 1)::double as tb from portfolio),
+  o as (select *, row_number() over (order by b / (g + b), v) as k from l), u as (select k, sum(g) over (order by k) as cg, sum(b) over (order by k) as cb, count(*) over () as m, sum(g + b) over () as n from o union all select 0, 0, 0, count(*), sum(g + b) from o),
+  part as (select a.k as i, z.k as j, z.cg - a.cg as g, z.cb - a.cb as b from u a join u z on z.k > a.k where z.cg > a.cg and z.cb > a.cb and z.cg - a.cg + z.cb - a.cb >= 0.05::double * z.n),
+  way(j, total, path) as (select j, (g / tg - b / tb) * ln((g / tg) / (b / tb)), [j] from part, t where i = 0 union all
+    (with step as (select p.j, way.total + (g / tg - b / tb) * ln((g / tg) / (b / tb)) as total, list_append(path, p.j) as path from way join part p on p.i = way.j, t where len(path) < 10) select j, max(total), arg_max(path, total) from step group by j)),
+  best as (select arg_max(path, (round(total, 12), -len(path))) as path from way where j = (select max(m) from u)), cut as (select unnest(path) as j, unnest([0] || path[: len(path) - 1]) as i, unnest(range(1, len(path) + 1)) as place from best),
+  named as (select printf('%02d', place) || ' [' || string_agg(v, ',' order by v) || ']' as bin, sum(g) as g, sum(b) as b from cut join o on k > i and k <= j group by place
+    union all select 'Special', count(*) filter (y_b = 0)::double, count(*) filter (y_b = 1)::double from portfolio where n_name = 'NATION_7' having count(*) > 0)
+  select bin, (g + b)::bigint as no, g::bigint as ng, b::bigint as nb, round(b / (g + b), 6) as dr, round(ln((g / tg) / (b / tb)), 6) as woe from named, t""")
+def optimal_level_summary(spark, sf):
+    """Nations in at most ten bins of largest IV; one is a special code."""
+    return binning.optimal_levels(portfolio(spark, sf), "n_name", "y_b", ["NATION_7"])[0].select("bin", "no", "ng", "nb", r("dr"), r("woe"))
+
+
+@query(RECURSIVE + ", " + edges_sql("pd", 20) + """, k as (select 1 + len(list_filter(e, lambda x: pd > x)) as k, ((c_acctbal > 5000) <> (o_totalprice between 150000 and 300000 and id % 3 > 0))::int as y from portfolio, e),
+  c as (select k, count(*) filter (y = 0)::double as g, count(*) filter (y = 1)::double as b from k group by 1), t as (select sum(g) as tg, sum(b) as tb, sum(g + b) as n, max(k) as m from c),
+  u as (select k, sum(g) over (order by k) as cg, sum(b) over (order by k) as cb from c union all select 0, 0, 0),
+  part as (select a.k as i, z.k as j, z.cg - a.cg as g, z.cb - a.cb as b, (z.cb - a.cb) / (z.cg - a.cg + z.cb - a.cb) as rate, ((z.cg - a.cg) / tg - (z.cb - a.cb) / tb) * ln(((z.cg - a.cg) / tg) / ((z.cb - a.cb) / tb)) as gain
+    from u a join u z on z.k > a.k, t where z.cg - a.cg + z.cb - a.cb >= 0.05::double * n),
+  way(turn, turned, i, j, rate, total, path) as (select turn, 0, i, j, rate, gain, [j] from part, (values (1), (-1)) s(turn) where i = 0 union all
+    (with step as (select turn, s.turned, p.i, p.j, p.rate, way.total + gain as total, list_append(path, p.j) as path from way join part p on p.i = way.j, (values (0), (1)) s(turned)
+      where s.turned >= way.turned and (p.rate - way.rate) * turn * (1 - 2 * s.turned) > 0 and len(path) < 10)
+    select turn, turned, i, j, any_value(rate), max(total), arg_max(path, total) from step group by turn, turned, i, j)),
+  best as (select arg_max(path, (round(total, 12), -len(path))) as path from way, t where j = m), cut as (select unnest(path) as j, unnest([0] || path[: len(path) - 1]) as i from best),
+  named as (select '(' || case when i = 0 then '-inf' else printf('%.2f', e[i]) end || ', ' || case when j = m then 'inf)' else printf('%.2f', e[j]) || ']' end as bin, g, b from cut join part using (i, j), e, t)
+  select bin, (g + b)::bigint as no, g::bigint as ng, b::bigint as nb, round(b / (g + b), 6) as dr, round(ln((g / tg) / (b / tb)), 6) as woe from named, t""")
+def optimal_bins_of_any_trend(spark, sf):
+    rows = portfolio(spark, sf).withColumn("y", ((F.col("c_acctbal") > 5000) != (F.col("o_totalprice").between(150000, 300000) & (F.col("id") % 3 > 0))).cast("int"))
+    return binning.optimal_bins(rows, "pd", "y", trend="auto").select("bin", "no", "ng", "nb", r("dr"), r("woe"))
+
+
 @query(WITH + " select r_name, dense_rank() over (order by r_name)::int as code, count(*) as n from portfolio group by 1")
 def ord_to_int(spark, sf):
     return binning.ord_to_int(portfolio(spark, sf), "r_name", "code").groupBy("r_name", "code").agg(F.count(F.lit(1)).alias("n"))
@@ -936,7 +968,6 @@ def tree_leaves(spark, sf):
     return trees.decision_tree(portfolio(spark, sf), "y_b", ["o_totalprice", "c_acctbal", "r_name"], max_depth=2)[0].select("leaf", "no", "nb", r("dr"), "rule")
 
 
-RECURSIVE = WITH.replace("with ", "with recursive ", 1)
 PAIR = {"o_totalprice": "o_totalprice", "acctbal_na": "acctbal_na"}
 
 
