@@ -6,27 +6,68 @@ import math
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendframe.functions.special import is_numeric
+from lendframe.operators import exact_trees
+
 
 def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> np.ndarray:
     ready = VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="skip").transform(df)
     return Correlation.corr(ready, "__v", method).first()[0].toArray()
 
 
-def x2y(df: DataFrame, x: str, y: str) -> float:
-    """Share of the mean absolute error of y that a tree on x removes; needs 30 pairs."""
-    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    row = rows.agg(F.count(F.lit(1)), F.median("y")).first()
-    if row[0] < 30:
-        return 0.0
-    ready = VectorAssembler(inputCols=["x"], outputCol="f").transform(rows)
-    made = DecisionTreeRegressor(labelCol="y", featuresCol="f", maxDepth=3, minInstancesPerNode=max(10, row[0] // 20)).fit(ready).transform(ready)
-    base, left = made.agg(F.avg(F.abs(F.col("y") - row[1])), F.avg(F.abs(F.col("y") - F.col("prediction")))).first()
-    return max(0.0, 1 - left / base) if base else 0.0
+def x2y(df: DataFrame, columns: list[str], least: float = 0.1) -> DataFrame:
+    """(x, y, x2y): for all ordered pairs, the share of the error of y that a tree on x alone removes, between 0 and 1.
+
+    Numbers: mean absolute error against that of the mean; text columns: share of wrong classes against the most frequent one. A
+    text column as x is coded by the order of its levels, of which too many are refused. Leaves hold ``least`` of the pair's rows
+    and 30 or more. Rows with a NULL in one of the two don't count; NULL for under 30 pairs or a constant side. The trees of all
+    pairs grow together, so that each level is one job, whatever the number of columns.
+    """
+    text = [c for c in columns if not is_numeric(df, c)]
+    known = {c: exact_trees.levels(df, c) for c in text}
+    coded = exact_trees.codes(df, columns)
+    pairs = [(a, b) for a in columns for b in columns if a != b]
+    both = {(a, b): coded[a].isNotNull() & coded[b].isNotNull() for a, b in pairs}
+    limits = lambda c, on: (F.min(F.when(on, c)) < F.max(F.when(on, c)))
+    row = df.agg(
+        *[F.struct(F.count_if(both[a, b]).alias("n"), (limits(coded[a], both[a, b]) & limits(coded[b], both[a, b])).alias("vary"), F.avg(F.when(both[a, b], coded[b])).alias("mean")) for a, b in pairs],
+        *[F.round(F.avg(coded[c]), 3) for c in columns],
+    ).first() if pairs else ()
+    facts, middle = dict(zip(pairs, row)), dict(zip(columns, row[len(pairs):]))
+    usable = [p for p in pairs if facts[p].n >= 30 and facts[p].vary]
+    # numbers about their mean; two classes need one column
+    targets = {c: [(coded[c] == i).cast("long").cast("decimal(28,10)") for i in range(1 if len(known[c]) == 2 else 0, len(known[c]))] for c in text}
+    targets |= {c: [(coded[c] - middle[c]).cast("decimal(28,10)")] for c in columns if c not in text and middle.get(c) is not None}
+    sizes = [max(30, int(least * facts[p].n)) for p in usable]
+    trees = exact_trees.grow(df, [targets[b] for _, b in usable], [{a: coded[a]} for a, _ in usable], sizes) if usable else []
+    # (pair, leaf, class) with its rows: leaves are few, classes bounded
+    leaf = {p: F.when(both[p], t.place({p[0]: coded[p[0]]})) for p, t in zip(usable, trees)}
+    cells = [F.struct(F.lit(i).alias("pair"), leaf[a, b].alias("leaf"), (coded[b].cast("int") if b in text else F.lit(0)).alias("class"), (coded[b] if b not in text else F.lit(0.0)).cast("decimal(28,10)").alias("s")) for i, (a, b) in enumerate(usable)]
+    counts = df.select(F.inline(F.array(*cells))).where("leaf is not null").groupBy("pair", "leaf", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("s").cast("double").alias("s")).collect() if usable else []
+    by: dict[int, list] = {}
+    for r in counts:
+        by.setdefault(r.pair, []).append(r)
+    share, errors = {}, []
+    for i, (a, b) in enumerate(usable):
+        n = facts[a, b].n
+        if b in text:
+            most, top = {}, {}
+            for r in by[i]:
+                most[r["class"]] = most.get(r["class"], 0) + r.n
+                top[r.leaf] = max(top.get(r.leaf, 0), r.n)
+            share[a, b] = (n - sum(top.values()), n - max(most.values()))
+        else:
+            guess = trees[i].place({a: coded[a]}, {r.leaf: r.s / r.n for r in by[i]})
+            errors += [F.sum(F.when(both[a, b], F.abs(coded[b] - guess))).alias(f"e_{i}"), F.sum(F.when(both[a, b], F.abs(coded[b] - facts[a, b].mean))).alias(f"b_{i}")]
+    if errors:
+        row = df.agg(*errors).first()
+        share |= {p: (row[f"e_{i}"], row[f"b_{i}"]) for i, p in enumerate(usable) if p not in share}
+    out = [(a, b, (min(1.0, max(0.0, 1 - share[a, b][0] / share[a, b][1])) if share[a, b][1] else 0.0) if (a, b) in share else None) for a, b in pairs]
+    return df.sparkSession.createDataFrame(out, "x string, y string, x2y double")
 
 
 def distances(df: DataFrame, columns: list[str], metric: str = "common pearson") -> np.ndarray:
@@ -34,9 +75,12 @@ def distances(df: DataFrame, columns: list[str], metric: str = "common pearson")
     if metric == "x2y":
         k = len(columns)
         out = np.zeros((k, k))
+        told = {(r.x, r.y): r.x2y for r in x2y(df, columns).collect()}
         for i in range(k):
             for j in range(i):
-                out[i, j] = out[j, i] = 1 - (x2y(df, columns[i], columns[j]) + x2y(df, columns[j], columns[i])) / 2
+                # the mean of the directions that could be told; pairs of which nothing is known are apart
+                ways = [w for w in (told[columns[i], columns[j]], told[columns[j], columns[i]]) if w is not None]
+                out[i, j] = out[j, i] = 1 - (sum(ways) / len(ways) if ways else 0.0)
         return out
     kind, method = metric.split()
     c = correlation_matrix(df, columns, method)

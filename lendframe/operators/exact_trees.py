@@ -44,15 +44,15 @@ class Tree:
     def labels(self) -> dict[str, str]:
         return {leaf: f"L{i}" for i, leaf in enumerate(self.leaves(), 1)}
 
-    def place(self, columns: dict[str, Column], names: dict[str, str] | None = None, node: str = "") -> Column:
-        """The node of a row whose columns are not NULL, by its name or as ``names`` calls it."""
+    def place(self, columns: dict[str, Column], names: dict[str, str | float] | None = None, node: str = "") -> Column:
+        """The node of a row whose columns are not NULL, by its name or as ``names`` calls it (a name or a number)."""
         if node not in self.splits:
             return F.lit((names or {}).get(node, node))
         name, cut = self.splits[node]
         return F.when(columns[name] <= F.lit(cut), self.place(columns, names, node + "0")).otherwise(self.place(columns, names, node + "1"))
 
 
-def whole(columns: dict[str, Column]) -> Column:
+def whole(columns: dict) -> Column:
     return reduce(lambda a, b: a & b, [c.isNotNull() for c in columns.values()])
 
 
@@ -85,70 +85,80 @@ def codes(df: DataFrame, factors: list[str], missing: float | None = None) -> di
     return out
 
 
-def best_cuts(cells: DataFrame, least: int) -> DataFrame:
-    """cells: (tree, node, at, v, n, s), ``n`` rows with the sum ``s`` of the target. One row (tree, node, at, cut) for each node
-    that some cut improves, with ``least`` rows or more on both sides."""
-    key = ["tree", "node", "at"]
-    rows = sliced(cells.groupBy(*key, "v").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), key)
+def best_cuts(cells: DataFrame, least: list[int]) -> DataFrame:
+    """cells: (tree, node, at, v, n, s0, s1, ...), ``n`` rows with the sums of the targets. One row (tree, node, at, cut) for each
+    node that some cut improves, with the tree's ``least`` rows or more on both sides."""
+    key, sums = ["tree", "node", "at"], [c for c in cells.columns if c[0] == "s"]
+    counted = [F.sum(c).alias(c) for c in ("n", *sums)]
+    rows = sliced(cells.groupBy(*key, "v").agg(*counted), key)
     along, all_of = Window.partitionBy(*key).orderBy("slice"), Window.partitionBy(*key)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     # as many rows a key as there are slices
-    totals = rows.groupBy(*key, "slice").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("v").alias("first")).select(
-        *key, "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s_before"),
-        F.sum("n").over(all_of).alias("n_all"), F.sum("s").over(all_of).alias("s_all"), F.lead("first").over(along).alias("first_after"),
+    totals = rows.groupBy(*key, "slice").agg(*counted, F.min("v").alias("first")).select(
+        *key, "slice", F.lead("first").over(along).alias("first_after"),
+        *[c for name in ("n", *sums) for c in (F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"{name}_before"), F.sum(name).over(all_of).alias(f"{name}_all"))],
     )
     inside = Window.partitionBy(*key, "slice").orderBy("v")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = {c: F.col(f"{c}_before") + F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in ("n", *sums)}
     run = rows.join(totals, [*key, "slice"]).select(
-        *key, "v", "n_all", F.col("s_all").cast("double").alias("s_all"), (F.col("n_before") + F.sum("n").over(upto)).alias("n_left"),
-        (F.col("s_before") + F.sum("s").over(upto)).cast("double").alias("s_left"), (F.col("s_all") - F.col("s_before") - F.sum("s").over(upto)).cast("double").alias("s_right"),
-        F.coalesce(F.lead("v").over(inside), "first_after").alias("after"),
+        *key, "v", F.coalesce(F.lead("v").over(inside), "first_after").alias("after"), left["n"].alias("n_left"), (F.col("n_all") - left["n"]).alias("n_right"), "n_all",
+        *[c.cast("double").alias(f"{name}_{side}") for name in sums for side, c in (("left", left[name]), ("right", F.col(f"{name}_all") - left[name]), ("all", F.col(f"{name}_all")))],
     )
-    n_right, middle = F.col("n_all") - F.col("n_left"), (F.col("v") + F.col("after")) / 2
-    part = lambda s, n: s * s / n
-    tried = run.where(F.col("after").isNotNull() & (F.col("n_left") >= least) & (n_right >= least)).select(
+    middle, enough = (F.col("v") + F.col("after")) / 2, F.array(*[F.lit(n) for n in least])[F.col("tree")]
+    part = lambda name, side: F.col(f"{name}_{side}") * F.col(f"{name}_{side}") / F.col(f"n_{side}")
+    tried = run.where(F.col("after").isNotNull() & (F.col("n_left") >= enough) & (F.col("n_right") >= enough)).select(
         # between neighbouring or endless values there is no middle
         *key, "v", F.when(middle >= F.col("after"), F.col("v")).otherwise(middle).alias("cut"),
-        (part(F.col("s_left"), F.col("n_left")) + part(F.col("s_right"), n_right) - part(F.col("s_all"), F.col("n_all"))).alias("gain"),
+        reduce(lambda x, y: x + y, [part(c, "left") + part(c, "right") - part(c, "all") for c in sums]).alias("gain"),
     )
     best = F.max_by(F.struct("at", "cut"), F.struct("gain", -F.col("at"), -F.col("v"))).alias("best")
     return tried.where(F.col("gain") > LEAST_GAIN).groupBy("tree", "node").agg(best).select("tree", "node", "best.*")
 
 
-def grow(df: DataFrame, target: Column, columns: list[dict[str, Column]], least: int, max_depth: int | None = None, weights: list[Column] | None = None) -> list[Tree]:
+def grow(
+    df: DataFrame, target: Column | list[list[Column]], columns: list[dict[str, Column]], least: int | list[int], max_depth: int | None = None, weights: list[Column] | None = None
+) -> list[Tree]:
     """One tree for each set of numeric ``columns``, all grown level by level together.
 
-    ``target`` holds whole numbers or decimals. ``weights`` (whole numbers) say how often a row is in a tree's sample. Rows with
-    a NULL in the target, or in one of a tree's columns, aren't in its sample. Without ``max_depth`` trees grow as long as a cut
-    leaves ``least`` rows on both sides. The columns are written once to the shared folder, so that levels don't derive them again.
+    ``target`` holds whole numbers or decimals; it is one column, or a list of columns of one type for each tree, whose errors add
+    up (0/1 columns of classes: Gini). ``weights`` (whole numbers) say how often a row is in a tree's sample. Rows with a NULL in
+    a tree's target or columns aren't in its sample. Without ``max_depth`` trees grow as long as a cut leaves ``least`` rows (a
+    number for all or for each tree) on both sides. What is needed is written once to the shared folder, so that levels don't
+    derive it again.
     """
-    weights = weights or [F.lit(1)] * len(columns)
-    distinct = {id(c): c for own in columns for c in own.values()}
-    place = {key: f"x{i}" for i, key in enumerate(distinct)}
-    narrow = stored(
-        df.select(
-            target.alias("y"), *[c.cast("double").alias(place[key]) for key, c in distinct.items()], *[w.cast("long").alias(f"w{t}") for t, w in enumerate(weights)]
-        ).where(target.isNotNull()), "tree-cells",
-    )
+    targets = target if isinstance(target, list) else [[target]] * len(columns)
+    place: dict[int, str] = {}
+    kept = []
+    for c in [*(c for own in columns for c in own.values()), *(c for own in targets for c in own), *(weights or [])]:
+        if id(c) not in place:
+            place[id(c)] = f"x{len(place)}"
+            kept.append(c.alias(place[id(c)]))
+    stored_as = lambda c: F.col(place[id(c)])
+    narrow = stored(df.select(*kept), "tree-cells")
     try:
-        return _levels(narrow, [{name: F.col(place[id(c)]) for name, c in own.items()} for own in columns], max(1, least), max_depth)
+        return _levels(
+            narrow, [[stored_as(c) for c in own] for own in targets], [{name: stored_as(c) for name, c in own.items()} for own in columns],
+            [max(1, n) for n in (least if isinstance(least, list) else [least] * len(columns))], max_depth, [stored_as(w).cast("long") for w in weights or []],
+        )
     finally:
         release(narrow)
 
 
-def _levels(df: DataFrame, columns: list[dict[str, Column]], least: int, max_depth: int | None) -> list[Tree]:
-    """df: the target ``y``, the columns, and ``w0``, ``w1``, ...: how often a row is in each tree's sample."""
-    trees, depth = [Tree() for _ in columns], 0
+def _levels(df: DataFrame, targets: list[list[Column]], columns: list[dict[str, Column]], least: list[int], max_depth: int | None, weights: list[Column]) -> list[Tree]:
+    trees, depth, width = [Tree() for _ in columns], 0, max(map(len, targets), default=0)
     open_nodes = {(t, "") for t, own in enumerate(columns) if own}
     while open_nodes and (max_depth is None or depth < max_depth):
         cells = []
         for t in sorted({t for t, _ in open_nodes}):
-            times = F.col(f"w{t}")
-            node = F.when(whole(columns[t]) & (times > 0), trees[t].place(columns[t]))
+            times = weights[t] if weights else F.lit(1).cast("long")
+            sample = whole(columns[t]) & whole(dict(enumerate(targets[t]))) & (times > 0)
+            node = F.when(sample, trees[t].place(columns[t]))
             node = F.when(node.isin(sorted(n for own, n in open_nodes if own == t)), node)
+            # a tree of fewer targets than another has sums of nothing
+            sums = [*targets[t], *[targets[t][0] * 0 for _ in range(width - len(targets[t]))]]
+            sums = [(c * times if weights else c).alias(f"s{i}") for i, c in enumerate(sums)]
             cells += [
-                F.struct(F.lit(t).alias("tree"), node.alias("node"), F.lit(at).alias("at"), c.alias("v"), times.alias("n"), (F.col("y") * times).alias("s"))
-                for at, c in enumerate(columns[t].values())
+                F.struct(F.lit(t).alias("tree"), node.alias("node"), F.lit(at).alias("at"), c.cast("double").alias("v"), times.alias("n"), *sums) for at, c in enumerate(columns[t].values())
             ]
         found = best_cuts(df.select(F.inline(F.array(*cells))).where("node is not null"), least).collect()
         open_nodes = set()

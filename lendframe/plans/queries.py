@@ -1299,8 +1299,30 @@ def boosted_selection(spark, sf):
     return out_steps(selection.boosted_selection(rows, "y_b", names).steps)
 
 
-@query()
+def x2y_sql(numbers: list[str], classes: dict[str, str]) -> str:
+    """CTE ``told`` (x, y, x2y) of all ordered pairs; ``classes`` are 0/1 expressions by column."""
+    columns = {c: f"{c}::double" for c in numbers} | classes
+    pairs = [(a, b) for a in columns for b in columns if a != b]
+    goal = lambda b: f"{b}::decimal(28, 10)" if b in classes else f"({b} - (select round(avg({b}), 3) from li))::decimal(28, 10)"
+    rows = " union all ".join(tree_sql.base("li", {a: a}, goal(b), i) for i, (a, b) in enumerate(pairs))
+    least = " union all ".join(f"select {i} as tree, greatest(30, floor(0.1::double * count(*))) as least from li where {a} is not null and {b} is not null" for i, (a, b) in enumerate(pairs))
+    names = ", ".join(f"({i}, '{a}', '{b}', {str(b in classes).lower()})" for i, (a, b) in enumerate(pairs))
+    return f"""li as materialized (select row_number() over () as id, {', '.join(f'{e} as {c}' for c, e in columns.items())} from lineitem), least as materialized ({least}), {tree_sql.grown('t', rows, 'least', each=True)},
+  c as (select *, s::double as y, avg(s::double) over (partition by tree, place) as guess, avg(s::double) over (partition by tree) as middle from t where s is not null),
+  l as (select tree, place, sum(abs(y - guess)) as e, sum(abs(y - middle)) as b, count(*) as n, sum(y) as ones from c group by tree, place),
+  h as (select tree, sum(e) as e, sum(b) as b, sum(n) as n, sum(greatest(ones, n - ones)) as hits, greatest(sum(ones), sum(n - ones)) as most from l group by tree),
+  told as (select x, y, greatest(0, case when class then 1 - (n - hits) / (n - most) else 1 - e / b end) as x2y from h join (values {names}) p(tree, x, y, class) using (tree))"""
+
+
+@query("with recursive " + x2y_sql(COR, {}) + " union all ".join(f" select '{a}' as rf1, '{b}' as rf2, round(1 - avg(x2y), 6) as distance from told where (x = '{a}' and y = '{b}') or (x = '{b}' and y = '{a}')" for i, a in enumerate(COR) for b in COR[:i]))
 def x2y_distances(spark, sf):
     d = cluster.distances(table(spark, sf, "lineitem"), COR, "x2y")
     rows = [(a, b, float(d[i, j])) for i, a in enumerate(COR) for j, b in enumerate(COR[:i])]
     return spark.createDataFrame(rows, "rf1 string, rf2 string, distance double").select("rf1", "rf2", r("distance"))
+
+
+@query("with recursive " + x2y_sql(["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"], {"l_linestatus": "(l_linestatus = 'O')::int", "late": "(l_shipdate >= timestamp '1995-06-17')::int"}) + " select x, y, round(x2y, 6) as x2y from told")
+def x2y_pairs(spark, sf):
+    """How well each of six columns, two of them texts, tells each other one."""
+    rows = table(spark, sf, "lineitem").withColumn("late", F.when(F.col("l_shipdate") >= F.lit("1995-06-17").cast("timestamp"), "late").otherwise("early"))
+    return cluster.x2y(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber", "l_linestatus", "late"]).select("x", "y", r("x2y"))

@@ -10,8 +10,10 @@ def base(source: str, columns: dict[str, str], target: str, tree: int = 1, id_:
       [{', '.join(f"'{c}'" for c in columns)}] as f from {source} where {whole}"""
 
 
-def grown(name: str, rows: str, least: str, depth: int = 60) -> str:
-    """CTE ``name`` (tree, id, node, rule, n, s): the leaf of every row; ``rows`` is a union of ``base``, ``least`` a table with one number."""
+def grown(name: str, rows: str, least: str, depth: int = 60, each: bool = False) -> str:
+    """CTE ``name`` (tree, id, node, rule, n, s): the leaf of every row; ``rows`` is a union of ``base``, ``least`` a table with one number,
+    or (tree, least) for each tree."""
+    limits = f"join {least} using (tree)" if each else f", {least} k(least)"
     return f"""{name}_steps(level, tree, id, node, rule, n, s, x, f) as ({rows} union all (
     with l as (select tree, node, unnest(range(1, len(x) + 1)) as col, x, n, s from {name}_steps where n > 0 and s is not null),
       c as (select tree, node, col, x[col] as v, sum(n) as n, sum(s * n) as s from l group by all),
@@ -19,7 +21,7 @@ def grown(name: str, rows: str, least: str, depth: int = 60) -> str:
         from c window up as (partition by tree, node, col order by v), whole as (partition by tree, node, col)),
       g as (select tree, node, col, v, case when (v + after) / 2 >= after then v else (v + after) / 2 end as cut,
           sl::double * sl::double / nl::double + (sa - sl)::double * (sa - sl)::double / (na - nl)::double - sa::double * sa::double / na::double as gain
-        from w, {least} k(least) where after is not null and nl >= least and na - nl >= least),
+        from w {limits} where after is not null and nl >= least and na - nl >= least),
       b as (select tree, node, arg_max({{'col': col, 'cut': cut}}, {{'gain': gain, 'col': -col, 'v': -v}}) as best from g where gain > 1e-9 group by tree, node)
     select level + 1, tree, id, node || case when x[best.col] <= best.cut then '0' else '1' end,
       rule || case when rule = '' then '' else ' & ' end || f[best.col] || case when x[best.col] <= best.cut then ' <= ' else ' > ' end || printf('%.4f', best.cut), n, s, x, f

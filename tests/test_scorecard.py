@@ -457,17 +457,60 @@ def test_tree_leaves_by_brute_force(spark):
 
 
 def test_x2y_by_brute_force(spark):
+    """Mixed columns with NULLs: leaves of a tenth of the pairs, any depth; mean absolute error, or wrong classes for texts."""
+    from collections import Counter
+
     from lendframe.operators import cluster
 
     own = random.Random(3)
-    x = [(own.randint(0, 9),) for _ in range(400)]
-    y = [float(a * a + own.random()) for (a,) in x]
-    leaf = brute_tree(x, y, 3, 20)
-    mean = {k: sum(v for v, q in zip(y, leaf) if q == k) / leaf.count(k) for k in set(leaf)}
-    middle = float(np.median(y))
-    want = 1 - sum(abs(v - mean[q]) for v, q in zip(y, leaf)) / sum(abs(v - middle) for v in y)
-    got = cluster.x2y(spark.createDataFrame([(float(a), v) for (a,), v in zip(x, y)], "x double, y double"), "x", "y")
-    assert abs(got - want) < 1e-9
+    rows = []
+    for i in range(500):
+        a = own.randint(0, 9)
+        rows.append((float(a) if i % 11 else None, a * a + own.random(), own.choice("uvw") if own.random() < 0.3 else "uvw"[a // 4], "lm"[a > 4] if i % 7 else None, 4.0))
+    names = ["a", "b", "c", "d", "one"]
+    got = {(r.x, r.y): r.x2y for r in cluster.x2y(spark.createDataFrame(rows, "a double, b double, c string, d string, one double"), names).collect()}
+    assert len(got) == 20
+    for i, p in enumerate(names):
+        for j, q in enumerate(names):
+            if i == j:
+                continue
+            if "one" in (p, q):
+                assert got[p, q] is None
+                continue
+            pairs = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            order = sorted({x for x, _ in pairs})
+            x, y = [(float(order.index(v)),) if p in "cd" else (v,) for v, _ in pairs], [v for _, v in pairs]
+            least = max(30, len(pairs) // 10)
+            if q in "ab":
+                leaf = brute_tree(x, y, 20, least)
+                mean = {k: np.mean([v for v, at in zip(y, leaf) if at == k]) for k in set(leaf)}
+                want = 1 - sum(abs(v - mean[at]) for v, at in zip(y, leaf)) / sum(abs(v - np.mean(y)) for v in y)
+            else:
+                leaf = brute_classes(x, y, least)
+                right = sum(max(Counter(v for v, at in zip(y, leaf) if at == k).values()) for k in set(leaf))
+                want = 1 - (len(y) - right) / (len(y) - max(Counter(y).values()))
+            assert abs(got[p, q] - max(0.0, want)) < 1e-9, (p, q)
+
+
+def brute_classes(x, y, least):
+    """Leaf of each row of a tree of least Gini impurity on one column."""
+    leaf = [""] * len(y)
+    loss = lambda r: len(r) - sum(sum(y[i] == c for i in r) ** 2 for c in set(y)) / len(r)
+
+    def grow(rows):
+        best, values = None, sorted({x[i] for i in rows})
+        for a in values[:-1]:
+            left, right = [i for i in rows if x[i] <= a], [i for i in rows if x[i] > a]
+            gain = loss(rows) - loss(left) - loss(right)
+            if min(len(left), len(right)) >= least and gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                best = (gain, left, right)
+        for side, part in zip("lr", best[1:] if best else ()):
+            for i in part:
+                leaf[i] += side
+            grow(part)
+
+    grow(list(range(len(y))))
+    return leaf
 
 
 def test_clusters_by_brute_force(spark):
