@@ -90,7 +90,9 @@ def best_cuts(cells: DataFrame, least: list[int]) -> DataFrame:
     node that some cut improves, with the tree's ``least`` rows or more on both sides."""
     key, sums = ["tree", "node", "at"], [c for c in cells.columns if c[0] == "s"]
     counted = [F.sum(c).alias(c) for c in ("n", *sums)]
-    rows = sliced(cells.groupBy(*key, "v").agg(*counted), key)
+    # as many slices a key as a shuffle has tasks
+    slices = max(8, min(1024, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = sliced(cells.groupBy(*key, "v").agg(*counted), key, slices)
     along, all_of = Window.partitionBy(*key).orderBy("slice"), Window.partitionBy(*key)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     # as many rows a key as there are slices

@@ -54,7 +54,7 @@ def test_same_tree_for_any_partitions_and_slices(made, monkeypatch):
     grown = lambda d: [t.splits for t in exact_trees.grow(d, F.col("y"), [{"a": F.col("a"), "b": F.col("b")}], 30, 4)]
     want = grown(df)
     assert grown(df.repartition(7)) == want
-    monkeypatch.setattr(exact_trees, "sliced", lambda counts, keys, one=exact_trees.sliced: one(counts, keys, 3))
+    monkeypatch.setattr(exact_trees, "sliced", lambda counts, keys, _, one=exact_trees.sliced: one(counts, keys, 3))
     assert grown(df) == want
 
 
