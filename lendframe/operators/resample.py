@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from lendframe.functions.draws import hashed, uniform
+from lendframe.functions.scratch import ship, stored
 from lendframe.functions.special import require_binary
 from lendframe.operators.glm import Cells, compress, fit_groups, fit_logit
 from lendframe.operators.metrics import auc
@@ -16,8 +21,8 @@ from lendframe.operators.quantiles import slices_of
 
 #: Counts of cells and draws that one aggregate of the bootstrap brings to the driver at most, more than one draw at a time.
 DRAWN = 200_000
-#: Rows of a block that is compared with another block.
-BLOCK = 2048
+#: Rows of a block that is compared with another block, and rows of it whose distances are held at once.
+BLOCK, STRIP = 2048, 128
 
 
 def order_key(id_col: str, seed: int) -> Column:
@@ -158,20 +163,70 @@ def heom_neighbours(df: DataFrame, id_col: str, numeric: list[str], categorical:
 
     All pairs are compared, as the distance has no index, so this is for minority classes. They are dealt in blocks of
     about ``BLOCK`` rows by blocks, whose number grows with the rows, and each block keeps its own k best before the final
-    choice: no task holds more than two blocks or orders more than k rows a block for one row.
+    choice: no task holds more than two blocks and ``STRIP`` rows of their distances, and k rows a block are shuffled for one row.
     """
+    ship(df.sparkSession)
     spans = spans or spans_of(df, numeric)
+    df = df.where(F.col(id_col).isNotNull())
     blocks = max(1, math.ceil(df.count() / BLOCK))
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    side = lambda s: df.select(F.col(id_col).alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in [*numeric, *categorical]], block.alias(f"{s}_block"))
-    left = side("a").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = side("b").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = left.join(right, (F.col("a_block") == F.col("i")) & (F.col("j") == F.col("b_block"))).where("a_id <> b_id")
-    parts = [F.coalesce(((F.col(f"a_{c}") - F.col(f"b_{c}")) / F.lit(float(spans[i]))) ** 2, F.lit(1.0)) for i, c in enumerate(numeric)]
-    parts += [F.coalesce((F.col(f"a_{c}") != F.col(f"b_{c}")).cast("double"), F.lit(1.0)) for c in categorical]
-    scored = pairs.withColumn("distance", F.sqrt(sum(parts, F.lit(0.0))))
-    near = lambda d, *by: d.withColumn("rank", F.row_number().over(Window.partitionBy("a_id", *by).orderBy("distance", "b_id"))).where(F.col("rank") <= k)
-    return near(near(scored, "j"), *[]).select(F.col("a_id").alias("id"), F.col("b_id").alias("neighbour"), "distance", "rank")
+    kinds = [df.schema[c].dataType for c in numeric]
+    # decimals as whole numbers, whose differences are exact
+    units = [float(10**t.scale) if isinstance(t, DecimalType) else 1.0 for t in kinds]
+    values = [(F.col(f"`{c}`") * F.lit(10**t.scale) if isinstance(t, DecimalType) else F.col(f"`{c}`")).cast("double").alias(f"n{i}") for i, (c, t) in enumerate(zip(numeric, kinds))]
+    side = lambda own, other: df.select(F.col(id_col).alias("id"), *values, *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(categorical)], block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(other))
+    kind = f"a_id {df.schema[id_col].dataType.simpleString()}, b_id {df.schema[id_col].dataType.simpleString()}, distance double"
+    best = side("i", "j").groupBy("i", "j").cogroup(side("j", "i").groupBy("i", "j")).applyInArrow(partial(_block_neighbours, spans=spans, units=units, categories=len(categorical), k=k), kind)
+    rank = F.row_number().over(Window.partitionBy("a_id").orderBy("distance", "b_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a_id").alias("id"), F.col("b_id").alias("neighbour"), "distance", "rank")
+
+
+def _block_neighbours(left: pa.Table, right: pa.Table, spans: list[float], units: list[float], categories: int, k: int) -> pa.Table:
+    """The k nearest rows of ``right`` (all, if fewer) for each of ``left``; of equal distances the smaller ids."""
+    right = right.take(pc.sort_indices(right["id"]))
+    n = left.num_rows
+
+    def coded(name: str) -> tuple[np.ndarray, np.ndarray]:
+        both = pa.concat_tables([left.select([name]), right.select([name])])[name].combine_chunks()
+        if pa.types.is_floating(both.type):
+            both = pc.add(both, pa.scalar(0.0, both.type))  # -0.0 equals 0.0
+        at = pc.fill_null(both.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        return at[:n], at[n:]
+
+    ids, groups = coded("id"), [coded(f"c{i}") for i in range(categories)]
+    numbers = [[(pc.fill_null(t[f"n{i}"], 0.0).to_numpy(), pc.is_null(t[f"n{i}"]).to_numpy()) for t in (left, right)] for i in range(len(spans))]
+    rows, columns, found = [], [], []
+    for start in range(0, n, STRIP):
+        own = slice(start, start + STRIP)
+        total = np.zeros((len(ids[0][own]), right.num_rows))
+        for ((a, a_null), (b, b_null)), span, unit in zip(numbers, spans, units):
+            part = np.subtract.outer(a[own], b)
+            if unit != 1.0:
+                part /= unit
+            part /= span
+            part *= part
+            part[a_null[own]] = 1.0
+            part[:, b_null] = 1.0
+            total += part
+        for a, b in groups:
+            total += (a[own, None] != b) | (a[own, None] < 0) | (b < 0)
+        np.sqrt(total, out=total)
+        same, distance = ids[0][own, None] == ids[1], total
+        if np.isnan(total).any():
+            distance = np.where(np.isnan(total), np.inf, total)
+        if distance is total and same.any():
+            distance = total.copy()
+        distance[same] = np.inf
+        limit = np.partition(distance, k - 1, axis=1)[:, k - 1] if k < distance.shape[1] else np.full(len(distance), np.inf)
+        r, c = np.nonzero((distance <= limit[:, None]) & ~same)
+        order = np.lexsort((c, distance[r, c], r))
+        r, c = r[order], c[order]
+        # the place within the own row's list
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[kept], c[kept]
+        rows.append(r + start), columns.append(c), found.append(total[r, c])
+    r, c, d = (np.concatenate(x) if x else np.array([], dtype) for x, dtype in ((rows, int), (columns, int), (found, float)))
+    return pa.table({"a_id": left["id"].take(pa.array(r)), "b_id": right["id"].take(pa.array(c)), "distance": pa.array(d)})
 
 
 def smote(df: DataFrame, y: str, minority, osr: float, id_col: str, numeric: list[str], categorical: list[str] = (), bounds: dict[str, tuple] | None = None, k: int = 5, seed: int = 81000) -> DataFrame:
@@ -183,7 +238,7 @@ def smote(df: DataFrame, y: str, minority, osr: float, id_col: str, numeric: lis
     one row has no neighbour and gets no synthetic rows.
     """
     small = df.where(F.col(y) == minority)
-    near = heom_neighbours(small, id_col, list(numeric), list(categorical), k, spans_of(df, list(numeric)))
+    near = stored(heom_neighbours(small, id_col, list(numeric), list(categorical), k, spans_of(df, list(numeric))), "smote-neighbours")
     n = small.count()
     total = round(osr * n)
     ranked = placed(small.select(F.col(id_col).alias("id")), "id", [], seed)
