@@ -52,7 +52,30 @@ def of_counts(counts: DataFrame, keys: list[str], points: list[float], slices: i
     found = held.select(*keys, "v", "all", F.inline(F.filter("asked", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("n")))))
     got = found.groupBy(*keys).agg(F.max("all").alias("all"), F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("by"))
     low, high = (lambda i: F.col("by")[2 * i]), (lambda i: F.col("by")[2 * i + 1])
-    return got.select(*keys, F.transform(at, lambda p, i: low(i) + (place(p) - F.floor(place(p))) * (high(i) - low(i))).alias("q"))
+    return got.select(*keys, F.transform(at, lambda p, i: between(low(i), high(i), place(p) - F.floor(place(p)))).alias("q"))
+
+
+def between(low: Column, high: Column, share: Column) -> Column:
+    """``low * (1 - share) + high * share`` with the first product unrounded, as DuckDB has it: equal cuts print alike.
+
+    The rounding errors of the product and of the sum (Dekker, Knuth) are added back. Without a share it is ``low`` itself, and
+    values too large to be split are interpolated plainly.
+    """
+    halves = lambda x: ((x * SPLIT) - (x * SPLIT - x), x - ((x * SPLIT) - (x * SPLIT - x)))
+    low, high = low.cast("double"), high.cast("double")
+    rest = 1 - share
+    (a, a_low), (b, b_low) = halves(low), halves(rest)
+    p, q = low * rest, high * share
+    p_off = ((a * b - p) + a * b_low + a_low * b) + a_low * b_low
+    total = p + q
+    back = total - p
+    total_off = (p - (total - back)) + (q - back)
+    exact = total + (p_off + total_off)
+    return F.when(share == 0, low).when(F.greatest(F.abs(low), F.abs(high)) < 1e290, exact).otherwise(total)
+
+
+#: Splits a double into two halves of 26 bits.
+SPLIT = 134217729.0
 
 
 def exact(df: DataFrame, columns: dict[str, Column], points: list[float], *keys: str) -> DataFrame:
