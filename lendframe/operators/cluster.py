@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lendframe.functions.special import is_numeric
@@ -31,45 +32,81 @@ def x2y(df: DataFrame, columns: list[str], least: float = 0.1) -> DataFrame:
     known = {c: exact_trees.levels(df, c) for c in text}
     coded = exact_trees.codes(df, columns)
     pairs = [(a, b) for a in columns for b in columns if a != b]
-    both = {(a, b): coded[a].isNotNull() & coded[b].isNotNull() for a, b in pairs}
-    limits = lambda c, on: (F.min(F.when(on, c)) < F.max(F.when(on, c)))
-    row = df.agg(
-        *[F.struct(F.count_if(both[a, b]).alias("n"), (limits(coded[a], both[a, b]) & limits(coded[b], both[a, b])).alias("vary"), F.avg(F.when(both[a, b], coded[b])).alias("mean")) for a, b in pairs],
-        *[F.round(F.avg(coded[c]), 3) for c in columns],
-    ).first() if pairs else ()
-    facts, middle = dict(zip(pairs, row)), dict(zip(columns, row[len(pairs):]))
+    # doubles without NULL, which is NaN here
+    plain = df.select(*[F.coalesce(coded[c].cast("double"), F.lit(math.nan)).alias(f"x{i}") for i, c in enumerate(columns)])
+    numbers = [(columns.index(a), columns.index(b)) for a, b in pairs]
+    facts = dict(zip(pairs, _pair_facts(plain, numbers))) if pairs else {}
+    middle = dict(zip(columns, df.agg(*[F.round(F.avg(coded[c]), 3) for c in columns]).first())) if pairs else {}
     usable = [p for p in pairs if facts[p].n >= 30 and facts[p].vary]
     # numbers about their mean; two classes need one column
     targets = {c: [(coded[c] == i).cast("long").cast("decimal(28,10)") for i in range(1 if len(known[c]) == 2 else 0, len(known[c]))] for c in text}
     targets |= {c: [(coded[c] - middle[c]).cast("decimal(28,10)")] for c in columns if c not in text and middle.get(c) is not None}
     sizes = [max(30, int(least * facts[p].n)) for p in usable]
-    trees = exact_trees.grow(df, [targets[b] for _, b in usable], [{a: coded[a]} for a, _ in usable], sizes) if usable else []
-    # (pair, leaf, class) with its rows: leaves are few, classes bounded
-    leaf = {p: F.when(both[p], t.place({p[0]: coded[p[0]]})) for p, t in zip(usable, trees)}
-    cells = [F.struct(F.lit(i).alias("pair"), leaf[a, b].alias("leaf"), (coded[b].cast("int") if b in text else F.lit(0)).alias("class"), (coded[b] if b not in text else F.lit(0.0)).cast("decimal(28,10)").alias("s")) for i, (a, b) in enumerate(usable)]
-    counts = df.select(F.inline(F.array(*cells))).where("leaf is not null").groupBy("pair", "leaf", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("s").cast("double").alias("s")).collect() if usable else []
-    by: dict[int, list] = {}
-    for r in counts:
-        by.setdefault(r.pair, []).append(r)
-    share, errors = {}, []
+    sums: dict = {}
+    trees = exact_trees.grow(df, [targets[b] for _, b in usable], [{a: coded[a]} for a, _ in usable], sizes, leaves=sums) if usable else []
+    share, guesses = {}, []
     for i, (a, b) in enumerate(usable):
-        n = facts[a, b].n
+        # from left to right, each (n, s0, ...)
+        own = [sums[i, leaf] for leaf in trees[i].leaves()]
         if b in text:
-            most, top = {}, {}
-            for r in by[i]:
-                most[r["class"]] = most.get(r["class"], 0) + r.n
-                top[r.leaf] = max(top.get(r.leaf, 0), r.n)
-            share[a, b] = (n - sum(top.values()), n - max(most.values()))
+            counts = [[n - s[0], s[0]] if len(known[b]) == 2 else s[: len(known[b])] for n, *s in own]
+            share[a, b] = (facts[a, b].n - int(sum(max(c) for c in counts)), facts[a, b].n - int(max(map(sum, zip(*counts)))))
         else:
-            guess = trees[i].place({a: coded[a]}, {r.leaf: r.s / r.n for r in by[i]})
-            errors += [F.sum(F.when(both[a, b], F.abs(coded[b] - guess))).alias(f"e_{i}"), F.sum(F.when(both[a, b], F.abs(coded[b] - facts[a, b].mean))).alias(f"b_{i}")]
-    if errors:
-        row = df.agg(*errors).first()
-        share |= {p: (row[f"e_{i}"], row[f"b_{i}"]) for i, p in enumerate(usable) if p not in share}
+            cuts = sorted(c for _, c in trees[i].splits.values())
+            guesses.append((i, columns.index(a), columns.index(b), facts[a, b].mean, cuts, [float(middle[b]) + float(s[0]) / n for n, *s in own]))
+    share |= {usable[i]: found for i, found in _errors(plain, guesses).items()}
     out = [(a, b, (min(1.0, max(0.0, 1 - share[a, b][0] / share[a, b][1])) if share[a, b][1] else 0.0) if (a, b) in share else None) for a, b in pairs]
     return df.sparkSession.createDataFrame(out, "x string, y string, x2y double")
 
 
+def _pair_facts(plain: DataFrame, pairs: list[tuple[int, int]]) -> list:
+    """(n, vary, mean) of each pair of columns x0, x1, ...: rows with both, whether both vary among them, the mean of the second.
+
+    An aggregate of so many columns would be one method too long to be compiled; each partition gives a row a pair.
+    """
+
+    def partial(batches):
+        n, total, low, high = np.zeros(len(pairs)), np.zeros(len(pairs)), np.full((len(pairs), 2), np.inf), np.full((len(pairs), 2), -np.inf)
+        for batch in batches:
+            x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            there = [~np.isnan(v) for v in x]
+            for i, (a, b) in enumerate(pairs):
+                both = there[a] & there[b]
+                if both.any():
+                    own, other = x[a][both], x[b][both]
+                    n[i], total[i] = n[i] + len(own), total[i] + other.sum()
+                    low[i] = np.minimum(low[i], (own.min(), other.min()))
+                    high[i] = np.maximum(high[i], (own.max(), other.max()))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.arange(len(pairs)), n, total, low[:, 0], low[:, 1], high[:, 0], high[:, 1])], names=["pair", "n", "s", "la", "lb", "ha", "hb"])
+
+    rows = plain.mapInArrow(partial, "pair long, n double, s double, la double, lb double, ha double, hb double").groupBy("pair").agg(
+        F.sum("n").cast("long").alias("n"), ((F.min("la") < F.max("ha")) & (F.min("lb") < F.max("hb"))).alias("vary"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean")
+    ).collect()  # pairs
+    empty = Row(pair=-1, n=0, vary=False, mean=None)
+    found = {r.pair: r for r in rows}
+    return [found.get(i, empty) for i in range(len(pairs))]
+
+
+def _errors(plain: DataFrame, guesses: list[tuple]) -> dict[int, tuple[float, float]]:
+    """guesses: (key, x, y, mean of y, cuts of x, guesses between them). By key the sums of absolute errors, the mean's after them."""
+    if not guesses:
+        return {}
+
+    def partial(batches):
+        own, base = np.zeros(len(guesses)), np.zeros(len(guesses))
+        for batch in batches:
+            x = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for i, (_, a, b, mean, cuts, values) in enumerate(guesses):
+                told = np.asarray(values)[np.searchsorted(cuts, x[a])]
+                off = ~(np.isnan(x[a]) | np.isnan(x[b]))
+                own[i] += np.abs(x[b] - told)[off].sum()
+                base[i] += np.abs(x[b] - mean)[off].sum()
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in guesses]), pa.array(own), pa.array(base)], names=["key", "own", "base"])
+
+    rows = plain.mapInArrow(partial, "key long, own double, base double").groupBy("key").agg(F.sum("own").alias("own"), F.sum("base").alias("base")).collect()  # pairs
+    return {r.key: (r.own, r.base) for r in rows}
+
+
 def distances(df: DataFrame, columns: list[str], metric: str = "common pearson") -> np.ndarray:
     """metric: raw, common, absolute or sqrt with pearson or spearman, or x2y."""
     if metric == "x2y":

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lendframe.functions.scratch import release, stored
 from lendframe.functions.special import clean, is_numeric
-from lendframe.operators.quantiles import sliced
+from lendframe.operators.quantiles import below, sliced
 from lendframe.operators.woe import MAPPED_LEVELS
 
 #: Gains up to this are none.
@@ -85,14 +85,14 @@ def codes(df: DataFrame, factors: list[str], missing: float | None = None) -> di
     return out
 
 
-def best_cuts(cells: DataFrame, least: list[int]) -> DataFrame:
+def best_cuts(cells: DataFrame, least: list[int], distinct: bool = False) -> DataFrame:
     """cells: (tree, node, at, v, n, s0, s1, ...), ``n`` rows with the sums of the targets. One row (tree, node, at, cut) for each
-    node that some cut improves, with the tree's ``least`` rows or more on both sides."""
+    node that some cut improves, with the tree's ``least`` rows or more on both sides. ``distinct``: a value is one row already."""
     key, sums = ["tree", "node", "at"], [c for c in cells.columns if c[0] == "s"]
     counted = [F.sum(c).alias(c) for c in ("n", *sums)]
     # as many slices a key as a shuffle has tasks
     slices = max(8, min(1024, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = sliced(cells.groupBy(*key, "v").agg(*counted), key, slices)
+    rows = sliced(cells if distinct else cells.groupBy(*key, "v").agg(*counted), key, slices)
     along, all_of = Window.partitionBy(*key).orderBy("slice"), Window.partitionBy(*key)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     # as many rows a key as there are slices
@@ -118,14 +118,16 @@ def best_cuts(cells: DataFrame, least: list[int]) -> DataFrame:
 
 
 def grow(
-    df: DataFrame, target: Column | list[list[Column]], columns: list[dict[str, Column]], least: int | list[int], max_depth: int | None = None, weights: list[Column] | None = None
+    df: DataFrame, target: Column | list[list[Column]], columns: list[dict[str, Column]], least: int | list[int], max_depth: int | None = None, weights: list[Column] | None = None,
+    leaves: dict | None = None,
 ) -> list[Tree]:
     """One tree for each set of numeric ``columns``, all grown level by level together.
 
     ``target`` holds whole numbers or decimals; it is one column, or a list of columns of one type for each tree, whose errors add
     up (0/1 columns of classes: Gini). ``weights`` (whole numbers) say how often a row is in a tree's sample. Rows with a NULL in
     a tree's target or columns aren't in its sample. Without ``max_depth`` trees grow as long as a cut leaves ``least`` rows (a
-    number for all or for each tree) on both sides. What is needed is written once to the shared folder, so that levels don't
+    number for all or for each tree) on both sides. ``leaves`` is filled with (n, s0, s1, ...) by (tree, leaf), where all trees have
+    one column. What is needed is written once to the shared folder, so that levels don't
     derive it again.
     """
     targets = target if isinstance(target, list) else [[target]] * len(columns)
@@ -136,16 +138,81 @@ def grow(
             place[id(c)] = f"x{len(place)}"
             kept.append(c.alias(place[id(c)]))
     stored_as = lambda c: F.col(place[id(c)])
+    least = [max(1, n) for n in (least if isinstance(least, list) else [least] * len(columns))]
+    goals, times = [[stored_as(c) for c in own] for own in targets], [stored_as(w).cast("long") for w in weights or []]
+    if columns and all(len(own) == 1 for own in columns):
+        (names, values) = zip(*[next((name, place[id(c)]) for name, c in own.items()) for own in columns])
+        # a tree of one column needs no more than the sums at each value
+        narrow = stored(_value_sums(df.select(*kept), goals, list(values), times), "tree-values")
+        try:
+            trees = _levels_of_values(narrow, list(names), max(map(len, targets)), least, max_depth)
+            if leaves is not None:
+                leaves.update(_leaf_sums(narrow, trees, max(map(len, targets))))
+            return trees
+        finally:
+            release(narrow)
     narrow = stored(df.select(*kept), "tree-cells")
     try:
-        return _levels(
-            narrow, [[stored_as(c) for c in own] for own in targets], [{name: stored_as(c) for name, c in own.items()} for own in columns],
-            [max(1, n) for n in (least if isinstance(least, list) else [least] * len(columns))], max_depth, [stored_as(w).cast("long") for w in weights or []],
-        )
+        return _levels(narrow, goals, [{name: stored_as(c) for name, c in own.items()} for own in columns], least, max_depth, times)
     finally:
         release(narrow)
 
 
+def _value_sums(df: DataFrame, targets: list[list[Column]], values: list[str], weights: list[Column]) -> DataFrame:
+    """(tree, v, n, s0, s1, ...) of trees of one column each: the sums at each value. Trees of one column share its rows."""
+    width, by = max(map(len, targets)), {}
+    for t, v in enumerate(values):
+        by.setdefault(v, []).append(t)
+    slots = max(map(len, by.values()))
+    cells = []
+    for v, own in by.items():
+        fields = []
+        for j in range(slots):
+            # a column of fewer trees than another has slots of nothing
+            t = own[min(j, len(own) - 1)]
+            times = weights[t] if weights else F.lit(1).cast("long")
+            sample = whole(dict(enumerate(targets[t]))) & (times > 0) if j < len(own) else F.lit(False)
+            fields.append(F.when(sample, times).alias(f"n_{j}"))
+            for i in range(width):
+                goal = targets[t][i] if i < len(targets[t]) else targets[t][0] * 0
+                fields.append(F.when(sample, goal * times if weights else goal).alias(f"s{i}_{j}"))
+        cells.append(F.struct(F.lit(own).alias("trees"), F.col(v).cast("double").alias("v"), *fields))
+    sums = [f"{c}_{j}" for j in range(slots) for c in ("n", *[f"s{i}" for i in range(width)])]
+    counted = df.select(F.inline(F.array(*cells))).where("v is not null").groupBy("trees", "v").agg(*[F.sum(c).alias(c) for c in sums])
+    apart = F.array(*[F.struct(F.get("trees", F.lit(j)).alias("tree"), F.col(f"n_{j}").alias("n"), *[F.col(f"s{i}_{j}").alias(f"s{i}") for i in range(width)]) for j in range(slots)])
+    return counted.select("v", F.inline(apart)).where("n > 0")
+
+
+def _placed(sums: DataFrame, ranges: list[tuple]) -> DataFrame:
+    """ranges: (tree, cuts, names of the nodes between them). Adds ``node`` to the rows of these trees."""
+    # a row a tree
+    table = sums.sparkSession.createDataFrame(ranges, "e_tree int, edges array<double>, nodes array<string>")
+    joined = sums.join(F.broadcast(table), F.col("tree") == F.col("e_tree"))
+    return below(joined, "edges", "v", max(len(cuts) for _, cuts, _ in ranges), "__at").withColumn("node", F.get("nodes", F.col("__at")))
+
+
+def _leaf_sums(sums: DataFrame, trees: list[Tree], width: int) -> dict[tuple[int, str], tuple]:
+    placed = _placed(sums, [(t, sorted(c for _, c in tree.splits.values()), tree.leaves()) for t, tree in enumerate(trees)])
+    found = placed.groupBy("tree", "node").agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(width)])]).collect()  # leaves
+    return {(r.tree, r.node): tuple(r)[2:] for r in found}
+
+
+def _levels_of_values(sums: DataFrame, names: list[str], width: int, least: list[int], max_depth: int | None) -> list[Tree]:
+    """``_levels`` on the table of ``_value_sums``: a node is a range of values."""
+    trees, depth = [Tree() for _ in names], 0
+    open_nodes = {(t, "") for t in range(len(names))}
+    while open_nodes and (max_depth is None or depth < max_depth):
+        ranges = [(t, sorted(c for _, c in tree.splits.values()), [n if (t, n) in open_nodes else None for n in tree.leaves()]) for t, tree in enumerate(trees) if any(own == t for own, _ in open_nodes)]
+        cells = _placed(sums, ranges).where("node is not null").select("tree", "node", F.lit(0).alias("at"), "v", "n", *[f"s{i}" for i in range(width)])
+        found = best_cuts(cells, least, distinct=True).collect()
+        open_nodes = set()
+        for r in found:  # one row a node
+            trees[r.tree].splits[r.node] = (names[r.tree], float(r.cut))
+            open_nodes |= {(r.tree, r.node + "0"), (r.tree, r.node + "1")}
+        depth += 1
+    return trees
+
+
 def _levels(df: DataFrame, targets: list[list[Column]], columns: list[dict[str, Column]], least: list[int], max_depth: int | None, weights: list[Column]) -> list[Tree]:
     trees, depth, width = [Tree() for _ in columns], 0, max(map(len, targets), default=0)
     open_nodes = {(t, "") for t, own in enumerate(columns) if own}
