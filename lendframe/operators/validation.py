@@ -7,12 +7,14 @@ cdf of ``functions.dist``, so that they can be checked in SQL.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import beta_cdf, binomial_cdf, chi2_ppf, chi2_sf, f_sf, phi, phi_column, phi_inverse, two_sided
-from lendframe.functions.draws import normal
+from lendframe.functions.draws import normals
+from lendframe.functions.scratch import ship
 from lendframe.operators.metrics import cut, quantile_edges
 
 
@@ -319,15 +321,41 @@ def evrs(df: DataFrame, y: str, pd_est: str, pd_bm: str, id_col: str, lgd: float
     """
     loss = F.lit(lgd) if isinstance(lgd, float) else F.col(lgd)
     base = df.select(F.col(id_col).alias("id"), F.col(y).alias("y"), F.col(pd_est).alias("e"), F.col(pd_bm).alias("b"), loss.cast("double").alias("lgd")).dropna()
-    drawn = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
-    cells = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("p")) for n, c in (("estimated", "e"), ("benchmark", "b"))])
-    rows = drawn.select("id", "y", "b", "lgd", "sim", F.inline(cells))
-    safe = F.greatest(F.least(F.col("p"), F.lit(1 - 1e-10)), F.lit(1e-10))
-    odds = F.log(safe / (1 - safe)) + 0.5 * normal(F.lit(seed), F.col("id"), F.col("sim"), F.col("model"))
-    priced = rows.withColumns({"own": spread(1 / (1 + F.exp(-odds)), F.col("lgd"), rf), "fair": spread(F.col("b"), F.col("lgd"), rf)})
-    stays = 1 - F.exp(-elasticity * F.greatest(F.col("own") - F.col("fair"), F.lit(0.0))) < threshold
-    gain = F.when(stays, F.when(F.col("y") == 1, -F.col("lgd")).otherwise(F.col("own")))
-    return priced.groupBy("sim", "model").agg(F.coalesce(F.avg(gain), F.lit(0.0)).alias("portfolio_return"))
+    ship(df.sparkSession)
+    # every row is drawn for 2 * sims times, so that the few partitions of a scan would be too few
+    dealt = base.select(F.col("id").cast("string"), *[F.col(c).cast("double") for c in ("y", "e", "b", "lgd")]).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    sums = dealt.mapInArrow(partial(_returns, sims=sims, seed=seed, rf=rf, elasticity=elasticity, threshold=threshold), "sim int, model string, total double, n long")
+    return sums.groupBy("sim", "model").agg(F.coalesce(F.try_divide(F.sum("total"), F.sum("n")), F.lit(0.0)).alias("portfolio_return"))
+
+
+def _returns(batches, sims: int, seed: int, rf: float, elasticity: float, threshold: float):
+    """Rows (sim, model, total, n) of one partition: the gain of those who stay and their number."""
+    import numpy as np
+    import pyarrow as pa
+
+    total, n, seen = np.zeros((sims, 2)), np.zeros((sims, 2), dtype=np.int64), False
+    asked = lambda p, lgd: (1 + rf) / (1 - np.clip(p * lgd, 0.0, 0.999)) - 1 - rf
+    for batch in batches:
+        names = np.array([v.encode() for v in batch.column("id").to_pylist()], dtype=object)
+        lengths = np.array([len(v) for v in names], dtype=int)
+        y, e, b, lgd = (batch.column(c).to_numpy() for c in ("y", "e", "b", "lgd"))
+        for length in np.unique(lengths):  # keys of one length are hashed together
+            seen, own = True, np.nonzero(lengths == length)[0]
+            middles = np.frombuffer(b"".join(names[own]), np.uint8).reshape(len(own), length)
+            fair, bad, loss = asked(b[own], lgd[own]), y[own] == 1, lgd[own]
+            for m, (model, p) in enumerate((("estimated", e[own]), ("benchmark", b[own]))):
+                safe = np.clip(p, 1e-10, 1 - 1e-10)
+                odds = np.log(safe / (1 - safe))
+                for sim in range(sims):
+                    noise = normals(f"{seed}|".encode(), middles, f"|{sim + 1}|{model}".encode())
+                    price = asked(1 / (1 + np.exp(-(odds + 0.5 * noise))), loss)
+                    stays = 1 - np.exp(-elasticity * np.maximum(price - fair, 0.0)) < threshold
+                    total[sim, m] += np.where(bad, -loss, price)[stays].sum()
+                    n[sim, m] += np.count_nonzero(stays)
+    if seen:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(1, sims + 1), 2), pa.int32()), pa.array(["estimated", "benchmark"] * sims), pa.array(total.ravel()), pa.array(n.ravel())], names=["sim", "model", "total", "n"]
+        )
 
 
 def evrs_summary(returns: DataFrame) -> DataFrame:
