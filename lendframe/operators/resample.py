@@ -19,8 +19,8 @@ from lendframe.operators.glm import Cells, compress, fit_groups, fit_logit
 from lendframe.operators.metrics import auc
 from lendframe.operators.quantiles import slices_of
 
-#: Counts of cells and draws that one aggregate of the bootstrap brings to the driver at most, more than one draw at a time.
-DRAWN = 200_000
+#: Rows of a cell that a task of the bootstrap counts at once, and draws that a task fits.
+CELL, DRAWS = 50_000, 20
 #: Rows of a block that is compared with another block, and rows of it whose distances are held at once.
 BLOCK, STRIP = 2048, 128
 
@@ -104,8 +104,8 @@ def kfold_validation(df: DataFrame, y: str, predictors: list[str], id_col: str,
 def bootstrap_validation(df: DataFrame, y: str, predictors: list[str], id_col: str, b: int = 20, seed: int = 1122) -> DataFrame:
     """Refit on Poisson(1) weighted rows, AUC on the rows left out of each draw.
 
-    Coded factors have few distinct rows: then aggregates over many draws at once give the counts of these, and the fits
-    run on the counts. Else each draw is fitted on the rows.
+    Coded factors have few distinct rows: then these are counted for all draws, and the fits run on the counts, in tasks of some
+    draws each. Else each draw is fitted on the rows.
     """
     columns = [y, *predictors]
     rows = df.select(id_col, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).dropna(subset=columns)
@@ -118,26 +118,74 @@ def bootstrap_validation(df: DataFrame, y: str, predictors: list[str], id_col: s
             got = auc(drawn.where("__w = 0").select(y, fit.probability().alias("p")), "p", y).first()
             out.append((i, got.auc, got.ks, got.gini))
     else:
-        step = max(1, DRAWN // len(cells.count))
-        for start in range(0, b, step):
-            drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(start), F.lit(min(b, start + step) - 1))))
-            weighted = drawn.withColumn("__w", _poisson(id_col, F.col("draw"), seed))
-            counts = weighted.groupBy("draw", *columns).agg(F.sum("__w").alias("__in"), F.count_if(F.col("__w") == 0).alias("__out")).toArrow().to_pandas()
-            for i, part in sorted(counts.groupby("draw")):
-                fit = Cells({c: part[c].to_numpy() for c in columns}, part["__in"].to_numpy()).fit(y, list(predictors))
-                line = fit.intercept + sum(fit.coefficients[c] * part[c].to_numpy() for c in predictors)
-                out.append((int(i), *_counted_auc(1 / (1 + np.exp(-line)), part[y].to_numpy(), part["__out"].to_numpy())))
+        out = _drawn_fits(rows, id_col, cells, y, list(predictors), b, seed)
+        return out.orderBy("draw")
     return df.sparkSession.createDataFrame(out, "draw int, auc double, ks double, gini double")
 
 
+def _drawn_fits(rows: DataFrame, id_col: str, cells: Cells, y: str, predictors: list[str], b: int, seed: int) -> DataFrame:
+    """Rows are grouped by their cell, of which a large one is parted, and counted for all draws; then each draw is fitted in a task."""
+    spark, columns = rows.sparkSession, [y, *predictors]
+    ship(spark)
+    parts = -(-cells.count // CELL)
+    known = [(i, int(parts[i]), *(float(cells.columns[c][i]) for c in columns)) for i in range(len(cells.count))]
+    names = [f"c{i}" for i in range(len(columns))]
+    table = spark.createDataFrame(known, "cell int, parts int, " + ", ".join(f"{n} double" for n in names))
+    # at most as many rows as ``compress`` lets pass
+    placed = rows.join(F.broadcast(table), [F.col(f"`{c}`") == F.col(n) for c, n in zip(columns, names)])
+    keyed = placed.select("cell", _start(id_col, seed).alias("start"), "parts").withColumn("part", F.pmod(F.xxhash64("start"), F.col("parts")))
+    counts = keyed.select("cell", "part", "start").groupBy("cell", "part").applyInArrow(lambda g: _draw_counts(g, b), "block int, cell int, inside binary, outside binary")
+    fits = counts.groupBy("block").applyInArrow(lambda g: _fit_draws(g, cells, y, predictors, b), "draw int, auc double, ks double, gini double")
+    return stored(fits, "bootstrap")
+
+
+def _draw_counts(group: pa.Table, b: int) -> pa.Table:
+    """For each block of draws: how often the cell's rows are in each of them, and how many are left out."""
+    start = group["start"].to_numpy().astype(np.uint32)
+    chances = [np.uint32(math.ceil(c * 2**32)) for c in POISSON]
+    inside, outside = np.zeros(b, np.int64), np.zeros(b, np.int64)
+    width = max(1, (1 << 20) // len(start))
+    for first in range(0, b, width):
+        draws = (np.arange(first, min(b, first + width), dtype=np.uint64) * np.uint64(2654435761)).astype(np.uint32)
+        # 32-bit words wrap as the remainders of _poisson do
+        mixed = draws[:, None] + start
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(739982445)
+        reached = [np.count_nonzero(mixed >= c, axis=1) for c in chances]
+        inside[first : first + width], outside[first : first + width] = sum(reached), len(start) - reached[0]
+    blocks = range(0, b, DRAWS)
+    return pa.table({
+        "block": pa.array(range(len(blocks)), pa.int32()), "cell": pa.array([group["cell"][0].as_py()] * len(blocks), pa.int32()),
+        "inside": pa.array([inside[f : f + DRAWS].tobytes() for f in blocks], pa.binary()), "outside": pa.array([outside[f : f + DRAWS].tobytes() for f in blocks], pa.binary()),
+    })
+
+
+def _fit_draws(group: pa.Table, cells: Cells, y: str, predictors: list[str], b: int) -> pa.Table:
+    first, at = group["block"][0].as_py() * DRAWS, group["cell"].to_numpy()
+    own = min(b, first + DRAWS) - first
+    inside, outside = np.zeros((own, len(cells.count))), np.zeros((own, len(cells.count)))
+    for name, held in (("inside", inside), ("outside", outside)):
+        for cell, value in zip(at, group[name]):
+            held[:, cell] += np.frombuffer(value.as_py(), np.int64)
+    out = []
+    for i in range(own):
+        fit = Cells(cells.columns, inside[i]).fit(y, predictors)
+        line = fit.intercept + sum(fit.coefficients[c] * cells.columns[c] for c in predictors)
+        out.append((first + i, *_counted_auc(1 / (1 + np.exp(-line)), cells.columns[y], outside[i])))
+    draw, *measures = zip(*out)
+    return pa.table({"draw": pa.array(draw, pa.int32()), **{n: pa.array(m, pa.float64()) for n, m in zip(("auc", "ks", "gini"), measures)}})
+
+
 #: Cumulative chances of 0, 1, ... 5 of a Poisson variable of mean 1 (fixed values).
 POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)
 
 
+def _start(id_col: str, seed: int) -> Column:
+    return F.conv(F.substring(hashed(F.lit(seed), F.col(id_col)), 1, 8), 16, 10).cast("long")
+
+
 def _poisson(id_col: str, draw: Column, seed: int) -> Column:
     """How often a row is in a draw: from a 32-bit hash of its id that every draw moves on by a multiplicative step."""
-    start = F.conv(F.substring(hashed(F.lit(seed), F.col(id_col)), 1, 8), 16, 10).cast("long")
-    mixed = (start + draw * F.lit(2654435761)) % F.lit(1 << 32)
+    mixed = (_start(id_col, seed) + draw * F.lit(2654435761)) % F.lit(1 << 32)
     u = (mixed.bitwiseXOR(F.shiftright(mixed, 15)) * F.lit(739982445)) % F.lit(1 << 32) / F.lit(float(1 << 32))
     return sum((u >= c).cast("int") for c in POISSON)
 
