@@ -1,21 +1,25 @@
 """Trees that try every cut between two distinct values, many trees and nodes in shared aggregates.
 
-Each level is one job. The rows of all open nodes are counted by (tree, node, column, value), with the sum of the target; the
-counted values are dealt to slices of ascending values, and running sums over the slices' totals, then inside each slice, give both
-sides of every cut. No task holds a column, and one row for each open node, its best cut, reaches the driver. The gain is the
-fall of the squared error, which for a target of 0 and 1 is half that of the Gini impurity. Sums are of whole numbers or
-decimals, so that they, and the choice among equal gains (first column, lowest cut), don't depend on partitions.
+Trees of one column grow on the sums at each value, which are dealt to slices of ascending values. For trees of several columns the
+rows are sorted once by each column, in parts of ascending values. Running sums over the totals of slices or parts, then inside
+each, give both sides of every cut. No task holds a column; the totals of the parts and the best cut of each open node reach the
+driver. The gain is the fall of the squared error, which for a target of 0 and 1 is half that of the Gini impurity. Sums are of
+whole numbers or decimals, so that they, and the choice among equal gains (first column, lowest cut), don't depend on partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
-from lendframe.functions.scratch import release, stored
+from lendframe.functions.scratch import release, ship, stored
 from lendframe.functions.special import clean, is_numeric
 from lendframe.operators.quantiles import below, sliced
 from lendframe.operators.woe import MAPPED_LEVELS
@@ -214,25 +218,219 @@ def _levels_of_values(sums: DataFrame, names: list[str], width: int, least: list
 
 
 def _levels(df: DataFrame, targets: list[list[Column]], columns: list[dict[str, Column]], least: list[int], max_depth: int | None, weights: list[Column]) -> list[Tree]:
-    trees, depth, width = [Tree() for _ in columns], 0, max(map(len, targets), default=0)
+    """Trees of several columns. The rows are sorted once by each column, and a level is two passes over them that no shuffle follows:
+    the totals of the open nodes in each part, then every cut inside the parts."""
+    trees, depth = [Tree() for _ in columns], 0
     open_nodes = {(t, "") for t, own in enumerate(columns) if own}
-    while open_nodes and (max_depth is None or depth < max_depth):
-        cells = []
-        for t in sorted({t for t, _ in open_nodes}):
-            times = weights[t] if weights else F.lit(1).cast("long")
-            sample = whole(columns[t]) & whole(dict(enumerate(targets[t]))) & (times > 0)
-            node = F.when(sample, trees[t].place(columns[t]))
-            node = F.when(node.isin(sorted(n for own, n in open_nodes if own == t)), node)
-            # a tree of fewer targets than another has sums of nothing
-            sums = [*targets[t], *[targets[t][0] * 0 for _ in range(width - len(targets[t]))]]
-            sums = [(c * times if weights else c).alias(f"s{i}") for i, c in enumerate(sums)]
-            cells += [
-                F.struct(F.lit(t).alias("tree"), node.alias("node"), F.lit(at).alias("at"), c.cast("double").alias("v"), times.alias("n"), *sums) for at, c in enumerate(columns[t].values())
-            ]
-        found = best_cuts(df.select(F.inline(F.array(*cells))).where("node is not null"), least).collect()
-        open_nodes = set()
-        for r in found:  # one row a node
-            trees[r.tree].splits[r.node] = (list(columns[r.tree])[r.at], float(r.cut))
-            open_nodes |= {(r.tree, r.node + "0"), (r.tree, r.node + "1")}
-        depth += 1
+    if not open_nodes or max_depth == 0:
+        return trees
+    ship(df.sparkSession)
+    plan, rows = _sorted(df, targets, columns, weights)
+    rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        while open_nodes and (max_depth is None or depth < max_depth):
+            state = [(t, trees[t].splits, sorted(n for own, n in open_nodes if own == t)) for t in sorted({t for t, _ in open_nodes})]
+            # a row for each part, open node and column
+            parts = rows.mapInArrow(lambda b, s=state: _part_totals(b, plan, s), "part int, tree int, node string, at int, first double, sums array<long>").collect()
+            begun = _before(parts)
+            cuts = rows.mapInArrow(lambda b, s=state: _part_cuts(b, plan, s, begun, least), "tree int, node string, at int, v double, cut double, gain double")
+            best = F.max_by(F.struct("at", "cut"), F.struct("gain", -F.col("at"), -F.col("v"))).alias("best")
+            found = cuts.groupBy("tree", "node").agg(best).select("tree", "node", "best.*").collect()
+            open_nodes = set()
+            for r in found:  # one row a node
+                trees[r.tree].splits[r.node] = (list(columns[r.tree])[r.at], float(r.cut))
+                open_nodes |= {(r.tree, r.node + "0"), (r.tree, r.node + "1")}
+            depth += 1
+    finally:
+        rows.unpersist()
     return trees
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """Where a tree finds what it needs in a sorted row: ``columns`` its (name, number of the value column), ``goals`` its targets' numbers."""
+
+    columns: list[list[tuple[str, int]]]
+    goals: list[list[int]]
+    weighted: bool
+    scales: list[int | None]
+
+    def width(self) -> int:
+        """Numbers of a running total: the weight, and two for each target."""
+        return 1 + 2 * max(map(len, self.goals))
+
+
+#: Decimals are summed in two whole numbers, the upper one in units of this.
+UPPER = 10**9
+
+
+def _sorted(df: DataFrame, targets: list[list[Column]], columns: list[dict[str, Column]], weights: list[Column]) -> tuple[_Plan, DataFrame]:
+    """(part, col, v, x0, x1, ..., g0, l0, ..., w0, ...): each row once for each value column that it has a value in. Parts hold ascending
+    ranges of (col, v); equal values may lie in several parts, so that none of them must hold a frequent value alone."""
+    place: dict[str, int] = {}
+    goal_at: dict[str, int] = {}
+    values, goals = [], []
+    for c in (c for own in columns for c in own.values()):
+        if str(c) not in place:
+            place[str(c)] = len(values)
+            values.append(c.cast("double"))
+    for c in (c for own in targets for c in own):
+        if str(c) not in goal_at:
+            goal_at[str(c)] = len(goals)
+            goals.append(c)
+    types = [f.dataType for f in df.select(*goals).schema]
+    scales = [t.scale if isinstance(t, DecimalType) else None for t in types]
+    cells = [c.alias(f"x{i}") for i, c in enumerate(values)]
+    for i, (c, scale) in enumerate(zip(goals, scales)):
+        if scale is None:
+            cells += [F.lit(0).cast("long").alias(f"g{i}"), c.cast("long").alias(f"l{i}")]
+        else:
+            units = (c.cast(f"decimal(38,{scale})") * F.lit(10**scale).cast(f"decimal({scale + 1},0)")).cast("decimal(38,0)")
+            upper = F.floor(units / UPPER).cast("long")
+            cells += [upper.alias(f"g{i}"), (units - upper.cast("decimal(19,0)") * UPPER).cast("long").alias(f"l{i}")]
+    cells += [w.alias(f"w{i}") for i, w in enumerate(weights)]
+    n = len(values)
+    each = df.select(*cells).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # -0.0 and 0.0 are one value
+    each = each.withColumn("v", F.element_at(F.array(*[f"x{i}" for i in range(n)]), F.col("col") + 1) + 0.0).where("v is not null")
+    parts = n * max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = each.repartitionByRange(parts, "col", "v", F.xxhash64(*[f"x{i}" for i in range(n)], *[f"w{i}" for i in range(len(weights))])).sortWithinPartitions("col", "v")
+    plan = _Plan([[(name, place[str(c)]) for name, c in own.items()] for own in columns], [[goal_at[str(c)] for c in own] for own in targets], bool(weights), scales)
+    return plan, dealt.withColumn("part", F.spark_partition_id())
+
+
+def _node_rows(batches: Iterator, plan: _Plan, state: list[tuple]) -> Iterator[tuple]:
+    """For each batch, column and open node: (part, tree, node, at, values, numbers to be summed), rows in the order of the values."""
+    for batch in batches:
+        got = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        numbers = {}
+
+        def of(name: str) -> np.ndarray:
+            if name not in numbers:
+                # NULLs are told by the validity of the column
+                own = got[name].fill_null(0) if got[name].null_count else got[name]
+                numbers[name] = own.to_numpy(zero_copy_only=False)
+            return numbers[name]
+
+        part, col, v = of("part"), of("col"), of("v")
+        edges = np.flatnonzero(np.r_[True, (col[1:] != col[:-1]) | (part[1:] != part[:-1])]) if len(v) else []
+        for lo, hi in zip(edges, [*edges[1:], len(v)]):
+            for t, splits, nodes in state:
+                ats = [at for at, (_, c) in enumerate(plan.columns[t]) if c == col[lo]]
+                if not ats:
+                    continue
+                within = np.ones(hi - lo, bool)
+                for _, c in plan.columns[t]:
+                    if got[f"x{c}"].null_count:
+                        within &= got[f"x{c}"].slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
+                for g in plan.goals[t]:
+                    if got[f"l{g}"].null_count:
+                        within &= got[f"l{g}"].slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
+                if plan.weighted:
+                    within &= of(f"w{t}")[lo:hi] > 0
+                where = {"": np.flatnonzero(within)}
+                numbers_of = dict(plan.columns[t])
+                for node in sorted(splits, key=len):
+                    name, cut = splits[node]
+                    inside = where.pop(node)
+                    left = of(f"x{numbers_of[name]}")[lo:hi][inside] <= cut
+                    where[node + "0"], where[node + "1"] = inside[left], inside[~left]
+                for node in nodes:
+                    inside = where[node]
+                    if len(inside):
+                        sums = np.zeros((len(inside), plan.width()), np.int64)
+                        times = sums[:, 0] = of(f"w{t}")[lo:hi][inside] if plan.weighted else 1
+                        for i, g in enumerate(plan.goals[t]):
+                            for j, name in enumerate((f"g{g}", f"l{g}")):
+                                if j or plan.scales[g] is not None:
+                                    sums[:, 1 + 2 * i + j] = of(name)[lo:hi][inside].astype(np.int64) * times
+                        for at in ats:
+                            yield int(part[lo]), t, node, at, v[lo:hi][inside], sums
+
+
+def _part_totals(batches: Iterator, plan: _Plan, state: list[tuple]) -> Iterator:
+    import pyarrow as pa
+
+    total: dict[tuple, list] = {}
+    for part, t, node, at, v, sums in _node_rows(batches, plan, state):
+        key = (part, t, node, at)
+        if key in total:
+            total[key][1] += sums.sum(axis=0)
+        else:
+            total[key] = [float(v[0]), sums.sum(axis=0)]
+    names = ("part", "tree", "node", "at")
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32())
+    yield pa.RecordBatch.from_arrays(
+        [*[pa.array([k[i] for k in total], kind) for i, kind in enumerate(kinds)], pa.array([f for f, _ in total.values()], pa.float64()), pa.array([s.tolist() for _, s in total.values()], pa.list_(pa.int64()))],
+        names=[*names, "first", "sums"],
+    )
+
+
+def _before(parts: list) -> dict[tuple, tuple]:
+    """(part, tree, node, at): the totals of the parts before, those of all, and the first value of the parts after (None at the end)."""
+    by: dict[tuple, list] = {}
+    for r in parts:
+        by.setdefault((r.tree, r.node, r.at), []).append(r)
+    out = {}
+    for (t, node, at), own in by.items():
+        own.sort(key=lambda r: r.part)
+        run = np.cumsum([r.sums for r in own], axis=0)
+        for i, r in enumerate(own):
+            out[r.part, t, node, at] = (run[i] - np.array(r.sums), run[-1], own[i + 1].first if i + 1 < len(own) else None)
+    return out
+
+
+def _doubles(plan: _Plan, t: int, sums: np.ndarray) -> list[np.ndarray]:
+    """The targets' sums, exact ones rounded once."""
+    out = []
+    for i, g in enumerate(plan.goals[t]):
+        upper, lower = sums[:, 1 + 2 * i], sums[:, 2 + 2 * i]
+        if plan.scales[g] is None:
+            out.append(lower.astype(float))
+        else:
+            out.append(((upper.astype(np.longdouble) * UPPER + lower) / np.longdouble(10 ** plan.scales[g])).astype(float))
+    return out
+
+
+def _part_cuts(batches: Iterator, plan: _Plan, state: list[tuple], begun: dict[tuple, tuple], least: list[int]) -> Iterator:
+    """The best cut of each part, node and column. The last row seen waits until the next value of its node is known."""
+    import pyarrow as pa
+
+    waiting: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+    best: dict[tuple, tuple[float, float, float]] = {}
+
+    def try_cuts(key: tuple, v: np.ndarray, left: np.ndarray) -> None:
+        """Cuts between the values v and the next ones, with the totals up to each."""
+        _, t, node, at = key
+        everything = begun[key][1]
+        apart = np.flatnonzero((v[1:] > v[:-1]) | (np.isnan(v[1:]) & ~np.isnan(v[:-1])))
+        left = left[apart]
+        enough = (left[:, 0] >= least[t]) & (everything[0] - left[:, 0] >= least[t])
+        apart, left = apart[enough], left[enough]
+        if not len(apart):
+            return
+        n, gain = everything[0], np.zeros(len(apart))
+        sides = zip(_doubles(plan, t, left), _doubles(plan, t, everything - left), _doubles(plan, t, everything[None]))
+        for one, two, both in sides:
+            gain = gain + (one * one / left[:, 0] + two * two / (n - left[:, 0]) - both * both / n)
+        k = int(np.argmax(gain))
+        if gain[k] > LEAST_GAIN and (key not in best or gain[k] > best[key][2]):
+            low, after = float(v[apart[k]]), float(v[apart[k] + 1])
+            middle = (low + after) / 2
+            # between neighbouring or endless values there is no middle
+            best[key] = (low, middle if middle < after else low, float(gain[k]))
+
+    for part, t, node, at, v, sums in _node_rows(batches, plan, state):
+        key = (part, t, node, at)
+        v_before, total = waiting.get(key, (v[:0], begun[key][0][None]))
+        left = total[-1] + np.cumsum(sums, axis=0)
+        try_cuts(key, np.concatenate([v_before, v]), np.concatenate([total, left])[-len(v) - len(v_before) :])
+        waiting[key] = (v[-1:], left[-1:])
+    for key, (v, total) in waiting.items():
+        if begun[key][2] is not None:
+            try_cuts(key, np.concatenate([v, [begun[key][2]]]), total)
+    keys = list(best)
+    kinds = {"tree": pa.int32(), "node": pa.string(), "at": pa.int32()}
+    yield pa.RecordBatch.from_arrays(
+        [*[pa.array([k[i + 1] for k in keys], kind) for i, kind in enumerate(kinds.values())], *[pa.array([best[k][i] for k in keys], pa.float64()) for i in range(3)]], names=[*kinds, "v", "cut", "gain"]
+    )
