@@ -146,17 +146,17 @@ class Boosted:
         return df.select(*[F.col(f"`{c}`") for c in keep], *[text(c).alias(f"in_{c}") for c in used]).mapInPandas(score, schema)
 
 
-def binned(df: DataFrame, group: str, groups: int, numeric: list[str], categorical: list[str]) -> Binning:
-    """Exact quantiles of each group's numbers in one query, and the most frequent levels of each category."""
+def binned(df: DataFrame, group: str, groups: int, numeric: list[str], categorical: list[str], copies: str) -> Binning:
+    """Exact quantiles of each group's numbers in one query, and the most frequent levels of each category. A row counts ``copies`` times."""
     points = [i / (BINS - 1) for i in range(1, BINS - 1)]
     edges = {}
     if numeric:
         # groups by columns rows of at most ``BINS`` numbers
-        for r in quantiles.exact(df, {c: F.col(f"`{c}`") for c in numeric}, points, group).collect():
+        for r in quantiles.exact(df, {c: F.col(f"`{c}`") for c in numeric}, points, group, times=copies).collect():
             edges[int(r[group]), r.rf] = np.unique(np.array(r.q))
     levels = {}
     for c in categorical:
-        counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).count()
+        counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).agg(F.sum(copies).alias("count"))
         levels[c] = {r.v: i + 1 for i, r in enumerate(counts.orderBy(F.desc("count"), "v").limit(LEVELS).collect())}
     return Binning(numeric, categorical, edges, levels)
 
@@ -309,19 +309,22 @@ def _histograms(frames: Iterator, state: dict[int, tuple], n_features: int) -> I
 
 def fit_boosted(
     df: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], params: list[Params], group: str | None = None, weight: str | None = None,
+    copies: str | None = None,
 ) -> Boosted:
     """A model for each group 0, 1, ... of the rows of ``df`` (one without ``group``), with the parameters of that number.
 
-    Rows with a NULL y are left out. A group without rows, or of one class, gets its log odds, within +-20, and no trees.
+    A row stands for as many equal ones as ``copies`` says; they are drawn as one where a share of the rows is drawn. Where all rows
+    are used, those of equal bins and y are one row of the sum of their weights. Rows with a NULL y are left out. A group without rows, or of one class, gets its log odds, within +-20, and no trees.
     """
     ship(df.sparkSession)
     groups = len(params)
     own = F.col(f"`{group}`").cast("int") if group else F.lit(0)
+    times, heavy = (F.col(f"`{copies}`") if copies else F.lit(1)).cast("long"), F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
     rows = df.select(
-        own.alias("g"), F.col(f"`{y}`").cast("double").alias("y"), F.xxhash64(F.col(f"`{id_col}`")).alias("id"), (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("w"),
+        own.alias("g"), times.alias("__copies"), F.col(f"`{y}`").cast("double").alias("y"), F.xxhash64(F.col(f"`{id_col}`")).alias("id"), (heavy * times).alias("w"),
         *[F.col(f"`{c}`").cast("double").alias(c) for c in numeric], *[F.col(f"`{c}`").cast("string").alias(c) for c in categorical],
     ).where(F.col("y").isNotNull())
-    binning = binned(rows, "g", groups, numeric, categorical)
+    binning = binned(rows, "g", groups, numeric, categorical, "__copies")
     n_features, base = len(numeric) + len(categorical), [0.0] * groups
     usable = set()
     for r in rows.groupBy("g").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("bad")).collect():  # a row a group
@@ -339,7 +342,10 @@ def fit_boosted(
             yield pd.DataFrame({"g": g, "y": frame["y"], "id": frame["id"], "w": frame["w"], "bins": [b.tobytes() for b in bins], "margin": np.array(base)[g]})
 
     schema = "g int, y double, id long, w double, bins binary, margin double"
-    table = stored(rows.mapInPandas(prepare, schema), "boosting-rows")
+    table = rows.mapInPandas(prepare, schema)
+    if all(p.subsample >= 1 for p in params):
+        table = table.groupBy("g", "y", "bins").agg(F.sum("w").alias("w"), F.max("margin").alias("margin")).select("g", "y", F.lit(0).cast("long").alias("id"), "w", "bins", "margin")
+    table = stored(table, "boosting-rows")
     trees: list[list[Tree]] = [[] for _ in params]
     since = 0
     for number in range(max(p.trees for p in params)):

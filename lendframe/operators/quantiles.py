@@ -89,11 +89,11 @@ def between(low: Column, high: Column, share: Column) -> Column:
 SPLIT = 134217729.0
 
 
-def exact(df: DataFrame, columns: dict[str, Column], points: list[float], *keys: str) -> DataFrame:
-    """(keys, rf, q): quantiles of the numeric ``columns`` for each key; NULL and NaN don't count."""
+def exact(df: DataFrame, columns: dict[str, Column], points: list[float], *keys: str, times: str | None = None) -> DataFrame:
+    """(keys, rf, q): quantiles of the numeric ``columns`` for each key; NULL and NaN don't count. ``times``: as many equal rows a row stands for."""
     cells = F.array(*[F.struct(F.lit(name).alias("rf"), F.nanvl(c.cast("double"), F.lit(None)).alias("v")) for name, c in columns.items()])
-    long = df.select(*keys, F.inline(cells)).where(F.col("v").isNotNull())
-    counts = long.groupBy(*keys, "rf", "v").agg(F.count(F.lit(1)).alias("n"))
+    long = df.select(*keys, (F.col(times) if times else F.lit(1)).cast("long").alias("__times"), F.inline(cells)).where(F.col("v").isNotNull())
+    counts = long.groupBy(*keys, "rf", "v").agg(F.sum("__times").alias("n"))
     return of_counts(counts, [*keys, "rf"], points)
 
 

@@ -29,10 +29,12 @@ class FoldModel:
     """A model of all folds at once, and so of one.
 
     ``rows`` has a copy of each row for each fold g, with ``__train`` false for the one that the row is tested in, and the numbers
-    capped as the fold's training rows say. The result: the copies to be tested, with a ``proba`` column.
+    capped as the fold's training rows say. ``__n``, 1 if it isn't there, says how many equal training rows a row stands for.
+    ``by_row``: the model needs each row by itself. The result: the copies to be tested, with a ``proba`` column.
     """
 
     name: str
+    by_row = False
 
     def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
         raise NotImplementedError
@@ -59,9 +61,13 @@ def scored_by(rows: DataFrame, fits: list[Logit | None], names: list[str]) -> Da
     return rows.where(~F.col("__train")).withColumn("proba", 1 / (1 + F.exp(-line)))
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows if "__n" in rows.columns else rows.withColumn("__n", F.lit(1).cast("long"))
+
+
 def _design(rows: DataFrame, y: str, names: list[str]) -> DataFrame:
     """What the steps of a fit read, stored: they would make it anew each time."""
-    return stored(rows.select("__id", "g", "fold", "__train", F.col(f"`{y}`"), *[F.col(f"`{n}`").cast("double").alias(n) for n in names]), "fold-design")
+    return stored(rows.select("__id", "g", "fold", "__train", "__n", F.col(f"`{y}`"), *[F.col(f"`{n}`").cast("double").alias(n) for n in names]), "fold-design")
 
 
 class WoeLogit(FoldModel):
@@ -70,9 +76,10 @@ class WoeLogit(FoldModel):
     name = "woe_logit"
 
     def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
-        train, factors = rows.where("__train"), list(categorical)
+        rows, factors = _counted(rows), list(categorical)
+        train = rows.where("__train")
         points = [i / 5 for i in range(1, 5)]
-        found = {(r.g, r.rf): sorted(set(r.q)) for r in quantiles.exact(train, {c: F.col(f"`{c}`") for c in numeric}, points, "g").collect()} if numeric else {}
+        found = {(r.g, r.rf): sorted(set(r.q)) for r in quantiles.exact(train, {c: F.col(f"`{c}`") for c in numeric}, points, "g", times="__n").collect()} if numeric else {}
         bins = {}
         for c in numeric:  # folds by columns by four edges
             edges = F.get(F.array(*[F.array(*[F.lit(float(e)) for e in found.get((g, c), [])]).cast("array<double>") for g in range(k)]), F.col("g"))
@@ -82,7 +89,8 @@ class WoeLogit(FoldModel):
             factors.append(f"{c}_bin")
         rows = rows.withColumns(bins)
         cells = F.array(*[F.struct(F.lit(c).alias("rf"), F.col(f"`{c}`").cast("string").alias("bin")) for c in factors])
-        counts = rows.where("__train").select("g", F.col(y).alias("y"), F.inline(cells)).groupBy("g", "rf", "bin").agg(F.count_if(F.col("y") == 0).alias("good"), F.count_if(F.col("y") == 1).alias("bad"))
+        number = lambda v: F.sum(F.when(F.col("y") == v, F.col("__n")).otherwise(0))
+        counts = rows.where("__train").select("g", F.col(y).alias("y"), "__n", F.inline(cells)).groupBy("g", "rf", "bin").agg(number(0).alias("good"), number(1).alias("bad"))
         totals = counts.groupBy(F.col("g").alias("t_g"), F.col("rf").alias("t_rf")).agg(F.sum("good").alias("goods"), F.sum("bad").alias("bads"))
         shares = counts.join(F.broadcast(totals), (F.col("g") == F.col("t_g")) & (F.col("rf") == F.col("t_rf")))  # folds by factors rows
         floor = lambda a, b: F.greatest(F.try_divide(F.col(a), F.col(b)), F.lit(FLOOR))
@@ -93,7 +101,11 @@ class WoeLogit(FoldModel):
         names = [f"{c}_woe" for c in factors]
         # a level that the training rows don't have counts as neutral
         rows = _design(rows.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names}), y, names)
-        return scored_by(rows, fit_groups(rows.where("__train"), "g", k, y, names), names)
+        # the rows of equal bins are one
+        coded = stored(rows.where("__train").groupBy("g", y, *names).agg(F.sum("__n").alias("__n")), "fold-cells")
+        fits = fit_groups(coded, "g", k, y, names, weight="__n")
+        release(coded)
+        return scored_by(rows, fits, names)
 
 
 class PlainLogit(FoldModel):
@@ -104,13 +116,18 @@ class PlainLogit(FoldModel):
 
     def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
         rows, names = self.design(rows, y, k, numeric, categorical)
-        return scored_by(rows, fit_groups(rows.where("__train"), "g", k, y, names, ridge=1 / self.c), names)
+        return scored_by(rows, fit_groups(rows.where("__train"), "g", k, y, names, weight="__n", ridge=1 / self.c), names)
 
     @staticmethod
     def design(rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, list[str]]:
         """The stored model columns and their names; the scale is that of each fold's training rows."""
-        train = rows.where("__train")
-        got = {r.g: r for r in train.groupBy("g").agg(*[f(F.col(f"`{c}`")).alias(f"{n}_{i}") for i, c in enumerate(numeric) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count(F.lit(1)).alias("n")).collect()}
+        rows = _counted(rows)
+        train, n = rows.where("__train"), F.col("__n")
+        mean_of = lambda c, v: F.try_divide(F.sum(n * v), F.sum(F.when(F.col(f"`{c}`").isNotNull(), n)))
+        means = {r.g: r for r in train.groupBy("g").agg(*[mean_of(c, F.col(f"`{c}`")).alias(f"m_{i}") for i, c in enumerate(numeric)], F.count(F.lit(1)).alias("n")).collect()}
+        off = lambda i, c: F.col(f"`{c}`") - _by_group([(means[g][f"m_{i}"] if g in means else None) for g in range(k)], "double")
+        spreads = {r.g: r for r in train.groupBy("g").agg(*[F.sqrt(mean_of(c, off(i, c) * off(i, c))).alias(f"s_{i}") for i, c in enumerate(numeric)], F.count(F.lit(1)).alias("n")).collect()}
+        got = {g: means[g].asDict() | spreads[g].asDict() for g in means}
         made = {}
         for i, c in enumerate(numeric):
             mean, spread = ([(got[g][f"{n}_{i}"] if g in got else None) for g in range(k)] for n in ("m", "s"))
@@ -126,10 +143,11 @@ class PlainLogit(FoldModel):
 
 class BoostedTrees(FoldModel):
     def __init__(self, params: Params = Params(trees=20, leaves=8, depth=3), name: str = "boosted_trees"):
-        self.params, self.name = params, name
+        self.params, self.name, self.by_row = params, name, params.subsample < 1
 
     def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
-        model = fit_boosted(rows.where("__train"), y, "__id", numeric, categorical, [self.params] * k, "g")
+        rows = _counted(rows)
+        model = fit_boosted(rows.where("__train"), y, "__id", numeric, categorical, [self.params] * k, "g", copies="__n")
         return model.predict(rows.where(~F.col("__train")), "g", ["__id", "g", "fold", y])
 
 
@@ -147,14 +165,32 @@ def spread_out(copies: DataFrame) -> DataFrame:
 
 def fold_copies(rows: DataFrame, id_col: str, numeric: list[str], k: int) -> DataFrame:
     """A copy of each row for each fold g, its numbers capped by the fences of the rows of the other folds."""
+    copies = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("__train", F.col("fold") != F.col("g")).withColumn("__id", F.col(f"`{id_col}`"))
+    return copies.withColumns(_capped(rows, numeric, k))
+
+
+def fold_cells(rows: DataFrame, y: str, id_col: str | None, numeric: list[str], categorical: list[str], k: int) -> DataFrame:
+    """``fold_copies`` with equal rows of a fold as one for training, ``__n`` of them, so that a row is copied once for each fold only if no
+    other equals it. Rows are tested each by itself, or without ``id_col`` as counted ones too."""
+    columns = ["fold", y, *numeric, *categorical]
+    cells = rows.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
+    others = cells.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("fold") != F.col("g"))
+    tested = rows.select(*columns, F.lit(1).cast("long").alias("__n"), F.col(f"`{id_col}`").alias("__id")) if id_col else cells.withColumn("__id", F.lit(None).cast("long"))
+    tested = tested.withColumn("g", F.col("fold")).withColumn("__train", F.lit(False))
+    both = others.withColumn("__id", F.lit(None).cast(tested.schema["__id"].dataType)).withColumn("__train", F.lit(True)).unionByName(tested)
+    dealt = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", *[F.col(f"`{c}`") for c in [*numeric, *categorical]], "__id")
+    return dealt.withColumns(_capped(rows, numeric, k))
+
+
+def _capped(rows: DataFrame, numeric: list[str], k: int) -> dict[str, Column]:
+    """The numbers of a copy for fold g, capped by the fences of the rows of the other folds."""
     fences = profile.fold_safe_caps(rows, "fold", numeric, list(range(k)))
     caps = {(r.fold, r.rf): r.upper_cap for r in fences.collect()} if numeric else {}  # folds by columns rows
-    copies = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("__train", F.col("fold") != F.col("g")).withColumn("__id", F.col(f"`{id_col}`"))
     capped = {}
     for c in numeric:
         cap = _by_group([caps.get((g, c)) for g in range(k)], "double")
         capped[c] = F.when(F.col(f"`{c}`") > cap, cap).otherwise(F.col(f"`{c}`").cast("double"))
-    return copies.withColumns(capped)
+    return capped
 
 
 def run(
@@ -167,7 +203,11 @@ def run(
     """
     spark = df.sparkSession
     rows = stored(resample.folds(df, id_col, y, k, seed), "benchmark-folds")
-    copies = stored(spread_out(fold_copies(rows, id_col, numeric, k)), "benchmark-copies")
+    at_once = [isinstance(m, FoldModel) and not path for m in models]
+    # equal rows are trained on as one, but for models that need them all
+    singly = [not one or m.by_row for m, one in zip(models, at_once)]
+    copies = stored(spread_out(fold_copies(rows, id_col, numeric, k)), "benchmark-copies") if any(singly) else None
+    cells = stored(fold_cells(rows, y, id_col, numeric, categorical, k), "benchmark-cells") if not all(singly) else None
     done = _parts(spark, path) if path else set()
     kept = []
 
@@ -179,11 +219,11 @@ def run(
             part = stored(own, "benchmark-part")
             kept.append(part.withColumn("runtime_s", F.lit(time.time() - began)))
 
-    for m in models:
+    for m, one, by_row in zip(models, at_once, singly):
         # a run that may have to start again goes fold by fold
-        if isinstance(m, FoldModel) and not path:
+        if one:
             began = time.time()
-            keep(m, m.fit_folds(copies, y, k, numeric, categorical), began)
+            keep(m, m.fit_folds(copies if by_row else cells, y, k, numeric, categorical), began)
             continue
         for f in range(k):
             if (m.name, f) not in done:
@@ -195,7 +235,7 @@ def run(
     scored = metrics.all_metrics(out, "proba", "y", "model", "fold")
     # models by folds rows
     scored = scored.join(F.broadcast(timed), (F.col("model") == F.col("t_model")) & (F.col("fold") == F.col("t_fold"))).drop("t_model", "t_fold")
-    release(rows, copies)
+    release(rows, *[d for d in (copies, cells) if d is not None])
     return out, stored(scored, "benchmark-metrics")
 
 
