@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import chi2_sf, two_sided
+from lendframe.functions.scratch import ship
 from lendframe.operators.quantiles import values
 
 
@@ -139,8 +141,74 @@ def fit_groups(
             out[g] = (info, np.array(row[len(pairs) : len(pairs) + k], dtype=float), row[-3], row[-2], row[-1] / row[-2] if row[-2] else 0.0)
         return out
 
-    betas = {g: np.zeros(k) for g in range(groups)}
-    previous, made = dict.fromkeys(betas, math.inf), [None] * groups
+    made = _newton(run, {g: penalties[g] for g in range(groups)}, names, rounds)
+    return [made.get(g) for g in range(groups)]
+
+
+def fit_ridges(df: DataFrame, group: str, groups: int, y: str, names: list[str], ridges: list[float], weight: str | None = None, rounds: int = 25) -> list[list[Logit | None]]:
+    """A logit for each ridge and each group 0, 1, ..., as ``fit_groups`` has it. All ridges share a group's rows: a Newton step is one
+    pass over them, whose tasks add up the cross-products of all fits."""
+    ship(df.sparkSession)
+    k = len(names) + 1
+    rows = df.select(
+        F.col(group).cast("int").alias("g"), F.col(y).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
+        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names)],
+    ).dropna()
+    upper = np.triu_indices(k)
+
+    def run(betas: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], tuple]:
+        asked: dict[int, list[int]] = {}
+        for i, g in betas:
+            asked.setdefault(g, []).append(i)
+        tables = {g: (own, np.array([betas[i, g] for i in own])) for g, own in asked.items()}
+        parts = rows.mapInArrow(lambda b: _moments(b, tables), "fit int, g int, at int, v double")
+        # fits by cross-products rows
+        got = parts.groupBy("fit", "g", "at").agg(F.sum("v").alias("v")).toPandas()
+        out = {}
+        for (i, g), own in got.groupby(["fit", "g"]):
+            row = np.zeros(len(upper[0]) + k + 3)
+            row[own["at"]] = own["v"]
+            info = np.zeros((k, k))
+            info[upper] = row[: len(upper[0])]
+            info = info + np.triu(info, 1).T
+            out[int(i), int(g)] = (info, row[len(upper[0]) : -3], row[-3], row[-2], row[-1] / row[-2] if row[-2] else 0.0)
+        return out
+
+    made = _newton(run, {(i, g): r for i, r in enumerate(ridges) for g in range(groups)}, names, rounds)
+    return [[made.get((i, g)) for g in range(groups)] for i in range(len(ridges))]
+
+
+def _moments(batches: Iterator, tables: dict[int, tuple[list[int], np.ndarray]]) -> Iterator:
+    """tables: group -> (numbers of its fits, their coefficients). Cross-products, gradients, deviance, rows and bads of each fit."""
+    import pyarrow as pa
+
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        g, y, w, *x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        x = np.column_stack([np.ones(len(g)), *x])
+        i, j = np.triu_indices(x.shape[1])
+        for one in np.unique(g):
+            if int(one) in tables:
+                at = np.flatnonzero(g == one)
+                own, t, n = x[at], y[at][:, None], w[at][:, None]
+                with np.errstate(over="ignore"):
+                    p = np.clip(1 / (1 + np.exp(-(own @ tables[int(one)][1].T))), 1e-12, 1 - 1e-12)
+                deviance = -2 * (n * np.log(np.where(t == 1, p, 1 - p))).sum(axis=0)
+                sums = [(n * p * (1 - p)).T @ (own[:, i] * own[:, j]), (n * (t - p)).T @ own, deviance[:, None], np.full((p.shape[1], 1), n.sum()), np.full((p.shape[1], 1), (n * t).sum())]
+                total[int(one)] = total.get(int(one), 0) + np.hstack(sums)
+    for g, sums in total.items():
+        fits, width = sums.shape
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(tables[g][0], width), pa.int32()), pa.array(np.full(fits * width, g), pa.int32()), pa.array(np.tile(np.arange(width), fits), pa.int32()), pa.array(sums.ravel(), pa.float64())],
+            names=["fit", "g", "at", "v"],
+        )
+
+
+def _newton(run, penalties: dict, names: list[str], rounds: int) -> dict:
+    """Fits by key, each with its ridge: Newton steps of all that still move, by one call of ``run`` each."""
+    k = len(names) + 1
+    betas = {g: np.zeros(k) for g in penalties}
+    previous, made = dict.fromkeys(betas, math.inf), {}
     for turn in range(rounds):
         step = run(betas)
         going = {}

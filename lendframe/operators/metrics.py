@@ -48,7 +48,12 @@ def running(rows: DataFrame, *keys: str) -> DataFrame:
 
 def auc(df: DataFrame, score: str, y: str, *keys: str, digits: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties one half; NULL with one class. Also KS = max(TPR - FPR) and Gini."""
-    rows = running(by_score(df, score, y, *keys, digits=digits), *keys)
+    return areas(by_score(df, score, y, *keys, digits=digits), *keys)
+
+
+def areas(counts: DataFrame, *keys: str) -> DataFrame:
+    """``auc`` from the goods g and bads b at each score s of ``keys``."""
+    rows = running(counts, *keys)
     gap = F.try_divide(F.col("tb") - F.col("bb"), F.col("tb")) - F.try_divide(F.col("tg") - F.col("gb"), F.col("tg"))
     area = F.try_divide(F.sum(F.col("b") * (F.col("gb") + F.col("g") / 2)), F.max("tb") * F.max("tg"))
     return rows.groupBy(*keys).agg(area.alias("auc"), F.greatest(F.max(gap), F.lit(0.0)).alias("ks")).withColumn("gini", 2 * F.col("auc") - 1)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from lendframe.functions.scratch import release, stored
 from lendframe.operators import metrics, resample
 from lendframe.operators.boosting import Params, fit_boosted
-from lendframe.operators.glm import fit_groups
-from lendframe.plans.benchmark import PlainLogit, fold_copies, scored_by, spread_out
+from lendframe.operators.glm import fit_ridges
+from lendframe.plans.benchmark import PlainLogit, fold_cells, fold_copies, scored_by, spread_out
 
 TRIALS, INNER_FOLDS, BATCH, FIRST, DRAWN = 50, 5, 10, 10, 24
 
@@ -115,14 +115,17 @@ def inner_auc(copies: DataFrame, y: str, learner: str, trials: list[dict], k: in
     groups = [(t, g) for t in range(len(trials)) for g in range(k)]
     spread = lambda rows: rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1)))).withColumn("g", F.col("trial") * k + F.col("g"))
     if learner == "logit":
-        rows, names = spread(design[0]), design[1]
-        fits = fit_groups(rows.where("__train"), "g", len(groups), y, names, ridge=[1 / trials[t]["c"] for t, _ in groups])
-        tested = scored_by(rows, fits, names)
+        rows, names = design
+        fits = fit_ridges(rows.where("__train"), "g", k, y, names, [1 / t["c"] for t in trials], weight="__n")
+        tested = scored_by(spread(rows.where(~F.col("__train"))), [f for own in fits for f in own], names)
+        known = tested.where(F.col("proba").isNotNull() & F.col(y).isNotNull())
+        number = lambda v: F.sum(F.when(F.col(y) == v, F.col("__n")).otherwise(0))
+        areas_ = metrics.areas(known.groupBy(F.col("g").alias("fit"), F.col("proba").alias("s")).agg(number(0).alias("g"), number(1).alias("b")), "fit")
     else:
         rows = spread(copies)
         params = [Params(**({"leaves": 2 ** int(trials[t]["depth"])} | trials[t]), seed=seed) for t, _ in groups]
         tested = fit_boosted(rows.where("__train"), y, "__id", numeric, categorical, params, "g").predict(rows.where(~F.col("__train")), "g", ["__id", "g", "fold", y])
-    areas_ = metrics.auc(tested.withColumnRenamed("g", "fit"), "proba", y, "fit")
+        areas_ = metrics.auc(tested.withColumnRenamed("g", "fit"), "proba", y, "fit")
     found = {r.fit: r.auc for r in areas_.collect()}  # a row a group
     areas = [[found.get(t * k + g) for g in range(k)] for t in range(len(trials))]
     return [float(np.mean([a for a in own if a is not None])) if any(a is not None for a in own) else 0.5 for own in areas]
@@ -139,7 +142,9 @@ def tune(
     """
     space = space or {"logit": LOGIT, "depthwise": DEPTHWISE, "leafwise": LEAFWISE}[learner]
     folds = stored(resample.folds(train, id_col, y, k, seed), "tuning-folds")
-    copies = stored(spread_out(fold_copies(folds, id_col, numeric, k)), "tuning-copies")
+    # no trial of the logit needs single rows
+    made = fold_cells(folds, y, None, numeric, categorical, k) if learner == "logit" else spread_out(fold_copies(folds, id_col, numeric, k))
+    copies = stored(made, "tuning-copies")
     design = PlainLogit.design(copies, y, k, numeric, categorical) if learner == "logit" else None
     sampler, rows = Parzen(space, seed), []
     while len(rows) < trials:
