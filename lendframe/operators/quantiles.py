@@ -20,7 +20,9 @@ def sliced(counts: DataFrame, keys: list[str], slices: int | None = None) -> Dat
     """counts: (keys, v, ...). Adds ``slice``: ascending ranges of v, of near-equal numbers of rows of ``counts`` for each key."""
     n = slices or slices_of(counts)
     points = F.array(*[F.lit(i / n) for i in range(1, n)])
-    edges = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("v", points, F.lit(10 * n))).alias("edges"))
+    # all columns are asked for here too: Spark then takes the exchange under ``counts`` for the same one and makes it once
+    asked = F.max(F.xxhash64(*counts.columns)).isNotNull()
+    edges = counts.groupBy(*keys).agg(F.when(asked, F.array_distinct(F.percentile_approx("v", points, F.lit(10 * n)))).alias("edges"))
     named = edges.select(*[F.col(k).alias(f"e_{k}") for k in keys], "edges")
     # a row a key with at most ``n`` numbers; keys are columns, folds and nodes
     joined = counts.join(F.broadcast(named), [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in keys] or F.lit(True))
