@@ -57,6 +57,11 @@ def require_binary(df: DataFrame, target: str) -> None:
         raise ValueError(f"{target} must hold 0 and 1 only")
 
 
+def counted(condition: Column, times: str | None) -> Column:
+    """How many rows fulfil the condition, where a row stands for as many equal ones as ``times`` says."""
+    return F.coalesce(F.sum(F.when(condition, F.col(f"`{times}`"))), F.lit(0)) if times else F.count_if(condition)
+
+
 def long_form(df: DataFrame, names: list[str], *keep: str, numeric: bool) -> DataFrame:
     """(kept columns, rf, value): all columns in one pass, so that one shuffle serves them all."""
     rows = F.array(*[F.struct(F.lit(n).alias("rf"), clean(df, n).cast("double" if numeric else "string").alias("value")) for n in names])

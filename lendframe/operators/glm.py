@@ -248,9 +248,10 @@ class Cells:
         return _solve(step, list(names), rounds, None, None)
 
 
-def compress(df: DataFrame, columns: list[str], most: int = 50_000) -> Cells | None:
-    """The distinct rows of coded factors with their counts, or None if there are more than ``most``."""
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).groupBy(*columns).count().limit(most + 1).toPandas()
+def compress(df: DataFrame, columns: list[str], times: str | None = None, most: int = 50_000) -> Cells | None:
+    """The distinct rows of coded factors with their counts, or None if there are more than ``most``. A row counts ``times`` times."""
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], (F.col(f"`{times}`") if times else F.lit(1)).alias("__times"))
+    rows = rows.groupBy(*columns).agg(F.sum("__times").alias("count")).limit(most + 1).toPandas()
     if not 0 < len(rows) <= most:
         return None
     return Cells({c: rows[c].to_numpy() for c in columns}, rows["count"].to_numpy())

@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import two_sided, wilcoxon_p
+from lendframe.functions.special import counted
 from lendframe.operators.quantiles import sliced, values
 
 EPS = 1e-15
 
 
-def by_score(df: DataFrame, score: str, y: str, *keys: str, digits: int | None = None) -> DataFrame:
+def by_score(df: DataFrame, score: str, y: str, *keys: str, digits: int | None = None, times: str | None = None) -> DataFrame:
     s = F.round(F.col(score), digits) if digits is not None else F.col(score)
     return df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, s.alias("s")).agg(
-        F.count_if(F.col(y) == 0).alias("g"), F.count_if(F.col(y) == 1).alias("b")
+        counted(F.col(y) == 0, times).alias("g"), counted(F.col(y) == 1, times).alias("b")
     )
 
 
@@ -46,9 +47,9 @@ def running(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def auc(df: DataFrame, score: str, y: str, *keys: str, digits: int | None = None) -> DataFrame:
-    """Area under the ROC curve, ties one half; NULL with one class. Also KS = max(TPR - FPR) and Gini."""
-    return areas(by_score(df, score, y, *keys, digits=digits), *keys)
+def auc(df: DataFrame, score: str, y: str, *keys: str, digits: int | None = None, times: str | None = None) -> DataFrame:
+    """Area under the ROC curve, ties one half; NULL with one class. Also KS = max(TPR - FPR) and Gini. A row counts ``times`` times."""
+    return areas(by_score(df, score, y, *keys, digits=digits, times=times), *keys)
 
 
 def areas(counts: DataFrame, *keys: str) -> DataFrame:
@@ -95,14 +96,14 @@ def roc_points(df: DataFrame, score: str, y: str) -> DataFrame:
     )
 
 
-def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
-    """Inner and outer edges by linear interpolation, duplicates dropped."""
-    return edges_of(df, [column], bins).get(column, [])
+def quantile_edges(df: DataFrame, column: str, bins: int, times: str | None = None) -> list[float]:
+    """Inner and outer edges by linear interpolation, duplicates dropped. A row counts ``times`` times."""
+    return edges_of(df, [column], bins, times).get(column, [])
 
 
-def edges_of(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
+def edges_of(df: DataFrame, columns: list[str], bins: int, times: str | None = None) -> dict[str, list[float]]:
     """``quantile_edges`` of several columns in one pass; a column without values is left out."""
-    found = values(df, {c: F.col(f"`{c}`") for c in columns}, [i / bins for i in range(bins + 1)])
+    found = values(df, {c: F.col(f"`{c}`") for c in columns}, [i / bins for i in range(bins + 1)], times)
     return {c: sorted(set(q)) for c, q in found.items()}
 
 

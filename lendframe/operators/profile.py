@@ -90,10 +90,17 @@ def nzv(df: DataFrame, columns: list[str], codes: list[str] = ()) -> DataFrame:
     })
 
 
-def correlation_pairs(df: DataFrame, columns: list[str], least: float = 0.7) -> DataFrame:
-    """All pairs of columns in one aggregate; at most columns squared rows."""
+def correlation_pairs(df: DataFrame, columns: list[str], least: float = 0.7, times: str | None = None) -> DataFrame:
+    """All pairs of columns in one aggregate; at most columns squared rows. With ``times``, how many equal rows a row stands for, in
+    two: the second is of differences from the means."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(F.array(*[F.struct(F.lit(a).alias("rf1"), F.lit(b).alias("rf2"), F.corr(a, b).alias("corr")) for a, b in pairs]).alias("p"))
+    corr = [F.corr(a, b) for a, b in pairs]
+    if times:
+        n = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(times)) for a, b in pairs]
+        means = df.agg(F.array(*[F.array(*[F.try_divide(F.sum(w * F.col(c)), F.sum(w)) for c in pair]) for pair, w in zip(pairs, n)]).alias("m")).first().m
+        known = [(a - F.lit(m[0]), b - F.lit(m[1]), w) for a, b, m, w in ((F.col(a), F.col(b), m, w) for (a, b), m, w in zip(pairs, means, n))]
+        corr = [F.try_divide(F.sum(w * a * b), F.sqrt(F.sum(w * a * a) * F.sum(w * b * b))) for a, b, w in known]
+    row = df.agg(F.array(*[F.struct(F.lit(a).alias("rf1"), F.lit(b).alias("rf2"), c.alias("corr")) for (a, b), c in zip(pairs, corr)]).alias("p"))
     return row.select(F.inline("p")).where(F.abs("corr") > least)
 
 

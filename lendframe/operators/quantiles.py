@@ -99,6 +99,6 @@ def exact(df: DataFrame, columns: dict[str, Column], points: list[float], *keys:
     return of_counts(counts, [*keys, "rf"], points)
 
 
-def values(df: DataFrame, columns: dict[str, Column], points: list[float]) -> dict[str, list[float]]:
+def values(df: DataFrame, columns: dict[str, Column], points: list[float], times: str | None = None) -> dict[str, list[float]]:
     """Quantiles by column name; a column without values is left out."""
-    return {r.rf: list(r.q) for r in exact(df, columns, points).collect()} if columns else {}
+    return {r.rf: list(r.q) for r in exact(df, columns, points, times=times).collect()} if columns else {}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,32 @@ def folds(df: DataFrame, id_col: str, y: str | None, k: int = 10, seed: int = 21
     return rows.withColumn("fold", F.floor(F.col("__place") * k / F.col("__all")).cast("int")).drop("__place", "__all")
 
 
+def fold_of(df: DataFrame, id_col: str, k: int = 10, seed: int = 2191) -> Column:
+    """The fold of ``folds`` without classes as a column for ``df``; NULL without an id, and rows of one id share a fold.
+
+    Of the slices of the hash order only those that hold the first row of a fold are ordered, and no other row is shuffled.
+    """
+    salt = slices_of(df)
+    key = order_key(id_col, seed)
+    rows = df.select(key.alias("key"), F.col(id_col).alias("id")).where(F.col("key").isNotNull()).withColumn("slice", F.floor(F.col("key") / F.lit((1 << 32) / salt)))
+    sizes = sorted(tuple(r) for r in rows.groupBy("slice").count().collect())  # a row a slice
+    total, before, asked = sum(n for _, n in sizes), 0, []
+    firsts = sorted({p for p in (-(-f * total // k) for f in range(1, k)) if p < total})
+    for slice_, n in sizes:
+        asked += [(slice_, p - before + 1) for p in firsts if before <= p < before + n]
+        before += n
+    if not asked:
+        return F.when(key.isNotNull(), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("slice").orderBy("key", "id"))
+    within = rows.where(F.col("slice").isin(sorted({s for s, _ in asked}))).withColumn("place", place)
+    wanted = [(F.col("slice") == s) & (F.col("place") == p) for s, p in asked]
+    edges = [(r["slice"], r.place, r.key, r.id) for r in within.where(reduce(or_, wanted)).collect()]  # under k rows
+    # a first row serves all folds that begin with it, of which the last is its own
+    share = {p: sum(-(-f * total // k) == p for f in range(1, k)) for p in firsts}
+    starts = dict(zip(asked, firsts))
+    return sum((F.when((key > e) | ((key == e) & (F.col(id_col) >= F.lit(i))), share[starts[s, p]]).otherwise(0) for s, p, e, i in edges), F.when(key.isNotNull(), F.lit(0)))
+
+
 def fold_count(df: DataFrame, y: str, k: int) -> int:
     """How many folds there are: no more than the rarer class has rows, nor than there are rows (leave-one-out)."""
     if k < 0:
@@ -72,12 +99,13 @@ def kfold_indices(df: DataFrame, id_col: str, y: str, kind: str = "stratified",
     return folds(rows, id_col, y if kind == "stratified" and number < rows.count() else None, number, seed)
 
 
-def kfold_validation(df: DataFrame, y: str, predictors: list[str], id_col: str, k: int = 10, seed: int = 1984) -> DataFrame:
-    """Refit per fold; AUC, mean squared error and its root on the fold left out."""
-    rows = folds(df, id_col, None, k, seed).cache()
+def kfold_validation(df: DataFrame, y: str, predictors: list[str], id_col: str, k: int = 10, seed: int = 1984, fold: str | None = None, times: str | None = None) -> DataFrame:
+    """Refit per fold; AUC, mean squared error and its root on the fold left out. ``fold``: a column of folds made before by
+    ``fold_of``. A row counts ``times`` times."""
+    rows = df.where(F.col(fold).isNotNull()).withColumn("fold", F.col(fold)) if fold else folds(df, id_col, None, k, seed).cache()
     columns = [y, *predictors]
     # coded factors have few distinct rows: then all fits run on their counts
-    cells = compress(rows.dropna(subset=columns), ["fold", *columns])
+    cells = compress(rows.dropna(subset=columns), ["fold", *columns], times)
     if cells is not None:
         done = []
         for f in range(k):
@@ -92,12 +120,14 @@ def kfold_validation(df: DataFrame, y: str, predictors: list[str], id_col: str,
         return df.sparkSession.createDataFrame(done, "fold int, auc double, ks double, gini double, amse double, rmse double")
     # every fit has the rows of the other folds: one aggregate a Newton step serves all folds
     others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
-    fits = fit_groups(rows.select(*columns, F.explode(others).alias("__for")), "__for", k, y, list(predictors))
+    count = (F.col(times) if times else F.lit(1)).alias("__n")
+    fits = fit_groups(rows.select(*columns, count, F.explode(others).alias("__for")), "__for", k, y, list(predictors), weight="__n")
     table = F.array(*[F.array(*[F.lit(float(b)) for b in ([f.intercept, *f.coefficients.values()] if f else [0.0] * (len(predictors) + 1))]) for f in fits])
     own = rows.dropna(subset=columns).withColumn("__b", F.get(table, F.col("fold")))
     line = sum((F.col("__b")[i + 1] * F.col(f"`{c}`") for i, c in enumerate(predictors)), F.col("__b")[0])
-    out = own.select("fold", y, (1 / (1 + F.exp(-line))).alias("p"))
-    got = auc(out, "p", y, "fold").join(out.groupBy("fold").agg(F.avg((F.col(y) - F.col("p")) ** 2).alias("amse")), "fold")
+    out = own.select("fold", y, count, (1 / (1 + F.exp(-line))).alias("p"))
+    amse = F.sum((F.col(y) - F.col("p")) ** 2 * F.col("__n")) / F.sum("__n")
+    got = auc(out, "p", y, "fold", times="__n").join(out.groupBy("fold").agg(amse.alias("amse")), "fold")
     return got.withColumn("rmse", F.sqrt("amse"))
 
 

@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendframe.functions.special import counted
 from lendframe.operators.metrics import cut, quantile_edges
 
 
@@ -37,17 +38,22 @@ def score_from_parameters(df: DataFrame, coefficients: dict[str, float], interce
     return df.withColumn(name, 1 / (1 + F.exp(-line)))
 
 
-def deciles(df: DataFrame, score: str, y: str, bins: int = 10) -> DataFrame:
-    """Default rate by score quantile, and whether it rises against the decile before (a reversal)."""
-    edges = quantile_edges(df, score, bins)
-    out = df.withColumn("decile", cut(F.col(score), edges)).groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("dr"))
+def _mean(x: Column, times: str | None) -> Column:
+    return F.try_divide(F.sum(x.cast("double") * F.col(times)), counted(x.isNotNull(), times)) if times else F.avg(x.cast("double"))
+
+
+def deciles(df: DataFrame, score: str, y: str, bins: int = 10, times: str | None = None) -> DataFrame:
+    """Default rate by score quantile, and whether it rises against the decile before (a reversal). A row counts ``times`` times,
+    here and below."""
+    edges = quantile_edges(df, score, bins, times)
+    out = df.withColumn("decile", cut(F.col(score), edges)).groupBy("decile").agg(counted(F.lit(True), times).alias("n"), _mean(F.col(y), times).alias("dr"))
     before = F.lag("dr").over(Window.orderBy("decile"))
     return out.withColumn("reversal", F.coalesce(F.col("dr") > before, F.lit(False)).cast("int"))
 
 
-def grades(df: DataFrame, score: str, labels: str = "ABCDEFGH") -> DataFrame:
+def grades(df: DataFrame, score: str, labels: str = "ABCDEFGH", times: str | None = None) -> DataFrame:
     """The grade of each row by score quantiles; the first label is the best, of the highest scores."""
-    edges = quantile_edges(df, score, len(labels))
+    edges = quantile_edges(df, score, len(labels), times)
     names = F.array(*[F.lit(x) for x in labels])
     return df.withColumn("grade", F.get(names, F.lit(len(labels)) - cut(F.col(score), edges)))
 
@@ -77,9 +83,9 @@ def read_parameters(text: str) -> tuple[dict[str, float], float, dict[str, dict]
     return made["coefficients"], made["intercept"], {c: {r["bin"]: r["woe"] for r in rows} for c, rows in made["woe_mappings"].items()}
 
 
-def rating_scale(df: DataFrame, rating: str, y: str, pd_col: str) -> DataFrame:
+def rating_scale(df: DataFrame, rating: str, y: str, pd_col: str, times: str | None = None) -> DataFrame:
     return df.groupBy(F.col(rating).alias("rating")).agg(
-        F.count(y).alias("no"), F.count_if(F.col(y) == 1).alias("nb"), F.avg(F.col(y).cast("double")).alias("dr"), F.avg(pd_col).alias("pdc")
+        counted(F.col(y).isNotNull(), times).alias("no"), counted(F.col(y) == 1, times).alias("nb"), _mean(F.col(y), times).alias("dr"), _mean(F.col(pd_col), times).alias("pdc")
     )
 
 

@@ -49,18 +49,18 @@ def _start(target: str, start: str | list[str]) -> tuple[str, list[str]]:
     return target, list(start)
 
 
-def coded(df: DataFrame, target: str, factors: list[str], coding: str | None, plain: list[str] = ()) -> tuple[DataFrame, dict[str, list[str]]]:
+def coded(df: DataFrame, target: str, factors: list[str], coding: str | None, plain: list[str] = (), times: str | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
     """The table with coded columns, and the columns of each factor's term; ``plain`` factors stay as they are.
 
     Dummies: a 0/1 column for each level but the first in sorted order, NULL being a level; at most ten levels. Mixed: numbers stay
-    as they are, other factors get dummies.
+    as they are, other factors get dummies. A row counts ``times`` times, here and below.
     """
     if coding not in CODINGS:
         raise ValueError("coding: WoE, dummy, mixed or None")
     terms = {c: [c] for c in factors}
     names = [c for c in factors if c not in plain and not (coding == "mixed" and is_numeric(df, c))]
     if coding == "WoE" and names:
-        df = with_woe(df, target, names)
+        df = with_woe(df, target, names, times)
         terms |= {c: [f"{c}_woe"] for c in names}
     if coding in ("dummy", "mixed") and names:
         made: dict[str, Column] = {}
@@ -78,13 +78,13 @@ def coded(df: DataFrame, target: str, factors: list[str], coding: str | None, pl
     return df, terms
 
 
-def miv_table(df: DataFrame, target: str, candidates: list[str], pd_col: str, compat: bool = False) -> DataFrame:
+def miv_table(df: DataFrame, target: str, candidates: list[str], pd_col: str, compat: bool = False, times: str | None = None) -> DataFrame:
     """Marginal information value of each candidate: observed against expected WoE, and its G-statistic.
 
     ``compat``: expected counts as of whole numbers only, so that the expected WoE is 0 and MIV is plain IV.
     """
-    seen = woe_table(df, candidates, target).select("rf", "bin", "no", "ng", "nb", "dist_g", "dist_b", "woe")
-    expect = woe_table_expected(df, candidates, pd_col).select(
+    seen = woe_table(df, candidates, target, times).select("rf", "bin", "no", "ng", "nb", "dist_g", "dist_b", "woe")
+    expect = woe_table_expected(df, candidates, pd_col, times).select(
         F.col("rf").alias("e_rf"), F.col("bin").alias("e_bin"), F.col("ng").alias("e_g"), F.col("nb").alias("e_b"), F.col("woe").alias("e_woe")
     )
     rows = seen.join(expect, (F.col("rf") == F.col("e_rf")) & F.col("bin").eqNullSafe(F.col("e_bin")), "full")
@@ -101,14 +101,14 @@ def miv_table(df: DataFrame, target: str, candidates: list[str], pd_col: str, co
 class Fitter:
     """Fits of terms on one table. Coded factors have few distinct rows: then one pass compresses the table and all fits run on that."""
 
-    def __init__(self, df: DataFrame, target: str, terms: dict[str, list[str]], offset: str | None = None):
-        self.df, self.target, self.terms, self.offset = df, target, terms, offset
+    def __init__(self, df: DataFrame, target: str, terms: dict[str, list[str]], offset: str | None = None, times: str | None = None):
+        self.df, self.target, self.terms, self.offset, self.times = df, target, terms, offset, times
         columns = list(dict.fromkeys([target, *(c for t in terms.values() for c in t), *([offset] if offset else [])]))
-        self.cells = compress(df.dropna(subset=columns), columns)
+        self.cells = compress(df.dropna(subset=columns), columns, times)
 
     def __call__(self, factors: list[str]) -> Logit:
         names = [c for f in factors for c in self.terms[f]]
-        return self.cells.fit(self.target, names, self.offset) if self.cells else fit_logit(self.df, self.target, names, self.offset)
+        return self.cells.fit(self.target, names, self.offset) if self.cells else fit_logit(self.df, self.target, names, self.offset, weight=self.times)
 
     def p_value(self, fit: Logit, factor: str) -> float:
         names = self.terms[factor]
@@ -128,6 +128,7 @@ def checked(fit: Fitter, model: Logit, start: list[str], p_value: float, sign: i
 def step_miv(
     df: DataFrame, target: str, candidates: list[str], miv_threshold: float = 0.02, p_value: float = 0.05, compat: bool = False,
     start: str | list[str] = (), coding: str = "WoE", coding_start: bool = True, offset: str | None = None,
+    times: str | None = None,
 ) -> Selection:
     """Add the candidate of the largest MIV while it exceeds the threshold and its G-test is significant.
 
@@ -138,15 +139,15 @@ def step_miv(
     require(df, target, *first, *candidates)
     require_binary(df, target)
     candidates = [c for c in candidates if c not in first]
-    base, terms = coded(df.where(F.col(target).isNotNull()), target, [*first, *candidates], coding, [] if coding_start else first)
-    fit = Fitter(base, target, terms, offset)
+    base, terms = coded(df.where(F.col(target).isNotNull()), target, [*first, *candidates], coding, [] if coding_start else first, times)
+    fit = Fitter(base, target, terms, offset, times)
     chosen, steps = list(first), []
     while True:
         model = fit(chosen)
         left = [c for c in candidates if c not in chosen]
         if not left:
             break
-        scored = miv_table(base.withColumn("__pd", model.probability(F.col(offset) if offset else None)), target, left, "__pd", compat).collect()
+        scored = miv_table(base.withColumn("__pd", model.probability(F.col(offset) if offset else None)), target, left, "__pd", compat, times).collect()
         best = max(sorted(scored, key=lambda r: r.rf), key=lambda r: r.miv)
         p = chi2_sf(best.g_stat, best.df) if best.df else 1.0
         if best.miv <= miv_threshold or p >= p_value:
@@ -262,7 +263,7 @@ def _aic_rule(p_value: float, sign: int, trends: Trend | None = None, unchecked:
 STEPS = "step int, rf string, coefficient double, p_value double, aic double"
 
 
-def _prepared(df: DataFrame, target: str, candidates: list[str], start, coding, coding_start, offset) -> tuple[Fitter, str, list[str], list[str]]:
+def _prepared(df: DataFrame, target: str, candidates: list[str], start, coding, coding_start, offset, times=None) -> tuple[Fitter, str, list[str], list[str]]:
     target, first = _start(target, start)
     require(df, target, *first, *candidates, *([offset] if offset else []))
     require_binary(df, target)
@@ -270,8 +271,8 @@ def _prepared(df: DataFrame, target: str, candidates: list[str], start, coding,
     rows = df.where(F.col(target).isNotNull())
     if coding is None:
         rows = rows.dropna(subset=[*first, *candidates])
-    rows, terms = coded(rows, target, [*first, *candidates], coding, [] if coding_start else first)
-    return Fitter(rows, target, terms, offset), target, first, candidates
+    rows, terms = coded(rows, target, [*first, *candidates], coding, [] if coding_start else first, times)
+    return Fitter(rows, target, terms, offset, times), target, first, candidates
 
 
 def _selection(df: DataFrame, fit: Fitter, chosen: list[str], steps: list[tuple], model: Logit, warnings: list[str]) -> Selection:
@@ -285,13 +286,16 @@ def _by_aic(fit: Fitter, df: DataFrame, target: str, p_value: float, sign: int,
 def step_fwd(
     df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, offset: str | None = None,
     start: str | list[str] = (), coding: str | None = None, coding_start: bool = True, check_start: bool = True, by_aic: bool = False, trend: bool = False,
+    times: str | None = None,
 ) -> Selection:
     """Forward by the lowest p-value. ``sign``: of accepted coefficients, -1 for WoE with bad = 1, 0 for any.
 
     ``start``: a formula or names that are in the model from the beginning; their terms are checked and complaints are in
-    ``warnings``. ``coding``: None for columns that are coded already, WoE, dummy or mixed.
+    ``warnings``. ``coding``: None for columns that are coded already, WoE, dummy or mixed. Trends are not taken with ``times``.
     """
-    fit, target, first, rest = _prepared(df, target, candidates, start, coding, coding_start, offset)
+    if trend and times:
+        raise ValueError("trend: of rows that are not counted")
+    fit, target, first, rest = _prepared(df, target, candidates, start, coding, coding_start, offset, times)
     rule = _by_aic(fit, df, target, p_value, sign, trend, () if check_start else first) if by_aic else _p_rule(p_value, sign)
     chosen, steps, model = greedy(fit, rest, rule, first)
     return _selection(df, fit, chosen, steps, model, checked(fit, fit(first), first, p_value, sign) if check_start and first else [])
@@ -375,15 +379,15 @@ def swap_search(fit: Fitter, ranked: list[str], names: list[str], p_value: float
     return out, model, said
 
 
-def boosted_selection(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, trees: int = 40, depth: int = 4, seed: int = 42) -> Selection:
+def boosted_selection(df: DataFrame, target: str, candidates: list[str], p_value: float = 0.05, sign: int = -1, trees: int = 40, depth: int = 4, seed: int = 42, times: str | None = None) -> Selection:
     """Candidates by the gain of their splits in boosted trees, then a logit of them, mended by ``swap_search``."""
     rows = df.dropna(subset=[target, *candidates])
-    fit = Fitter(rows, target, {c: [c] for c in candidates})
+    fit = Fitter(rows, target, {c: [c] for c in candidates}, times=times)
     if fit.cells:  # the trees see the distinct rows with their counts
         made = pd.DataFrame({**{c: fit.cells.columns[c].astype(float) for c in [target, *candidates]}, "__w": fit.cells.count.astype(float)})
         ready = df.sparkSession.createDataFrame(made)
     else:
-        ready = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in [target, *candidates]], F.lit(1.0).alias("__w"))
+        ready = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in [target, *candidates]], (F.col(f"`{times}`").cast("double") if times else F.lit(1.0)).alias("__w"))
     ready = ready.withColumn("__id", F.xxhash64(target, *candidates))
     learner = fit_boosted(ready, target, "__id", list(candidates), [], [Params(trees=trees, leaves=2**depth, depth=depth, seed=seed)], weight="__w")
     importance = learner.importance()

@@ -25,10 +25,11 @@ def two_proportions(b1: Column, n1: Column, b2: Column, n2: Column) -> Column:
     return F.try_divide(b1 / n1 - b2 / n2, spread)
 
 
-def heterogeneity(df: DataFrame, y: str, rating: str, alpha: float = 0.05) -> DataFrame:
-    """Each grade against the one before: one-sided pooled z in the direction of corr(grade code, default)."""
+def heterogeneity(df: DataFrame, y: str, rating: str, alpha: float = 0.05, times: str | None = None) -> DataFrame:
+    """Each grade against the one before: one-sided pooled z in the direction of corr(grade code, default). A row counts ``times`` times."""
     rows = df.where(F.col(y).isNotNull() & F.col(rating).isNotNull())
-    scale = rows.groupBy(F.col(rating).alias("rating")).agg(F.count(F.lit(1)).alias("no"), F.sum(F.col(y).cast("long")).alias("nb"))
+    n = F.col(f"`{times}`") if times else F.lit(1)
+    scale = rows.groupBy(F.col(rating).alias("rating")).agg(F.sum(n).alias("no"), F.sum(F.col(y).cast("long") * n).alias("nb"))
     order = Window.orderBy("rating")
     whole = Window.partitionBy()
     code = F.row_number().over(order)
@@ -390,7 +391,7 @@ def assessment(facts: dict[str, float], tests: list[tuple[str, float]], rates: l
     return ("FAIL" if weak else "PASS WITH FLAGS" if flags else "PASS"), flags
 
 
-def half_split_auc(df: DataFrame, score: str, y: str, half: Column) -> DataFrame:
+def half_split_auc(df: DataFrame, score: str, y: str, half: Column, times: str | None = None) -> DataFrame:
     from lendframe.operators.metrics import auc
 
-    return auc(df.withColumn("half", half), score, y, "half")
+    return auc(df.withColumn("half", half), score, y, "half", times=times)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendframe.functions.special import FLOOR, SC_LABEL, is_numeric, long_form, require
+from lendframe.functions.special import FLOOR, SC_LABEL, counted, is_numeric, long_form, require
 
 MOST_LEVELS = 10
 
@@ -30,22 +30,23 @@ def _table(rows: DataFrame, keys: list[str], good: Column, bad: Column, count: C
     return out.join(F.broadcast(sums), [F.col(k) == F.col(f"s_{k}") for k in whole]).drop(*[f"s_{k}" for k in whole])
 
 
-def woe_table(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+def woe_table(df: DataFrame, columns: list[str], target: str, times: str | None = None) -> DataFrame:
     """One row per (rf, bin): counts, shares, default rate, WoE = ln(share of goods / share of bads) and IV.
 
-    NULL is a bin; rows without a target aren't counted. Shares are floored at 1e-10 in WoE only.
+    NULL is a bin; rows without a target aren't counted. Shares are floored at 1e-10 in WoE only. A row stands for as many equal
+    ones as ``times`` says, here and below.
     """
     require(df, target, *columns)
-    rows = long_form(df, columns, target, numeric=False).withColumnRenamed("value", "bin")
+    rows = long_form(df, columns, target, *([times] if times else []), numeric=False).withColumnRenamed("value", "bin")
     y = F.col(target)
-    return _table(rows, ["rf", "bin"], F.count_if(y == 0), F.count_if(y == 1), F.count(y))
+    return _table(rows, ["rf", "bin"], counted(y == 0, times), counted(y == 1, times), counted(y.isNotNull(), times))
 
 
-def woe_table_expected(df: DataFrame, columns: list[str], pd_col: str) -> DataFrame:
+def woe_table_expected(df: DataFrame, columns: list[str], pd_col: str, times: str | None = None) -> DataFrame:
     """The same table for expected counts: goods are the sum of 1 - p and bads the sum of p."""
-    rows = long_form(df, columns, pd_col, numeric=False).withColumnRenamed("value", "bin")
-    p = F.col(pd_col)
-    return _table(rows, ["rf", "bin"], F.sum(1 - p), F.sum(p), F.count(p))
+    rows = long_form(df, columns, pd_col, *([times] if times else []), numeric=False).withColumnRenamed("value", "bin")
+    p, n = F.col(pd_col), F.col(f"`{times}`") if times else F.lit(1)
+    return _table(rows, ["rf", "bin"], F.sum((1 - p) * n), F.sum(p * n), counted(p.isNotNull(), times))
 
 
 def auc_of_bins(table: DataFrame) -> DataFrame:
@@ -88,9 +89,9 @@ def lookup(value: Column, mapping: dict, null_value=None) -> Column:
 MAPPED_LEVELS = 1000
 
 
-def _woe_of(df: DataFrame, target: str, columns: list[str], names: dict[str, str]) -> DataFrame:
+def _woe_of(df: DataFrame, target: str, columns: list[str], names: dict[str, str], times: str | None = None) -> DataFrame:
     """``df`` with the WoE of each column under its name: by a map in the plan if levels are few, by a join if they are many."""
-    table = woe_table(df, columns, target).select("rf", "bin", "woe")
+    table = woe_table(df, columns, target, times).select("rf", "bin", "woe")
     counts = {r.rf: r.n for r in table.groupBy("rf").agg(F.count(F.lit(1)).alias("n")).collect()}
     few = [c for c in columns if counts.get(c, 0) <= MAPPED_LEVELS]
     maps: dict[str, dict] = {c: {} for c in few}
@@ -104,17 +105,17 @@ def _woe_of(df: DataFrame, target: str, columns: list[str], names: dict[str, str
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{n}`") for n in names.values() if n not in df.columns])
 
 
-def with_woe(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
+def with_woe(df: DataFrame, target: str, columns: list[str], times: str | None = None) -> DataFrame:
     """``df`` and a column c_woe for each column c."""
-    return _woe_of(df, target, columns, {c: f"{c}_woe" for c in columns}) if columns else df
+    return _woe_of(df, target, columns, {c: f"{c}_woe" for c in columns}, times) if columns else df
 
 
-def replace_woe(df: DataFrame, target: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def replace_woe(df: DataFrame, target: str, columns: list[str], times: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Each categorical column replaced by its WoE. Info code 1: numeric, passed; 2: over ten levels, still encoded."""
     numeric = [c for c in columns if is_numeric(df, c)]
     rest = [c for c in columns if c not in numeric]
     n = levels(df, rest) if rest else {}
-    made = _woe_of(df, target, rest, {c: c for c in rest}) if rest else df
+    made = _woe_of(df, target, rest, {c: c for c in rest}, times) if rest else df
     info = df.sparkSession.createDataFrame([(c, 1) for c in numeric] + [(c, 2) for c in rest if n[c] > MOST_LEVELS], "rf string, info_code int")
     return made, info
 
