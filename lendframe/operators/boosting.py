@@ -346,6 +346,8 @@ def fit_boosted(
     if all(p.subsample >= 1 for p in params):
         table = table.groupBy("g", "y", "bins").agg(F.sum("w").alias("w"), F.max("margin").alias("margin")).select("g", "y", F.lit(0).cast("long").alias("id"), "w", "bins", "margin")
     table = stored(table, "boosting-rows")
+    # distinct rows of few bins fill one partition: its one task needs no shuffle
+    single = table.rdd.getNumPartitions() == 1
     trees: list[list[Tree]] = [[] for _ in params]
     since = 0
     for number in range(max(p.trees for p in params)):
@@ -354,8 +356,8 @@ def fit_boosted(
             state = {g: (trees[g][since:], params[g].rate, t.tree, t.asked, number, params[g]) for g, t in open_.items()}
             parts = table.mapInPandas(lambda f, s=state: _histograms(f, s, n_features), "g int, node int, feature int, bin int, grad double, hess double, n double")
             hists = {(g, node): np.zeros((n_features, BINS, 3)) for g, t in open_.items() for node in t.asked}
-            # at most groups by open leaves by features by bins rows
-            sums = parts.groupBy("g", "node", "feature", "bin").agg(F.sum("grad").alias("grad"), F.sum("hess").alias("hess"), F.sum("n").alias("n")).toPandas()
+            # at most groups by open leaves by features by bins rows; a task's own are summed up already
+            sums = (parts if single else parts.groupBy("g", "node", "feature", "bin").agg(F.sum("grad").alias("grad"), F.sum("hess").alias("hess"), F.sum("n").alias("n"))).toPandas()
             for (g, node), part in sums.groupby(["g", "node"]):
                 hists[g, node][part["feature"], part["bin"]] = part[["grad", "hess", "n"]].to_numpy()
             for g, t in open_.items():
@@ -366,6 +368,7 @@ def fit_boosted(
             news = {g: (trees[g][since:], params[g].rate) for g in usable}
             before, table = table, stored(table.mapInPandas(lambda f, s=news: _moved(f, s, n_features), schema), "boosting-rows")
             release(before)
+            single = table.rdd.getNumPartitions() == 1
             since = number + 1
     release(table)
     return Boosted(binning, base, trees, [p.rate for p in params])
