@@ -204,10 +204,10 @@ def _moments(batches: Iterator, tables: dict[int, tuple[list[int], np.ndarray]])
         )
 
 
-def _newton(run, penalties: dict, names: list[str], rounds: int) -> dict:
-    """Fits by key, each with its ridge: Newton steps of all that still move, by one call of ``run`` each."""
+def _newton(run, penalties: dict, names: list[str], rounds: int, start: dict | None = None) -> dict:
+    """Fits by key, each with its ridge, from zeros or ``start``: Newton steps of all that still move, by one call of ``run`` each."""
     k = len(names) + 1
-    betas = {g: np.zeros(k) for g in penalties}
+    betas = {g: np.zeros(k) for g in penalties} | (start or {})
     previous, made = dict.fromkeys(betas, math.inf), {}
     for turn in range(rounds):
         step = run(betas)

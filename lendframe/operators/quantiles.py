@@ -7,9 +7,15 @@ ordered. Any number of keys and points takes the same number of shuffles.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendframe.functions.scratch import release, ship, stored
+
 
 def slices_of(df: DataFrame) -> int:
     """Slices grow with the shuffle partitions that the session was given, and so with the data."""
@@ -99,6 +105,92 @@ def exact(df: DataFrame, columns: dict[str, Column], points: list[float], *keys:
     return of_counts(counts, [*keys, "rf"], points)
 
 
+def of_others(
+    df: DataFrame, fold: str, k: int, columns: dict[str, Column], points: list[float], times: str, caps: dict[tuple[int, str], float] | None = None,
+) -> dict[tuple[int, str], list[float]]:
+    """(fold, name): the quantiles of a column over the rows of the other folds 0, ..., k - 1, NULL left out; none without such rows.
+
+    A value is counted for its own fold, and not copied for the others. ``caps``: of a fold's values, larger ones are cut to it.
+    """
+    if not columns:
+        return {}
+    ship(df.sparkSession)
+    cells = F.array(*[F.struct(F.lit(name).alias("rf"), c.cast("double").alias("v")) for name, c in columns.items()])
+    long = df.select(F.col(fold).cast("int").alias("own"), F.col(times).cast("long").alias("n"), F.inline(cells)).where(F.col("v").isNotNull())
+    counts = stored(long.groupBy("rf", "v", "own").agg(F.sum("n").alias("n")), "quantile-counts")
+    most = slices_of(df)
+    near = counts.groupBy("rf").agg(F.percentile_approx("v", F.array(*[F.lit(i / most) for i in range(1, most)]), F.lit(10 * most)).alias("edges"))
+    edges = {r.rf: np.unique(np.array(r.edges, dtype=float)) for r in near.collect()}  # columns rows
+
+    def parted(frames: Iterator) -> Iterator:
+        for frame in frames:
+            at = np.zeros(len(frame), dtype=np.int64)
+            for rf in frame["rf"].unique():
+                own = (frame["rf"] == rf).to_numpy()
+                at[own] = np.searchsorted(edges[rf], frame["v"].to_numpy()[own], side="left")
+            yield frame.assign(slice=at)
+
+    rows = counts.mapInPandas(parted, "rf string, v double, own int, n long, slice int")
+    wanted: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    shares: dict[tuple[int, str], list[tuple[int, int, float]]] = {}
+    sizes: dict[str, dict[int, dict[int, int]]] = {}
+    for r in rows.groupBy("rf", "slice", "own").agg(F.sum("n").alias("n")).collect():  # columns by slices by folds rows
+        sizes.setdefault(r.rf, {}).setdefault(r.slice, {})[r.own] = r.n
+    for rf, by_slice in sizes.items():
+        at = sorted(by_slice)
+        for g in range(k):
+            ends = np.cumsum([sum(n for own, n in by_slice[s].items() if own != g) for s in at])
+            if not ends[-1]:
+                continue
+            for p in points:
+                place = (int(ends[-1]) - 1) * float(p)
+                low, high = math.floor(place), math.ceil(place)
+                shares.setdefault((g, rf), []).append((low, high, place - low))
+                for rank in {low, high}:
+                    i = int(np.searchsorted(ends, rank, side="right"))
+                    wanted.setdefault((rf, at[i]), []).append((g, rank, rank - (int(ends[i - 1]) if i else 0)))
+
+    def pick(key, frame):
+        import pandas as pd
+
+        frame = frame.sort_values("v")
+        v, own, n = (frame[c].to_numpy() for c in ("v", "own", "n"))
+        out = []
+        asked = sorted(set(wanted[key[0], int(key[1])]))
+        for g in sorted({g for g, _, _ in asked}):
+            upto = np.cumsum(np.where(own == g, 0, n))
+            out += [(key[0], g, rank, v[np.searchsorted(upto, inside, side="right")]) for h, rank, inside in asked if h == g]
+        return pd.DataFrame(out, columns=["rf", "g", "rank", "v"])
+
+    held = [(F.col("rf") == rf) & F.col("slice").isin([s for f, s in wanted if f == rf]) for rf in sizes]
+    found: dict[tuple[int, str], dict[int, float]] = {}
+    if held:
+        inside = held[0]
+        for one in held[1:]:
+            inside = inside | one
+        # a row for each fold, column and rank
+        for r in rows.where(inside).select("rf", "slice", "own", "v", "n").groupBy("rf", "slice").applyInPandas(pick, "rf string, g int, rank long, v double").collect():
+            found.setdefault((r.g, r.rf), {})[r.rank] = min(r.v, (caps or {}).get((r.g, r.rf), math.inf))
+    release(counts)
+    return {key: [between_values(found[key][low], found[key][high], share) for low, high, share in own] for key, own in shares.items()}
+
+
+def between_values(low: float, high: float, share: float) -> float:
+    """``between`` of numbers."""
+    if share == 0:
+        return low
+    rest = 1 - share
+    halves = lambda x: ((x * SPLIT) - (x * SPLIT - x), x - ((x * SPLIT) - (x * SPLIT - x)))
+    p, q = low * rest, high * share
+    total = p + q
+    if not max(abs(low), abs(high)) < 1e290:
+        return total
+    (a, a_low), (b, b_low) = halves(low), halves(rest)
+    p_off = ((a * b - p) + a * b_low + a_low * b) + a_low * b_low
+    back = total - p
+    return total + (p_off + ((p - (total - back)) + (q - back)))
+
+
 def values(df: DataFrame, columns: dict[str, Column], points: list[float], times: str | None = None) -> dict[str, list[float]]:
     """Quantiles by column name; a column without values is left out."""
     return {r.rf: list(r.q) for r in exact(df, columns, points, times=times).collect()} if columns else {}

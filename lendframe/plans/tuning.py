@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.scratch import release, stored
-from lendframe.operators import metrics, resample
+from lendframe.operators import folded, metrics, resample
 from lendframe.operators.boosting import Params, fit_boosted
-from lendframe.operators.glm import fit_ridges
-from lendframe.plans.benchmark import PlainLogit, fold_cells, fold_copies, scored_by, spread_out
+from lendframe.operators.glm import Logit
+from lendframe.plans.benchmark import MOST_DUMMIES, fold_copies, spread_out
 
 TRIALS, INNER_FOLDS, BATCH, FIRST, DRAWN = 50, 5, 10, 10, 24
 
@@ -110,27 +110,39 @@ class Parzen:
         self.scores += scores
 
 
-def inner_auc(copies: DataFrame, y: str, learner: str, trials: list[dict], k: int, numeric: list[str], categorical: list[str], design: tuple[DataFrame, list[str]] | None, seed: int) -> list[float]:
-    """Mean AUC over the inner folds of each trial; a trial and fold is one group of the shared fits."""
+def inner_auc(copies: DataFrame, y: str, trials: list[dict], k: int, numeric: list[str], categorical: list[str], seed: int) -> list[float]:
+    """Mean AUC over the inner folds of each trial of boosted trees; a trial and fold is one group of the shared fits."""
     groups = [(t, g) for t in range(len(trials)) for g in range(k)]
-    spread = lambda rows: rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1)))).withColumn("g", F.col("trial") * k + F.col("g"))
-    if learner == "logit":
-        rows, names = design
-        fits = fit_ridges(rows.where("__train"), "g", k, y, names, [1 / t["c"] for t in trials], weight="__n")
-        tested = scored_by(spread(rows.where(~F.col("__train"))), [f for own in fits for f in own], names)
-        known = tested.where(F.col("proba").isNotNull() & F.col(y).isNotNull())
-        number = lambda v: F.sum(F.when(F.col(y) == v, F.col("__n")).otherwise(0))
-        areas_ = metrics.areas(known.groupBy(F.col("g").alias("fit"), F.col("proba").alias("s")).agg(number(0).alias("g"), number(1).alias("b")), "fit")
-    else:
-        rows = spread(copies)
-        params = [Params(**({"leaves": 2 ** int(trials[t]["depth"])} | trials[t]), seed=seed) for t, _ in groups]
-        tested = fit_boosted(rows.where("__train"), y, "__id", numeric, categorical, params, "g").predict(rows.where(~F.col("__train")), "g", ["__id", "g", "fold", y])
-        areas_ = metrics.auc(tested.withColumnRenamed("g", "fit"), "proba", y, "fit")
-    found = {r.fit: r.auc for r in areas_.collect()}  # a row a group
-    areas = [[found.get(t * k + g) for g in range(k)] for t in range(len(trials))]
+    rows = copies.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(trials) - 1)))).withColumn("g", F.col("trial") * k + F.col("g"))
+    params = [Params(**({"leaves": 2 ** int(trials[t]["depth"])} | trials[t]), seed=seed) for t, _ in groups]
+    tested = fit_boosted(rows.where("__train"), y, "__id", numeric, categorical, params, "g").predict(rows.where(~F.col("__train")), "g", ["__id", "g", "fold", y])
+    found = {r.fit: r.auc for r in metrics.auc(tested.withColumnRenamed("g", "fit"), "proba", y, "fit").collect()}  # a row a group
+    return mean_areas([[found.get(t * k + g) for g in range(k)] for t in range(len(trials))])
+
+
+def mean_areas(areas: list[list[float | None]]) -> list[float]:
     return [float(np.mean([a for a in own if a is not None])) if any(a is not None for a in own) else 0.5 for own in areas]
 
 
+class LogitTrials:
+    """Trials of the logit's ridge, all on one table of distinct rows. A fit begins at the one of the nearest ridge of the batches before."""
+
+    def __init__(self, table: folded.Folded) -> None:
+        self.design, self.drawn = folded.design(table), folded.edge_rows(table)
+        self.known: list[tuple[float, list[Logit | None]]] = []
+
+    def inner_auc(self, trials: list[dict]) -> list[float]:
+        ridges, k = [1 / t["c"] for t in trials], self.design.table.k
+        start = {}
+        for i, ridge in enumerate(ridges):
+            near = min(self.known, key=lambda one: abs(math.log(one[0] / ridge)), default=(ridge, []))[1]
+            start |= {(i, g): np.array([f.intercept, *f.coefficients.values()]) for g, f in enumerate(near) if f and f.converged}
+        fits = folded.fit_ridges(self.design, ridges, start=start)
+        self.known += list(zip(ridges, fits))
+        found = folded.areas(self.design.table, self.drawn, self.design.scores(fits))
+        return mean_areas([[found.get((t, g), (None,))[0] if fits[t][g] else None for g in range(k)] for t in range(len(trials))])
+
+
 def tune(
     train: DataFrame, y: str, id_col: str, numeric: list[str], categorical: list[str], learner: str = "logit", trials: int = TRIALS, k: int = INNER_FOLDS,
     batch: int = BATCH, seed: int = 42, space: dict[str, Range] | None = None,
@@ -142,17 +154,22 @@ def tune(
     """
     space = space or {"logit": LOGIT, "depthwise": DEPTHWISE, "leafwise": LEAFWISE}[learner]
     folds = stored(resample.folds(train, id_col, y, k, seed), "tuning-folds")
-    # no trial of the logit needs single rows
-    made = fold_cells(folds, y, None, numeric, categorical, k) if learner == "logit" else spread_out(fold_copies(folds, id_col, numeric, k))
-    copies = stored(made, "tuning-copies")
-    design = PlainLogit.design(copies, y, k, numeric, categorical) if learner == "logit" else None
+    if learner == "logit":
+        # no trial of the logit needs single rows
+        table = folded.folded(folds, y, numeric, categorical, k, MOST_DUMMIES)
+        if table is None:
+            raise ValueError(f"over {MOST_DUMMIES} levels, too many for dummies, in one of {', '.join(categorical)}")
+        copies, score = table.rows, LogitTrials(table).inner_auc
+    else:
+        copies = stored(spread_out(fold_copies(folds, id_col, numeric, k)), "tuning-copies")
+        score = lambda tried: inner_auc(copies, y, tried, k, numeric, categorical, seed)
     sampler, rows = Parzen(space, seed), []
     while len(rows) < trials:
         tried = sampler.propose(min(batch, trials - len(rows)))
-        scores = inner_auc(copies, y, learner, tried, k, numeric, categorical, design, seed)
+        scores = score(tried)
         sampler.tell(scores)
         rows += [(len(rows) + i, *map(float, t.values()), s) for i, (t, s) in enumerate(zip(tried, scores))]
-    release(folds, copies, *([design[0]] if design else []))
+    release(folds, copies)
     return train.sparkSession.createDataFrame(rows, "trial int, " + ", ".join(f"{name} double" for name in space) + ", auc double")
 
 
