@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.scratch import release, ship, stored
-from lendframe.operators import quantiles
+from lendframe.operators import folded, quantiles
 
 BINS = 64
 #: Levels of a category with a bin of their own, the most frequent ones; the others share the last bin.
@@ -325,7 +325,7 @@ def fit_boosted(
         *[F.col(f"`{c}`").cast("double").alias(c) for c in numeric], *[F.col(f"`{c}`").cast("string").alias(c) for c in categorical],
     ).where(F.col("y").isNotNull())
     binning = binned(rows, "g", groups, numeric, categorical, "__copies")
-    n_features, base = len(numeric) + len(categorical), [0.0] * groups
+    base = [0.0] * groups
     usable = set()
     for r in rows.groupBy("g").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("bad")).collect():  # a row a group
         good = r.n - r.bad
@@ -345,13 +345,48 @@ def fit_boosted(
     table = rows.mapInPandas(prepare, schema)
     if all(p.subsample >= 1 for p in params):
         table = table.groupBy("g", "y", "bins").agg(F.sum("w").alias("w"), F.max("margin").alias("margin")).select("g", "y", F.lit(0).cast("long").alias("id"), "w", "bins", "margin")
+    return _grown(table, binning, base, usable, params, schema)
+
+
+def fit_boosted_folds(table: folded.Folded, p: Params) -> tuple[Boosted, folded.Bins]:
+    """A model for each fold, of all rows of the other folds, with equal parameters; and how a fold's values become bins."""
+    if p.subsample < 1:
+        raise ValueError("a share of the rows is drawn from single rows, see fit_boosted")
+    k = table.k
+    edges = {key: np.unique(np.array(q)) for key, q in table.others([i / (BINS - 1) for i in range(1, BINS - 1)], with_y=True).items()}
+    levels, codes = {}, []
+    for i, (c, own) in enumerate(zip(table.categorical, table.levels)):
+        counts = {r.at: r.n for r in table.rows.where(F.col("y").isNotNull()).groupBy(F.col(f"c{i}").alias("at")).agg(F.sum("n").alias("n")).collect()}  # a row a level
+        common = sorted((v for at, v in enumerate(own) if v is not None and at in counts), key=lambda v: (-counts[own.index(v)], v))
+        levels[c] = {v: at + 1 for at, v in enumerate(common[:LEVELS])}
+        codes.append(np.array([0 if v is None else levels[c].get(v, BINS - 1) for v in own] + [0], dtype=np.uint8))
+    bins = folded.Bins(table.caps, table.numeric, edges, codes)
+    base, usable = [0.0] * k, set()
+    for g in range(k):
+        good, bad = table.goods.sum() - table.goods[g], table.bads.sum() - table.bads[g]
+        if good or bad:
+            base[g] = math.log(bad / good) if bad and good else (20.0 if bad else -20.0)
+        if good and bad:
+            usable.add(g)
+    spark = table.rows.sparkSession
+    start = F.get(F.array(*[F.lit(float(b)) for b in base]), F.col("g"))
+    rows = folded.counted_bins(table, bins).select("g", "y", F.lit(0).cast("long").alias("id"), "w", "bins", start.alias("margin"))
+    # a batch of rows of one fold is added up at once
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g", "y", F.pmod(F.xxhash64("bins"), F.lit(2))).sortWithinPartitions("g")
+    schema = "g int, y double, id long, w double, bins binary, margin double"
+    return _grown(dealt, Binning(table.numeric, table.categorical, edges, levels), base, usable, [p] * k, schema, few=True), bins
+
+
+def _grown(table: DataFrame, binning: Binning, base: list[float], usable: set[int], params: list[Params], schema: str, few: bool = False) -> Boosted:
+    """The trees of all groups, round by round. ``few``: a handful of tasks hold a group, whose sums the driver adds up."""
+    n_features = len(binning.numeric) + len(binning.categorical)
     table = stored(table, "boosting-rows")
     # distinct rows of few bins fill one partition: its one task needs no shuffle
-    single = table.rdd.getNumPartitions() == 1
+    single = few or table.rdd.getNumPartitions() == 1
     trees: list[list[Tree]] = [[] for _ in params]
     since = 0
     for number in range(max(p.trees for p in params)):
-        growing = {g: _Growing(params[g], number, len(numeric), n_features) for g in usable if number < params[g].trees and n_features}
+        growing = {g: _Growing(params[g], number, len(binning.numeric), n_features) for g in usable if number < params[g].trees and n_features}
         while open_ := {g: t for g, t in growing.items() if not t.done}:
             state = {g: (trees[g][since:], params[g].rate, t.tree, t.asked, number, params[g]) for g, t in open_.items()}
             parts = table.mapInPandas(lambda f, s=state: _histograms(f, s, n_features), "g int, node int, feature int, bin int, grad double, hess double, n double")
@@ -359,7 +394,7 @@ def fit_boosted(
             # at most groups by open leaves by features by bins rows; a task's own are summed up already
             sums = (parts if single else parts.groupBy("g", "node", "feature", "bin").agg(F.sum("grad").alias("grad"), F.sum("hess").alias("hess"), F.sum("n").alias("n"))).toPandas()
             for (g, node), part in sums.groupby(["g", "node"]):
-                hists[g, node][part["feature"], part["bin"]] = part[["grad", "hess", "n"]].to_numpy()
+                np.add.at(hists[g, node], (part["feature"].to_numpy(), part["bin"].to_numpy()), part[["grad", "hess", "n"]].to_numpy())
             for g, t in open_.items():
                 t.take({node: hists[g, node] for node in t.asked})
         for g, t in growing.items():
@@ -368,7 +403,7 @@ def fit_boosted(
             news = {g: (trees[g][since:], params[g].rate) for g in usable}
             before, table = table, stored(table.mapInPandas(lambda f, s=news: _moved(f, s, n_features), schema), "boosting-rows")
             release(before)
-            single = table.rdd.getNumPartitions() == 1
+            single = few or table.rdd.getNumPartitions() == 1
             since = number + 1
     release(table)
     return Boosted(binning, base, trees, [p.rate for p in params])

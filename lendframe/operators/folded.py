@@ -318,4 +318,112 @@ def areas(table: Folded, drawn: list[np.ndarray], score: Callable[[int, list[np.
         won, good, bad, gap = out.get(r.fit, [0.0, 0.0, 0.0, 0.0])
         g = r.fit % k
         out[r.fit] = [won + r.won + r.bads * good, good + r.goods, bad + r.bads, max(gap, good / goods[g] - bad / bads[g] + r.gap)]
-    return {(f // k, f % k): (won / (goods[f % k] * bads[f % k]), gap) for f, (won, _, _, gap) in out.items()}
+    return {(f // k, f % k): (float(won / (goods[f % k] * bads[f % k])), float(gap)) for f, (won, _, _, gap) in out.items()}
+
+
+@dataclass
+class Bins:
+    """Each fold's bins of its capped values: 0 for NULL, else 1 and how many ``edges`` (fold, column) of a number lie below it, or the
+    ``codes`` (one list a category) of a level."""
+
+    caps: np.ndarray
+    numeric: list[str]
+    edges: dict[tuple[int, str], np.ndarray]
+    codes: list[np.ndarray]
+
+    def of(self, g: int, inputs: list[np.ndarray]) -> np.ndarray:
+        """Rows by columns, the numbers first."""
+        out = np.zeros((len(inputs[0]) if inputs else 0, len(inputs)), dtype=np.uint8)
+        for i, c in enumerate(self.numeric):
+            v = np.minimum(inputs[i], self.caps[g, i])
+            out[:, i] = np.where(np.isnan(v), 0, 1 + np.searchsorted(self.edges.get((g, c), np.zeros(0)), v, side="left"))
+        for j, codes in enumerate(self.codes, len(self.numeric)):
+            out[:, j] = codes[inputs[j]]
+        return out
+
+
+def counted_bins(table: Folded, bins: Bins) -> DataFrame:
+    """g, y, bins, w: the training rows with a target of each fold g, those of equal bins and y as one with their number."""
+    ship(table.rows.sparkSession)
+    k = table.k
+
+    def count(batches: Iterator) -> Iterator:
+        held, size = [], 0
+        for batch in batches:
+            held.append(_arrays(batch))
+            size += len(held[-1][0])
+            if size >= BUFFER:
+                yield from counts(held)
+                held, size = [], 0
+        if held:
+            yield from counts(held)
+
+    def counts(held: list[list[np.ndarray]]) -> Iterator:
+        import pyarrow as pa
+
+        fold, y, n, *inputs = (np.concatenate(parts) for parts in zip(*held))
+        for g in range(k):
+            own = np.flatnonzero(fold != g)
+            if not len(own):
+                continue
+            cells = np.ascontiguousarray(np.column_stack([bins.of(g, [c[own] for c in inputs]), y[own].astype(np.uint8)]))
+            width = cells.max(axis=0).astype(object) + 1
+            if math.prod(width) < 1 << 62:
+                code = np.zeros(len(own), dtype=np.int64)
+                for j, one in enumerate(width):
+                    code = code * int(one) + cells[:, j]
+            else:
+                code = cells.view(np.dtype((np.void, cells.shape[1])))[:, 0]
+            _, first, at = np.unique(code, return_index=True, return_inverse=True)
+            kept = cells[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(kept), g), pa.int32()), pa.array(kept[:, -1].astype(float)), pa.array([b.tobytes() for b in kept[:, :-1]], pa.binary()), pa.array(np.bincount(at, n[own]))],
+                names=["g", "y", "bins", "w"],
+            )
+
+    parts = table.rows.where(F.col("y").isNotNull()).select("fold", "y", "n", *table.inputs).mapInArrow(count, "g int, y double, bins binary, w double")
+    return parts.groupBy("g", "y", "bins").agg(F.sum("w").alias("w"))
+
+
+def losses(table: Folded, score: Callable[[int, list[np.ndarray]], np.ndarray], eps: float) -> dict[int, tuple[float, float]]:
+    """Brier score and log loss of each fold's rows with a target, by the first fit of ``score`` (see ``areas``)."""
+    ship(table.rows.sparkSession)
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold, y, n, *inputs = _arrays(batch)
+            for g in np.unique(fold).tolist():
+                own = np.flatnonzero(fold == g)
+                p, t, w = score(g, [c[own] for c in inputs])[0], y[own], n[own]
+                cut = np.clip(p, eps, 1 - eps)
+                total[g] = total.get(g, 0) + np.array([w.sum(), w @ (p - t) ** 2, -(w @ np.log(np.where(t == 1, cut, 1 - cut)))])
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *[pa.array([float(v[i]) for v in total.values()]) for i in range(3)]], names=["g", "n", "brier", "loss"])
+
+    rows = table.rows.where(F.col("y").isNotNull()).select("fold", "y", "n", *table.inputs)
+    got = rows.mapInArrow(add, "g int, n double, brier double, loss double").groupBy("g").agg(F.sum("n").alias("n"), F.sum("brier").alias("brier"), F.sum("loss").alias("loss"))
+    return {r.g: (r.brier / r.n, r.loss / r.n) for r in got.collect()}  # a row a fold
+
+
+def scored(rows: DataFrame, table: Folded, score: Callable[[int, list[np.ndarray]], np.ndarray], id_col: str, y: str) -> DataFrame:
+    """fold, id, y and proba of each of the ``rows`` behind ``table``, by its fold's fit."""
+    number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(math.inf))
+    inputs = [number(c).alias(f"x{i}") for i, c in enumerate(table.numeric)] + [coded(c, own).alias(f"c{i}") for i, (c, own) in enumerate(zip(table.categorical, table.levels))]
+    asked = rows.select(F.col("fold").cast("int").alias("fold"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{y}`").alias("y"), *inputs)
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
+
+    def predict(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fold, _, _, *own = (None if i in (1, 2) else c.to_numpy(zero_copy_only=False) for i, c in enumerate(batch.columns))
+            out = np.zeros(len(fold))
+            for g in np.unique(fold).tolist():
+                at = np.flatnonzero(fold == g)
+                out[at] = score(g, [c[at] for c in own])[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], names=["fold", "id", "y", "proba"])
+
+    return asked.mapInArrow(predict, f"fold int, id {kinds['id']}, y {kinds['y']}, proba double")

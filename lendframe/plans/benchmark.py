@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions.dist import wilcoxon_p
 from lendframe.functions.scratch import release, stored
 from lendframe.functions.special import FLOOR
-from lendframe.operators import metrics, profile, quantiles, resample
-from lendframe.operators.boosting import Params, fit_boosted
+from lendframe.operators import folded, metrics, profile, quantiles, resample
+from lendframe.operators.boosting import Params, fit_boosted, fit_boosted_folds
 from lendframe.operators.glm import Logit, fit_groups
 
 
@@ -39,6 +41,10 @@ class FoldModel:
     def fit_folds(self, rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> DataFrame:
         raise NotImplementedError
 
+    def fit_table(self, table: folded.Folded) -> Callable[[int, list[np.ndarray]], np.ndarray]:
+        """The same fits from distinct rows that aren't copied for each fold; scores as ``folded.areas`` takes them."""
+        raise NotImplementedError
+
     def fit_predict(self, train: DataFrame, test: DataFrame, y: str, numeric: list[str], categorical: list[str]) -> DataFrame:
         both = [d.withColumns({"g": F.lit(0), "__train": F.lit(own)}) for d, own in ((train, True), (test, False))]
         rows = both[0].unionByName(both[1])
@@ -108,6 +114,42 @@ class WoeLogit(FoldModel):
         return scored_by(rows, fits, names)
 
 
+    def fit_table(self, table: folded.Folded) -> Callable[[int, list[np.ndarray]], np.ndarray]:
+        edges = {key: np.unique(np.array(q)) for key, q in table.others([i / 5 for i in range(1, 5)]).items()}
+        # levels have codes from 0, of which NULL's is one like the others
+        bins = folded.Bins(table.caps, table.numeric, edges, [np.arange(len(own) + 1, dtype=np.uint8) for own in table.levels])
+        cells = stored(folded.counted_bins(table, bins), "fold-cells")
+        names = [*table.numeric, *table.categorical]
+        at = lambda i: F.conv(F.hex(F.substring("bins", i + 1, 1)), 16, 10).cast("int")
+        counts = cells.select("g", "y", "w", F.posexplode(F.array(*[at(i) for i in range(len(names))])).alias("i", "bin")).groupBy("g", "i", "bin", "y").agg(F.sum("w").alias("w")).collect() if names else []
+        table_ = np.zeros((2, table.k, len(names), 256))
+        for r in counts:  # folds by columns by bins rows
+            if r.y in (0, 1):
+                table_[int(r.y), r.g, r.i, r.bin] = r.w
+        totals = table_.sum(axis=3, keepdims=True)
+        shares = np.maximum(np.divide(table_, totals, out=np.zeros_like(table_), where=totals > 0), FLOOR)
+        woe = np.log(shares[0] / shares[1])
+
+        def code(frames: Iterator) -> Iterator:
+            for frame in frames:
+                own, g = np.frombuffer(b"".join(frame["bins"]), dtype=np.uint8).reshape(len(frame), -1), frame["g"].to_numpy()
+                yield frame[["g", "y", "w"]].assign(**{f"w{i}": woe[g, i, own[:, i]] for i in range(len(names))})
+
+        coded = stored(cells.mapInPandas(code, ", ".join(["g int, y double, w double", *[f"w{i} double" for i in range(len(names))]])), "fold-coded")
+        fits = fit_groups(coded, "g", table.k, "y", [f"w{i}" for i in range(len(names))], weight="w")
+        release(cells, coded)
+        betas = [np.r_[f.intercept, list(f.coefficients.values())] if f else np.zeros(len(names) + 1) for f in fits]
+
+        def score(g: int, inputs: list[np.ndarray]) -> np.ndarray:
+            own = bins.of(g, inputs)
+            line = np.full(len(own), betas[g][0])
+            for i in range(own.shape[1]):
+                line += betas[g][1 + i] * woe[g, i][own[:, i]]
+            return 1 / (1 + np.exp(-line))[None, :]
+
+        return score
+
+
 class PlainLogit(FoldModel):
     """Standardised numbers and dummies of all levels, with a ridge of 1 / c on the slopes."""
 
@@ -118,6 +160,10 @@ class PlainLogit(FoldModel):
         rows, names = self.design(rows, y, k, numeric, categorical)
         return scored_by(rows, fit_groups(rows.where("__train"), "g", k, y, names, weight="__n", ridge=1 / self.c), names)
 
+    def fit_table(self, table: folded.Folded) -> Callable[[int, list[np.ndarray]], np.ndarray]:
+        made = folded.design(table)
+        return made.scores(folded.fit_ridges(made, [1 / self.c]))
+
     @staticmethod
     def design(rows: DataFrame, y: str, k: int, numeric: list[str], categorical: list[str]) -> tuple[DataFrame, list[str]]:
         """The stored model columns and their names; the scale is that of each fold's training rows."""
@@ -150,6 +196,10 @@ class BoostedTrees(FoldModel):
         model = fit_boosted(rows.where("__train"), y, "__id", numeric, categorical, [self.params] * k, "g", copies="__n")
         return model.predict(rows.where(~F.col("__train")), "g", ["__id", "g", "fold", y])
 
+    def fit_table(self, table: folded.Folded) -> Callable[[int, list[np.ndarray]], np.ndarray]:
+        model, bins = fit_boosted_folds(table, self.params)
+        return lambda g, inputs: 1 / (1 + np.exp(-model.margin(bins.of(g, inputs), np.full(len(inputs[0]) if inputs else 0, g))))[None, :]
+
 
 MOST_DUMMIES = 100
 
@@ -204,12 +254,18 @@ def run(
     spark = df.sparkSession
     rows = stored(resample.folds(df, id_col, y, k, seed), "benchmark-folds")
     at_once = [isinstance(m, FoldModel) and not path for m in models]
-    # equal rows are trained on as one, but for models that need them all
+    # equal rows are trained on and scored as one, but for models that need them all
+    tabled = [one and not m.by_row and type(m).fit_table is not FoldModel.fit_table for m, one in zip(models, at_once)]
+    table = folded.folded(rows, y, numeric, categorical, k, MOST_DUMMIES) if any(tabled) else None
+    if table is None:
+        # no models, or a category of many levels
+        tabled = [False] * len(models)
     singly = [not one or m.by_row for m, one in zip(models, at_once)]
-    copies = stored(spread_out(fold_copies(rows, id_col, numeric, k)), "benchmark-copies") if any(singly) else None
-    cells = stored(fold_cells(rows, y, id_col, numeric, categorical, k), "benchmark-cells") if not all(singly) else None
+    copies = stored(spread_out(fold_copies(rows, id_col, numeric, k)), "benchmark-copies") if any(s and not t for s, t in zip(singly, tabled)) else None
+    cells = stored(fold_cells(rows, y, id_col, numeric, categorical, k), "benchmark-cells") if not all(s or t for s, t in zip(singly, tabled)) else None
+    drawn = folded.edge_rows(table) if table else []
     done = _parts(spark, path) if path else set()
-    kept = []
+    kept, lazy, measured = [], [], []
 
     def keep(model: Model | FoldModel, got: DataFrame, began: float) -> None:
         own = got.select(F.lit(model.name).alias("model"), F.col("fold").cast("int").alias("fold"), F.col("__id").alias("id"), F.col(y).alias("y"), "proba")
@@ -219,24 +275,40 @@ def run(
             part = stored(own, "benchmark-part")
             kept.append(part.withColumn("runtime_s", F.lit(time.time() - began)))
 
-    for m, one, by_row in zip(models, at_once, singly):
+    for m, one, by_row, by_table in zip(models, at_once, singly, tabled):
+        began = time.time()
+        if by_table:
+            score = m.fit_table(table)
+            found, lost = folded.areas(table, drawn, score), folded.losses(table, score, metrics.EPS)
+            # a fold's rows are scored where somebody reads them
+            lazy.append(folded.scored(rows, table, score, id_col, y).select(F.lit(m.name).alias("model"), "fold", "id", "y", "proba"))
+            for g, (brier, logloss) in sorted(lost.items()):
+                auc, ks = found.get((0, g), (None, 0.0))
+                measured.append((m.name, g, auc, max(ks, 0.0), None if auc is None else 2 * auc - 1, brier, logloss, time.time() - began))
+            continue
         # a run that may have to start again goes fold by fold
         if one:
-            began = time.time()
             keep(m, m.fit_folds(copies if by_row else cells, y, k, numeric, categorical), began)
             continue
         for f in range(k):
             if (m.name, f) not in done:
                 began, own = time.time(), copies.where(F.col("g") == f)
                 keep(m, m.fit_predict(own.where("__train"), own.where(~F.col("__train")), y, numeric, categorical), began)
-    whole = spark.read.parquet(path).where(F.col("model").isin([m.name for m in models])) if path else reduce(DataFrame.unionByName, kept)
-    out = whole.select("model", "fold", "id", "y", "proba")
-    timed = whole.groupBy(F.col("model").alias("t_model"), F.col("fold").alias("t_fold")).agg(F.max("runtime_s").alias("runtime_s"))
-    scored = metrics.all_metrics(out, "proba", "y", "model", "fold")
-    # models by folds rows
-    scored = scored.join(F.broadcast(timed), (F.col("model") == F.col("t_model")) & (F.col("fold") == F.col("t_fold"))).drop("t_model", "t_fold")
-    release(rows, *[d for d in (copies, cells) if d is not None])
-    return out, stored(scored, "benchmark-metrics")
+    parts, results = list(lazy), []
+    if measured:
+        # models by folds rows
+        results.append(spark.createDataFrame(measured, "model string, fold int, auc double, ks double, gini double, brier double, logloss double, runtime_s double"))
+    if path or kept:
+        whole = spark.read.parquet(path).where(F.col("model").isin([m.name for m in models])) if path else reduce(DataFrame.unionByName, kept)
+        parts.append(whole.select("model", "fold", "id", "y", "proba"))
+        timed = whole.groupBy(F.col("model").alias("t_model"), F.col("fold").alias("t_fold")).agg(F.max("runtime_s").alias("runtime_s"))
+        scored = metrics.all_metrics(parts[-1], "proba", "y", "model", "fold")
+        # models by folds rows
+        results.append(scored.join(F.broadcast(timed), (F.col("model") == F.col("t_model")) & (F.col("fold") == F.col("t_fold"))).drop("t_model", "t_fold"))
+    scored = stored(reduce(DataFrame.unionByName, results), "benchmark-metrics")
+    # the folds' rows stay where predictions are yet to be made from them
+    release(*[d for d in (None if lazy else rows, table and table.rows, copies, cells) if d is not None])
+    return reduce(DataFrame.unionByName, parts), scored
 
 
 def _parts(spark, path: str) -> set[tuple[str, int]]:
