@@ -257,6 +257,10 @@ def run(
     # equal rows are trained on and scored as one, but for models that need them all
     tabled = [one and not m.by_row and type(m).fit_table is not FoldModel.fit_table for m, one in zip(models, at_once)]
     table = folded.folded(rows, y, numeric, categorical, k, MOST_DUMMIES) if any(tabled) else None
+    if table is not None and np.count_nonzero(table.goods + table.bads) < 2:
+        # nothing to train on for the one fold
+        release(table.rows)
+        table = None
     if table is None:
         # no models, or a category of many levels
         tabled = [False] * len(models)
